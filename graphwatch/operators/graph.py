@@ -83,34 +83,74 @@ def laplacian_entries(adj: DataFrame, key: Sequence[str] = WINDOW_KEY) -> DataFr
     return off.unionByName(diag).filter(F.col("value") != 0)
 
 
-def components(adj: DataFrame, key: Sequence[str] = WINDOW_KEY, max_iter: int = 64,
-               checkpoint_every: int = 4) -> DataFrame:
+def _local_components(key: Sequence[str]):
+    import numpy as np
+    import pandas as pd
+
+    from graphwatch.operators.spectrum import _component_roots
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = np.unique(np.concatenate([pdf["src"].to_numpy(object), pdf["dst"].to_numpy(object)]))
+        off = pdf[pdf["src"] != pdf["dst"]]
+        roots = _component_roots(len(names), np.searchsorted(names, off["src"].to_numpy(object)),
+                                 np.searchsorted(names, off["dst"].to_numpy(object)))
+        out = pd.DataFrame({"node": names, "component": names[roots]})
+        for k in key:
+            out.insert(0, k, pdf[k].iloc[0])
+        return out
+    return run
+
+
+def components(adj: DataFrame, key: Sequence[str] = WINDOW_KEY, pairs_bound: int | None = None,
+               max_local: int = 4000, max_iter: int = 64) -> DataFrame:
     """Connected components of each window's undirected graph (self-loops ignored).
 
-    Min-label propagation with pointer jumping, all as DataFrame joins: each
-    round every node takes the smallest label among itself and its
-    neighbours, then jumps to its label's label. Stops when no label
-    changes. Lineage is cut with a reliable ``checkpoint()`` (folder from
-    ``spark.checkpoint.dir``). Output ``(*key, node, component)`` where
-    ``component`` is the smallest node id of the component.
+    Output ``(*key, node, component)``; ``component`` is the smallest node
+    id of the component. When every window is known to hold at most
+    ``max_local`` pairs (``pairs_bound``, e.g. the count-window size), each
+    window is solved by union-find in a grouped Arrow function. Otherwise
+    the distributed min-label propagation runs (``propagate_components``).
     """
+    from graphwatch.session import ship_package
+
+    k = list(key)
+    if pairs_bound is not None and pairs_bound <= max_local:
+        ship_package(adj.sparkSession)
+        schema = adj.select(*k).schema.add("node", "string").add("component", "string")
+        return adj.select(*k, "src", "dst").groupBy(*k).applyInPandas(_local_components(k), schema)
+    return propagate_components(adj, k, max_iter)
+
+
+def propagate_components(adj: DataFrame, key: Sequence[str] = WINDOW_KEY,
+                         max_iter: int = 64) -> DataFrame:
+    """Min-label propagation with pointer jumping, all as DataFrame joins.
+
+    Each round every node takes the smallest label among itself and its
+    neighbours, then jumps to its label's label; the number of rounds grows
+    with the logarithm of the component diameter. The edge list and every
+    round's labels are written with a reliable ``checkpoint()`` (folder
+    from ``spark.checkpoint.dir``), so each round is a short plan over
+    materialized tables and a lost executor recomputes one round only.
+    """
+    k = list(key)
     und = (adj.filter(F.col("src") != F.col("dst"))
-           .select(*key, F.col("src").alias("a"), F.col("dst").alias("b")))
-    und = und.union(und.select(*key, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = nodes(adj, key).withColumn("label", F.col("node"))
-    for it in range(max_iter):
-        via_edge = (und.join(labels.select(*key, F.col("node").alias("a"), "label"), [*key, "a"])
-                    .groupBy(*key, F.col("b").alias("node")).agg(F.min("label").alias("cand")))
-        stepped = (labels.join(via_edge, [*key, "node"], "left")
-                   .select(*key, "node", F.least("label", F.coalesce("cand", "label")).alias("label")))
-        parent = stepped.select(*key, F.col("node").alias("label"), F.col("label").alias("jump"))
-        jumped = (stepped.join(parent, [*key, "label"], "left")
-                  .select(*key, "node", F.least("label", F.coalesce("jump", "label")).alias("label")))
-        if (it + 1) % checkpoint_every == 0:
-            jumped = jumped.checkpoint()
-        changed = (jumped.join(labels.withColumnRenamed("label", "old"), [*key, "node"])
-                   .filter(F.col("label") != F.col("old")).limit(1).count())
-        labels = jumped
+           .select(*k, F.col("src").alias("a"), F.col("dst").alias("b")))
+    und = und.union(und.select(*k, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    und = und.checkpoint(eager=True)
+    labels = nodes(adj, k).withColumn("label", F.col("node")).checkpoint(eager=True)
+    for _ in range(max_iter):
+        via_edge = (und.join(labels.select(*k, F.col("node").alias("a"), "label"), [*k, "a"])
+                    .groupBy(*k, F.col("b").alias("node")).agg(F.min("label").alias("cand")))
+        stepped = (labels.join(via_edge, [*k, "node"], "left")
+                   .select(*k, "node", F.least("label", F.coalesce("cand", "label")).alias("label"),
+                           F.col("label").alias("old")))
+        parent = stepped.select(*k, F.col("node").alias("label"), F.col("label").alias("jump"))
+        jumped = (stepped.join(parent, [*k, "label"], "left")
+                  .select(*k, "node", F.least("label", F.coalesce("jump", "label")).alias("label"),
+                          "old")
+                  .checkpoint(eager=True))
+        changed = jumped.filter(F.col("label") != F.col("old")).limit(1).count()
+        labels = jumped.drop("old")
         if changed == 0:
             break
     return labels.withColumnRenamed("label", "component")

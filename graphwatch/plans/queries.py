@@ -114,13 +114,19 @@ def q_laplacian(spark, sf):
 
 @query("components")
 def q_components(spark, sf):
-    comps = G.components(_adj(spark, sf, "unit", True))
+    comps = G.components(_adj(spark, sf, "unit", True), pairs_bound=200)
+    return comps.select("window_no", "node", "component")
+
+
+@query("components_propagation")
+def q_components_propagation(spark, sf):
+    comps = G.propagate_components(_adj(spark, sf, "unit", True))
     return comps.select("window_no", "node", "component")
 
 
 @query("component_counts")
 def q_component_counts(spark, sf):
-    comps = G.components(_adj(spark, sf, "unit", True))
+    comps = G.components(_adj(spark, sf, "unit", True), pairs_bound=200)
     return G.component_counts(comps).select("window_no", "n_components", "largest")
 
 
@@ -213,3 +219,57 @@ def q_feedback_alpha(spark, sf):
 
 def _unused():  # keep imports referenced for linters
     return rank_windows
+
+
+# ---------------------------------------------------------------- sources / parsers
+
+from graphwatch.functions.text import first_path_segment  # noqa: E402
+from graphwatch.sources import lines as L  # noqa: E402
+from graphwatch.sources import structured as S  # noqa: E402
+
+
+@query("parse_access_log")
+def q_parse_access_log(spark, sf):
+    e = L.parse_access_log(sc.access_log_lines(spark, sf))
+    return e.select("seq", "src", "dst", "weight", "timestamp")
+
+
+@query("parse_flow_log")
+def q_parse_flow_log(spark, sf):
+    e = L.parse_flow_log(sc.flow_log_lines(spark, sf))
+    return e.select("seq", "src", "dst", r6("weight").alias("weight"))
+
+
+@query("parse_syslog")
+def q_parse_syslog(spark, sf):
+    return L.parse_syslog(sc.syslog_lines(spark, sf)).select("seq", "src", "dst")
+
+
+@query("parse_edge_ndjson")
+def q_parse_edge_ndjson(spark, sf):
+    e = S.parse_edge_ndjson(sc.edge_json_lines(spark, sf))
+    return e.select("seq", "src", "dst", r6("weight").alias("weight"))
+
+
+@query("parse_socket_trace")
+def q_parse_socket_trace(spark, sf):
+    e = S.parse_socket_trace(sc.socket_json_lines(spark, sf))
+    return e.select("seq", "src", "dst", r6("weight").alias("weight"))
+
+
+@query("parse_arrow_lines")
+def q_parse_arrow_lines(spark, sf):
+    return L.parse_arrow_lines(sc.arrow_lines(spark, sf)).select("seq", "src", "dst")
+
+
+@query("parse_network_snapshot")
+def q_parse_network_snapshot(spark, sf):
+    e = S.parse_network_snapshot(sc.network_snapshot_docs(spark, sf))
+    return e.select("src", "dst", r6("weight").alias("weight"))
+
+
+@query("page_first_segment")
+def q_page_first_segment(spark, sf):
+    pages = sc.table(spark, sf, "pages")
+    path = F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]+(/.*)?$", 1)
+    return pages.select("page_id", first_path_segment(path).alias("segment"))

@@ -60,3 +60,127 @@ def event_spectra(spark: SparkSession, sf_dir: str, window_size: int = 200,
     win = event_windows(spark, sf_dir, window_size, weight, beacon)
     adj = adjacency(win)
     return win, adj, spectrum(adj, pairs_bound=window_size)
+
+
+# ---------------------------------------------------------------- text renderings of the tables
+# Each rendering mixes valid records with the malformed variants a parser must
+# skip; the variant is picked from the row key.
+
+def _ip(prefix: str, col: str):
+    return F.format_string(prefix + ".%d.%d", F.expr(f"({col} div 256) % 256"), F.col(col) % 256)
+
+
+def access_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    eid = F.col("event_id")
+    path = (F.when(eid % 7 == 0, F.concat(F.lit("/?q="), eid.cast("string")))
+            .when(eid % 11 == 0, F.lit("//"))
+            .when(eid % 13 == 0, F.concat(F.lit("http://h/"), F.col("event_type")))
+            .otherwise(F.format_string("/%s/%d", F.col("event_type"), eid)))
+    method = F.when(F.col("event_type").isin("purchase", "signup"), "POST").otherwise("GET")
+    line = F.when(eid % 17 == 0, F.concat(F.lit("malformed line "), eid.cast("string"))).otherwise(
+        F.format_string('%s - - [%s] "%s %s HTTP/1.1" 200 512 "-" "gw-agent/1.0"',
+                        _ip("10.0", "user_id"), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss Z"),
+                        method, path))
+    return ev.select(eid.alias("seq"), line.alias("value"))
+
+
+def flow_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    ln = F.col("l_linenumber")
+    start = F.unix_timestamp(F.col("l_shipdate").cast("timestamp"))
+    fields = F.concat_ws(
+        " ", F.when(ln == 7, "3").otherwise("2"), F.lit("123456789012"),
+        F.format_string("eni-%d", F.col("l_orderkey") % 1000),
+        F.when(F.col("l_orderkey") % 50 == 0, F.lit("-")).otherwise(_ip("10.1", "l_partkey")),
+        _ip("10.2", "l_suppkey"), (40000 + ln).cast("string"), F.lit("443"), F.lit("6"),
+        F.when(ln == 6, F.lit("-")).otherwise(F.col("l_quantity").cast("long").cast("string")),
+        F.col("l_extendedprice").cast("long").cast("string"), start.cast("string"),
+        (start + 60).cast("string"),
+        F.when(ln == 5, F.lit(None)).otherwise(
+            F.when(F.col("l_returnflag") == "R", "REJECT").otherwise("ACCEPT")),
+        F.when(ln == 5, F.lit(None)).otherwise(F.lit("OK")))
+    line = F.when(ln == 5, F.element_at(F.split(fields, " "), 1)).otherwise(fields)
+    line = F.when(ln == 5, F.array_join(F.slice(F.split(fields, " "), 1, 11), " ")).otherwise(line)
+    line = F.when(F.col("l_orderkey") % 3 == 0, F.concat(F.lit("  "), line, F.lit(" "))).otherwise(line)
+    return li.select((F.col("l_orderkey") * 8 + ln).alias("seq"), line.alias("value"))
+
+
+def syslog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    eid = F.col("event_id")
+    a = _ip("10.0", "user_id")
+    b = F.concat(F.lit("172.16.0."), F.length("event_type").cast("string"))
+    v = eid % 4
+    line = (F.when(v == 0, F.format_string("<34>host sshd: conn src=%s dst=%s proto=tcp", a, b))
+            .when(v == 1, F.format_string("kernel: flow %s:22 -> %s:443 len=%d", a, b, eid))
+            .when(v == 2, F.format_string("firewall: allowed from %s to %s port 80", a, b))
+            .otherwise(F.format_string("note: only %s seen", a)))
+    return ev.select(eid.alias("seq"), line.alias("value"))
+
+
+def edge_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    eid, v = F.col("event_id"), F.col("event_id") % 10
+    u = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    t = F.col("event_type")
+    line = (F.when(v == 0, F.format_string('{"src": "%s", "dst": "%s"}', u, t))
+            .when(v == 1, F.format_string('{"src": "%s", "dst": ', u))
+            .when(v == 2, F.format_string('{"src": "%s"}', u))
+            .when(v == 3, F.format_string('{"src": "%s", "dst": 7}', u))
+            .when(v == 4, F.format_string('["%s", "%s"]', u, t))
+            .when(v == 5, F.format_string('{"src": "", "dst": "%s"}', t))
+            .when(v == 6, F.lit("   "))
+            .otherwise(F.format_string('{"src": "%s", "dst": "%s", "weight": %.2f}', u, t,
+                                       F.col("value"))))
+    return ev.select(eid.alias("seq"), line.alias("value"))
+
+
+def socket_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    eid, v = F.col("event_id"), F.col("event_id") % 6
+    a = _ip("10.0", "user_id")
+    b = F.concat(F.lit("172.16.0."), F.length("event_type").cast("string"))
+    line = (F.when(v == 0, F.format_string('{"saddr": "%s", "daddr": "%s", "bytes": %d}', a, b, eid))
+            .when(v == 1, F.format_string('{"src": "%s", "dst": "%s", "weight": %.2f}', a, b,
+                                          F.col("value")))
+            .when(v == 2, F.format_string('{"src": "%s", "daddr": "%s"}', a, b))
+            .when(v == 3, F.format_string('{"saddr": "%s", "dst": "%s", "bytes": "n/a"}', a, b))
+            .when(v == 4, F.format_string('{"src": %d, "dst": "%s"}', F.col("user_id"), b))
+            .otherwise(F.format_string('{"src": null, "saddr": "%s", "dst": "%s"}', a, b)))
+    return ev.select(eid.alias("seq"), line.alias("value"))
+
+
+def arrow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    eid, v = F.col("event_id"), F.col("event_id") % 6
+    u = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    t = F.col("event_type")
+    line = (F.when(v == 0, F.concat(F.lit("no arrow here "), eid.cast("string")))
+            .when(v == 1, F.concat(F.lit(" -> "), t))
+            .when(v == 2, F.concat(u, F.lit(" ->   ")))
+            .when(v == 3, F.concat(F.lit("  "), u, F.lit("  ->  "), t, F.lit("  ")))
+            .otherwise(F.concat(u, F.lit(" -> "), t, F.lit(" -> extra"))))
+    return ev.select(eid.alias("seq"), line.alias("value"))
+
+
+def network_snapshot_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One snapshot document per region: region 0 lists flows, region 4 is an
+    unnamed network inside a JSON array, the others list attached containers."""
+    na = table(spark, sf_dir, "nation")
+    rg = table(spark, sf_dir, "region")
+    j = na.join(rg, na.n_regionkey == rg.r_regionkey)
+    cname = F.when(F.col("n_nationkey") % 5 == 1, F.lit("")).otherwise(F.col("n_name"))
+    flow = F.format_string('{"src": "%s", "dst": "%s", "weight": %d}',
+                           F.col("n_name"), F.col("r_name"), F.col("n_nationkey"))
+    member = F.format_string('"%d": {"Name": "%s"}', F.col("n_nationkey"), cname)
+    per = (j.groupBy("r_regionkey", "r_name")
+           .agg(F.array_sort(F.collect_list(F.struct("n_nationkey", flow.alias("f"),
+                                                     member.alias("m")))).alias("items")))
+    flows = F.array_join(F.transform("items", lambda s: s["f"]), ", ")
+    members = F.array_join(F.transform("items", lambda s: s["m"]), ", ")
+    doc = (F.when(F.col("r_regionkey") == 0,
+                  F.format_string('{"Name": "%s", "flows": [%s]}', F.col("r_name"), flows))
+           .when(F.col("r_regionkey") == 4, F.format_string('[{"Containers": {%s}}]', members))
+           .otherwise(F.format_string('{"Name": "%s", "Containers": {%s}}', F.col("r_name"), members)))
+    return per.select(F.col("r_regionkey").cast("long").alias("seq"), doc.alias("value"))
