@@ -49,3 +49,15 @@ def request_target(line: Column) -> Column:
     """The request target of a log line, or null when the line has none."""
     t = F.regexp_extract(line, REQUEST_TARGET_PATTERN, 1)
     return F.when(line.rlike(REQUEST_TARGET_PATTERN), t)
+
+
+def parse_json_strict(text: Column) -> Column:
+    """``try_parse_json`` that also rejects trailing content after the first value.
+
+    Spark's parser stops after one complete value; wrapping the text in
+    ``[...]`` makes trailing content a syntax error (or a second element).
+    """
+    arr = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    first = F.try_variant_get(arr, "$[0]", "variant")
+    second = F.try_variant_get(arr, "$[1]", "variant")
+    return F.when(first.isNotNull() & second.isNull(), first)

@@ -273,3 +273,111 @@ def q_page_first_segment(spark, sf):
     pages = sc.table(spark, sf, "pages")
     path = F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]+(/.*)?$", 1)
     return pages.select("page_id", first_path_segment(path).alias("segment"))
+
+
+# ---------------------------------------------------------------- text functions, diagnosis, mitigation
+
+from pyspark.sql import Window  # noqa: E402
+
+from graphwatch.functions import mitigation as M  # noqa: E402
+from graphwatch.functions.diagnosis import diagnose, parse_response  # noqa: E402
+from graphwatch.functions.redact import redact, redaction_report  # noqa: E402
+from graphwatch.operators.subgraph import dot_text, induced_edges, window_logs  # noqa: E402
+
+
+@query("redact_documents")
+def q_redact_documents(spark, sf):
+    docs = sc.table(spark, sf, "documents")
+    return docs.select("doc_id", redact(F.col("text")).alias("text"))
+
+
+@query("redaction_report")
+def q_redaction_report(spark, sf):
+    return redaction_report(sc.table(spark, sf, "documents"), "text", "doc_id")
+
+
+@query("redact_event_lines")
+def q_redact_event_lines(spark, sf):
+    return sc.secret_lines(spark, sf).select("seq", redact(F.col("value")).alias("text"))
+
+
+def _windowed_plain(spark, sf):
+    return sc.event_windows(spark, sf, 200, "value", False)
+
+
+@query("window_logs30")
+def q_window_logs30(spark, sf):
+    win = _windowed_plain(spark, sf)
+    logs = window_logs(win, win.select("source_id", "window_no").distinct())
+    return logs.select("window_no", F.posexplode("logs").alias("line_no", "raw"))
+
+
+def degree_top(adj, k=8):
+    """Subgraph nodes ranked by weighted degree (a score SQL can reproduce)."""
+    deg = G.degrees(adj)
+    w = Window.partitionBy("source_id", "window_no").orderBy(F.desc(F.round("degree", 9)), "node")
+    return deg.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
+
+
+@query("subgraph_nodes")
+def q_subgraph_nodes(spark, sf):
+    top = degree_top(G.adjacency(_windowed_plain(spark, sf)))
+    return top.select("window_no", "pos", "node")
+
+
+@query("subgraph_edges")
+def q_subgraph_edges(spark, sf):
+    adj = G.adjacency(_windowed_plain(spark, sf))
+    e = induced_edges(adj, degree_top(adj))
+    return e.select("window_no", "src", "dst", r6("weight").alias("weight"))
+
+
+def _degree_windows(spark, sf):
+    win = _windowed_plain(spark, sf)
+    adj = G.adjacency(win)
+    top = degree_top(adj)
+    nodes = (top.groupBy("source_id", "window_no")
+             .agg(F.array_sort(F.collect_list(F.struct("pos", "node"))).alias("_n"))
+             .select("source_id", "window_no", F.transform("_n", lambda s: s["node"]).alias("nodes")))
+    edges = (induced_edges(adj, top).groupBy("source_id", "window_no")
+             .agg(F.array_sort(F.collect_list(F.struct("src", "dst", "weight"))).alias("edges")))
+    logs = window_logs(win, nodes)
+    return nodes.join(edges, ["source_id", "window_no"], "left").join(logs, ["source_id", "window_no"], "left")
+
+
+@query("dot_text")
+def q_dot_text(spark, sf):
+    w = _degree_windows(spark, sf)
+    return w.select("window_no", dot_text(F.col("nodes"), F.col("edges"),
+                                          F.slice("nodes", 1, 3)).alias("dot"))
+
+
+@query("diagnosis")
+def q_diagnosis(spark, sf):
+    w = _degree_windows(spark, sf).withColumn("votes", F.lit(2))
+    d = diagnose(w)
+    return d.select("window_no", "top_target", "top_hits", "distinct_targets",
+                    F.col("diagnosis.diagnosis").alias("diagnosis"),
+                    F.col("diagnosis.root_cause").alias("root_cause"),
+                    F.col("diagnosis.confidence.total").alias("confidence"),
+                    F.col("diagnosis.mitigation.script").alias("script"))
+
+
+@query("validate_mitigations")
+def q_validate_mitigations(spark, sf):
+    m = M.validate_mitigations(sc.mitigation_scripts(spark, sf))
+    return m.select("c_custkey", "kind", F.col("validation.valid").alias("valid"),
+                    F.col("validation.reason").alias("reason"))
+
+
+@query("mitigation_rejections")
+def q_mitigation_rejections(spark, sf):
+    return M.rejection_counts(M.validate_mitigations(sc.mitigation_scripts(spark, sf)))
+
+
+@query("parse_responses")
+def q_parse_responses(spark, sf):
+    r = sc.model_responses(spark, sf)
+    p = parse_response(F.col("text"))
+    return r.select("conv_id", "turn", p["parsed"].alias("parsed"), p["diagnosis"].alias("diagnosis"),
+                    p["root_cause"].alias("root_cause"), p["total"].alias("total"))

@@ -184,3 +184,54 @@ def network_snapshot_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
            .when(F.col("r_regionkey") == 4, F.format_string('[{"Containers": {%s}}]', members))
            .otherwise(F.format_string('{"Name": "%s", "Containers": {%s}}', F.col("r_name"), members)))
     return per.select(F.col("r_regionkey").cast("long").alias("seq"), doc.alias("value"))
+
+
+def secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log lines with addresses, mail addresses and credentials, from ``events``."""
+    ev = table(spark, sf_dir, "events")
+    eid, v = F.col("event_id"), F.col("event_id") % 4
+    a = _ip("10.0", "user_id")
+    line = (F.when(v == 0, F.format_string("login u%d from %s mail u%d@example.com ok",
+                                           F.col("user_id"), a, F.col("user_id")))
+            .when(v == 1, F.format_string("GET /%s Authorization: Bearer tk%dZ.x-y/=", F.col("event_type"), eid))
+            .when(v == 2, F.format_string("config API-KEY = s3cr%d end, peer %s", eid, a))
+            .otherwise(F.format_string("plain %s event %d", F.col("event_type"), eid)))
+    return ev.select(eid.alias("seq"), line.alias("value"))
+
+
+def mitigation_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One mitigation per customer, kind by key, with broken variants by key."""
+    from graphwatch.functions import mitigation as M
+
+    cu = table(spark, sf_dir, "customer")
+    ck = F.col("c_custkey")
+    kind = (F.when(ck % 23 == 0, F.lit("unknown")).when(ck % 4 == 0, "iptables")
+            .when(ck % 4 == 1, "docker").when(ck % 4 == 2, "k8s").otherwise("nginx"))
+    base_kind = F.when(ck % 4 == 0, "iptables").when(ck % 4 == 1, "docker") \
+        .when(ck % 4 == 2, "k8s").otherwise("nginx")
+    seg = F.lower(F.col("c_mktsegment"))
+    target = (F.when(ck % 13 == 0, F.lit("<ATTACKER_IP>"))
+              .when(ck % 4 == 0, _ip("10.9", "c_custkey")).when(ck % 4 == 1, F.col("c_name"))
+              .when(ck % 4 == 2, seg).otherwise(F.concat(F.lit("/"), seg)))
+    script = M.render(base_kind, target)
+    script = (F.when(ck % 17 == 0, F.lit("iptables -F"))
+              .when(ck % 19 == 0, F.lit(""))
+              .when(ck % 29 == 0, F.lit("iptables -A INPUT -s 'a b' -j DROP"))
+              .when(ck % 31 == 0, F.concat(script, F.lit("\niptables -A CUSTOM -s 1.2.3.4 -j DROP")))
+              .otherwise(script))
+    kind = F.when(ck % 29 == 0, F.lit("iptables")).otherwise(kind)
+    return cu.select("c_custkey", kind.alias("kind"), script.alias("script"))
+
+
+def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model replies rendered from ``conversations``: fenced JSON, plain text, broken JSON."""
+    cv = table(spark, sf_dir, "conversations")
+    clean = F.substring(F.regexp_replace("text", "[^a-zA-Z ]", ""), 1, 40)
+    obj = F.format_string('{"diagnosis": "%s", "root_cause": "r%d", "confidence": {"total": 0.5}}',
+                          clean, F.col("turn"))
+    v = F.col("conv_id") % 3
+    text = (F.when((v == 0) & (F.col("turn") % 2 == 0), F.concat(F.lit("```json\n"), obj, F.lit("\n```")))
+            .when(v == 0, F.concat(F.lit("  ```\n"), obj, F.lit("\n```  ")))
+            .when(v == 1, F.concat(F.lit("  "), clean, F.lit("  ")))
+            .otherwise(F.concat(F.lit('{"diagnosis": "'), clean)))
+    return cv.select("conv_id", "turn", text.alias("text"))

@@ -55,9 +55,9 @@ def event_log_line(events: DataFrame) -> Column:
     method = F.when(F.col("event_type").isin("purchase", "signup"), "POST").otherwise("GET")
     status = F.when(F.col("event_type") == "error", 500).otherwise(200)
     return F.format_string(
-        '%s - - [%s] "%s /%s/%d HTTP/1.1" %d %d "-" "gw-agent/1.0"',
+        '%s - - [%s] "%s /%s HTTP/1.1" %d %d "-" "gw-agent/1.0"',
         ip, F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss Z"), method, F.col("event_type"),
-        F.col("event_id"), status, (F.col("value") * 100).cast("long"))
+        status, (F.col("value") * 100).cast("long"))
 
 
 def _utc(c: str) -> "Column":
