@@ -381,3 +381,137 @@ def q_parse_responses(spark, sf):
     p = parse_response(F.col("text"))
     return r.select("conv_id", "turn", p["parsed"].alias("parsed"), p["diagnosis"].alias("diagnosis"),
                     p["root_cause"].alias("root_cause"), p["total"].alias("total"))
+
+
+# ---------------------------------------------------------------- window-table outputs, sinks, jobs
+
+from graphwatch import jobs as J  # noqa: E402
+from graphwatch import sinks as K  # noqa: E402
+from graphwatch.functions.diagnosis import build_prompt  # noqa: E402
+from graphwatch.operators import analyze as A  # noqa: E402
+from graphwatch.session import scratch_path  # noqa: E402
+from graphwatch.sources.registry import load_edges  # noqa: E402
+from graphwatch.sources.tables import edges_from_rows, event_log_line  # noqa: E402
+
+
+def _attack(spark, sf):
+    return _windows(spark, sf, "unit", True)
+
+
+@query("running_anomalies")
+def q_running_anomalies(spark, sf):
+    return A.running_anomalies(_attack(spark, sf)).select("window_no", "status", "anomalies_so_far")
+
+
+@query("latest_anomaly")
+def q_latest_anomaly(spark, sf):
+    return J.latest_anomaly(_attack(spark, sf)).select("window_no", r6("lambda2").alias("lambda2"),
+                                                       "mult")
+
+
+@query("snapshot_changes")
+def q_snapshot_changes(spark, sf):
+    return A.snapshot_changes(_attack(spark, sf), ("status", "mult")).select("window_no", "status", "mult")
+
+
+@query("run_summary")
+def q_run_summary(spark, sf):
+    s = A.run_summary(_attack(spark, sf))
+    return s.select("windows", "anomalies", "anomaly", "multiplicity", r6("lambda2").alias("lambda2"),
+                    "note")
+
+
+@query("window_summary")
+def q_window_summary(spark, sf):
+    return A.window_summary(_attack(spark, sf)).select("window", "n", "m", "lambda2", "status")
+
+
+def _attack_result(spark, sf):
+    win = sc.event_windows(spark, sf, 200, "unit", True)
+    adj = G.adjacency(win)
+    from graphwatch.operators.spectrum import spectrum as _spectrum
+    windows = analyze_spectra(_spectrum(adj, pairs_bound=200), warmup=12)
+    from graphwatch.operators.subgraph import anomaly_details
+    details = diagnose(anomaly_details(windows, adj, win))
+    details = M.validate_mitigations(details.withColumn("_k", F.col("diagnosis.mitigation.type"))
+                                     .withColumn("_s", F.col("diagnosis.mitigation.script")), "_k", "_s")
+    return windows, details
+
+
+@query("anomaly_events")
+def q_anomaly_events(spark, sf):
+    _, details = _attack_result(spark, sf)
+    ev = K.anomaly_events(details)
+    return ev.select("anomaly_id", "window_no", "nodes", "validated",
+                     F.col("diagnosis.diagnosis").alias("diagnosis"), "dot", F.size("logs").alias("logs"))
+
+
+@query("stix_bundle")
+def q_stix_bundle(spark, sf):
+    _, details = _attack_result(spark, sf)
+    return K.stix_bundles(K.anomaly_events(details), latest_only=True).select("anomaly_id", "bundle")
+
+
+@query("audit_rows")
+def q_audit_rows(spark, sf):
+    _, details = _attack_result(spark, sf)
+    return K.audit_rows(K.anomaly_events(details)).select("type", "anomaly_id", "window_no", "day")
+
+
+@query("report_lines")
+def q_report_lines(spark, sf):
+    windows, details = _attack_result(spark, sf)
+    return K.run_report(windows, details).select("line_no", "line")
+
+
+@query("anomaly_prompts")
+def q_anomaly_prompts(spark, sf):
+    _, details = _attack_result(spark, sf)
+    return details.select("window_no", build_prompt(F.col("dot"), F.col("redacted_logs"),
+                                                    F.col("votes") / 3.0).alias("prompt"))
+
+
+@query("diagnose_posted_edges")
+def q_diagnose_posted_edges(spark, sf):
+    li = sc.table(spark, sf, "lineitem").select(
+        F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"),
+        F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"),
+        F.col("l_quantity").alias("weight"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"))
+    edges = edges_from_rows(li, order=["ord"], source_id="posted")
+    summary, events, windows = J.diagnose(edges)
+    return windows.select("window", "n", "m", "lambda2", "status")
+
+
+@query("read_edge_csv")
+def q_read_edge_csv(spark, sf):
+    path = scratch_path(spark, "csv")
+    cu = sc.table(spark, sf, "customer")
+    (cu.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("src"),
+               F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("dst"),
+               F.col("c_acctbal").alias("weight"))
+     .write.option("header", True).csv(path))
+    e = S.read_edge_csv(spark, path)
+    return e.select("src", "dst", r6("weight").alias("weight"))
+
+
+@query("load_edges_multi")
+def q_load_edges_multi(spark, sf):
+    ev = sc.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    grp = F.col("event_type").isin("view", "click")
+    dirs = []
+    for i, cond in enumerate((grp, ~grp)):
+        d = scratch_path(spark, f"logs{i}")
+        (ev.filter(cond).repartitionByRange(4, "ts", "event_id").sortWithinPartitions("ts", "event_id")
+         .select(event_log_line(ev).alias("value")).write.text(d))
+        dirs.append(d)
+    edges = load_edges(spark, ["nginx:" + dirs[0], dirs[1]])
+    w = count_windows(edges, 200)
+    return w.select("rank", "window_no", "src", "dst", "timestamp")
+
+
+@query("read_packet_capture")
+def q_read_packet_capture(spark, sf):
+    path = sc.write_captures(spark, sf)
+    e = S.read_packet_capture(spark, path)
+    return e.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("packets"))

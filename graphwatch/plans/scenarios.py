@@ -235,3 +235,50 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(v == 1, F.concat(F.lit("  "), clean, F.lit("  ")))
             .otherwise(F.concat(F.lit('{"diagnosis": "'), clean)))
     return cv.select("conv_id", "turn", text.alias("text"))
+
+
+def _capture_writer(out_dir: str):
+    import os
+    import struct
+
+    import pandas as pd
+
+    def ip_bytes(a: int, key: int) -> bytes:
+        return bytes([10, a, (key // 256) % 256, key % 256])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["l_orderkey", "l_linenumber"])
+        grp = int(pdf["grp"].iloc[0])
+        order = ">" if grp == 7 else "<"
+        parts = [struct.pack(order + "IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)]
+        for ok, ln, pk, skey in zip(pdf["l_orderkey"], pdf["l_linenumber"], pdf["l_partkey"],
+                                    pdf["l_suppkey"]):
+            ethertype = 0x0806 if ln == 3 else 0x0800
+            ip = (bytes([0x45, 0]) + struct.pack("!HHHBBH", 40, int(ok) % 65536, 0, 64, 6, 0)
+                  + ip_bytes(1, int(pk)) + ip_bytes(2, int(skey)))
+            frame = b"\x02" * 6 + b"\x04" * 6 + struct.pack("!H", ethertype) + ip + b"\x00" * 20
+            if ln == 4:
+                frame = frame[:20]
+            parts.append(struct.pack(order + "IIII", int(ok), 0, len(frame), len(frame)) + frame)
+        os.makedirs(out_dir, exist_ok=True)
+        target = os.path.join(out_dir, f"capture-{grp:02d}.pcap")
+        with open(target, "wb") as fh:
+            fh.write(b"".join(parts))
+        return pd.DataFrame({"grp": [grp], "packets": [len(pdf)]})
+    return run
+
+
+def write_captures(spark: SparkSession, sf_dir: str, files: int = 8) -> str:
+    """Write classic capture files built from ``lineitem`` (one packet per line item,
+    ARP frames for line 3, truncated frames for line 4, file 7 big-endian); returns
+    the folder. Test-fixture writer: it needs a POSIX path visible to executors."""
+    from graphwatch.session import scratch_path, ship_package
+
+    ship_package(spark)
+    out = scratch_path(spark, "pcap")
+    local = out[5:] if out.startswith("file:") else out
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        (F.col("l_orderkey") % files).alias("grp"))
+    li.groupBy("grp").applyInPandas(_capture_writer(local), "grp long, packets long").count()
+    return out
