@@ -1,10 +1,206 @@
-"""Spectrum of windows too large for one task (placeholder until the distributed solver lands)."""
+"""Spectral summary of windows too large for one task.
+
+Same definition as ``operators.spectrum`` (the union of component spectra,
+canonical null space, cut repeated groups dropped), computed without ever
+holding a whole window in one task:
+
+1. connected components of every large window by distributed label
+   propagation (``graph.propagate_components``);
+2. every component is one group of a grouped Arrow function, solved densely;
+   it emits one row per node with the component's ``k+1`` smallest non-zero
+   eigenvalues and the node's entries of their eigenvectors;
+3. the window summary is assembled with DataFrame aggregations: the k
+   smallest values of the union, null-space coordinates from component
+   volumes (``sqrt(d_i/vol_c)·Q_c`` with ``Q`` an orthonormal basis of the
+   complement of ``(sqrt(vol_c/vol))_c``), centroid distances in long form
+   (a node has a coordinate only in its own component's columns), outliers,
+   Fiedler scores, and the top-k subgraph ranking.
+
+A component above ``max_component_nodes`` would need a distributed
+eigensolver; it is reported with an error instead of being forced into
+one task.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from graphwatch.operators.graph import propagate_components
+from graphwatch.operators.spectrum import (GROUP_TOL, K_MAX, SCORE_DECIMALS, SIGMA, STD_FLOOR,
+                                           TOP_K, ZERO_EPS)
+from graphwatch.schema import SPECTRUM_SCHEMA
+from graphwatch.session import ship_package
+
+KEY = ["source_id", "window_no"]
+MAX_COMPONENT_NODES = 6000
+
+_NODE_SCHEMA = T.StructType([
+    T.StructField("source_id", T.StringType()), T.StructField("window_no", T.LongType()),
+    T.StructField("component", T.StringType()), T.StructField("node", T.StringType()),
+    T.StructField("degree", T.DoubleType()), T.StructField("vals", T.ArrayType(T.DoubleType())),
+    T.StructField("vec", T.ArrayType(T.DoubleType())),
+    T.StructField("g1", T.DoubleType()),
+])
+
+
+def _component_fn(keep: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = np.unique(np.concatenate([pdf["src"].to_numpy(object), pdf["dst"].to_numpy(object)]))
+        n = len(names)
+        if n > MAX_COMPONENT_NODES:
+            raise RuntimeError(f"component with {n} nodes exceeds {MAX_COMPONENT_NODES}; "
+                               "needs the distributed eigensolver")
+        i = np.searchsorted(names, pdf["src"].to_numpy(object))
+        j = np.searchsorted(names, pdf["dst"].to_numpy(object))
+        A = np.zeros((n, n))
+        np.add.at(A, (i, j), pdf["weight"].to_numpy(float))
+        W = (A + A.T) * 0.5
+        np.fill_diagonal(W, 0.0)
+        deg = W.sum(axis=1)
+        if n >= 2 and np.all(deg > 0):
+            inv = 1.0 / np.sqrt(deg)
+            lap = np.eye(n) - W * inv[:, None] * inv[None, :]
+            vals, vecs = np.linalg.eigh((lap + lap.T) * 0.5)
+            first = vals[1]
+            grp = np.abs(vals[1:] - first) <= GROUP_TOL * np.maximum(1.0, np.maximum(np.abs(vals[1:]), abs(first)))
+            g1 = np.sqrt(np.sum(vecs[:, 1:][:, grp] ** 2, axis=1))
+            vals, vecs = vals[1:keep + 1], vecs[:, 1:keep + 1]
+        else:
+            vals, vecs, g1 = np.zeros(0), np.zeros((n, 0)), np.zeros(n)
+        return pd.DataFrame({
+            "source_id": pdf["source_id"].iloc[0], "window_no": int(pdf["window_no"].iloc[0]),
+            "component": pdf["component"].iloc[0], "node": names, "degree": deg,
+            "vals": [list(map(float, vals))] * n, "vec": [list(map(float, r)) for r in vecs],
+            "g1": g1.astype(float)})
+    return run
+
+
+def _null_basis_fn(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Per window (z <= k components): rows of an orthonormal basis of a^⊥, a_c = sqrt(vol_c/vol)."""
+    pdf = pdf.sort_values("component")
+    z = len(pdf)
+    vol = pdf["vol"].to_numpy(float)
+    a = np.sqrt(vol / vol.sum()) if vol.sum() > 0 else np.zeros(z)
+    P = np.eye(z) - np.outer(a, a)
+    left, sing, _ = np.linalg.svd(P)
+    Q = left[:, sing > 1e-8]
+    return pd.DataFrame({"source_id": pdf["source_id"].to_numpy(), "window_no": pdf["window_no"].to_numpy(),
+                         "component": pdf["component"].to_numpy(),
+                         "q": [list(map(float, r)) for r in Q]})
 
 
-def large_window_spectrum(adj: DataFrame, k_max: int = 8, sigma: float = 3.0,
-                          top_k: int = 8) -> DataFrame:
-    raise NotImplementedError("windows above max_local pairs need the distributed solver")
+def large_window_spectrum(adj: DataFrame, k_max: int = K_MAX, sigma: float = SIGMA,
+                          top_k: int = TOP_K) -> DataFrame:
+    """Spectral summary rows (``SPECTRUM_SCHEMA``) for the windows in ``adj``."""
+    spark = adj.sparkSession
+    ship_package(spark)
+    adj = adj.checkpoint(eager=True)
+    comps = propagate_components(adj, KEY)
+    sizes = adj.groupBy(*KEY).agg(F.count(F.lit(1)).alias("pairs"),
+                                  (F.sum("cnt") if "cnt" in adj.columns else F.count(F.lit(1))).alias("m"))
+    # ---- per component: dense solve, one row per node
+    with_comp = adj.join(comps.withColumnRenamed("node", "src"), [*KEY, "src"])
+    nodes = (with_comp.select(*KEY, "component", "src", "dst", "weight")
+             .groupBy(*KEY, "component").applyInPandas(_component_fn(k_max + 1), _NODE_SCHEMA)
+             .checkpoint(eager=True))
+    comp = (nodes.groupBy(*KEY, "component")
+            .agg(F.count(F.lit(1)).alias("n_c"), F.sum("degree").alias("vol"),
+                 F.first("vals").alias("vals")))
+    win = (comp.groupBy(*KEY).agg(F.sum("n_c").cast("int").alias("n"),
+                                  F.count(F.lit(1)).cast("int").alias("z"),
+                                  F.sum("vol").alias("vol_all"))
+           .withColumn("k", F.greatest(F.lit(1), F.least(F.lit(k_max), F.col("n") - 1)))
+           .join(sizes, KEY))
+    # ---- the low non-zero spectrum of the union
+    nz = (comp.select(*KEY, "component", F.posexplode("vals").alias("idx", "val"))
+          .join(win.select(*KEY, "k", "z"), KEY))
+    by_val = Window.partitionBy(*KEY).orderBy("val", "component", "idx")
+    nz = nz.withColumn("rk", F.row_number().over(by_val)).filter(F.col("rk") <= F.col("k") + 1)
+    nz = nz.checkpoint(eager=True)
+    low = (nz.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("rk", "val"))).alias("_v"))
+           .select(*KEY, F.transform("_v", lambda s: s["val"]).alias("nz_vals")))
+    win = win.join(low, KEY, "left").withColumn(
+        "nz_vals", F.coalesce("nz_vals", F.array().cast("array<double>")))
+    all_vals = F.concat(F.array_repeat(F.lit(0.0), F.col("z")), F.col("nz_vals"))
+    eig = F.transform(F.slice(all_vals, 1, F.col("k")),
+                      lambda x: F.least(F.lit(2.0), F.greatest(F.lit(0.0), x)))
+    take = F.col("k") - F.col("z")
+    v_last = F.element_at("nz_vals", F.greatest(take, F.lit(1)))
+    v_next = F.element_at("nz_vals", take + 1)
+    same = F.abs(v_last - v_next) <= F.lit(GROUP_TOL) * F.greatest(F.lit(1.0), F.abs(v_last),
+                                                                   F.abs(v_next))
+    cut_nz = (take > 0) & (F.size("nz_vals") > take) & F.coalesce(same, F.lit(False))
+    win = (win.withColumn("eigenvalues", eig)
+           .withColumn("lambda2", F.coalesce(F.element_at("eigenvalues", 2), F.lit(0.0)))
+           .withColumn("mult", F.size(F.filter("eigenvalues", lambda x: x < F.lit(ZERO_EPS))))
+           .withColumn("cut_val", F.when(cut_nz, v_last))
+           .withColumn("null_ok", (F.col("z") <= F.col("k")) & (F.col("vol_all") > 0))
+           .withColumn("degenerate", (F.col("z") > F.col("k")) & (F.col("z") > 1) | cut_nz)
+           .checkpoint(eager=True))
+    # ---- embedding coordinates in long form: (key, node, dim, x)
+    chosen = (nz.join(win.select(*KEY, "cut_val", "null_ok"), KEY)
+              .filter(F.col("null_ok") & (F.col("rk") <= F.col("k") - F.col("z")))
+              .filter(F.col("cut_val").isNull()
+                      | (F.abs(F.col("val") - F.col("cut_val"))
+                         > F.lit(GROUP_TOL) * F.greatest(F.lit(1.0), F.abs("val"), F.abs("cut_val")))))
+    ev_coords = (nodes.join(chosen.select(*KEY, "component", "idx", "rk"), [*KEY, "component"])
+                 .select(*KEY, "node", F.concat(F.lit("e"), F.col("rk").cast("string")).alias("dim"),
+                         F.element_at("vec", F.col("idx") + 1).alias("x")))
+    multi = win.filter(F.col("null_ok") & (F.col("z") >= 2)).select(*KEY)
+    qrows = (comp.join(multi, KEY, "left_semi").select(*KEY, "component", "vol")
+             .groupBy(*KEY).applyInPandas(
+                 _null_basis_fn, "source_id string, window_no long, component string, q array<double>"))
+    null_coords = (nodes.join(qrows, [*KEY, "component"]).join(comp.select(*KEY, "component", "vol"),
+                                                               [*KEY, "component"])
+                   .select(*KEY, "node", F.posexplode("q").alias("_j", "_q"),
+                           F.sqrt(F.col("degree") / F.col("vol")).alias("_u"))
+                   .select(*KEY, "node", F.concat(F.lit("z"), F.col("_j").cast("string")).alias("dim"),
+                           (F.col("_u") * F.col("_q")).alias("x")))
+    coords = ev_coords.unionByName(null_coords).checkpoint(eager=True)
+    n_of = win.select(*KEY, "n")
+    mu = coords.groupBy(*KEY, "dim").agg(F.sum("x").alias("_sx")).join(n_of, KEY) \
+        .withColumn("mu", F.col("_sx") / F.col("n"))
+    s_all = mu.groupBy(*KEY).agg(F.sum(F.col("mu") ** 2).alias("S"), F.count(F.lit(1)).alias("dims"))
+    part = (coords.join(mu.select(*KEY, "dim", "mu"), [*KEY, "dim"])
+            .groupBy(*KEY, "node").agg(F.sum(F.col("x") ** 2 - 2 * F.col("x") * F.col("mu")).alias("_p")))
+    dist = (nodes.select(*KEY, "node", "component", "degree").join(part, [*KEY, "node"], "left")
+            .join(s_all, KEY, "left")
+            .withColumn("d", F.sqrt(F.greatest(F.lit(0.0), F.coalesce("S", F.lit(0.0))
+                                               + F.coalesce("_p", F.lit(0.0))))))
+    stats = dist.groupBy(*KEY).agg(F.avg("d").alias("_m"),
+                                   F.greatest(F.stddev_pop("d"), F.lit(STD_FLOOR)).alias("_sd"))
+    dist = dist.join(stats, KEY).withColumn(
+        "is_out", F.coalesce(F.col("dims"), F.lit(0)) > 0).withColumn(
+        "is_out", F.col("is_out") & (F.col("d") > F.col("_m") + F.lit(sigma) * F.col("_sd")))
+    # ---- Fiedler score
+    # connected window: norm of the node's row over the whole lowest non-zero eigenspace
+    conn_score = (nodes.join(win.filter(F.col("z") == 1).select(*KEY), KEY, "left_semi")
+                  .select(*KEY, "node", F.col("g1").alias("score")))
+    pick_w = Window.partitionBy(*KEY).orderBy("vol", "component")
+    picked = (comp.join(win.filter(F.col("z") > 1).select(*KEY), KEY, "left_semi")
+              .withColumn("_r", F.row_number().over(pick_w)).filter(F.col("_r") == 1)
+              .select(*KEY, "component", F.col("vol").alias("_pv")))
+    disc_score = nodes.join(picked, [*KEY, "component"]).select(
+        *KEY, "node", F.when(F.col("_pv") > 0, F.sqrt(F.col("degree") / F.col("_pv")))
+        .otherwise(F.lit(1.0)).alias("score"))
+    scores = conn_score.unionByName(disc_score)
+    ranked = (dist.join(scores, [*KEY, "node"], "left")
+              .withColumn("score", F.coalesce("score", F.lit(0.0))))
+    order = Window.partitionBy(*KEY).orderBy(
+        F.when(F.col("is_out"), 0).otherwise(1), F.when(F.col("is_out"), F.col("node")),
+        F.desc(F.round("score", SCORE_DECIMALS)), "node")
+    top = ranked.withColumn("_pos", F.row_number().over(order)).filter(F.col("_pos") <= top_k)
+    subs = top.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("_pos", "node"))).alias("_s"))
+    outs = dist.filter("is_out").groupBy(*KEY).agg(F.array_sort(F.collect_list("node")).alias("outliers"))
+    return (win.join(subs, KEY, "left").join(outs, KEY, "left").join(s_all.select(*KEY, "dims"), KEY, "left")
+            .select(*KEY, "n", F.col("m").cast("long").alias("m"), F.col("pairs").cast("long").alias("pairs"),
+                    F.col("z").alias("components"), "eigenvalues", "lambda2", F.col("mult").cast("int").alias("mult"),
+                    F.coalesce("dims", F.lit(0)).cast("int").alias("embed_dims"), "degenerate",
+                    F.coalesce("outliers", F.array().cast("array<string>")).alias("outliers"),
+                    F.coalesce(F.transform("_s", lambda s: s["node"]), F.array().cast("array<string>"))
+                    .alias("sub_nodes"))
+            .select(*SPECTRUM_SCHEMA.fieldNames()))
