@@ -515,3 +515,36 @@ def q_read_packet_capture(spark, sf):
     path = sc.write_captures(spark, sf)
     e = S.read_packet_capture(spark, path)
     return e.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("packets"))
+
+
+# ---------------------------------------------------------------- streaming
+
+def _write_rolled_logs(spark, sf, files=8):
+    """Access-log text of ``events`` as rolled files (name order = time order)."""
+    ev = sc.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    d = scratch_path(spark, "rolled")
+    (ev.repartitionByRange(files, "ts", "event_id").sortWithinPartitions("ts", "event_id")
+     .select(event_log_line(ev).alias("value")).write.text(d))
+    return d
+
+
+@query("stream_windows")
+def q_stream_windows(spark, sf):
+    from graphwatch.streaming.live import run_stream
+    folder = _write_rolled_logs(spark, sf)
+    out = scratch_path(spark, "live")
+    q = run_stream(spark, folder, out, window_size=200, warmup=12)
+    q.awaitTermination()
+    w = spark.read.parquet(f"{out}/windows")
+    return w.select("window_no", "n", "m", r6("lambda2").alias("lambda2"))
+
+
+@query("stream_event_time")
+def q_stream_event_time(spark, sf):
+    from graphwatch.streaming.live import run_event_time_stream
+    folder = _write_rolled_logs(spark, sf)
+    out = scratch_path(spark, "live-et")
+    q = run_event_time_stream(spark, folder, out, seconds=3600, lateness="0 seconds")
+    q.awaitTermination()
+    s = spark.read.parquet(f"{out}/spectra")
+    return s.select("window_no", "n", "m")
