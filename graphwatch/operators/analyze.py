@@ -56,10 +56,23 @@ WINDOW_COLUMNS = ["source_id", "window_no", "n", "m", "lambda2", "mult", "eigenv
                   "votes", "outliers", "sub_nodes", "components", "degenerate", "embed_dims"]
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint (folder from ``spark.checkpoint.dir``).
+
+    Used on the spectra table before it feeds several plan branches, so the
+    grouped eigen step runs once and a lost executor does not recompute it.
+    """
+    from graphwatch.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def analyze_spectra(spec: DataFrame, warmup: int = bl.DEFAULT_WARMUP,
                     delta: float = DEFAULT_DELTA, adaptive: bool = False,
                     alpha: float = bl.DEFAULT_ALPHA, partitions: int | None = None) -> DataFrame:
     """Window table from per-window spectra (one row per window)."""
+    spec = materialize(spec)
     based = with_baseline(spec, warmup, adaptive, alpha, partitions)
     return classify(based, warmup, delta).select(*WINDOW_COLUMNS)
 
@@ -68,7 +81,7 @@ def window_spectra(edges: DataFrame, window_size: int = DEFAULT_WINDOW,
                    partitions: int | None = None, max_local: int = 4000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(windowed edges, adjacency, spectra)`` for count windows of ``window_size`` edges."""
     windowed = count_windows(edges, window_size, partitions=partitions)
-    adj = adjacency(windowed)
+    adj = adjacency(windowed, colocate=True)
     spec = spectrum(adj, pairs_bound=window_size, max_local=max_local)
     return windowed, adj, spec
 
@@ -91,7 +104,7 @@ def calibrate(spec: DataFrame, deltas: Sequence[float] = CALIBRATION_DELTAS,
     so tiny windows' 0.0 stays in the range. ``recommended`` is the smallest
     δ with no anomaly (null when every δ flags something).
     """
-    based = with_baseline(spec, warmup)
+    based = with_baseline(materialize(spec), warmup)
     spark = spec.sparkSession
     dl = spark.createDataFrame([(float(d),) for d in deltas], "delta double")
     crossed = based.crossJoin(F.broadcast(dl))

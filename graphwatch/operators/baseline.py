@@ -40,13 +40,31 @@ def _chunk_size(alpha: float) -> int:
     return max(1, int(600.0 / -math.log(q)))
 
 
+RANK_BUCKET = 4096       # windows per bucket of the two-level position count
+
+
 def rank_windows(windows: DataFrame, key: str = "source_id",
                  partitions: int | None = None) -> DataFrame:
-    """Add ``r``: 0-based position among the stream's non-tiny windows (null for tiny ones)."""
-    tiny = windows.filter(F.col("n") < TINY_NODES).withColumn("r", F.lit(None).cast("long"))
-    kept = sequence_rank(windows.filter(F.col("n") >= TINY_NODES), order=["window_no"],
-                         key=key, partitions=partitions, rank_col="r")
-    return kept.unionByName(tiny)
+    """Add ``r``: 0-based position among the stream's non-tiny windows (null for tiny ones).
+
+    ``window_no`` is an integer, so positions come from a deterministic
+    two-level count: non-tiny windows per bucket of 4096 numbers, a prefix
+    sum over the (small) bucket table, plus a running count inside the
+    bucket. No global sort, no sampling, no materialization.
+    """
+    keep = (F.col("n") >= TINY_NODES).cast("long")
+    w = (windows.withColumn("_gw_b", F.floor(F.col("window_no") / RANK_BUCKET).cast("long"))
+         .withColumn("_gw_keep", keep))
+    per_b = w.groupBy(key, "_gw_b").agg(F.sum("_gw_keep").alias("_gw_cnt"))
+    before_b = Window.partitionBy(key).orderBy("_gw_b").rowsBetween(Window.unboundedPreceding, -1)
+    off = per_b.select(key, "_gw_b", F.coalesce(F.sum("_gw_cnt").over(before_b), F.lit(0))
+                       .alias("_gw_off"))
+    inside = Window.partitionBy(key, "_gw_b").orderBy("window_no").rowsBetween(
+        Window.unboundedPreceding, -1)
+    r = F.col("_gw_off") + F.coalesce(F.sum("_gw_keep").over(inside), F.lit(0))
+    return (w.join(off, [key, "_gw_b"])
+            .withColumn("r", F.when(F.col("_gw_keep") == 1, r).cast("long"))
+            .drop("_gw_b", "_gw_keep", "_gw_off"))
 
 
 def fixed_baseline(ranked: DataFrame, warmup: int = DEFAULT_WARMUP,

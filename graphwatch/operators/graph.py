@@ -15,13 +15,18 @@ from pyspark.sql import functions as F
 WINDOW_KEY = ["source_id", "window_no"]
 
 
-def adjacency(windowed: DataFrame, key: Sequence[str] = WINDOW_KEY) -> DataFrame:
+def adjacency(windowed: DataFrame, key: Sequence[str] = WINDOW_KEY,
+              colocate: bool = False) -> DataFrame:
     """Directed weighted adjacency: parallel edges of a window summed.
 
     Output ``(*key, src, dst, weight, cnt)``. Spark aggregates partially
     before the shuffle, so repeated pairs cost one shuffled row per task.
+    ``colocate=True`` hash-partitions by the window key first: the pair
+    aggregation and any later per-window grouping (the spectrum) then share
+    that one exchange instead of shuffling twice.
     """
-    return (windowed.groupBy(*key, "src", "dst")
+    src = windowed.repartition(*key) if colocate else windowed
+    return (src.groupBy(*key, "src", "dst")
             .agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("cnt")))
 
 

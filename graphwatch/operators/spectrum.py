@@ -51,23 +51,25 @@ SCORE_DECIMALS = 9   # Fiedler scores are compared after rounding
 
 
 def _component_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Union-find over undirected edges; the root of a component is its smallest index."""
-    parent = np.arange(n)
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in zip(i.tolist(), j.tolist()):
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            if ra < rb:
-                parent[rb] = ra
-            else:
-                parent[ra] = rb
-    return np.array([find(x) for x in range(n)], dtype=np.int64)
+    """Connected components by vectorized min-label propagation with pointer jumping;
+    the label of a component is its smallest index."""
+    labels = np.arange(n)
+    if len(i) == 0:
+        return labels
+    while True:
+        m = np.minimum(labels[i], labels[j])
+        new = labels.copy()
+        np.minimum.at(new, i, m)
+        np.minimum.at(new, j, m)
+        new = new[new]
+        while True:
+            jumped = new[new]
+            if np.array_equal(jumped, new):
+                break
+            new = jumped
+        if np.array_equal(new, labels):
+            return labels
+        labels = new
 
 
 def _same(a: float, b: float) -> bool:
@@ -87,37 +89,48 @@ def graph_spectrum(node_ids: Sequence[str], weights: np.ndarray, k_max: int = K_
     k = max(1, min(k_max, n - 1))
     ii, jj = np.nonzero(np.triu(W, 1))
     roots = _component_roots(n, ii, jj)
-    comp_roots = np.unique(roots)            # ascending: ordered by smallest member
+    comp_roots, comp_of = np.unique(roots, return_inverse=True)   # ordered by smallest member
     z = len(comp_roots)
     sqrt_d = np.sqrt(np.clip(deg, 0.0, None))
-
-    null_vecs = []                           # canonical null space, one per component
-    nonzero = []                             # (value, vector) of non-zero eigenpairs
-    comp_volume = []
-    for r in comp_roots:
-        members = np.flatnonzero(roots == r)
-        vol = float(deg[members].sum())
-        comp_volume.append(vol)
-        u = np.zeros(n)
-        if vol > 0:
-            u[members] = sqrt_d[members]
-            u /= np.linalg.norm(u)
-        else:
-            u[members[0]] = 1.0
-        null_vecs.append(u)
+    comp_volume = np.bincount(comp_of, weights=deg, minlength=z)
+
+    # canonical null space: one D^1/2·1 vector per component (unit vector when isolated)
+    null_mat = np.zeros((n, z))
+    null_mat[np.arange(n), comp_of] = sqrt_d
+    for c in np.flatnonzero(comp_volume <= 0):
+        members = np.flatnonzero(comp_of == c)
+        null_mat[members, c] = 0.0
+        null_mat[members[0], c] = 1.0
+    null_mat /= np.linalg.norm(null_mat, axis=0, keepdims=True)
+
+    # non-zero eigenpairs per component, kept as (values, members, vectors)
+    blocks = []
+    for c in range(z):
+        members = np.flatnonzero(comp_of == c)
         if len(members) < 2:
             continue
         inv = 1.0 / sqrt_d[members]
-        sub = W[np.ix_(members, members)] * inv[:, None] * inv[None, :]
-        lap = np.eye(len(members)) - sub
+        lap = np.eye(len(members)) - W[np.ix_(members, members)] * inv[:, None] * inv[None, :]
         vals, vecs = np.linalg.eigh((lap + lap.T) * 0.5)
-        for c in range(1, len(members)):     # column 0 is the component's zero
-            v = np.zeros(n)
-            v[members] = vecs[:, c]
-            nonzero.append((float(vals[c]), v))
-    nonzero.sort(key=lambda p: p[0])
-    spectrum_all = [0.0] * z + [v for v, _ in nonzero]
-    eigenvalues = [min(CLIP_HI, max(CLIP_LO, x)) for x in spectrum_all[:k]]
+        blocks.append((vals[1:], members, vecs[:, 1:]))   # column 0 is the component's zero
+    if blocks:
+        nz_vals = np.concatenate([b[0] for b in blocks])
+        nz_block = np.concatenate([np.full(len(b[0]), t) for t, b in enumerate(blocks)])
+        nz_col = np.concatenate([np.arange(len(b[0])) for b in blocks])
+        order = np.argsort(nz_vals, kind="stable")
+        nz_vals, nz_block, nz_col = nz_vals[order], nz_block[order], nz_col[order]
+    else:
+        nz_vals = np.zeros(0)
+        nz_block = nz_col = np.zeros(0, dtype=int)
+
+    def vector(t: int) -> np.ndarray:
+        v = np.zeros(n)
+        vals, members, vecs = blocks[nz_block[t]]
+        v[members] = vecs[:, nz_col[t]]
+        return v
+
+    spectrum_all = np.concatenate([np.zeros(z), nz_vals])
+    eigenvalues = [float(x) for x in np.clip(spectrum_all[:k], CLIP_LO, CLIP_HI)]
     lambda2 = float(eigenvalues[1]) if len(eigenvalues) > 1 else 0.0
     mult = int(sum(1 for x in eigenvalues if x < ZERO_EPS))
 
@@ -131,18 +144,17 @@ def graph_spectrum(node_ids: Sequence[str], weights: np.ndarray, k_max: int = K_
     else:
         g /= g_norm
         if z >= 2:
-            U = np.column_stack(null_vecs)
-            U = U - np.outer(g, g @ U)
+            U = null_mat - np.outer(g, g @ null_mat)
             left, sing, _ = np.linalg.svd(U, full_matrices=False)
             columns.extend(left[:, s] for s in range(len(sing)) if sing[s] > 1e-8)
         take = k - z
         if take > 0:
-            chosen = nonzero[:take]
-            if len(nonzero) > take and _same(nonzero[take - 1][0], nonzero[take][0]):
-                cut = nonzero[take - 1][0]
-                chosen = [p for p in chosen if not _same(p[0], cut)]
+            chosen = list(range(min(take, len(nz_vals))))
+            if len(nz_vals) > take and _same(nz_vals[take - 1], nz_vals[take]):
+                cut = nz_vals[take - 1]
+                chosen = [t for t in chosen if not _same(nz_vals[t], cut)]
                 degenerate = True
-            columns.extend(v for _, v in chosen)
+            columns.extend(vector(t) for t in chosen)
     dims = len(columns)
 
     outliers: list[str] = []
@@ -153,21 +165,25 @@ def graph_spectrum(node_ids: Sequence[str], weights: np.ndarray, k_max: int = K_
         outliers = [node_ids[t] for t in np.flatnonzero(dist > mu + sigma * sd)]
 
     # ---- Fiedler score per node ----
-    if z == 1 and nonzero:
-        first = nonzero[0][0]
-        group = [v for val, v in nonzero if _same(val, first)]
-        score = np.sqrt(np.sum(np.column_stack(group) ** 2, axis=1))
+    if z == 1 and len(nz_vals):
+        first = nz_vals[0]
+        close = np.abs(nz_vals - first) <= GROUP_TOL * np.maximum(1.0, np.maximum(np.abs(nz_vals), abs(first)))
+        group = np.flatnonzero(close).tolist()
+        score = np.sqrt(np.sum(np.column_stack([vector(t) for t in group]) ** 2, axis=1))
     else:
         pick = min(range(z), key=lambda c: (comp_volume[c], comp_roots[c]))
-        score = np.abs(null_vecs[pick])
+        score = np.abs(null_mat[:, pick])
     rounded = np.round(score, SCORE_DECIMALS)
-    ranked = sorted(range(n), key=lambda t: (-rounded[t], t))
-    sub_nodes: list[str] = []
-    for name in outliers + [node_ids[t] for t in ranked]:
-        if name not in sub_nodes:
-            sub_nodes.append(name)
+    ranked = np.lexsort((np.arange(n), -rounded))
+    sub_nodes: list[str] = list(outliers[:top_k])
+    seen = set(sub_nodes)
+    for t in ranked:
         if len(sub_nodes) >= top_k:
             break
+        name = node_ids[t]
+        if name not in seen:
+            sub_nodes.append(name)
+            seen.add(name)
     return {"n": n, "components": z, "eigenvalues": eigenvalues, "lambda2": lambda2,
             "mult": mult, "embed_dims": dims, "degenerate": bool(degenerate),
             "outliers": outliers, "sub_nodes": sub_nodes}

@@ -58,7 +58,7 @@ def event_windows(spark: SparkSession, sf_dir: str, window_size: int = 200,
 def event_spectra(spark: SparkSession, sf_dir: str, window_size: int = 200,
                   weight: str = "value", beacon: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     win = event_windows(spark, sf_dir, window_size, weight, beacon)
-    adj = adjacency(win)
+    adj = adjacency(win, colocate=True)
     return win, adj, spectrum(adj, pairs_bound=window_size)
 
 

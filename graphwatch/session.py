@@ -23,6 +23,10 @@ DEFAULT_CONF = {
     # Python's json keeps the last of duplicate keys; variant parsing must too.
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.ui.enabled": "false",
+    # one BLAS thread per Python worker: tasks already run in parallel
+    "spark.executorEnv.OPENBLAS_NUM_THREADS": "1",
+    "spark.executorEnv.OMP_NUM_THREADS": "1",
+    "spark.executorEnv.MKL_NUM_THREADS": "1",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.showConsoleProgress": "false",
 }
