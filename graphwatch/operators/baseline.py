@@ -8,8 +8,8 @@ seeded with the first value; detection compares against the value
 *before* a window's update, the window record reports the value *after*.
 The multiplicity baseline is the EMA rounded half-to-even.
 
-Window positions come from the two-level ``sequence_rank`` (no global
-sort in one task). The EMA is a linear recurrence; it is evaluated in
+Window positions come from a two-level count over the integer window
+number (no global sort in one task). The EMA is a linear recurrence; it is evaluated in
 chunks of ``C`` windows with a closed form
 ``e_i = q^(i+1)·e_in + q^i·Σ_{j<=i} α·x_j·q^(-j)`` (``q = 1-α``) as a
 running window sum, and each chunk's entry value comes from the two
@@ -87,58 +87,73 @@ def apply_fixed(ranked: DataFrame, warmup: int = DEFAULT_WARMUP,
             .withColumnRenamed("base_mult", "baseline_mult"))
 
 
-def ema_columns(ranked: DataFrame, value: str, alpha: float = DEFAULT_ALPHA,
-                key: str = "source_id", prefix: str = "ema") -> DataFrame:
-    """Add ``{prefix}_before`` / ``{prefix}_after`` EMA of ``value`` over rows ordered by ``r``.
+def ema_columns(ranked: DataFrame, values: str | list[str], alpha: float = DEFAULT_ALPHA,
+                key: str = "source_id", prefixes: str | list[str] = "ema",
+                chunk: int | None = None) -> DataFrame:
+    """Add ``{prefix}_before`` / ``{prefix}_after`` EMA of each value over rows ordered by ``r``.
 
-    Rows with null ``r`` are passed through with null EMA columns.
+    Several value columns share one pass (one running window, one chunk
+    table). Rows with null ``r`` are passed through with null EMA columns.
     """
+    vals = [values] if isinstance(values, str) else list(values)
+    pres = [prefixes] if isinstance(prefixes, str) else list(prefixes)
     q = 1.0 - alpha
-    size = _chunk_size(alpha)
+    size = chunk or _chunk_size(alpha)
     rows = ranked.filter(F.col("r").isNotNull())
     rest = ranked.filter(F.col("r").isNull())
-    x = F.col(value).cast("double")
-    chunk = F.floor(F.col("r") / size).cast("long")
-    local = F.col("r") - F.col("_c") * size
-    rows = (rows.withColumn("_c", chunk).withColumn("_i", local)
-            .withColumn("_term", F.lit(alpha) * x * F.pow(F.lit(q), -F.col("_i"))))
+    rows = (rows.withColumn("_c", F.floor(F.col("r") / size).cast("long"))
+            .withColumn("_i", F.col("r") - F.col("_c") * size))
     running = Window.partitionBy(key, "_c").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_s", F.sum("_term").over(running))
-    seed = rows.filter(F.col("r") == 0).select(key, x.alias("_x0"))   # one row per stream
-    # Chunk table: len and B = value at the chunk end when entered with 0.
+    for t, v in enumerate(vals):
+        rows = rows.withColumn(f"_term{t}", F.lit(alpha) * F.col(v).cast("double")
+                               * F.pow(F.lit(q), -F.col("_i")))
+        rows = rows.withColumn(f"_s{t}", F.sum(f"_term{t}").over(running))
+    seed = rows.filter(F.col("r") == 0).select(
+        key, *[F.col(v).cast("double").alias(f"_x0{t}") for t, v in enumerate(vals)])  # one row per stream
+    # Chunk table: length and, per value, B = the value at the chunk end when entered with 0.
     chunks = (rows.groupBy(key, "_c")
-              .agg(F.max("_i").alias("_last"), F.max_by("_s", "_i").alias("_s_last"))
+              .agg(F.max("_i").alias("_last"),
+                   *[F.max_by(f"_s{t}", "_i").alias(f"_sl{t}") for t in range(len(vals))])
               .select(key, "_c", (F.col("_last") + 1).alias("_len"),
-                      (F.pow(F.lit(q), F.col("_last")) * F.col("_s_last")).alias("_b")))
+                      *[(F.pow(F.lit(q), F.col("_last")) * F.col(f"_sl{t}")).alias(f"_b{t}")
+                        for t in range(len(vals))]))
     p1 = chunks.select(key, (F.col("_c") + 1).alias("_c"), F.col("_len").alias("_len1"),
-                       F.col("_b").alias("_b1"))
-    p2 = chunks.select(key, (F.col("_c") + 2).alias("_c"), F.col("_b").alias("_b2"))
+                       *[F.col(f"_b{t}").alias(f"_b1_{t}") for t in range(len(vals))])
+    p2 = chunks.select(key, (F.col("_c") + 2).alias("_c"),
+                       *[F.col(f"_b{t}").alias(f"_b2_{t}") for t in range(len(vals))])
     entry = (chunks.select(key, "_c").join(p1, [key, "_c"], "left").join(p2, [key, "_c"], "left")
              .join(F.broadcast(seed), key, "left"))
     qc = F.pow(F.lit(q), F.lit(float(size)))     # every chunk before the last is full
-    e_in = (F.when(F.col("_c") == 0, F.col("_x0"))
-            .when(F.col("_c") == 1, F.col("_b1") + F.pow(F.lit(q), F.col("_len1")) * F.col("_x0"))
-            .when(F.col("_c") == 2, F.col("_b1") + qc * (F.col("_b2") + qc * F.col("_x0")))
-            .otherwise(F.col("_b1") + qc * F.col("_b2")))
-    entry = entry.select(key, "_c", e_in.alias("_e_in"))
+    # (a small test chunk keeps older chunks' weight above double precision; the
+    # default size makes it exactly negligible)
+    e_ins = []
+    for t in range(len(vals)):
+        x0, b1, b2 = F.col(f"_x0{t}"), F.col(f"_b1_{t}"), F.col(f"_b2_{t}")
+        e_ins.append((F.when(F.col("_c") == 0, x0)
+                      .when(F.col("_c") == 1, b1 + F.pow(F.lit(q), F.col("_len1")) * x0)
+                      .when(F.col("_c") == 2, b1 + qc * (b2 + qc * x0))
+                      .otherwise(b1 + qc * b2)).alias(f"_e{t}"))
+    entry = entry.select(key, "_c", *e_ins)
     qi = F.pow(F.lit(q), F.col("_i"))
-    out = (rows.join(entry, [key, "_c"])
-           .withColumn(f"{prefix}_after", qi * F.lit(q) * F.col("_e_in") + qi * F.col("_s"))
-           .withColumn(f"{prefix}_before",
-                       F.when(F.col("_i") == 0, F.col("_e_in"))
-                       .otherwise(qi * F.col("_e_in")
-                                  + F.pow(F.lit(q), F.col("_i") - 1) * (F.col("_s") - F.col("_term"))))
-           .drop("_c", "_i", "_term", "_s", "_e_in"))
-    rest = (rest.withColumn(f"{prefix}_after", F.lit(None).cast("double"))
-            .withColumn(f"{prefix}_before", F.lit(None).cast("double")))
+    out = rows.join(entry, [key, "_c"])
+    drop = ["_c", "_i"]
+    for t, pre in enumerate(pres):
+        e, s_, term = F.col(f"_e{t}"), F.col(f"_s{t}"), F.col(f"_term{t}")
+        out = (out.withColumn(f"{pre}_after", qi * F.lit(q) * e + qi * s_)
+               .withColumn(f"{pre}_before", F.when(F.col("_i") == 0, e).otherwise(
+                   qi * e + F.pow(F.lit(q), F.col("_i") - 1) * (s_ - term))))
+        drop += [f"_term{t}", f"_s{t}", f"_e{t}"]
+    out = out.drop(*drop)
+    for pre in pres:
+        rest = (rest.withColumn(f"{pre}_after", F.lit(None).cast("double"))
+                .withColumn(f"{pre}_before", F.lit(None).cast("double")))
     return out.unionByName(rest)
 
 
 def apply_adaptive(ranked: DataFrame, alpha: float = DEFAULT_ALPHA,
                    key: str = "source_id") -> DataFrame:
     """EMA baselines: compared = before this window's update, reported = after."""
-    out = ema_columns(ranked, "lambda2", alpha, key, "_l2")
-    out = ema_columns(out, "mult", alpha, key, "_mu")
+    out = ema_columns(ranked, ["lambda2", "mult"], alpha, key, ["_l2", "_mu"])
     return (out.withColumn("cmp_lambda2", F.col("_l2_before"))
             .withColumn("cmp_mult", F.bround(F.col("_mu_before"), 0).cast("int"))
             .withColumn("baseline_lambda2", F.col("_l2_after"))

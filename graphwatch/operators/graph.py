@@ -16,16 +16,23 @@ WINDOW_KEY = ["source_id", "window_no"]
 
 
 def adjacency(windowed: DataFrame, key: Sequence[str] = WINDOW_KEY,
-              colocate: bool = False) -> DataFrame:
+              colocate: bool = False, partitions: int | None = None) -> DataFrame:
     """Directed weighted adjacency: parallel edges of a window summed.
 
     Output ``(*key, src, dst, weight, cnt)``. Spark aggregates partially
     before the shuffle, so repeated pairs cost one shuffled row per task.
     ``colocate=True`` hash-partitions by the window key first: the pair
     aggregation and any later per-window grouping (the spectrum) then share
-    that one exchange instead of shuffling twice.
+    that one exchange instead of shuffling twice. The partition count is
+    explicit (``spark.sql.shuffle.partitions`` unless given), because the
+    per-window eigen step is CPU-bound: adaptive execution would otherwise
+    merge the small shuffle output into a few tasks and serialize it.
     """
-    src = windowed.repartition(*key) if colocate else windowed
+    if colocate:
+        n = partitions or int(windowed.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        src = windowed.repartition(n, *key)
+    else:
+        src = windowed
     return (src.groupBy(*key, "src", "dst")
             .agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("cnt")))
 

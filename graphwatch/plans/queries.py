@@ -82,7 +82,7 @@ def q_range_filter_event_time(spark, sf):
 # ---------------------------------------------------------------- graph tables
 
 def _adj(spark, sf, weight="value", beacon=False):
-    return G.adjacency(sc.event_windows(spark, sf, 200, weight, beacon))
+    return G.adjacency(sc.event_windows(spark, sf, 200, weight, beacon), colocate=True)
 
 
 @query("adjacency")
