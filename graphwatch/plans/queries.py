@@ -548,3 +548,24 @@ def q_stream_event_time(spark, sf):
     q.awaitTermination()
     s = spark.read.parquet(f"{out}/spectra")
     return s.select("window_no", "n", "m")
+
+
+@query("window_feed")
+def q_window_feed(spark, sf):
+    return K.window_feed(_attack(spark, sf)).select("window", "n", "m", "lambda2", "mult", "status", "live")
+
+
+@query("anomaly_feed")
+def q_anomaly_feed(spark, sf):
+    _, details = _attack_result(spark, sf)
+    return K.anomaly_feed(K.anomaly_events(details))
+
+
+@query("mitigation_lookup")
+def q_mitigation_lookup(spark, sf):
+    _, details = _attack_result(spark, sf)
+    store = K.mitigation_store(K.anomaly_events(details))
+    # every window id is asked for; only anomalous windows have a stored mitigation
+    ids = _attack(spark, sf).select(F.concat_ws("-", "source_id", F.col("window_no").cast("string"))
+                                    .alias("anomaly_id"))
+    return K.lookup_mitigation(store, ids).select("anomaly_id", "found", "type", "validated")
