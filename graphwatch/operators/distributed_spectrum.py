@@ -16,9 +16,8 @@ holding a whole window in one task:
    (a node has a coordinate only in its own component's columns), outliers,
    Fiedler scores, and the top-k subgraph ranking.
 
-A component above ``max_component_nodes`` would need a distributed
-eigensolver; it is reported with an error instead of being forced into
-one task.
+A component above ``max_component_nodes`` is never solved in one task:
+it goes to the distributed block subspace iteration (``operators.subspace``).
 """
 
 from __future__ import annotations
@@ -94,19 +93,29 @@ def _null_basis_fn(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def large_window_spectrum(adj: DataFrame, k_max: int = K_MAX, sigma: float = SIGMA,
-                          top_k: int = TOP_K) -> DataFrame:
+                          top_k: int = TOP_K, max_component_nodes: int | None = None) -> DataFrame:
     """Spectral summary rows (``SPECTRUM_SCHEMA``) for the windows in ``adj``."""
     spark = adj.sparkSession
     ship_package(spark)
+    # the iterative solver needs components much larger than its block of columns
+    max_component_nodes = max(max_component_nodes or MAX_COMPONENT_NODES, 8 * (k_max + 5))
     adj = adj.checkpoint(eager=True)
     comps = propagate_components(adj, KEY)
     sizes = adj.groupBy(*KEY).agg(F.count(F.lit(1)).alias("pairs"),
                                   (F.sum("cnt") if "cnt" in adj.columns else F.count(F.lit(1))).alias("m"))
-    # ---- per component: dense solve, one row per node
-    with_comp = adj.join(comps.withColumnRenamed("node", "src"), [*KEY, "src"])
-    nodes = (with_comp.select(*KEY, "component", "src", "dst", "weight")
-             .groupBy(*KEY, "component").applyInPandas(_component_fn(k_max + 1), _NODE_SCHEMA)
-             .checkpoint(eager=True))
+    # ---- per component: dense solve (one group per component) or, for components
+    # above max_component_nodes, the distributed subspace iteration; one row per node
+    with_comp = adj.join(comps.withColumnRenamed("node", "src"), [*KEY, "src"]) \
+        .select(*KEY, "component", "src", "dst", "weight")
+    comp_size = comps.groupBy(*KEY, "component").agg(F.count(F.lit(1)).alias("_size")).checkpoint(eager=True)
+    sized = with_comp.join(comp_size, [*KEY, "component"])
+    small = sized.filter(F.col("_size") <= max_component_nodes).drop("_size")
+    giant = sized.filter(F.col("_size") > max_component_nodes).drop("_size")
+    nodes = small.groupBy(*KEY, "component").applyInPandas(_component_fn(k_max + 1), _NODE_SCHEMA)
+    if comp_size.filter(F.col("_size") > max_component_nodes).limit(1).count():
+        from graphwatch.operators.subspace import smallest_nonzero
+        nodes = nodes.unionByName(smallest_nonzero(giant.checkpoint(eager=True), k_max + 1))
+    nodes = nodes.checkpoint(eager=True)
     comp = (nodes.groupBy(*KEY, "component")
             .agg(F.count(F.lit(1)).alias("n_c"), F.sum("degree").alias("vol"),
                  F.first("vals").alias("vals")))

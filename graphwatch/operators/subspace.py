@@ -1,0 +1,149 @@
+"""Distributed eigensolver for connected components too large for one task.
+
+Block subspace iteration on ``M = 2I − L`` (``L`` the normalized Laplacian
+of a component): M's largest eigenvalues are ``2 − λ`` for L's smallest,
+all in [0, 2]. The component's known null vector ``u = √d/√vol`` is
+projected out every step, so the block converges to the smallest
+non-zero eigenpairs. Vectors live in long form ``(component, node, col, x)``;
+one step is a join with the normalized edge table plus ``groupBy`` sums
+(partial aggregation, no node's neighbours are collected). Only ``b×b``
+matrices per component (Gram matrix, Rayleigh–Ritz matrix) reach the
+driver, where they are factorized with numpy. Every step is checkpointed
+into ``spark.checkpoint.dir``.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from graphwatch.operators.spectrum import GROUP_TOL
+
+KEY = ["source_id", "window_no", "component"]
+EXTRA_COLUMNS = 4        # block = wanted pairs + 4 guard columns
+RITZ_EVERY = 5
+MAX_STEPS = 400
+RITZ_TOL = 1e-12
+
+
+def _mat_table(spark, mats: dict, name_r: str, name_c: str, value: str) -> DataFrame:
+    rows = []
+    for k, m in mats.items():
+        for r in range(m.shape[0]):
+            for c in range(m.shape[1]):
+                rows.append((*k, r, c, float(m[r, c])))
+    schema = "source_id string, window_no long, component string, " \
+             f"{name_r} int, {name_c} int, {value} double"
+    return spark.createDataFrame(rows, schema)
+
+
+def _collect_mats(df: DataFrame, b: int, r: str, c: str, v: str) -> dict:
+    mats: dict = {}
+    for row in df.collect():          # b*b numbers per component
+        key = (row.source_id, row.window_no, row.component)
+        mats.setdefault(key, np.zeros((b, b)))[getattr(row, r), getattr(row, c)] = getattr(row, v)
+    return mats
+
+
+def _times(X: DataFrame, mats_df: DataFrame) -> DataFrame:
+    """``X @ R`` per component: long form times a small broadcast matrix table."""
+    return (X.join(F.broadcast(mats_df), [*KEY, "col"])
+            .groupBy(*KEY, "node", F.col("out").alias("col"))
+            .agg(F.sum(F.col("x") * F.col("m")).alias("x")))
+
+
+def smallest_nonzero(edges: DataFrame, keep: int) -> DataFrame:
+    """``(source_id, window_no, component, node, degree, vals, vec, g1)`` for each
+    component in ``edges (source_id, window_no, component, src, dst, weight)``: the
+    ``keep`` smallest non-zero eigenvalues of the component's normalized Laplacian,
+    the node's entries of their eigenvectors, and its norm over the λ₂ eigenspace
+    (within the computed block)."""
+    spark = edges.sparkSession
+    b = keep + EXTRA_COLUMNS
+    off = edges.filter(F.col("src") != F.col("dst"))
+    sym = (off.select(*KEY, F.col("src").alias("i"), F.col("dst").alias("j"), "weight")
+           .union(off.select(*KEY, F.col("dst").alias("i"), F.col("src").alias("j"), "weight"))
+           .groupBy(*KEY, "i", "j").agg((F.sum("weight") / 2.0).alias("w")))
+    deg = sym.groupBy(*KEY, F.col("i").alias("node")).agg(F.sum("w").alias("d"))
+    vol = deg.groupBy(*KEY).agg(F.sum("d").alias("vol"))
+    nodes = (deg.join(vol, KEY).withColumn("u", F.sqrt(F.col("d") / F.col("vol")))
+             .checkpoint(eager=True))
+    a = (sym.join(nodes.select(*KEY, F.col("node").alias("i"), F.col("d").alias("di")), [*KEY, "i"])
+         .join(nodes.select(*KEY, F.col("node").alias("j"), F.col("d").alias("dj")), [*KEY, "j"])
+         .select(*KEY, "i", "j", (F.col("w") / F.sqrt(F.col("di") * F.col("dj"))).alias("a"))
+         .checkpoint(eager=True))
+    cols = spark.range(b).select(F.col("id").cast("int").alias("col"))
+    # deterministic start block from node ids
+    X = (nodes.select(*KEY, "node").crossJoin(F.broadcast(cols))  # b columns per node (b <= 16)
+         .withColumn("x", (F.xxhash64("node", "col") % 1000003).cast("double") / 1000003.0 - 0.5))
+
+    def apply_m(X: DataFrame) -> DataFrame:
+        ax = (a.join(X.select(*KEY, F.col("node").alias("j"), "col", "x"), [*KEY, "j"])
+              .groupBy(*KEY, F.col("i").alias("node"), "col").agg(F.sum(F.col("a") * F.col("x")).alias("ax")))
+        y = X.join(ax, [*KEY, "node", "col"], "left").select(
+            *KEY, "node", "col", (F.col("x") + F.coalesce("ax", F.lit(0.0))).alias("x"))
+        return deflate(y)
+
+    def deflate(Y: DataFrame) -> DataFrame:
+        yu = Y.join(nodes.select(*KEY, "node", "u"), [*KEY, "node"])
+        proj = yu.groupBy(*KEY, "col").agg(F.sum(F.col("x") * F.col("u")).alias("p"))
+        return (yu.join(proj, [*KEY, "col"])
+                .select(*KEY, "node", "col", (F.col("x") - F.col("u") * F.col("p")).alias("x")))
+
+    def gram(P: DataFrame, Q: DataFrame) -> dict:
+        g = (P.join(Q.select(*KEY, "node", F.col("col").alias("col2"), F.col("x").alias("x2")), [*KEY, "node"])
+             .groupBy(*KEY, "col", "col2").agg(F.sum(F.col("x") * F.col("x2")).alias("g")))
+        return _collect_mats(g, b, "col", "col2", "g")
+
+    def orthonormalize(Y: DataFrame) -> DataFrame:
+        G = gram(Y, Y)
+        rinv = {}
+        for k, m in G.items():
+            if not np.all(np.isfinite(m)):
+                raise FloatingPointError(f"subspace iteration diverged for component {k}")
+            m = (m + m.T) / 2
+            try:
+                R = np.linalg.cholesky(m).T
+                rinv[k] = np.linalg.inv(R)
+            except np.linalg.LinAlgError:
+                w, v = np.linalg.eigh(m)
+                rinv[k] = v / np.sqrt(np.maximum(w, 1e-300))
+        return _times(Y, _mat_table(spark, rinv, "col", "out", "m")).checkpoint(eager=True)
+
+    X = orthonormalize(deflate(X))
+    theta_old = None
+    theta = None
+    V = None
+    for step in range(1, MAX_STEPS + 1):
+        Y = apply_m(X)
+        if step % RITZ_EVERY == 0 or step == MAX_STEPS:
+            H = gram(X, Y)
+            ritz = {k: np.linalg.eigh((m + m.T) / 2) for k, m in H.items()}
+            theta = {k: w[::-1] for k, (w, _v) in ritz.items()}
+            V = {k: v[:, ::-1] for k, (_w, v) in ritz.items()}
+            if theta_old is not None and all(
+                    np.max(np.abs(theta[k][:keep] - theta_old[k][:keep])) < RITZ_TOL for k in theta):
+                X = _times(X, _mat_table(spark, V, "col", "out", "m")).checkpoint(eager=True)
+                break
+            theta_old = theta
+        X = orthonormalize(Y)
+    else:
+        X = _times(X, _mat_table(spark, V, "col", "out", "m")).checkpoint(eager=True)
+    # lambda = 2 - theta, ascending; keep the first `keep` columns
+    lam = {k: [float(2.0 - t) for t in th[:keep]] for k, th in theta.items()}
+    g1cols = {}
+    for k, ls in lam.items():
+        first = ls[0]
+        g1cols[k] = [c for c, v in enumerate(ls) if abs(v - first) <= GROUP_TOL * max(1.0, abs(v), abs(first))]
+    info = spark.createDataFrame([(*k, lam[k], g1cols[k]) for k in lam],
+                                 "source_id string, window_no long, component string, "
+                                 "vals array<double>, g1cols array<int>")
+    wide = (X.filter(F.col("col") < keep).groupBy(*KEY, "node")
+            .agg(F.array_sort(F.collect_list(F.struct("col", "x"))).alias("_v")))   # keep entries per node
+    return (wide.join(F.broadcast(info), KEY).join(nodes.select(*KEY, "node", F.col("d").alias("degree")),
+                                                   [*KEY, "node"])
+            .select(*KEY, "node", "degree", "vals",
+                    F.transform("_v", lambda s: s["x"]).alias("vec"),
+                    F.sqrt(F.aggregate(F.filter("_v", lambda s: F.array_contains("g1cols", s["col"])),
+                                       F.lit(0.0), lambda acc, s: acc + s["x"] * s["x"])).alias("g1")))

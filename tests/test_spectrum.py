@@ -110,3 +110,21 @@ def test_distributed_path_equals_local(spark):
         assert a[k].outliers == b[k].outliers and a[k].sub_nodes == b[k].sub_nodes
         assert np.allclose(a[k].eigenvalues, b[k].eigenvalues, atol=1e-9)
         assert a[k].mult == b[k].mult and a[k].components == b[k].components
+
+
+@pytest.mark.skipif(not __import__("os").environ.get("GW_SLOW_TESTS"), reason="iterative solver: minutes")
+def test_subspace_solver_equals_dense(spark):
+    from pyspark.sql import functions as F
+
+    from graphwatch.operators.distributed_spectrum import large_window_spectrum
+    from graphwatch.operators.graph import adjacency
+    from graphwatch.operators.spectrum import spectrum
+    from graphwatch.plans.scenarios import event_windows
+
+    win = event_windows(spark, "/root/testdata/sf0.01", 200, "unit", True).filter(F.col("window_no").isin(13, 15))
+    adj = adjacency(win)
+    a = {r.window_no: r for r in spectrum(adj, pairs_bound=200).collect()}
+    b = {r.window_no: r for r in large_window_spectrum(adj, max_component_nodes=1).collect()}
+    for k in a:
+        assert np.allclose(a[k].eigenvalues, b[k].eigenvalues, atol=1e-9)
+        assert a[k].outliers == b[k].outliers and a[k].sub_nodes == b[k].sub_nodes
