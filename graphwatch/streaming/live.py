@@ -8,10 +8,11 @@ at most ``buffer_cap``); every full window is emitted once, the remainder
 waits for the next batch — live mode never analyses a short window.
 
 Per micro-batch (``foreachBatch``) the emitted windows go through the same
-batch operators (adjacency, grouped spectrum); spectra are appended to a
-table, and the window table is classified against the baseline learned
-from every spectrum so far (R2) — the same function the batch job uses, so
-batch and stream agree on full windows.
+batch operators (adjacency, grouped spectrum) and are classified against a
+persisted baseline state with one row per stream (R2: windows seen, sum of
+the warm-up λ₂, first multiplicity, last EMA values), so each batch does
+work proportional to its own windows. Outputs are written per batch id with
+overwrite (idempotent on retry); batch and stream agree on full windows.
 
 Event-time windows (R3): ``withWatermark`` + ``window()`` aggregate the
 adjacency per tumbling window; rows later than the watermark are dropped
@@ -23,7 +24,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -57,8 +58,10 @@ def line_stream(spark: SparkSession, folder: str, parser: Parser = L.parse_acces
                 start: str = "earliest") -> DataFrame:
     """Edges from files arriving in ``folder`` (rolled logs), with exact line positions.
 
-    ``start="latest"`` skips files already present when the query starts
-    (by modification time).
+    The file source takes new files oldest first (modification time), and
+    inside a micro-batch lines are ordered by file path and line number, so
+    rolled files must carry increasing modification times and sortable names.
+    ``start="latest"`` skips files already present when the query starts.
     """
     reader = spark.readStream.format("text").option("wholetext", True)
     if max_files_per_trigger:
@@ -118,22 +121,107 @@ def live_count_windows(edges: DataFrame, window_size: int = LIVE_WINDOW,
         GroupStateTimeout.NoTimeout)
 
 
-def analyze_batch(spark: SparkSession, batch: DataFrame, out: str, warmup: int = 12,
-                  adaptive: bool = False, window_size: int = LIVE_WINDOW) -> None:
-    """One micro-batch: spectra of the new windows appended, window table refreshed."""
+STATE_SCHEMA = ("source_id string, n_seen long, sum_first double, first_mult int, "
+                "ema_l2 double, ema_mult double, batch long")
+
+
+def continue_baseline(spec: DataFrame, state: DataFrame | None, warmup: int = 12,
+                      adaptive: bool = False, alpha: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """Classify one batch of new windows against the stream's baseline state.
+
+    ``state`` holds one row per stream (windows seen, sum of the first
+    ``warmup`` λ₂, first multiplicity, last EMA values). Returns the new
+    windows' rows and the updated state. Only this batch's windows are
+    touched, so a long-running stream does constant work per batch.
+    """
+    from graphwatch.operators import baseline as bl
+    from graphwatch.operators.analyze import WINDOW_COLUMNS, classify
+
+    spark = spec.sparkSession
+    if state is None:
+        state = spark.createDataFrame([], STATE_SCHEMA)
+    st = state.drop("batch")
+    keep = F.col("n") >= bl.TINY_NODES
+    per = Window.partitionBy("source_id").orderBy("window_no")   # this batch's windows of one stream
+    w = (spec.join(F.broadcast(st), "source_id", "left")         # state: one row per stream
+         .withColumn("_keep", keep.cast("long"))
+         .withColumn("_i", F.sum("_keep").over(per.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+         .withColumn("n_seen", F.coalesce("n_seen", F.lit(0)))
+         .withColumn("r", F.when(keep, F.col("n_seen") + F.col("_i")).cast("long")))
+    stream = Window.partitionBy("source_id")
+    w = (w.withColumn("_first_new", F.sum(F.when(F.col("r") < warmup, F.col("lambda2"))).over(stream))
+         .withColumn("_first_mult_new", F.max(F.when(F.col("r") == 0, F.col("mult"))).over(stream))
+         .withColumn("_sum_first", F.coalesce("sum_first", F.lit(0.0)) + F.coalesce("_first_new", F.lit(0.0)))
+         .withColumn("_first_mult", F.coalesce("first_mult", "_first_mult_new").cast("int")))
+    if adaptive:
+        seed = (st.filter(F.col("n_seen") > 0)
+                .select("source_id", (F.col("n_seen") - 1).alias("r"), F.col("ema_l2").alias("lambda2"),
+                        F.col("ema_mult").alias("mult"), F.lit(True).alias("_seed")))
+        rows = w.filter(F.col("r").isNotNull()).select("source_id", "r", "lambda2", F.col("mult").cast("double"),
+                                                       F.lit(False).alias("_seed"))
+        both = seed.unionByName(rows)
+        base_r = both.groupBy("source_id").agg(F.min("r").alias("_r0"))
+        local = both.join(F.broadcast(base_r), "source_id").withColumn("r", F.col("r") - F.col("_r0"))
+        ema = (bl.ema_columns(local, ["lambda2", "mult"], alpha, "source_id", ["_l2", "_mu"])
+               .filter(~F.col("_seed")).withColumn("r", F.col("r") + F.col("_r0"))
+               .select("source_id", "r", "_l2_before", "_l2_after", "_mu_before", "_mu_after"))
+        w = (w.join(ema, ["source_id", "r"], "left")
+             .withColumn("cmp_lambda2", F.col("_l2_before"))
+             .withColumn("cmp_mult", F.bround("_mu_before", 0).cast("int"))
+             .withColumn("baseline_lambda2", F.col("_l2_after"))
+             .withColumn("baseline_mult", F.bround("_mu_after", 0).cast("int")))
+    else:
+        w = (w.withColumn("cmp_lambda2", F.col("_sum_first") / F.lit(float(warmup)))
+             .withColumn("cmp_mult", F.col("_first_mult"))
+             .withColumn("baseline_lambda2", F.col("cmp_lambda2"))
+             .withColumn("baseline_mult", F.col("cmp_mult")))
+    w = w.checkpoint(eager=True)
+    windows = classify(w, warmup).select(*WINDOW_COLUMNS)
+    if adaptive:
+        pair = F.struct(F.col("_l2_after").alias("l2"), F.col("_mu_after").alias("mu"))
+    else:
+        pair = F.struct(F.lit(None).cast("double").alias("l2"), F.lit(None).cast("double").alias("mu"))
+    last = F.max_by(pair, F.col("r"))
+    upd = (w.groupBy("source_id").agg(
+        F.max("n_seen").alias("_prev"), F.sum("_keep").alias("_add"),
+        F.max("_sum_first").alias("_sf"), F.max("_first_mult").alias("_fm"), last.alias("_last"),
+        F.max("ema_l2").alias("_el"), F.max("ema_mult").alias("_em"))
+        .select("source_id", (F.col("_prev") + F.col("_add")).alias("n_seen"),
+                F.col("_sf").alias("sum_first"), F.col("_fm").alias("first_mult"),
+                F.coalesce(F.col("_last.l2"), F.col("_el")).alias("ema_l2"),
+                F.coalesce(F.col("_last.mu"), F.col("_em")).alias("ema_mult")))
+    untouched = st.join(upd.select("source_id"), "source_id", "left_anti")
+    return windows, upd.unionByName(untouched)
+
+
+def analyze_batch(spark: SparkSession, batch: DataFrame, out: str, batch_id: int, warmup: int = 12,
+                  adaptive: bool = False, window_size: int = LIVE_WINDOW, alpha: float = 0.3) -> None:
+    """One micro-batch: spectra of its windows, classified against the persisted baseline
+    state. Every output is written under ``batch=<id>`` with overwrite, so a retried
+    batch replaces its own rows (idempotent)."""
+    from graphwatch.operators.analyze import materialize
+
     windowed = batch.select("source_id", "window_no", "rank", "src", "dst", "weight", "raw")
-    windowed.write.mode("append").parquet(f"{out}/edges")
-    spec = spectrum(adjacency(windowed), pairs_bound=window_size)
-    spec.write.mode("append").parquet(f"{out}/spectra")
-    every = spark.read.parquet(f"{out}/spectra")        # one row per window so far
-    windows = analyze_spectra(every, warmup=warmup, adaptive=adaptive)
-    windows.write.mode("overwrite").parquet(f"{out}/windows")
+    windowed.write.mode("overwrite").parquet(f"{out}/edges/batch={batch_id}")
+    spec = materialize(spectrum(adjacency(windowed, colocate=True), pairs_bound=window_size))
+    spec.write.mode("overwrite").parquet(f"{out}/spectra/batch={batch_id}")
+    state = None
+    try:
+        hist = spark.read.schema(STATE_SCHEMA).parquet(f"{out}/state").filter(F.col("batch") < batch_id)
+        state = (hist.groupBy("source_id").agg(F.max_by(F.struct("*"), "batch").alias("s"))
+                 .select("s.*"))
+    except Exception:  # noqa: BLE001 - no state written yet
+        state = None
+    windows, new_state = continue_baseline(spec, state, warmup, adaptive, alpha)
+    windows.write.mode("overwrite").parquet(f"{out}/windows/batch={batch_id}")
+    new_state.drop("batch").write.mode("overwrite").parquet(f"{out}/state/batch={batch_id}")
 
 
 def run_stream(spark: SparkSession, folder: str, out: str, checkpoint: str | None = None,
                parser: Parser = L.parse_access_log, source_id: str = "live",
                window_size: int = LIVE_WINDOW, warmup: int = 12, adaptive: bool = False,
-               available_now: bool = True, processing_time: str = "1 second"):
+               available_now: bool = True, processing_time: str = "1 second",
+               max_files_per_trigger: int | None = None):
     """Start the live analysis; returns the ``StreamingQuery``.
 
     ``available_now=True`` drains what is in the folder and stops (bounded
@@ -142,11 +230,11 @@ def run_stream(spark: SparkSession, folder: str, out: str, checkpoint: str | Non
     ensure_checkpoint_dir(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    edges = line_stream(spark, folder, parser, source_id)
+    edges = line_stream(spark, folder, parser, source_id, max_files_per_trigger)
     wins = live_count_windows(edges, window_size)
     writer = (wins.writeStream.outputMode("append")
               .option("checkpointLocation", checkpoint or f"{out}/_checkpoint")
-              .foreachBatch(lambda df, _id: analyze_batch(spark, df, out, warmup, adaptive, window_size)))
+              .foreachBatch(lambda df, bid: analyze_batch(spark, df, out, bid, warmup, adaptive, window_size)))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
         processingTime=processing_time)
     return writer.start()
