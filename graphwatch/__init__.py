@@ -9,3 +9,10 @@ same code runs on a laptop and on a cluster.
 """
 
 __version__ = "0.1.0"
+
+# Most used entry points (import lazily to keep `import graphwatch` light):
+#   graphwatch.session.get_session
+#   graphwatch.sources.registry.load_edges / register_source
+#   graphwatch.operators.analyze.analyze / analyze_spectra / calibrate
+#   graphwatch.jobs.run_batch / run_calibrate / run_export / diagnose
+#   graphwatch.streaming.live.run_stream / run_event_time_stream

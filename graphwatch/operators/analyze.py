@@ -111,8 +111,7 @@ def calibrate(spec: DataFrame, deltas: Sequence[float] = CALIBRATION_DELTAS,
     tiny = F.col("n") < bl.TINY_NODES
     warm = F.col("r") < warmup
     detect = ~tiny & ~warm
-    fied = fiedler_signal(F.col("cmp_lambda2"), F.col("lambda2"), 0.0)
-    # fiedler fires when drop > delta: recompute the drop per δ
+    # signal 1 fires when the relative drop exceeds δ: evaluated per δ row
     b = F.round(F.col("cmp_lambda2"), 12)
     c = F.round(F.col("lambda2"), 12)
     f_fired = F.when(b <= 1e-9, F.lit(False)).otherwise((b - c) / b > F.col("delta"))
@@ -121,7 +120,6 @@ def calibrate(spec: DataFrame, deltas: Sequence[float] = CALIBRATION_DELTAS,
     votes, anomaly = vote([f_fired, m_fired, c_fired])
     status = (F.when(tiny, STATUS_NORMAL).when(warm, STATUS_BASELINE)
               .when(anomaly, STATUS_ANOMALY).otherwise(STATUS_NORMAL))
-    del fied
     per = crossed.withColumn("status", status).withColumn("_detect", detect)
     sweep = (per.groupBy(key, "delta")
              .agg(F.count_if(F.col("status") == STATUS_ANOMALY).alias("anomalies"),

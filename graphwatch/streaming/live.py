@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from graphwatch.operators.analyze import analyze_spectra
 from graphwatch.operators.graph import adjacency
 from graphwatch.operators.spectrum import spectrum
 from graphwatch.session import ensure_checkpoint_dir, ship_package
@@ -70,7 +69,11 @@ def line_stream(spark: SparkSession, folder: str, parser: Parser = L.parse_acces
         "value", F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_modification_time").alias("mtime"))
     if start == "latest":
-        raw = raw.filter(F.col("mtime") >= F.current_timestamp())
+        # files modified before the query was built are skipped; the instant is fixed
+        # once here (current_timestamp() would move with every micro-batch)
+        import datetime as _dt
+        started = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+        raw = raw.filter(F.col("mtime") >= F.lit(started).cast("timestamp"))
     # order key: file path (rolled files are named in order), then line number
     lines = raw.select(
         F.col("path").alias("part"),
