@@ -166,19 +166,47 @@ def window_summary(windows: DataFrame) -> DataFrame:
                           F.round("lambda2", 4).alias("lambda2"), "status")
 
 
+POSITION_BUCKET = 4096
+
+
+def window_positions(windows: DataFrame, key: str = "source_id", flag: str | None = None) -> DataFrame:
+    """Add ``pos`` (0-based position among the stream's windows by ``window_no``) and,
+    when ``flag`` names a 0/1 column, ``flag_before`` (its sum over earlier windows).
+
+    Two-level count over buckets of 4096 window numbers: a prefix sum over the
+    bucket table plus a running count inside the bucket — no stream is sorted
+    in one task.
+    """
+    f = F.col(flag).cast("long") if flag else F.lit(0).cast("long")
+    w = (windows.withColumn("_b", F.floor(F.col("window_no") / POSITION_BUCKET).cast("long"))
+         .withColumn("_f", f))
+    per_b = w.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_c"), F.sum("_f").alias("_fs"))
+    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    off = per_b.select(key, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_co"),
+                       F.coalesce(F.sum("_fs").over(before), F.lit(0)).alias("_fo"))
+    inside = Window.partitionBy(key, "_b").orderBy("window_no").rowsBetween(Window.unboundedPreceding, -1)
+    out = (w.join(off, [key, "_b"])
+           .withColumn("pos", (F.col("_co") + F.coalesce(F.count(F.lit(1)).over(inside), F.lit(0))).cast("long"))
+           .withColumn("flag_before", (F.col("_fo") + F.coalesce(F.sum("_f").over(inside), F.lit(0))).cast("long")))
+    return out.drop("_b", "_f", "_co", "_fo")
+
+
 def running_anomalies(windows: DataFrame, key: str = "source_id") -> DataFrame:
     """Running count of anomalies in window order (feed counter)."""
-    w = Window.partitionBy(key).orderBy("window_no").rowsBetween(Window.unboundedPreceding, 0)
-    return windows.withColumn(
-        "anomalies_so_far", F.sum((F.col("status") == STATUS_ANOMALY).cast("int")).over(w))
+    flagged = windows.withColumn("_a", (F.col("status") == STATUS_ANOMALY).cast("long"))
+    return (window_positions(flagged, key, "_a")
+            .withColumn("anomalies_so_far", F.col("flag_before") + F.col("_a"))
+            .drop("_a", "pos", "flag_before"))
 
 
 def snapshot_changes(windows: DataFrame, cols: Sequence[str] = ("status", "votes", "mult"),
                      key: str = "source_id") -> DataFrame:
-    """Windows whose snapshot differs from the previous window's (emit-on-change feed)."""
-    w = Window.partitionBy(key).orderBy("window_no")
-    snap = F.struct(*[F.col(c) for c in cols])
-    return (windows.withColumn("_snap", snap)
-            .withColumn("_prev", F.lag("_snap").over(w))
+    """Windows whose snapshot differs from the previous window's (emit-on-change feed).
+
+    The previous window is found by an equi-join on position − 1.
+    """
+    pos = window_positions(windows, key).withColumn("_snap", F.struct(*[F.col(c) for c in cols]))
+    prev = pos.select(key, (F.col("pos") + 1).alias("pos"), F.col("_snap").alias("_prev"))
+    return (pos.join(prev, [key, "pos"], "left")
             .filter(~F.col("_snap").eqNullSafe(F.col("_prev")))
-            .drop("_snap", "_prev"))
+            .drop("_snap", "_prev", "pos", "flag_before"))

@@ -32,7 +32,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphwatch.schema import SPECTRUM_SCHEMA
@@ -235,11 +235,13 @@ def spectrum(adj: DataFrame, k_max: int = K_MAX, sigma: float = SIGMA, top_k: in
     fn = _window_fn(k_max, sigma, top_k)
     if pairs_bound is not None and pairs_bound <= max_local:
         return cols.groupBy(*key).applyInPandas(fn, SPECTRUM_SCHEMA)
-    # Count pairs with a window function: it needs the same hash distribution on
-    # the window key as the grouped function, so no extra exchange is added.
-    sized = cols.withColumn("_gw_pairs", F.count(F.lit(1)).over(Window.partitionBy(*key)))
-    small = (sized.filter(F.col("_gw_pairs") <= max_local).drop("_gw_pairs")
+    # Windows of unknown size: count pairs per window with a partial aggregation
+    # (a hot window never lands in one task), then split rows by semi/anti joins
+    # on the window key (adaptive execution splits a skewed join partition).
+    big_keys = (cols.groupBy(*key).agg(F.count(F.lit(1)).alias("_gw_pairs"))
+                .filter(F.col("_gw_pairs") > max_local).select(*key))
+    small = (cols.join(big_keys, key, "left_anti")
              .groupBy(*key).applyInPandas(fn, SPECTRUM_SCHEMA))
-    big = sized.filter(F.col("_gw_pairs") > max_local).drop("_gw_pairs")
+    big = cols.join(big_keys, key, "left_semi")
     from graphwatch.operators.distributed_spectrum import large_window_spectrum
     return small.unionByName(large_window_spectrum(big, k_max=k_max, sigma=sigma, top_k=top_k))

@@ -63,14 +63,27 @@ def dot_text(nodes: Column, edges: Column, anomalous: Column) -> Column:
     return F.concat(F.array_join(body, "\n"), F.lit("\n"))
 
 
+LOG_SALT = 256           # first-stage split of a window for the top-k of its lines
+
+
 def window_logs(windowed: DataFrame, windows: DataFrame, key: Sequence[str] = WINDOW_KEY,
-                limit: int = LOG_LINES, order: str = "rank") -> DataFrame:
-    """First ``limit`` non-empty raw lines (in stream order) of each window in ``windows``."""
+                limit: int = LOG_LINES, order: str | Sequence[str] = "rank") -> DataFrame:
+    """First ``limit`` non-empty raw lines (in stream order) of each window in ``windows``.
+
+    Two-level top-k: the first ``limit`` per (window, salt) are kept, then
+    the first ``limit`` of those candidates (at most ``256 * limit`` rows per
+    window), so even a window holding a large share of all rows is never
+    sorted in one task.
+    """
     k = list(key)
+    ords = [order] if isinstance(order, str) else list(order)
     lines = (windowed.filter(F.col("raw").isNotNull() & (F.col("raw") != ""))
-             .join(windows.select(*k), k, "left_semi"))
-    w = Window.partitionBy(*k).orderBy(order)
-    first = lines.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit)
+             .join(windows.select(*k), k, "left_semi")
+             .withColumn("_salt", F.pmod(F.xxhash64(*ords), F.lit(LOG_SALT))))
+    w1 = Window.partitionBy(*k, "_salt").orderBy(*ords)
+    cand = lines.withColumn("_n1", F.row_number().over(w1)).filter(F.col("_n1") <= limit)
+    w = Window.partitionBy(*k).orderBy(*ords)
+    first = cand.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit)
     return (first.groupBy(*k)
             .agg(F.array_sort(F.collect_list(F.struct("_n", "raw"))).alias("_l"))
             .select(*k, F.transform("_l", lambda s: s["raw"]).alias("logs")))

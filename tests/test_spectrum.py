@@ -128,3 +128,20 @@ def test_subspace_solver_equals_dense(spark):
     for k in a:
         assert np.allclose(a[k].eigenvalues, b[k].eigenvalues, atol=1e-9)
         assert a[k].outliers == b[k].outliers and a[k].sub_nodes == b[k].sub_nodes
+
+
+def test_time_windows_mixed_routing_equals_local(spark):
+    from graphwatch.operators.graph import adjacency
+    from graphwatch.operators.spectrum import spectrum
+    from graphwatch.operators.windows import time_windows
+    from graphwatch.plans.scenarios import event_edges
+
+    adj = adjacency(time_windows(event_edges(spark, "/root/testdata/sf0.001", "unit"), seconds=86400))
+    local = {r.window_no: r for r in spectrum(adj, max_local=100000).collect()}
+    mixed = {r.window_no: r for r in spectrum(adj, max_local=20).collect()}
+    assert local.keys() == mixed.keys() and any(r.pairs > 20 for r in local.values())
+    for k in local:
+        a, b = local[k], mixed[k]
+        assert (a.n, a.m, a.mult, a.components, a.outliers, a.sub_nodes) == \
+               (b.n, b.m, b.mult, b.components, b.outliers, b.sub_nodes)
+        assert np.allclose(a.eigenvalues, b.eigenvalues, atol=1e-9)
