@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,6 +92,23 @@ def _null_basis_fn(pdf: pd.DataFrame) -> pd.DataFrame:
                          "q": [list(map(float, r)) for r in Q]})
 
 
+SALT = 256
+
+
+def _top_rows(df: DataFrame, order: list, limit: Column | int, salt_cols: list[str],
+              rank_col: str) -> DataFrame:
+    """Rows ranked ``1..limit`` per window by ``order``, in two levels: the first
+    ``limit`` per (window, salt) are kept, then ranked per window among those
+    candidates (at most ``SALT * limit`` rows), so no window is sorted whole."""
+    lim = F.lit(limit) if isinstance(limit, int) else limit
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*salt_cols), F.lit(SALT)))
+    w1 = Window.partitionBy(*KEY, "_salt").orderBy(*order)
+    cand = salted.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= lim)
+    w2 = Window.partitionBy(*KEY).orderBy(*order)
+    return (cand.withColumn(rank_col, F.row_number().over(w2)).filter(F.col(rank_col) <= lim)
+            .drop("_salt", "_r1"))
+
+
 def large_window_spectrum(adj: DataFrame, k_max: int = K_MAX, sigma: float = SIGMA,
                           top_k: int = TOP_K, max_component_nodes: int | None = None) -> DataFrame:
     """Spectral summary rows (``SPECTRUM_SCHEMA``) for the windows in ``adj``."""
@@ -127,9 +144,8 @@ def large_window_spectrum(adj: DataFrame, k_max: int = K_MAX, sigma: float = SIG
     # ---- the low non-zero spectrum of the union
     nz = (comp.select(*KEY, "component", F.posexplode("vals").alias("idx", "val"))
           .join(win.select(*KEY, "k", "z"), KEY))
-    by_val = Window.partitionBy(*KEY).orderBy("val", "component", "idx")
-    nz = nz.withColumn("rk", F.row_number().over(by_val)).filter(F.col("rk") <= F.col("k") + 1)
-    nz = nz.checkpoint(eager=True)
+    nz = _top_rows(nz, [F.col("val"), F.col("component"), F.col("idx")], F.col("k") + 1,
+                   ["component"], "rk").checkpoint(eager=True)
     low = (nz.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("rk", "val"))).alias("_v"))
            .select(*KEY, F.transform("_v", lambda s: s["val"]).alias("nz_vals")))
     win = win.join(low, KEY, "left").withColumn(
@@ -189,20 +205,19 @@ def large_window_spectrum(adj: DataFrame, k_max: int = K_MAX, sigma: float = SIG
     # connected window: norm of the node's row over the whole lowest non-zero eigenspace
     conn_score = (nodes.join(win.filter(F.col("z") == 1).select(*KEY), KEY, "left_semi")
                   .select(*KEY, "node", F.col("g1").alias("score")))
-    pick_w = Window.partitionBy(*KEY).orderBy("vol", "component")
     picked = (comp.join(win.filter(F.col("z") > 1).select(*KEY), KEY, "left_semi")
-              .withColumn("_r", F.row_number().over(pick_w)).filter(F.col("_r") == 1)
-              .select(*KEY, "component", F.col("vol").alias("_pv")))
+              .groupBy(*KEY).agg(F.min_by(F.struct("component", "vol"),
+                                          F.struct("vol", "component")).alias("_p"))
+              .select(*KEY, F.col("_p.component").alias("component"), F.col("_p.vol").alias("_pv")))
     disc_score = nodes.join(picked, [*KEY, "component"]).select(
         *KEY, "node", F.when(F.col("_pv") > 0, F.sqrt(F.col("degree") / F.col("_pv")))
         .otherwise(F.lit(1.0)).alias("score"))
     scores = conn_score.unionByName(disc_score)
     ranked = (dist.join(scores, [*KEY, "node"], "left")
               .withColumn("score", F.coalesce("score", F.lit(0.0))))
-    order = Window.partitionBy(*KEY).orderBy(
-        F.when(F.col("is_out"), 0).otherwise(1), F.when(F.col("is_out"), F.col("node")),
-        F.desc(F.round("score", SCORE_DECIMALS)), "node")
-    top = ranked.withColumn("_pos", F.row_number().over(order)).filter(F.col("_pos") <= top_k)
+    order = [F.when(F.col("is_out"), 0).otherwise(1), F.when(F.col("is_out"), F.col("node")),
+             F.desc(F.round("score", SCORE_DECIMALS)), F.col("node")]
+    top = _top_rows(ranked, order, top_k, ["node"], "_pos")
     subs = top.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("_pos", "node"))).alias("_s"))
     outs = dist.filter("is_out").groupBy(*KEY).agg(F.array_sort(F.collect_list("node")).alias("outliers"))
     return (win.join(subs, KEY, "left").join(outs, KEY, "left").join(s_all.select(*KEY, "dims"), KEY, "left")
