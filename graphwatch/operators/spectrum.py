@@ -245,3 +245,70 @@ def spectrum(adj: DataFrame, k_max: int = K_MAX, sigma: float = SIGMA, top_k: in
     big = cols.join(big_keys, key, "left_semi")
     from graphwatch.operators.distributed_spectrum import large_window_spectrum
     return small.unionByName(large_window_spectrum(big, k_max=k_max, sigma=sigma, top_k=top_k))
+
+
+# ---------------------------------------------------------------- spectral bisection (G18)
+
+SUSPECT_THRESHOLD = 0.3      # fixed value: Fiedler entry above which a node is listed
+
+
+def fiedler_entries(node_ids: Sequence[str], weights: np.ndarray) -> np.ndarray | None:
+    """Unit Fiedler vector with its sign fixed (largest-magnitude entry positive).
+
+    Connected graph with a simple λ₂: the eigenvector of λ₂. Disconnected
+    graph: ``D^1/2·1`` on the smallest-volume component (ties: smallest id),
+    normalized. A repeated λ₂ of a connected graph has no unique vector: None.
+    """
+    n = len(node_ids)
+    W = np.array(weights, dtype=float, copy=True)
+    np.fill_diagonal(W, 0.0)
+    deg = W.sum(axis=1)
+    ii, jj = np.nonzero(np.triu(W, 1))
+    roots = _component_roots(n, ii, jj)
+    comp_roots, comp_of = np.unique(roots, return_inverse=True)
+    if len(comp_roots) > 1:
+        vol = np.bincount(comp_of, weights=deg, minlength=len(comp_roots))
+        pick = min(range(len(comp_roots)), key=lambda c: (vol[c], comp_roots[c]))
+        v = np.where(comp_of == pick, np.sqrt(np.clip(deg, 0, None)), 0.0)
+        if not v.any():
+            v = (comp_of == pick).astype(float)
+    else:
+        inv = 1.0 / np.sqrt(deg)
+        lap = np.eye(n) - W * inv[:, None] * inv[None, :]
+        vals, vecs = np.linalg.eigh((lap + lap.T) * 0.5)
+        if n > 2 and _same(vals[1], vals[2]):
+            return None
+        v = vecs[:, 1]
+    v = v / np.linalg.norm(v)
+    lead = int(np.argmax(np.abs(np.round(v, SCORE_DECIMALS))))
+    return v if v[lead] > 0 else -v
+
+
+def fiedler_suspects(adj: DataFrame, threshold: float = SUSPECT_THRESHOLD,
+                     pairs_bound: int | None = None, max_local: int = 4000) -> DataFrame:
+    """``(source_id, window_no, node, fiedler)`` for nodes whose sign-fixed Fiedler entry
+    exceeds ``threshold``. Windows must be bounded (count windows: ``pairs_bound``)."""
+    import pandas as pd
+
+    if pairs_bound is None or pairs_bound > max_local:
+        raise ValueError("fiedler_suspects needs windows of at most max_local pairs")
+    ship_package(adj.sparkSession)
+    key = ["source_id", "window_no"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        src, dst = pdf["src"].to_numpy(object), pdf["dst"].to_numpy(object)
+        names = np.unique(np.concatenate([src, dst]))
+        cols = ["source_id", "window_no", "node", "fiedler"]
+        if len(names) < 3:
+            return pd.DataFrame(columns=cols)
+        A = np.zeros((len(names), len(names)))
+        np.add.at(A, (np.searchsorted(names, src), np.searchsorted(names, dst)), pdf["weight"].to_numpy(float))
+        v = fiedler_entries(list(names), (A + A.T) * 0.5)
+        if v is None:
+            return pd.DataFrame(columns=cols)
+        hit = np.flatnonzero(np.round(v, SCORE_DECIMALS) > threshold)
+        return pd.DataFrame({"source_id": pdf["source_id"].iloc[0], "window_no": int(pdf["window_no"].iloc[0]),
+                             "node": names[hit], "fiedler": v[hit]})
+
+    return (adj.select(*key, "src", "dst", "weight").groupBy(*key)
+            .applyInPandas(run, "source_id string, window_no long, node string, fiedler double"))

@@ -565,3 +565,10 @@ def q_mitigation_lookup(spark, sf):
     ids = _attack(spark, sf).select(F.concat_ws("-", "source_id", F.col("window_no").cast("string"))
                                     .alias("anomaly_id"))
     return K.lookup_mitigation(store, ids).select("anomaly_id", "found", "type", "validated")
+
+
+@query("fiedler_suspects")
+def q_fiedler_suspects(spark, sf):
+    from graphwatch.operators.spectrum import fiedler_suspects
+    s = fiedler_suspects(_adj(spark, sf, "value"), pairs_bound=200)
+    return s.select("window_no", "node", r6("fiedler").alias("fiedler"))

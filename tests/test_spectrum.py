@@ -145,3 +145,15 @@ def test_time_windows_mixed_routing_equals_local(spark):
         assert (a.n, a.m, a.mult, a.components, a.outliers, a.sub_nodes) == \
                (b.n, b.m, b.mult, b.components, b.outliers, b.sub_nodes)
         assert np.allclose(a.eigenvalues, b.eigenvalues, atol=1e-9)
+
+
+def test_fiedler_entries_path_and_repeated():
+    from graphwatch.operators.spectrum import fiedler_entries
+
+    # path a-b-c-d-e: the Fiedler vector splits the ends, sign fixed positive at the max
+    W = _dense(5, [(i, i + 1, 1) for i in range(4)])
+    v = fiedler_entries(list("abcde"), W)
+    # antisymmetric vector: |v| ties at both ends, the first node by id is made positive
+    assert v is not None and v[0] > 0 and abs(v[0] + v[4]) < 1e-9
+    # star: lambda2 = 1 is repeated -> no unique vector
+    assert fiedler_entries([f"n{i}" for i in range(6)], _dense(6, [(0, i, 1) for i in range(1, 6)])) is None
