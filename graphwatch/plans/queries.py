@@ -9,15 +9,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphwatch import jobs as J
+from graphwatch import sinks as K
+from graphwatch.functions import mitigation as M
+from graphwatch.functions.diagnosis import build_prompt, diagnose, parse_response
+from graphwatch.functions.redact import redact, redaction_report
+from graphwatch.functions.text import first_path_segment
+from graphwatch.operators import analyze as A
 from graphwatch.operators import graph as G
 from graphwatch.operators.analyze import analyze_spectra, calibrate
 from graphwatch.operators.baseline import feedback_alpha
 from graphwatch.operators.signals import embedding_outliers
+from graphwatch.operators.subgraph import dot_text, induced_edges, window_logs
 from graphwatch.operators.windows import count_windows, quarter_windows, range_filter, time_windows
 from graphwatch.plans import scenarios as sc
+from graphwatch.session import scratch_path
+from graphwatch.sources import lines as L
+from graphwatch.sources import structured as S
+from graphwatch.sources.registry import load_edges
+from graphwatch.sources.tables import edges_from_rows, event_log_line
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -219,10 +232,6 @@ def q_feedback_alpha(spark, sf):
 
 # ---------------------------------------------------------------- sources / parsers
 
-from graphwatch.functions.text import first_path_segment  # noqa: E402
-from graphwatch.sources import lines as L  # noqa: E402
-from graphwatch.sources import structured as S  # noqa: E402
-
 
 @query("parse_access_log")
 def q_parse_access_log(spark, sf):
@@ -273,13 +282,6 @@ def q_page_first_segment(spark, sf):
 
 # ---------------------------------------------------------------- text functions, diagnosis, mitigation
 
-from pyspark.sql import Window  # noqa: E402
-
-from graphwatch.functions import mitigation as M  # noqa: E402
-from graphwatch.functions.diagnosis import diagnose, parse_response  # noqa: E402
-from graphwatch.functions.redact import redact, redaction_report  # noqa: E402
-from graphwatch.operators.subgraph import dot_text, induced_edges, window_logs  # noqa: E402
-
 
 @query("redact_documents")
 def q_redact_documents(spark, sf):
@@ -381,14 +383,6 @@ def q_parse_responses(spark, sf):
 
 # ---------------------------------------------------------------- window-table outputs, sinks, jobs
 
-from graphwatch import jobs as J  # noqa: E402
-from graphwatch import sinks as K  # noqa: E402
-from graphwatch.functions.diagnosis import build_prompt  # noqa: E402
-from graphwatch.operators import analyze as A  # noqa: E402
-from graphwatch.session import scratch_path  # noqa: E402
-from graphwatch.sources.registry import load_edges  # noqa: E402
-from graphwatch.sources.tables import edges_from_rows, event_log_line  # noqa: E402
-
 
 def _attack(spark, sf):
     return _windows(spark, sf, "unit", True)
