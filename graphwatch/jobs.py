@@ -72,8 +72,7 @@ def run_batch(spark: SparkSession, specs: Sequence[str], out: str | None = None,
         res.windows.write.mode("overwrite").parquet(f"{out}/windows")
         res.anomalies.write.mode("overwrite").parquet(f"{out}/anomalies")
         sinks.write_audit(res.anomalies, f"{out}/audit")
-        res.report.orderBy("source_id", "line_no").select("line").coalesce(1) \
-            .write.mode("overwrite").text(f"{out}/report")
+        sinks.write_report(res.report, f"{out}/report")
     return res
 
 

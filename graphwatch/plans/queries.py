@@ -451,7 +451,7 @@ def q_audit_rows(spark, sf):
 @query("report_lines")
 def q_report_lines(spark, sf):
     windows, details = _attack_result(spark, sf)
-    return K.run_report(windows, details).select("line_no", "line")
+    return K.run_report(windows, details).select("window_no", "part", "line")
 
 
 @query("anomaly_prompts")

@@ -6,7 +6,7 @@ Each builder returns a DataFrame (so it can be inspected or tested), and a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphwatch.schema import STATUS_ANOMALY
@@ -53,9 +53,10 @@ def write_audit(events: DataFrame, path: str, kind: str = "anomaly") -> None:
 def stix_bundles(events: DataFrame, latest_only: bool = False) -> DataFrame:
     """One threat-intel bundle (JSON text) per anomaly, or only the latest per stream."""
     ev = events
-    if latest_only:
-        w = Window.partitionBy("source_id").orderBy(F.desc("window_no"))
-        ev = ev.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r")
+    if latest_only:   # partial aggregate: no stream's anomalies are sorted in one task
+        cols = [c for c in events.columns if c != "source_id"]
+        ev = (events.groupBy("source_id").agg(F.max_by(F.struct(*cols), F.col("window_no")).alias("_r"))
+              .select("source_id", "_r.*"))
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     ext = F.struct(F.col("nodes"), F.col("signals"), F.col("diagnosis"), F.col("mitigation"),
                    F.col("dot"), F.col("png_path"), F.col("feedback"))
@@ -74,8 +75,11 @@ def stix_bundles(events: DataFrame, latest_only: bool = False) -> DataFrame:
 
 def run_report(windows: DataFrame, details: DataFrame | None = None, mode: str = "batch",
                source: str = "") -> DataFrame:
-    """Report lines ``(source_id, line_no, line)``: header counts, one line per window,
-    and the DOT text after each anomalous window."""
+    """Report lines ``(source_id, window_no, part, line)`` in reading order
+    ``(window_no, part)``: header counts (window_no -1), one line per window, and
+    the DOT text after each anomalous window. The order key is carried instead of
+    a global line number, so no stream is numbered in one task; ``write_report``
+    writes the lines range-partitioned in that order."""
     head = windows.groupBy("source_id").agg(
         F.count(F.lit(1)).alias("_w"), F.count_if(F.col("status") == STATUS_ANOMALY).alias("_a"))
     header = head.select("source_id", F.posexplode(F.array(
@@ -94,8 +98,14 @@ def run_report(windows: DataFrame, details: DataFrame | None = None, mode: str =
             F.array(F.lit("```"), F.lit("")))).alias("_p", "line")).select(
             "source_id", "window_no", (F.col("_p") + 1).alias("_k"), "line")
         parts = parts.unionByName(dot)
-    w = Window.partitionBy("source_id").orderBy("window_no", "_k")
-    return parts.select("source_id", (F.row_number().over(w) - 1).alias("line_no"), "line")
+    return parts.select("source_id", "window_no", F.col("_k").alias("part"), "line")
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """Report text files whose names follow the reading order (range partitions)."""
+    (report.repartitionByRange("source_id", "window_no", "part")
+     .sortWithinPartitions("source_id", "window_no", "part")
+     .select("line").write.mode("overwrite").text(path))
 
 
 def window_feed(windows: DataFrame, live: bool = False) -> DataFrame:

@@ -31,12 +31,16 @@ def test_batch_outputs(spark, tmp_dir):
     ind = bundle["objects"][0]
     assert bundle["type"] == "bundle" and ind["type"] == "indicator" and ind["labels"] == ["anomaly"]
     assert ind["extensions"]["graphwatch"]["nodes"] == ev[0].nodes
-    lines = [r.line for r in res.report.orderBy("line_no").collect()]
+    lines = [r.line for r in res.report.orderBy("window_no", "part").collect()]
     assert lines[0].startswith("# graphwatch") and "windows: 13" in lines and "anomalies: 1" in lines
     assert any(line.startswith("- window 12:") and "[ANOMALY]" in line for line in lines)
     assert "```dot" in lines
     summary = res.summary.first()
     assert summary.windows == 13 and summary.anomalies == 1 and summary.anomaly
+    sinks.write_report(res.report, os.path.join(tmp_dir, "report"))
+    parts = sorted(f for f in os.listdir(os.path.join(tmp_dir, "report")) if f.startswith("part-"))
+    written = [ln.rstrip("\n") for f in parts for ln in open(os.path.join(tmp_dir, "report", f))]
+    assert written == lines
     path = os.path.join(tmp_dir, "audit")
     sinks.write_audit(res.anomalies, path)
     days = [d for d in os.listdir(path) if d.startswith("day=")]
