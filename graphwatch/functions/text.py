@@ -61,3 +61,17 @@ def parse_json_strict(text: Column) -> Column:
     first = F.try_variant_get(arr, "$[0]", "variant")
     second = F.try_variant_get(arr, "$[1]", "variant")
     return F.when(first.isNotNull() & second.isNull(), first)
+
+
+def elapsed_stamp(window_no: Column, window_seconds: int = 5, speed: float = 1.0,
+                  live: bool = False) -> Column:
+    """``mm:ss`` elapsed at a window: ``window × seconds`` (live mode counts from
+    index + 1); with a replay ``speed`` other than 1 both parts are divided by it
+    and rounded half-to-even, as the console stamp does."""
+    w = (window_no + 1) if live else window_no
+    secs = w * F.lit(int(window_seconds))
+    if speed == 1.0:
+        return F.format_string("%02d:%02d", F.floor(secs / 60).cast("long"), (secs % 60).cast("long"))
+    scaled = secs / F.lit(float(speed))
+    return F.format_string("%02d:%02d", F.bround(scaled / 60, 0).cast("long"),
+                           F.bround(scaled % 60, 0).cast("long"))

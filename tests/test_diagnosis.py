@@ -52,3 +52,13 @@ def test_dot_and_prompt(spark):
     assert dot.startswith("digraph") and '"a" -> "b" [label="2"' in dot and dot.endswith("}\n")
     p = df.select(build_prompt(F.lit(dot), F.array(F.lit("l1")), F.lit(2 / 3)).alias("p")).first().p
     assert "0.67" in p and "l1" in p and "digraph" in p
+
+
+def test_elapsed_stamp(spark):
+    from graphwatch.functions.text import elapsed_stamp
+
+    df = spark.createDataFrame([(i,) for i in (0, 1, 11, 12, 25)], "w long")
+    got = [r.s for r in df.select(elapsed_stamp(F.col("w"), 5).alias("s")).collect()]
+    assert got == [f"{w * 5 // 60:02d}:{w * 5 % 60:02d}" for w in (0, 1, 11, 12, 25)]
+    fast = [r.s for r in df.select(elapsed_stamp(F.col("w"), 5, speed=2.0).alias("s")).collect()]
+    assert fast == [f"{w * 5 / 2.0 / 60:02.0f}:{w * 5 / 2.0 % 60:02.0f}" for w in (0, 1, 11, 12, 25)]
