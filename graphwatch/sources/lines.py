@@ -29,13 +29,19 @@ ARROW = "->"
 
 def _edge_select(df: DataFrame, keep: Column, src: Column, dst: Column, weight: Column,
                  raw: Column, timestamp: Column | None = None,
-                 source_id: str | None = None) -> DataFrame:
-    """Project parsed columns onto the edge schema, keeping order columns if present."""
+                 source_id: str | None = None, keep_rejects: bool = False) -> DataFrame:
+    """Project parsed columns onto the edge schema, keeping order columns if present.
+
+    ``keep_rejects=True`` keeps every row and adds ``parsed_ok`` (for a quarantine sink).
+    """
     cols = set(df.columns)
     order = [F.col(c) if c in cols else F.lit(None).alias(c) for c in ("part", "pos", "seq")]
     sid = (F.lit(source_id) if source_id else
            (F.col("source_id") if "source_id" in cols else F.lit("lines"))).alias("source_id")
-    return df.filter(keep).select(
+    extra = [F.coalesce(keep, F.lit(False)).alias("parsed_ok")] if keep_rejects else []
+    base = df if keep_rejects else df.filter(keep)
+    return base.select(
+        *extra,
         sid, order[0].cast("string").alias("part"), order[1].cast("long").alias("pos"),
         order[2].cast("long").alias("seq"),
         src.alias("src"), dst.alias("dst"), weight.cast("double").alias("weight"),
@@ -45,7 +51,7 @@ def _edge_select(df: DataFrame, keep: Column, src: Column, dst: Column, weight:
 
 # ---------------------------------------------------------------- access log (S1, S12, C2)
 
-def parse_access_log(df: DataFrame, col: str = "value", source_id: str | None = None,
+def parse_access_log(df: DataFrame, col: str = "value", source_id: str | None = None, keep_rejects: bool = False,
                      parse_time: bool = True) -> DataFrame:
     """Combined access-log lines -> ``ip -> first path segment``, weight 1, timestamp text kept.
 
@@ -57,7 +63,7 @@ def parse_access_log(df: DataFrame, col: str = "value", source_id: str | None =
     out = _edge_select(
         df, ok, F.regexp_extract(line, ACCESS_LOG_PATTERN, 1),
         first_path_segment(F.regexp_extract(line, ACCESS_LOG_PATTERN, 4)),
-        F.lit(1.0), line, F.regexp_extract(line, ACCESS_LOG_PATTERN, 2), source_id)
+        F.lit(1.0), line, F.regexp_extract(line, ACCESS_LOG_PATTERN, 2), source_id, keep_rejects)
     if parse_time:
         out = out.withColumn("ts", F.try_to_timestamp(F.col("timestamp"),
                                                        F.lit("dd/MMM/yyyy:HH:mm:ss Z")))
@@ -66,7 +72,7 @@ def parse_access_log(df: DataFrame, col: str = "value", source_id: str | None =
 
 # ---------------------------------------------------------------- flow log (S6)
 
-def parse_flow_log(df: DataFrame, col: str = "value", source_id: str | None = None) -> DataFrame:
+def parse_flow_log(df: DataFrame, col: str = "value", source_id: str | None = None, keep_rejects: bool = False) -> DataFrame:
     """Space-separated flow-log v2 records: ``srcaddr -> dstaddr``, weight = packets (else 1.0).
 
     Needs at least 12 fields, version ``2``, and neither address ``-``;
@@ -78,12 +84,12 @@ def parse_flow_log(df: DataFrame, col: str = "value", source_id: str | None = No
     ok = (F.col(col).isNotNull() & (n >= FLOW_LOG_MIN_FIELDS)
           & (F.element_at(parts, 1) == FLOW_LOG_VERSION) & (src != "-") & (dst != "-"))
     weight = F.coalesce(F.element_at(parts, 9).try_cast("double"), F.lit(1.0))
-    return _edge_select(df, ok, src, dst, weight, F.btrim(F.col(col)), None, source_id)
+    return _edge_select(df, ok, src, dst, weight, F.btrim(F.col(col)), None, source_id, keep_rejects)
 
 
 # ---------------------------------------------------------------- syslog (S8)
 
-def parse_syslog(df: DataFrame, col: str = "value", source_id: str | None = None) -> DataFrame:
+def parse_syslog(df: DataFrame, col: str = "value", source_id: str | None = None, keep_rejects: bool = False) -> DataFrame:
     """Host pairs from syslog lines: ``src=… dst=…``; else the first IPv4 on each side of
     ``->``; else the first two IPv4 addresses on the line."""
     line = F.col(col)
@@ -100,19 +106,19 @@ def parse_syslog(df: DataFrame, col: str = "value", source_id: str | None = None
     dst = (F.when(has_pair, F.regexp_extract(line, SYSLOG_PAIR_PATTERN, 2))
            .when(arrow_ok, F.element_at(r_ips, 1)).otherwise(F.element_at(all_ips, 2)))
     ok = line.isNotNull() & (has_pair | arrow_ok | (F.size(all_ips) >= 2))
-    return _edge_select(df, ok, src, dst, F.lit(1.0), line, None, source_id)
+    return _edge_select(df, ok, src, dst, F.lit(1.0), line, None, source_id, keep_rejects)
 
 
 # ---------------------------------------------------------------- "a -> b" lines (S9)
 
-def parse_arrow_lines(df: DataFrame, col: str = "value", source_id: str | None = None) -> DataFrame:
+def parse_arrow_lines(df: DataFrame, col: str = "value", source_id: str | None = None, keep_rejects: bool = False) -> DataFrame:
     """``a -> b`` lines split on the first arrow, both ends trimmed and non-empty."""
     line = F.col(col)
     at = F.instr(line, ARROW)
     src = F.btrim(F.substring_index(line, ARROW, 1))
     dst = F.btrim(F.substring(line, at + len(ARROW), 1 << 30))
     ok = line.isNotNull() & (at > 0) & (F.length(src) > 0) & (F.length(dst) > 0)
-    return _edge_select(df, ok, src, dst, F.lit(1.0), line, None, source_id)
+    return _edge_select(df, ok, src, dst, F.lit(1.0), line, None, source_id, keep_rejects)
 
 
 # ---------------------------------------------------------------- readers

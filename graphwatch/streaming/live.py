@@ -243,6 +243,27 @@ def run_stream(spark: SparkSession, folder: str, out: str, checkpoint: str | Non
     return writer.start()
 
 
+def run_quarantine_stream(spark: SparkSession, folder: str, out: str,
+                          parser: Parser = L.parse_access_log, source_id: str = "live",
+                          checkpoint: str | None = None, available_now: bool = True):
+    """Lines of arriving files that do not parse, appended to ``out`` (R6: malformed
+    input never fails ingestion and is kept for inspection). Runs as its own query
+    with its own checkpoint next to ``run_stream``."""
+    ensure_checkpoint_dir(spark)
+    raw = spark.readStream.format("text").option("wholetext", True).load(folder).select(
+        "value", F.col("_metadata.file_path").alias("path"))
+    lines = raw.select(F.col("path").alias("part"),
+                       F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line", "value"))
+    lines = lines.withColumn("pos", F.lit(0).cast("long")).withColumn("seq", F.col("line"))
+    bad = (parser(lines, "value", source_id, keep_rejects=True).filter(~F.col("parsed_ok"))
+           .select("source_id", "part", F.col("seq").alias("line"), "raw"))
+    writer = (bad.writeStream.outputMode("append").format("parquet")
+              .option("checkpointLocation", checkpoint or f"{out}/_checkpoint_quarantine")
+              .option("path", out))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")
+    return writer.start()
+
+
 def event_time_adjacency(edges: DataFrame, seconds: float = 5.0, lateness: str = "10 seconds",
                          ts_col: str = "ts") -> DataFrame:
     """Streaming adjacency per event-time tumbling window, emitted once the watermark passes."""

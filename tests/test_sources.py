@@ -121,3 +121,16 @@ def test_registry_prefix_and_order(spark, tmp_dir):
         pass
     else:
         raise AssertionError("unknown prefix accepted")
+
+
+def test_quarantine_stream(spark, tmp_dir):
+    from graphwatch.streaming.live import run_quarantine_stream
+
+    inp = os.path.join(tmp_dir, "in")
+    os.makedirs(inp)
+    with open(os.path.join(inp, "a.log"), "w") as fh:
+        fh.write("\n".join([LINE, "garbage one", LINE, "garbage two"]) + "\n")
+    q = run_quarantine_stream(spark, inp, os.path.join(tmp_dir, "bad"))
+    q.awaitTermination(300)
+    got = sorted((r.line, r.raw) for r in spark.read.parquet(os.path.join(tmp_dir, "bad")).collect())
+    assert got == [(1, "garbage one"), (3, "garbage two")]
