@@ -60,8 +60,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def text_slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Yield (first row, bytes, row offsets) over slices of about SLICE_BYTES.
+def text_slices(texts: pa.Array, slice_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Yield (first row, bytes, row offsets) over slices of about ``slice_bytes``.
 
     Null texts count as empty. A row is never cut."""
     if len(texts) == 0:
@@ -74,7 +74,7 @@ def text_slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     lo, n = 0, len(arr)
     while lo < n:
-        hi = int(np.searchsorted(off, off[lo] + SLICE_BYTES, side="right")) - 1
+        hi = int(np.searchsorted(off, off[lo] + slice_bytes, side="right")) - 1
         hi = min(n, max(hi, lo + 1))
         yield lo, data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
         lo = hi

@@ -3,11 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact, minhash
+from graphwatch.session import scratch_path
+
+from . import decontam, directcodes, exact, minhash, packing, quality, shards
 from .common import documents
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shards.shuffle_shards(documents(spark, sf_dir).select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return out.select(
+        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(documents(spark, sf_dir))
 
@@ -16,7 +35,18 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op10_minhash)}
+def op6_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "codes")
+    directcodes.write_codes(documents(spark, sf_dir), path)
+    return directcodes.read_codes(spark, path, digest=True)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.with_crc(packing.pack_documents(documents(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_decontamination, op2_sharding, op3_quality, op5_exact_dedup, op6_token_codes, op9_packing, op10_minhash)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
