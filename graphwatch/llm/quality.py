@@ -1,7 +1,7 @@
 """Quality classifier from weak labels.
 
-Eight heuristic labellers vote good, bad or nothing on every document. The
-votes of the whole corpus are counted per pattern (3**8 at most), and
+Ten heuristic labellers vote good, bad or nothing on every document. The
+votes of the whole corpus are counted per pattern (3**10 at most), and
 expectation-maximisation over the counted patterns estimates how often each
 labeller votes what, given a good or a bad document, together with the share of
 good ones. The posterior of a pattern is the label of its documents; a hashed
@@ -20,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, prepare, text_slices, word_hashes
+from .common import NOT_ALNUM, SPACE, prepare, text_slices, word_hashes
 
-LABELLERS = ("capitals", "symbols", "doubled", "repetition", "word_length", "sentences", "short_words", "size")
+LABELLERS = ("capitals", "symbols", "doubled", "wordless", "repetition", "echoes", "word_length", "sentences",
+             "prose", "variety")
 DIMS = 1024                # hashed features
 TRAIN_ROWS = 8192          # about so many documents train the scorer (bounded sample, by hash of id and text)
 THRESHOLD = 0.5            # documents that score less are rejected
@@ -35,7 +36,8 @@ _PLAIN = np.zeros(256, np.int64)                    # what running text is made
 _PLAIN[np.r_[48:58, 65:91, 97:123, 128:256, 32, 9:14]] = 1
 for _c in b".,;:'\"()-?":
     _PLAIN[_c] = 1
-_STATS = ("n_bytes", "n_words", "capitals", "symbols", "doubled", "distinct", "word_bytes", "per_stop", "short")
+_STATS = ("n_bytes", "n_words", "capitals", "symbols", "doubled", "distinct", "word_bytes", "per_stop", "short",
+          "wordless", "echoes")
 
 
 def statistics(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -55,13 +57,20 @@ def statistics(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         twice = np.zeros(len(b), np.int64)
         if len(b) > 1:
             twice[1:] = odd[1:] & (b[1:] == b[:-1])
+        # words without a letter or digit, and words equal to the one before
+        alnum = np.concatenate([[0], np.cumsum(~NOT_ALNUM[b])])
+        wordless = alnum[ends] == alnum[starts]
+        echo = np.zeros(len(h), bool)
+        echo[1:] = h[1:] == h[:-1]
+        echo[first[:-1][first[:-1] < len(h)]] = False
         distinct = np.array([len(np.unique(h[s:e])) for s, e in zip(first[:-1], first[1:])], float)
         yield np.column_stack([
             n, words, total(_UPPER[b]) / np.maximum(total(_LETTER[b]), 1), total(odd) / some,
             total(twice) / wsome, np.where(words > 0, distinct / wsome, 1.0),
             total(1 - SPACE[b].astype(np.int64)) / wsome,
             words / np.maximum(total((b == 46) | (b == 63) | (b == 33)), 1),
-            total_words(ends - starts <= 3, first) / wsome]) if len(n) else np.zeros((0, len(_STATS))), b, off
+            total_words(ends - starts <= 3, first) / wsome, total_words(wordless, first) / wsome,
+            total_words(echo, first) / wsome]) if len(n) else np.zeros((0, len(_STATS))), b, off
 
 
 def total_words(flags: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -78,15 +87,19 @@ def votes(stats: np.ndarray) -> np.ndarray:
         return np.where(bad, 2, np.where(good, 1, 0))
 
     many = s["n_words"] >= 40
+    never = np.zeros(len(stats), bool)
+    calm = (s["symbols"] < 0.02) & (s["doubled"] < 0.02) & (s["capitals"] < 0.15)
     return np.column_stack([
-        vote(s["capitals"] < 0.15, s["capitals"] > 0.4),
-        vote(s["symbols"] < 0.02, s["symbols"] > 0.06),
-        vote(s["doubled"] < 0.02, s["doubled"] > 0.2),
-        vote(many & (s["distinct"] > 0.45), many & (s["distinct"] < 0.25)),
-        vote((s["word_bytes"] > 3) & (s["word_bytes"] < 9), (s["word_bytes"] < 2) | (s["word_bytes"] > 14)),
-        vote(many & (s["per_stop"] < 60), many & (s["per_stop"] > 150)),
-        vote(many & (s["short"] > 0.15) & (s["short"] < 0.7), many & (s["short"] < 0.03)),
-        vote(s["n_words"] >= 20, s["n_words"] < 2)]).astype(np.int64)
+        vote(never, s["capitals"] > 0.4),
+        vote(never, s["symbols"] > 0.05),
+        vote(never, s["doubled"] > 0.2),
+        vote(never, s["wordless"] > 0.2),
+        vote(never, many & (s["distinct"] < 0.2)),
+        vote(never, many & (s["echoes"] > 0.3)),
+        vote(never, (s["word_bytes"] < 2) | (s["word_bytes"] > 14)),
+        vote(never, many & ((s["per_stop"] > 150) | (s["short"] < 0.02))),
+        vote(calm & (s["wordless"] < 0.05), s["n_words"] < 2),
+        vote(calm & (s["echoes"] < 0.05) & (s["n_words"] >= 2), s["echoes"] > 0.6)]).astype(np.int64)
 
 
 _BASE = 3 ** np.arange(len(LABELLERS))
@@ -101,33 +114,41 @@ class LabelModel:
     table: np.ndarray
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
-        """Probability of good for rows of votes."""
+        """Probability of good for rows of votes. Only votes that were cast
+        count: bad documents are of many kinds, and the silence of the
+        labellers that look for other kinds speaks for neither class."""
         j = np.arange(v.shape[1])
-        logs = np.log(self.table[j, v]).sum(axis=1) + np.log([1 - self.good, self.good])
+        cast = np.where((v > 0)[:, :, None], np.log(self.table[j, v]), 0.0)
+        logs = cast.sum(axis=1) + np.log([1 - self.good, self.good])
         return 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -700, 700)))
 
 
+PRIOR_GOOD, RIGHT_BAD, RIGHT_GOOD = 0.8, 0.9, 0.95
+
+
 def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelModel:
     """EM over counted vote patterns. A weak prior (the weight of 2 % of the
-    documents, labellers right four times of five) keeps the classes named as
+    documents, bad votes right nine times of ten) keeps the classes named as
     the labellers name them, also where one class is absent."""
-    m, n = patterns.shape[1], max(1.0, float(counts.sum()))
+    n = max(1.0, float(counts.sum()))
     onehot = np.eye(3)[patterns]                                   # rows x labellers x votes
     spoken = np.einsum("r,rjv->jv", counts, onehot) / n
-    prior = np.empty((m, 3, 2))
-    for y, (right, wrong) in enumerate(((2, 1), (1, 2))):
-        prior[:, 0, y] = spoken[:, 0] + 1e-3
-        prior[:, right, y] = 0.8 * (1 - spoken[:, 0]) + 1e-3
-        prior[:, wrong, y] = 0.2 * (1 - spoken[:, 0]) + 1e-3
+    prior = np.empty((patterns.shape[1], 3, 2))
+    prior[:, 1, 1] = spoken[:, 1] * RIGHT_GOOD / PRIOR_GOOD
+    prior[:, 1, 0] = spoken[:, 1] * (1 - RIGHT_GOOD) / (1 - PRIOR_GOOD)
+    prior[:, 2, 0] = spoken[:, 2] * RIGHT_BAD / (1 - PRIOR_GOOD)
+    prior[:, 2, 1] = spoken[:, 2] * (1 - RIGHT_BAD) / PRIOR_GOOD
+    prior = np.clip(prior, 1e-4, 0.98)
+    prior[:, 0] = np.maximum(1 - prior[:, 1] - prior[:, 2], 1e-3)
     prior /= prior.sum(axis=1, keepdims=True)
     weight = max(1.0, 0.02 * n)
-    model = LabelModel(0.8, prior)
+    model = LabelModel(PRIOR_GOOD, prior)
     for _ in range(rounds):
         p = model.posterior(patterns)
         by = np.column_stack([counts * (1 - p), counts * p])       # rows x classes
         table = np.einsum("ry,rjv->jvy", by, onehot) + weight * prior
         table /= table.sum(axis=1, keepdims=True)
-        good = (by[:, 1].sum() + 0.8 * weight) / (n + weight)
+        good = (by[:, 1].sum() + PRIOR_GOOD * weight) / (n + weight)
         settled = abs(good - model.good) < 1e-9 and np.abs(table - model.table).max() < 1e-7
         model = LabelModel(float(good), table)
         if settled:
@@ -141,7 +162,7 @@ def _slot(name: str) -> int:
 
 _STEPS = {"capitals": [.05, .15, .3, .5], "symbols": [.01, .02, .04, .06, .1, .2], "doubled": [.02, .1, .3, .6, 1.2],
           "distinct": [.1, .15, .2, .25, .3, .4, .5, .7], "word_bytes": [2, 3, 4, 5, 6, 7, 8, 9, 11, 14],
-          "per_stop": [2, 5, 10, 20, 40, 80, 150], "short": [.03, .08, .15, .25, .4, .6],
+          "per_stop": [2, 5, 10, 20, 40, 80, 150], "short": [.03, .08, .15, .25, .4, .6], "wordless": [.02, .05, .1, .25, .4], "echoes": [.02, .05, .1, .3, .6],
           "n_words": [1, 2, 5, 10, 20, 40, 80, 160, 320, 640, 1280, 2560]}
 _SLOTS = {k: np.array([_slot(f"{k}:{i}") for i in range(len(v) + 1)]) for k, v in _STEPS.items()}
 _BYTE_PAIR = ((np.arange(65536, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)).astype(np.int64)
@@ -177,7 +198,7 @@ def _count_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = features(batch.column(1)).astype(np.float16)
-        v = np.concatenate([votes(s) for s, _, _ in statistics(batch.column(1))] or [np.zeros((0, 8), np.int64)])
+        v = np.concatenate([votes(s) for s, _, _ in statistics(batch.column(1))] or [np.zeros((0, len(LABELLERS)), np.int64)])
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(v @ _BASE, pa.int64()), pa.array([r.tobytes() for r in x], pa.binary())],
             names=["rank", "pattern", "x"])
@@ -212,7 +233,7 @@ class QualityModel:
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> QualityModel:
     """Label model from the votes on every document, scorer from about
-    ``train_rows`` documents. The driver gets the counted patterns (6,561 at
+    ``train_rows`` documents. The driver gets the counted patterns (59,049 at
     most) and the sample's features."""
     prepare(docs.sparkSession)
     text = F.col("text").cast("string").alias("text")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphwatch.session import scratch_path
 
-from . import decontam, directcodes, exact, minhash, packing, quality, shards
+from . import decontam, directcodes, editcounts, exact, fuzzylines, minhash, packing, pii, quality, shards
 from .common import documents
 
 
@@ -27,6 +27,17 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(documents(spark, sf_dir))
+
+    def count(k: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["k"] == k)).cast("long")
+
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.written_out(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        pii.written_out(F.col("spans")).alias("spans"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(documents(spark, sf_dir))
 
@@ -41,12 +52,39 @@ def op6_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return directcodes.read_codes(spark, path, digest=True)
 
 
+def derived_edits() -> Column:
+    """Three edits of each document, from its own columns: its source's name is
+    put in at one place, up to 40 code points are removed at another, and at a
+    third eight give way to its language."""
+    size = F.length(F.coalesce("text", F.lit("")))
+
+    def place(k: int) -> Column:
+        return F.pmod(F.xxhash64("doc_id", F.lit(k)), size + 1)
+
+    def edit(at, remove, insert) -> Column:
+        return F.struct(at.cast("long").alias("at"), F.lit(remove).cast("long").alias("remove"), insert.alias("insert"))
+
+    return F.array(edit(place(1), 0, F.concat(F.lit(" "), F.coalesce("source", F.lit("")), F.lit(": "))),
+                   edit(place(2), 40, F.lit("")), edit(place(3), 8, F.coalesce("lang", F.lit(""))))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("edits", derived_edits())
+    return editcounts.apply_edits(editcounts.plant_trees(docs)).select(
+        "doc_id", "n_before", "n_tokens", "n_edits", "n_bytes", "reencoded")
+
+
+def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzylines.fuzzy_lines(documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_crc(packing.pack_documents(documents(spark, sf_dir)))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontamination, op2_sharding, op3_quality, op5_exact_dedup, op6_token_codes, op9_packing, op10_minhash)}
+    op1_decontamination, op2_sharding, op3_quality, op4_pii, op5_exact_dedup, op6_token_codes, op7_token_counts,
+    op8_fuzzy_lines, op9_packing, op10_minhash)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
