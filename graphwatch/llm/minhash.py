@@ -4,12 +4,16 @@ A document's shingles are hashed once. The top bits of a hash name one of 128
 bins and the smallest hash of a bin is its signature entry; an empty bin takes
 the entry of another bin drawn by a fixed random sequence until a full one is
 met (optimal densification). Signature entries are grouped in bands; documents
-with an equal band share a bucket. A bucket proposes the links of a star, from
-its smallest member to all others, so that proposals grow with the members and
-not with their square. Links are confirmed on the full shingle sets. A bucket
-whose members are not yet all connected then tests what its star left open:
-only pairs between members of different components, so that no link that shares
-a bucket is lost.
+with an equal band share a bucket. A bucket proposes the links of a star, from its
+hub to all others, so that proposals grow with the members and not with their
+square; the hub is the member that shares most buckets, which in a group of
+edited copies is the text that they were made from. Links are confirmed on the
+full shingle sets. A bucket whose members are not yet all connected then tests
+what its star left open: pairs between members of different components, so that
+no link that shares a bucket is lost.
+
+Shingles that no other member of any bucket has bound what a pair can share, so
+copies with too many edits of their own are ruled out without a comparison.
 
 21 bands of 6: a pair of similarity 0.85 shares a bucket with probability
 1 - (1 - 0.85**6)**21 > 0.9999.
@@ -117,27 +121,34 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array([h.tobytes() for h in sets], pa.binary())], schema=_SETS)
 
 
-def _confirmer(percent: int):
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column(2), batch.column(3)
-            linked = []
-            for i in range(batch.num_rows):
-                x = np.frombuffer(a[i].as_py(), np.uint64)
-                y = np.frombuffer(b[i].as_py(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
-                linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
-    return confirm
+def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sizes of the intersections of sets, as sorted hashes."""
+    for batch in batches:
+        a, b = batch.column(2), batch.column(3)
+        common = []
+        for i in range(batch.num_rows):
+            x = np.frombuffer(a[i].as_py(), np.uint64)
+            y = np.frombuffer(b[i].as_py(), np.uint64)
+            if len(x) > len(y):
+                x, y = y, x
+            at = np.searchsorted(y, x)
+            at[at == len(y)] = 0
+            common.append(int((y[at] == x).sum()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(common, pa.int64())], names=["u", "v", "common"])
+
+
+def _own_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            h = np.frombuffer(raw, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), i, np.int64))], names=["shingle", "id"])
 
 
 def _near(percent: int):
-    """Sizes that a link allows at all."""
-    return (F.least("u_n", "v_n") * 100) >= (F.greatest("u_n", "v_n") * percent)
+    """What sizes and own shingles of a pair allow at all: at most the shingles
+    that are not its own can be shared."""
+    shared = F.least(F.col("u_n") - F.col("u_own"), F.col("v_n") - F.col("v_own"))
+    return shared * 100 >= (F.col("u_n") + F.col("v_n") - shared) * percent
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -166,35 +177,45 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = written(
         members.groupBy("digest").agg(F.min("rid").alias("rid"), F.first("n_shingles").alias("n"),
                                       F.first("bands").alias("bands")), "classes")
-    entries = classes.select(F.explode("bands").alias("key"), F.struct("digest", "n", "rid").alias("node"))
-    hubs = (entries.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
-            .filter(F.col("hub.digest") != F.col("last.digest")).select("key", "hub"))
-    shared = written(entries.join(hubs, "key").select(
-        "key", "node", "hub"), "shared")
-    star = (shared.filter(F.col("node.digest") != F.col("hub.digest"))
-            .select(F.col("hub.digest").alias("u"), F.col("node.digest").alias("v"),
-                    F.col("hub.n").alias("u_n"), F.col("node.n").alias("v_n"))
-            .filter(_near(percent)).select("u", "v").distinct())
+    entries = classes.select(F.explode("bands").alias("key"), "digest", "n", "rid")
+    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = written(entries.join(sizes, "key"), "shared")
     # sets of the documents that share a bucket, made again from their texts
-    wanted = shared.select(F.col("node.rid").alias("rid")).distinct()
+    wanted = shared.select("rid").distinct()
     sets = written(rows.select("rid", "text").join(wanted, "rid", "left_semi").select("text")
                    .mapInArrow(_sets, "digest binary, shingles binary")
-                   .join(shared.select(F.col("node.digest").alias("digest")).distinct(), "digest", "left_semi")
+                   .join(shared.select("digest").distinct(), "digest", "left_semi")
                    .dropDuplicates(["digest"]), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("digest").alias("u"), F.col("shingles").alias("u_set"))
         b = sets.select(F.col("digest").alias("v"), F.col("shingles").alias("v_set"))
         return written(pairs.join(a, "u").join(b, "v").select("u", "v", "u_set", "v_set")
-                       .mapInArrow(_confirmer(percent), "u binary, v binary"), "confirmed")
-
-    links = confirmed(star)
-    named = components(links)
+                       .mapInArrow(_intersect, "u binary, v binary, common long")
+                       .join(classes.select(F.col("digest").alias("u"), F.col("n").alias("u_n")), "u")
+                       .join(classes.select(F.col("digest").alias("v"), F.col("n").alias("v_n")), "v")
+                       .withColumn("all", F.col("u_n") + F.col("v_n") - F.col("common"))
+                       .select("u", "v", "common", "all", (F.col("common") * 100 >= F.col("all") * percent).alias("linked")),
+                       "confirmed")
+
+    zero = F.lit(0).cast("long")
+    ends = F.min(F.struct("digest", "n")).alias("a"), F.max(F.struct("digest", "n")).alias("b")
+    two = (shared.filter("size = 2").groupBy("key").agg(*ends)
+           .select(F.col("a.digest").alias("u"), F.col("b.digest").alias("v"), F.col("a.n").alias("u_n"),
+                   F.col("b.n").alias("v_n"), zero.alias("u_own"), zero.alias("v_own"))
+           .filter(_near(percent)).select("u", "v"))
+    members = _with_hubs(shared.filter("size > 2").select("key", "digest", "n"), sets, percent)
+    star = (members.filter("digest != hub")
+            .select(F.col("hub").alias("u"), F.col("digest").alias("v"), F.col("hub_n").alias("u_n"),
+                    F.col("n").alias("v_n"), F.col("hub_own").alias("u_own"), F.col("own").alias("v_own"))
+            .filter(_near(percent)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+    first = written(two.unionByName(star).distinct(), "first")
+    tested = confirmed(first)
+    named = components(tested.filter("linked"))
     # what the stars left open: pairs of one bucket in different components
-    open_pairs = _open_pairs(shared, named, percent)
-    open_pairs = written(open_pairs.join(star, ["u", "v"], "left_anti"), "open")
+    open_pairs = written(_open_pairs(members, tested, named, percent).join(first, ["u", "v"], "left_anti"), "open")
     if open_pairs.limit(1).count():
-        named = components(links.unionByName(confirmed(open_pairs)))
+        named = components(tested.unionByName(confirmed(open_pairs)).filter("linked"))
     named = written(named, "named")
     lowest = (signed.select("digest", "doc_id").join(named.withColumnRenamed("node", "digest"), "digest")
               .groupBy("component").agg(F.min("doc_id").alias("component_id")))
@@ -224,23 +245,57 @@ def _named_rows(signed: DataFrame, classes: DataFrame) -> DataFrame:
     return empty.unionByName(one).unionByName(rest)
 
 
-def _open_pairs(shared: DataFrame, named: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u < v) of one bucket whose components differ. One side is always
-    outside the component of the bucket's hub, so a bucket that its star has
-    connected proposes none."""
-    label = named.select(F.col("node").alias("_d"), "component")
-    at = (shared.join(label, F.col("node.digest") == F.col("_d"), "left")
-          .select("key", F.col("node.digest").alias("d"), F.col("node.n").alias("n"),
-                  F.coalesce("component", "node.digest").alias("c"), F.col("hub.digest").alias("h")))
-    of_hub = label.select(F.col("_d").alias("h"), F.col("component").alias("hub_c"))
-    at = written(at.join(of_hub, "h", "left").withColumn("out", F.col("c") != F.coalesce("hub_c", "h")), "labels")
-    outer = at.filter("out").select("key", F.col("d").alias("d1"), F.col("n").alias("n1"), F.col("c").alias("c1"))
-    inner = at.select("key", F.col("d").alias("d2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    return (outer.join(inner, "key").filter(F.col("c1") != F.col("c2"))
-            .select(F.least("d1", "d2").alias("u"), F.greatest("d1", "d2").alias("v"),
-                    F.when(F.col("d1") < F.col("d2"), F.col("n1")).otherwise(F.col("n2")).alias("u_n"),
-                    F.when(F.col("d1") < F.col("d2"), F.col("n2")).otherwise(F.col("n1")).alias("v_n"))
-            .filter(_near(percent)).select("u", "v").distinct())
+def _with_hubs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members (key, digest, n) of the buckets of three and more, with their own
+    shingles (own), without those whose own shingles rule out any link, and with
+    each bucket's hub: the member with most neighbours over all its buckets."""
+    present = members.select("digest").distinct()
+    held = (sets.join(present, "digest", "left_semi").select(F.xxhash64("digest").alias("id"), "shingles")
+            .mapInArrow(_own_shingles, "shingle long, id long"))
+    own = (held.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1")
+           .groupBy("id").agg(F.count(F.lit(1)).alias("own")))
+    counted = (members.withColumn("id", F.xxhash64("digest")).join(own, "id", "left").drop("id")
+               .withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
+               .filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent))
+    counted = written(counted, "members")
+    sizes = counted.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    near = counted.join(sizes, "key").groupBy("digest").agg(F.sum("size").alias("degree"))
+    node = F.struct("degree", "digest", "n", "own")
+    ranked = written(counted.join(near, "digest").select("key", node.alias("node")), "ranked")
+    hubs = (ranked.groupBy("key").agg(F.max("node").alias("hub"), F.count(F.lit(1)).alias("size"))
+            .filter("size > 1").select("key", "hub"))
+    return written(ranked.join(hubs, "key").select(
+        "key", "node.digest", "node.n", "node.own", F.col("hub.digest").alias("hub"), F.col("hub.n").alias("hub_n"),
+        F.col("hub.own").alias("hub_own")), "hubs")
+
+
+def _open_pairs(members: DataFrame, tested: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u < v) of one bucket whose components differ, each from the first
+    bucket that it shares. One side is always outside the component of the
+    bucket's hub, so a bucket that its star has connected proposes none.
+
+    Jaccard distance is a metric: members whose distances to the hub differ by
+    more than a link allows are not linked, and not proposed."""
+    label = named.select(F.col("node").alias("digest"), "component")
+    of_hub = named.select(F.col("node").alias("hub"), F.col("component").alias("hub_c"))
+    c, hub_c = F.coalesce("component", "digest"), F.coalesce("hub_c", "hub")
+    to_hub = tested.select(F.col("u").alias("_u"), F.col("v").alias("_v"), (1 - F.col("common") / F.col("all")).alias("far"))
+    far = F.when(F.col("digest") == F.col("hub"), F.lit(0.0)).otherwise(F.col("far"))
+    keys = members.groupBy("digest").agg(F.collect_set("key").alias("keys"))
+    at = written(members.join(label, "digest", "left").join(of_hub, "hub", "left").join(keys, "digest")
+                 .withColumns({"_u": F.least("digest", "hub"), "_v": F.greatest("digest", "hub")})
+                 .join(to_hub, ["_u", "_v"], "left")
+                 .select("key", "digest", "n", "own", "keys", far.alias("far"), c.alias("c"), (c != hub_c).alias("out")), "labels")
+    outer = at.filter("out").select("key", *(F.col(x).alias(f"u{y}") for x, y in _SIDES))
+    inner = at.select("key", *(F.col(x).alias(f"v{y}") for x, y in _SIDES))
+    allowed = 1 - percent / 100 + 1e-9
+    near = F.coalesce(F.abs(F.col("u_far") - F.col("v_far")) <= allowed, F.lit(True))
+    first = F.array_min(F.array_intersect("u_keys", "v_keys")) == F.col("key")
+    return (outer.join(inner, "key").filter((F.col("u_c") != F.col("v_c")) & _near(percent) & near & first)
+            .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+
+
+_SIDES = (("digest", ""), ("n", "_n"), ("own", "_own"), ("c", "_c"), ("far", "_far"), ("keys", "_keys"))
 
 
 def drop_near(docs: DataFrame, **options) -> DataFrame:
