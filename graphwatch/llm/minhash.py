@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, lower_ascii, mix64, prepare, text_slices, word_hashes, written
@@ -122,10 +122,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sizes of the intersections of sets, as sorted hashes."""
+    """Sizes of the intersections and unions of sets, as sorted hashes."""
     for batch in batches:
         a, b = batch.column(2), batch.column(3)
-        common = []
+        common, every = [], []
         for i in range(batch.num_rows):
             x = np.frombuffer(a[i].as_py(), np.uint64)
             y = np.frombuffer(b[i].as_py(), np.uint64)
@@ -134,7 +134,9 @@ def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.searchsorted(y, x)
             at[at == len(y)] = 0
             common.append(int((y[at] == x).sum()))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(common, pa.int64())], names=["u", "v", "common"])
+            every.append(len(x) + len(y) - common[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(common, pa.int64()), pa.array(every, pa.int64())],
+                                         names=["u", "v", "common", "every"])
 
 
 def _own_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,10 +146,8 @@ def _own_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), i, np.int64))], names=["shingle", "id"])
 
 
-def _near(percent: int):
-    """What sizes and own shingles of a pair allow at all: at most the shingles
-    that are not its own can be shared."""
-    shared = F.least(F.col("u_n") - F.col("u_own"), F.col("v_n") - F.col("v_own"))
+def _near(shared: Column, percent: int) -> Column:
+    """Whether a pair that shares at most ``shared`` shingles can be linked."""
     return shared * 100 >= (F.col("u_n") + F.col("v_n") - shared) * percent
 
 
@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     shared = written(entries.join(sizes, "key"), "shared")
     # sets of the documents that share a bucket, made again from their texts
     wanted = shared.select("rid").distinct()
-    sets = written(rows.select("rid", "text").join(wanted, "rid", "left_semi").select("text")
+    sets = written(rows.select("rid", "text").join(wanted.hint("merge"), "rid", "left_semi").select("text")
                    .mapInArrow(_sets, "digest binary, shingles binary")
                    .join(shared.select("digest").distinct(), "digest", "left_semi")
                    .dropDuplicates(["digest"]), "sets")
@@ -191,24 +191,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         a = sets.select(F.col("digest").alias("u"), F.col("shingles").alias("u_set"))
         b = sets.select(F.col("digest").alias("v"), F.col("shingles").alias("v_set"))
         return written(pairs.join(a, "u").join(b, "v").select("u", "v", "u_set", "v_set")
-                       .mapInArrow(_intersect, "u binary, v binary, common long")
-                       .join(classes.select(F.col("digest").alias("u"), F.col("n").alias("u_n")), "u")
-                       .join(classes.select(F.col("digest").alias("v"), F.col("n").alias("v_n")), "v")
-                       .withColumn("all", F.col("u_n") + F.col("v_n") - F.col("common"))
-                       .select("u", "v", "common", "all", (F.col("common") * 100 >= F.col("all") * percent).alias("linked")),
-                       "confirmed")
-
-    zero = F.lit(0).cast("long")
+                       .mapInArrow(_intersect, "u binary, v binary, common long, every long")
+                       .withColumn("linked", F.col("common") * 100 >= F.col("every") * percent), "confirmed")
+
     ends = F.min(F.struct("digest", "n")).alias("a"), F.max(F.struct("digest", "n")).alias("b")
     two = (shared.filter("size = 2").groupBy("key").agg(*ends)
-           .select(F.col("a.digest").alias("u"), F.col("b.digest").alias("v"), F.col("a.n").alias("u_n"),
-                   F.col("b.n").alias("v_n"), zero.alias("u_own"), zero.alias("v_own"))
-           .filter(_near(percent)).select("u", "v"))
+           .select(F.col("a.digest").alias("u"), F.col("b.digest").alias("v"), F.col("a.n").alias("u_n"), F.col("b.n").alias("v_n"))
+           .filter(_near(F.least("u_n", "v_n"), percent)).select("u", "v"))
     members = _with_hubs(shared.filter("size > 2").select("key", "digest", "n"), sets, percent)
-    star = (members.filter("digest != hub")
-            .select(F.col("hub").alias("u"), F.col("digest").alias("v"), F.col("hub_n").alias("u_n"),
-                    F.col("n").alias("v_n"), F.col("hub_own").alias("u_own"), F.col("own").alias("v_own"))
-            .filter(_near(percent)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+    star = members.filter("digest != hub").select(F.least("hub", "digest").alias("u"), F.greatest("hub", "digest").alias("v"))
     first = written(two.unionByName(star).distinct(), "first")
     tested = confirmed(first)
     named = components(tested.filter("linked"))
@@ -265,8 +256,7 @@ def _with_hubs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     hubs = (ranked.groupBy("key").agg(F.max("node").alias("hub"), F.count(F.lit(1)).alias("size"))
             .filter("size > 1").select("key", "hub"))
     return written(ranked.join(hubs, "key").select(
-        "key", "node.digest", "node.n", "node.own", F.col("hub.digest").alias("hub"), F.col("hub.n").alias("hub_n"),
-        F.col("hub.own").alias("hub_own")), "hubs")
+        "key", "node.digest", "node.n", "node.own", F.col("hub.digest").alias("hub")), "hubs")
 
 
 def _open_pairs(members: DataFrame, tested: DataFrame, named: DataFrame, percent: int) -> DataFrame:
@@ -274,28 +264,31 @@ def _open_pairs(members: DataFrame, tested: DataFrame, named: DataFrame, percent
     bucket that it shares. One side is always outside the component of the
     bucket's hub, so a bucket that its star has connected proposes none.
 
-    Jaccard distance is a metric: members whose distances to the hub differ by
-    more than a link allows are not linked, and not proposed."""
+    What a pair can share is bounded by the star: shingles that the hub has, as
+    many as the one with fewer of them, and others, as many as the one with
+    fewer that are not its own."""
     label = named.select(F.col("node").alias("digest"), "component")
     of_hub = named.select(F.col("node").alias("hub"), F.col("component").alias("hub_c"))
     c, hub_c = F.coalesce("component", "digest"), F.coalesce("hub_c", "hub")
-    to_hub = tested.select(F.col("u").alias("_u"), F.col("v").alias("_v"), (1 - F.col("common") / F.col("all")).alias("far"))
-    far = F.when(F.col("digest") == F.col("hub"), F.lit(0.0)).otherwise(F.col("far"))
+    with_hub = tested.select(F.col("u").alias("_u"), F.col("v").alias("_v"), "common")
+    common = F.when(F.col("digest") == F.col("hub"), F.col("n")).otherwise(F.col("common"))
+    # a copy's own shingles are among those that the hub has not; the hub's own are its own
+    others = F.when(F.col("digest") == F.col("hub"), F.lit(0)).otherwise(F.col("n") - F.col("common") - F.col("own"))
     keys = members.groupBy("digest").agg(F.collect_set("key").alias("keys"))
     at = written(members.join(label, "digest", "left").join(of_hub, "hub", "left").join(keys, "digest")
                  .withColumns({"_u": F.least("digest", "hub"), "_v": F.greatest("digest", "hub")})
-                 .join(to_hub, ["_u", "_v"], "left")
-                 .select("key", "digest", "n", "own", "keys", far.alias("far"), c.alias("c"), (c != hub_c).alias("out")), "labels")
+                 .join(with_hub, ["_u", "_v"], "left")
+                 .select("key", "digest", "n", "keys", common.alias("common"), others.cast("long").alias("others"),
+                         c.alias("c"), (c != hub_c).alias("out")), "labels")
     outer = at.filter("out").select("key", *(F.col(x).alias(f"u{y}") for x, y in _SIDES))
     inner = at.select("key", *(F.col(x).alias(f"v{y}") for x, y in _SIDES))
-    allowed = 1 - percent / 100 + 1e-9
-    near = F.coalesce(F.abs(F.col("u_far") - F.col("v_far")) <= allowed, F.lit(True))
+    shared = F.least("u_common", "v_common") + F.least("u_others", "v_others")
     first = F.array_min(F.array_intersect("u_keys", "v_keys")) == F.col("key")
-    return (outer.join(inner, "key").filter((F.col("u_c") != F.col("v_c")) & _near(percent) & near & first)
+    return (outer.join(inner, "key").filter((F.col("u_c") != F.col("v_c")) & _near(shared, percent) & first)
             .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
 
 
-_SIDES = (("digest", ""), ("n", "_n"), ("own", "_own"), ("c", "_c"), ("far", "_far"), ("keys", "_keys"))
+_SIDES = (("digest", ""), ("n", "_n"), ("c", "_c"), ("common", "_common"), ("others", "_others"), ("keys", "_keys"))
 
 
 def drop_near(docs: DataFrame, **options) -> DataFrame:
