@@ -14,6 +14,7 @@ from graphwatch.session import ensure_checkpoint_dir, scratch_path, ship_package
 # Texts are worked on in pieces of about this many bytes, so that the numpy
 # temporaries of a task stay small whatever the Arrow batch holds.
 SLICE_BYTES = 2 << 20
+BATCH_ROWS = 1000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,9 +22,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Checkpoint folder known, package importable in the Python workers."""
+    """Checkpoint folder known, package importable in the Python workers, and
+    Arrow batches that hold whole documents kept to a few megabytes."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows)) > BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ from .tokens import encoder, tokenizer_path
 
 LENGTH = 1024
 END_ID = 2
-PARTITION_BYTES = 24 << 20
+PARTITION_BYTES = 12 << 20
 
 _PLACED = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                      ("ids", pa.binary()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
