@@ -161,7 +161,9 @@ def fuzzy_lines(docs: DataFrame, max_bits: int = MAX_BITS, similarity: float = S
                 .join(texts.select(F.col("digest").alias("v"), F.col("line").alias("b")), "v"))
         # the largest distance allowed; a hair more than the product, which is not exact
         most = f"cast(floor(greatest(length(a), length(b)) * {1 - similarity} + 1e-9) as int)"
-        close = F.expr(f"abs(length(a) - length(b)) <= {most} and levenshtein(a, b, {most}) >= 0")
+        # most lines that are near differ little: a narrow band answers for them
+        close = F.expr(f"abs(length(a) - length(b)) <= {most} and (levenshtein(a, b, least(12, {most})) >= 0"
+                       f" or levenshtein(a, b, {most}) >= 0)")
         return written(both.filter(close).select("u", "v"), "verified")
 
     links = verified(first)
