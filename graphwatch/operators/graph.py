@@ -130,42 +130,54 @@ def components(adj: DataFrame, key: Sequence[str] = WINDOW_KEY, pairs_bound: int
         ship_package(adj.sparkSession)
         schema = adj.select(*k).schema.add("node", "string").add("component", "string")
         return adj.select(*k, "src", "dst").groupBy(*k).applyInPandas(_local_components(k), schema)
-    return propagate_components(adj, k, max_iter)
+    return propagate_components(adj, k)
 
 
 def propagate_components(adj: DataFrame, key: Sequence[str] = WINDOW_KEY,
-                         max_iter: int = 64) -> DataFrame:
-    """Min-label propagation with pointer jumping, all as DataFrame joins.
-
-    Each round every node takes the smallest label among itself and its
-    neighbours, then jumps to its label's label; the number of rounds grows
-    with the logarithm of the component diameter. The edge list and every
-    round's labels are written with a reliable ``checkpoint()`` (folder
-    from ``spark.checkpoint.dir``), so each round is a short plan over
-    materialized tables and a lost executor recomputes one round only.
+                         max_iter: int = 200) -> DataFrame:
+    """Components by alternating star steps, all as DataFrame joins.
+
+    A large-star step links every larger neighbour of a node to the smallest
+    node around it, a small-star step every smaller one. Links of a component
+    end as one star around its smallest node; a path of any length settles in a
+    number of rounds that grows with the logarithm of its nodes. Every round's
+    links are written with a reliable ``checkpoint()``. Raises where
+    ``max_iter`` rounds do not settle, instead of returning wrong components.
     """
     k = list(key)
-    und = (adj.filter(F.col("src") != F.col("dst"))
-           .select(*k, F.col("src").alias("a"), F.col("dst").alias("b")))
-    und = und.union(und.select(*k, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    und = und.checkpoint(eager=True)
-    labels = nodes(adj, k).withColumn("label", F.col("node")).checkpoint(eager=True)
+    links = (adj.filter(F.col("src") != F.col("dst"))
+             .select(*k, F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
+             .distinct().checkpoint(eager=True))
+    before = _links_state(links, k)
     for _ in range(max_iter):
-        via_edge = (und.join(labels.select(*k, F.col("node").alias("a"), "label"), [*k, "a"])
-                    .groupBy(*k, F.col("b").alias("node")).agg(F.min("label").alias("cand")))
-        stepped = (labels.join(via_edge, [*k, "node"], "left")
-                   .select(*k, "node", F.least("label", F.coalesce("cand", "label")).alias("label"),
-                           F.col("label").alias("old")))
-        parent = stepped.select(*k, F.col("node").alias("label"), F.col("label").alias("jump"))
-        jumped = (stepped.join(parent, [*k, "label"], "left")
-                  .select(*k, "node", F.least("label", F.coalesce("jump", "label")).alias("label"),
-                          "old")
-                  .checkpoint(eager=True))
-        changed = jumped.filter(F.col("label") != F.col("old")).limit(1).count()
-        labels = jumped.drop("old")
-        if changed == 0:
+        links = _small_star(_large_star(links, k), k).checkpoint(eager=True)
+        now = _links_state(links, k)
+        if now == before:
             break
-    return labels.withColumnRenamed("label", "component")
+        before = now
+    else:
+        raise RuntimeError(f"components not settled after {max_iter} rounds")
+    named = links.select(*k, F.col("u").alias("node"), F.col("v").alias("component"))
+    return (nodes(adj, k).join(named, [*k, "node"], "left")
+            .select(*k, "node", F.coalesce("component", "node").alias("component")))
+
+
+def _large_star(links: DataFrame, k: list[str]) -> DataFrame:
+    both = links.unionByName(links.select(*k, F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy(*k, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+    return (both.join(low, [*k, "u"]).filter(F.col("v") > F.col("u"))
+            .select(*k, F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+
+
+def _small_star(links: DataFrame, k: list[str]) -> DataFrame:
+    low = links.groupBy(*k, "u").agg(F.min("v").alias("m"))
+    moved = links.join(low, [*k, "u"]).select(*k, F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(low.select(*k, "u", F.col("m").alias("v"))).filter(F.col("u") != F.col("v")).distinct()
+
+
+def _links_state(links: DataFrame, k: list[str]) -> tuple:
+    h = F.xxhash64(*k, "u", "v")
+    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.xxhash64(h).cast("decimal(38,0)"))).first())
 
 
 def component_counts(comps: DataFrame, key: Sequence[str] = WINDOW_KEY) -> DataFrame:

@@ -3,8 +3,8 @@
 Count windows (R1): files arriving in a folder are read whole (one row per
 rolled file, so every line keeps its exact position), parsed, and handed to
 a keyed stateful function per stream. Its state holds only the window
-counter and the edges of the unfinished window (fewer than ``window_size``,
-at most ``buffer_cap``); every full window is emitted once, the remainder
+counter and the edges of the unfinished window (fewer than ``window_size``;
+no edge is dropped unless a ``buffer_cap`` below that is asked for); every full window is emitted once, the remainder
 waits for the next batch — live mode never analyses a short window.
 
 Per micro-batch (``foreachBatch``) the emitted windows go through the same
@@ -36,7 +36,7 @@ from graphwatch.sources import lines as L
 
 # Fixed values of the live mode.
 LIVE_WINDOW = 200
-BUFFER_CAP = 20_000            # newest edges kept per stream
+BUFFER_CAP = None              # newest edges kept of an unfinished window; None: all of them
 
 _EDGE_FIELDS = [("part", T.StringType()), ("line", T.LongType()), ("src", T.StringType()),
                 ("dst", T.StringType()), ("weight", T.DoubleType()), ("raw", T.StringType())]
@@ -83,7 +83,7 @@ def line_stream(spark: SparkSession, folder: str, parser: Parser = L.parse_acces
     return parsed.select("source_id", "part", F.col("seq").alias("line"), "src", "dst", "weight", "raw")
 
 
-def _window_state_fn(window_size: int, buffer_cap: int):
+def _window_state_fn(window_size: int, buffer_cap: int | None):
     cols = [n for n, _ in _EDGE_FIELDS]
 
     def run(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -96,13 +96,13 @@ def _window_state_fn(window_size: int, buffer_cap: int):
         new = pd.concat([p[cols] for p in pdfs], ignore_index=True)
         new = new.sort_values(["part", "line"], kind="stable")
         allrows = pd.concat([buf, new], ignore_index=True) if len(buf) else new
-        if len(allrows) > buffer_cap + window_size:
-            extra = len(allrows) - (buffer_cap + window_size)
-            dropped += extra
-            allrows = allrows.iloc[extra:]
+        # full windows are cut before anything else: what waits is less than one window
         full = (len(allrows) // window_size) * window_size
         out = allrows.iloc[:full].copy()
         rest = allrows.iloc[full:]
+        if buffer_cap is not None and len(rest) > buffer_cap:
+            dropped += len(rest) - buffer_cap
+            rest = rest.iloc[len(rest) - buffer_cap:]
         if full:
             out.insert(0, "rank", range(next_window * window_size, next_window * window_size + full))
             out.insert(0, "window_no", out["rank"] // window_size)
@@ -116,7 +116,7 @@ def _window_state_fn(window_size: int, buffer_cap: int):
 
 
 def live_count_windows(edges: DataFrame, window_size: int = LIVE_WINDOW,
-                       buffer_cap: int = BUFFER_CAP) -> DataFrame:
+                       buffer_cap: int | None = BUFFER_CAP) -> DataFrame:
     """Streaming edges -> rows of complete count windows (``LIVE_EDGE_SCHEMA``)."""
     ship_package(edges.sparkSession)
     return edges.groupBy("source_id").applyInPandasWithState(
