@@ -14,7 +14,7 @@ from graphwatch.schema import STATUS_ANOMALY
 # Fixed values of the bundle format (own identifiers).
 BUNDLE_PREFIX = "bundle--graphwatch-"
 INDICATOR_PREFIX = "indicator--graphwatch-"
-INDICATOR_NAME = "Spectral graph anomaly"
+INDICATOR_NAME = "Graph window with a spectral outlier"
 INDICATOR_PATTERN = "[x-graphwatch:anomaly = 'spectral']"
 
 

@@ -111,12 +111,12 @@ def test_registry_prefix_and_order(spark, tmp_dir):
         fh.write(LINE + "\n")
     with open(b, "w") as fh:
         fh.write("x -> y\n")
-    assert resolve("nginx:" + a)[0] == "nginx"
+    assert resolve(spark, "nginx:" + a)[0] == "nginx"
     e = load_edges(spark, ["nginx:" + a, "arrow:" + b])
     got = [(r.src, r.dst) for r in e.orderBy("part", "pos", "seq").collect()]
     assert got == [("10.0.0.6", "api"), ("x", "y")]
     try:
-        resolve("nosuch:" + a)
+        resolve(spark, "nosuch:" + a)
     except ValueError:
         pass
     else:
