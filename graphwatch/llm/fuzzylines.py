@@ -180,7 +180,7 @@ def fuzzy_lines(docs: DataFrame, max_bits: int = MAX_BITS, similarity: float = S
     out = _with_groups(lines, written(groups, "line-groups"))
     same = F.col("doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("line_no") == F.col("g.line_no"))
     return out.select("doc_id", "line_no", F.col("g.doc_id").alias("group_doc"), F.col("g.line_no").alias("group_line"),
-                      F.coalesce(same, F.lit(True)).alias("kept"))
+                      F.when(F.col("g").isNull(), True).otherwise(same).alias("kept"))
 
 
 def _open_pairs(wanted: DataFrame, hubs: DataFrame, near: DataFrame, named: DataFrame) -> DataFrame:
