@@ -13,8 +13,8 @@ from graphwatch.session import ensure_checkpoint_dir, scratch_path, ship_package
 
 # Texts are worked on in pieces of about this many bytes, so that the numpy
 # temporaries of a task stay small whatever the Arrow batch holds.
-SLICE_BYTES = 2 << 20
-BATCH_ROWS = 1000
+SLICE_BYTES = 1 << 20
+BATCH_ROWS = 500
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +107,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     have = len(_POWERS.get("up", ()))
     if have < n:
-        size = max(n, 2 * SLICE_BYTES)
+        size = max(n, SLICE_BYTES + (SLICE_BYTES >> 2))
         for name, base in (("up", _R), ("down", _R_INV)):
             p = np.full(size, np.uint64(base), np.uint64)
             p[0] = 1

@@ -14,7 +14,6 @@ Spark on any store. ``(part, segment)`` is their order.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,13 +146,6 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     names=["part", "segment", "doc_id", "start", "n_tokens", "ids"])
 
 
-def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        crc = pa.array([zlib.crc32(x) for x in batch.column(5).to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:5], crc],
-                                         names=["part", "segment", "doc_id", "start", "n_tokens", "ids_crc32"])
-
-
 def _starts(segments: DataFrame) -> DataFrame:
     """(part, segment, before): ids before each segment, by a running sum inside
     each part and one over the parts' totals."""
@@ -173,9 +165,6 @@ def read_codes(spark, path: str, digest: bool = False) -> DataFrame:
     prepare(spark)
     segments = spark.read.parquet(path)
     docs = segments.mapInArrow(_reader, "part int, segment int, doc_id long, start long, n_tokens long, ids binary")
-    last = "ids"
-    if digest:
-        docs, last = docs.mapInArrow(
-            _checked, "part int, segment int, doc_id long, start long, n_tokens long, ids_crc32 long"), "ids_crc32"
+    last = F.crc32("ids").alias("ids_crc32") if digest else F.col("ids")
     return (docs.join(_starts(segments), ["part", "segment"])
             .select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", last))

@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import prepare, written
 
-BUCKET_BYTES = 32 << 20     # content of one table
+BUCKET_BYTES = 8 << 20      # content of one table
 FAN_OUT = 8                 # parts of a bucket that is split again
-FOLD_BYTES = 24 << 20       # copies are folded over so much text at a time
+FOLD_BYTES = 8 << 20        # copies are folded over so much text at a time
 MAX_LEVELS = 12
 LISTED = 4096               # more buckets than this to split: all are split
 

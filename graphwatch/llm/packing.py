@@ -13,7 +13,6 @@ unfilled sequences.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,8 +75,7 @@ def _packer(path: str, length: int, end_id: int):
         for batch in batches:
             for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of.encode(batch.column(1))):
                 whole = np.concatenate([ids.astype("<u4"), end])
-                rows += [(doc_id, k, s, n, whole[s:s + n].astype("<u2").tobytes() if whole.max() < 65536
-                          else whole[s:s + n].tobytes()) for k, (s, n) in enumerate(cut(len(whole), length))]
+                rows += [(doc_id, k, s, n, whole[s:s + n].tobytes()) for k, (s, n) in enumerate(cut(len(whole), length))]
         # a lost task that runs again packs alike, in whatever order its rows come
         rows.sort(key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[1], r[4]))
         sequence, offset = sum_of_squares(np.array([r[3] for r in rows], np.int64), length)
@@ -94,8 +92,7 @@ def _packer(path: str, length: int, end_id: int):
 def pack_documents(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, tokenizer: str | None = None,
                    partition_bytes: int = PARTITION_BYTES) -> DataFrame:
     """(doc_id, piece, start, length, ids, sequence_id, offset), one row per piece;
-    ``ids`` holds little-endian unsigned 16-bit ids (32-bit where the document
-    has one that needs them: then 4 * length bytes).
+    ``ids`` holds little-endian unsigned 32-bit ids.
 
     Null and empty texts are a piece of the end id alone. Repeated rows and null
     doc_ids are packed like others. Other columns are not read. An empty table
@@ -112,16 +109,6 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID,
             .mapInArrow(_packer(tokenizer_path(tokenizer), length, end_id), PLACED))
 
 
-def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes, ids = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-        crc = [zlib.crc32(np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4").astype("<u4").tobytes())
-               for n, x in zip(sizes, ids)]
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:4], pa.array(crc, pa.int64()), *batch.columns[5:]],
-            names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-
 def with_crc(pieces: DataFrame) -> DataFrame:
-    """The pieces with the crc32 of their ids (as unsigned 32-bit) for the ids."""
-    return pieces.mapInArrow(_crc, PLACED.replace("ids binary", "ids_crc32 long"))
+    """The pieces with the crc32 of their ids for the ids."""
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")

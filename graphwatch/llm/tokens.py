@@ -17,9 +17,9 @@ import pyarrow as pa
 from .common import ragged, text_slices
 
 TOKENIZER = "byte_bpe_50k.json"
-KEPT_PIECES = 500_000          # the memory is emptied beyond so many pieces
-KEPT_IDS = 4_000_000           # or ids
-SLICE = 3 << 20                # bytes of text worked on at once
+KEPT_PIECES = 300_000          # the memory is emptied beyond so many pieces
+KEPT_IDS = 3_000_000           # or ids
+SLICE = 2 << 20                # bytes of text worked on at once
 JOINED = 1000                  # new pieces that go to the library as one text
 
 
