@@ -95,7 +95,8 @@ _WS = r"^\s+|\s+$"
 
 
 def parse_response(text: Column) -> Column:
-    """A model's reply -> ``struct<parsed, diagnosis, root_cause, total, kind, script>``.
+    """A model's reply -> ``struct<parsed, diagnosis, root_cause, total, kind, script,
+    explanation, spectral, log>``.
 
     Code fences (with an optional ``json`` tag) are removed and the rest is
     parsed as a JSON object; anything else becomes the fallback shape with
@@ -118,7 +119,13 @@ def parse_response(text: Column) -> Column:
         F.when(ok, F.try_variant_get(v, "$.mitigation.type", "string"))
         .otherwise(F.lit("none")).alias("kind"),
         F.when(ok, F.try_variant_get(v, "$.mitigation.script", "string"))
-        .otherwise(F.lit("")).alias("script"))
+        .otherwise(F.lit("")).alias("script"),
+        F.when(ok, F.try_variant_get(v, "$.mitigation.explanation", "string"))
+        .otherwise(F.lit("")).alias("explanation"),
+        F.when(ok, F.try_variant_get(v, "$.confidence.spectral", "double"))
+        .otherwise(F.lit(0.0)).alias("spectral"),
+        F.when(ok, F.try_variant_get(v, "$.confidence.log", "double"))
+        .otherwise(F.lit(0.0)).alias("log"))
 
 
 # ---------------------------------------------------------------- prompt text (C11)

@@ -35,6 +35,11 @@ def fmt_g(x: Column) -> Column:
             .otherwise(out))
 
 
+def strip(text: Column) -> Column:
+    """``text`` without the white space (blanks, tabs, line ends) at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def first_path_segment(path: Column) -> Column:
     """``/a/b`` -> ``a``; ``/`` or ``//`` -> ``/``; a query string stays (``/?q=1`` -> ``?q=1``)."""
     seg = F.split(F.btrim(path, F.lit("/")), "/").getItem(0)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphwatch import sinks
 from graphwatch.functions.diagnosis import diagnose as rule_diagnose
+from graphwatch.functions.diagnosis import parse_response
 from graphwatch.functions.mitigation import fallback_mitigation, validate_mitigations
 from graphwatch.operators.analyze import (analyze_spectra, calibrate, latest, run_summary,
                                           window_spectra, window_summary)
@@ -41,19 +42,41 @@ class BatchResult:
     summary: DataFrame
 
 
+def diagnosed(details: DataFrame, responses: DataFrame | None = None) -> DataFrame:
+    """Anomaly details with a diagnosis and the verdict on the script that it carries.
+
+    ``responses`` (source_id, window_no, text) are model replies: where a window has
+    one, its diagnosis comes from there, else from the rule. A diagnosis without a
+    script gets the rendered one for the first node."""
+    details = rule_diagnose(details)
+    if responses is not None:
+        reply = responses.select("source_id", "window_no", parse_response(F.col("text")).alias("_reply"))
+        details = details.join(reply, ["source_id", "window_no"], "left")
+        diagnosis = F.col("diagnosis")
+        for field, part in (("diagnosis", "diagnosis"), ("root_cause", "root_cause"),
+                            ("confidence.spectral", "spectral"), ("confidence.log", "log"),
+                            ("confidence.total", "total"), ("mitigation.type", "kind"),
+                            ("mitigation.script", "script"), ("mitigation.explanation", "explanation")):
+            diagnosis = diagnosis.withField(field, F.when(F.col("_reply").isNotNull(), F.col(f"_reply.{part}"))
+                                            .otherwise(F.col(f"diagnosis.{field}")))
+        details = details.withColumn("diagnosis", diagnosis).drop("_reply")
+    script = fallback_mitigation(F.col("diagnosis.mitigation.type"), F.col("diagnosis.mitigation.script"),
+                                 F.col("nodes"))
+    details = details.withColumn("diagnosis", F.col("diagnosis")
+                                 .withField("mitigation.type", script["type"])
+                                 .withField("mitigation.script", script["script"]))
+    return validate_mitigations(details, "diagnosis.mitigation.type", "diagnosis.mitigation.script")
+
+
 def analyze_edges(edges: DataFrame, window_size: int = 200, warmup: int = 12, delta: float = 0.2,
                   adaptive: bool = False, alpha: float = 0.3, mitigate: bool = True,
-                  feedback: str = "") -> BatchResult:
+                  feedback: str = "", responses: DataFrame | None = None) -> BatchResult:
     """Windows -> spectra -> status; anomaly details, diagnosis, validated mitigation."""
     windowed, adj, spec = window_spectra(edges, window_size)
     windows = analyze_spectra(spec, warmup, delta, adaptive, alpha)
     details = anomaly_details(windows, adj, windowed)
     if mitigate:
-        details = rule_diagnose(details)
-        fb = fallback_mitigation(F.col("diagnosis.mitigation.type"),
-                                 F.col("diagnosis.mitigation.script"), F.col("nodes"))
-        details = (details.withColumn("_kind", fb["type"]).withColumn("_script", fb["script"]))
-        details = validate_mitigations(details, "_kind", "_script").drop("_kind", "_script")
+        details = diagnosed(details, responses)
     events = sinks.anomaly_events(details, feedback)
     report = sinks.run_report(windows, details)
     return BatchResult(windows, events, report, run_summary(windows))
@@ -104,16 +127,12 @@ def diagnose(edges: DataFrame, min_edges: int = POSTED_MIN_EDGES) -> tuple[DataF
     """
     counts = edges.groupBy("source_id").agg(F.count(F.lit(1)).alias("_n"))
     ok = counts.filter(F.col("_n") >= min_edges).select("source_id")
-    usable = edges.join(F.broadcast(ok), "source_id", "left_semi")  # one row per stream
+    usable = edges.join(ok, "source_id", "left_semi")
     windowed = quarter_windows(usable)
     adj = adjacency(windowed)
     spec = spectrum(adj)
     windows = analyze_spectra(spec, warmup=POSTED_WARMUP)
-    details = rule_diagnose(anomaly_details(windows, adj, windowed))
-    fb = fallback_mitigation(F.col("diagnosis.mitigation.type"), F.col("diagnosis.mitigation.script"),
-                             F.col("nodes"))
-    details = details.withColumn("_kind", fb["type"]).withColumn("_script", fb["script"])
-    details = validate_mitigations(details, "_kind", "_script").drop("_kind", "_script")
+    details = diagnosed(anomaly_details(windows, adj, windowed))
     events = sinks.anomaly_events(details)
     errors = counts.filter(F.col("_n") < min_edges).select(
         "source_id", F.lit(False).alias("ok"),

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from graphwatch.operators import baseline as bl
 from graphwatch.operators.graph import adjacency
-from graphwatch.operators.signals import (DEFAULT_DELTA, cluster_signal, fiedler_signal,
-                                          multiplicity_signal, vote)
+from graphwatch.operators.signals import DEFAULT_DELTA, DETECTORS, vote
 from graphwatch.operators.spectrum import spectrum
 from graphwatch.operators.windows import count_windows
 from graphwatch.schema import (REASON_TINY, STATUS_ANOMALY, STATUS_BASELINE, STATUS_NORMAL)
@@ -30,19 +29,15 @@ def with_baseline(spec: DataFrame, warmup: int = bl.DEFAULT_WARMUP, adaptive: bo
 
 
 def classify(based: DataFrame, warmup: int = bl.DEFAULT_WARMUP,
-             delta: float = DEFAULT_DELTA) -> DataFrame:
-    """Signals, votes and status for windows carrying a baseline."""
+             delta: float = DEFAULT_DELTA, detectors=None) -> DataFrame:
+    """Signals, votes and status for windows carrying a baseline. ``detectors`` (else
+    ``signals.DETECTORS``) names the signal columns and how each one is made."""
     tiny = F.col("n") < bl.TINY_NODES
     warm = F.col("r") < warmup
     detect = ~tiny & ~warm
-    fied = fiedler_signal(F.col("cmp_lambda2"), F.col("lambda2"), delta)
-    mul = multiplicity_signal(F.col("cmp_mult"), F.col("mult"))
-    clu = cluster_signal(F.col("outliers"))
-    out = (based
-           .withColumn("fiedler", F.when(detect, fied))
-           .withColumn("mult_sig", F.when(detect, mul))
-           .withColumn("cluster", F.when(detect, clu)))
-    votes, anomaly = vote([F.col("fiedler.fired"), F.col("mult_sig.fired"), F.col("cluster.fired")])
+    detectors = DETECTORS if detectors is None else detectors
+    out = based.withColumns({name: F.when(detect, signal(delta)) for name, signal in detectors})
+    votes, anomaly = vote([F.col(f"{name}.fired") for name, _ in detectors])
     return (out.withColumn("votes", F.when(detect, votes))
             .withColumn("status", F.when(tiny, STATUS_NORMAL).when(warm, STATUS_BASELINE)
                         .when(anomaly, STATUS_ANOMALY).otherwise(STATUS_NORMAL))

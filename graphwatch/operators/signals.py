@@ -57,8 +57,13 @@ def vote(signals: Sequence[Column], min_votes: int = MIN_VOTES) -> tuple[Column,
     return votes.cast("int"), votes >= F.lit(min_votes)
 
 
-# Detectors are pluggable: (name, function of the window row's columns -> signal struct).
-DETECTORS: list[tuple[str, Callable[..., Column]]] = []
+# The detectors that vote: (column of the window table, signal made from the row's
+# columns and the λ₂ threshold). More can be appended here or passed to ``classify``.
+DETECTORS: list[tuple[str, Callable[[float], Column]]] = [
+    ("fiedler", lambda delta: fiedler_signal(F.col("cmp_lambda2"), F.col("lambda2"), delta)),
+    ("mult_sig", lambda delta: multiplicity_signal(F.col("cmp_mult"), F.col("mult"))),
+    ("cluster", lambda delta: cluster_signal(F.col("outliers"))),
+]
 
 
 def embedding_outliers(df: DataFrame, group: Sequence[str], vector: str, ident: str,
@@ -66,20 +71,24 @@ def embedding_outliers(df: DataFrame, group: Sequence[str], vector: str, ident:
     """Rows whose vector lies farther than ``mean + sigma*std`` from their group's centroid.
 
     Distances are Euclidean; ``std`` is the population standard deviation
-    floored at ``std_floor``. Computed with two aggregations and joins per
-    group (centroid per dimension, then distance statistics) — no group is
-    collected. Output: the input columns of the outlying rows plus
-    ``distance``, ``mean_distance`` and ``threshold``.
+    floored at ``std_floor``. Two partial aggregations (mean per dimension, then
+    distance statistics) whose results, one row per group, are joined to the
+    rows; the distance is computed inside the row, so no vector is shuffled by
+    dimension. Null and empty vectors are no outliers. Output: the input columns
+    of the outlying rows plus ``distance``, ``mean_distance`` and ``threshold``.
     """
     g = list(group)
-    pos = df.select(*g, ident, F.posexplode(vector).alias("_d", "_v"))
-    centroid = pos.groupBy(*g, "_d").agg(F.avg(F.col("_v").cast("double")).alias("_mu"))
-    dist = (pos.join(centroid, [*g, "_d"])
-            .groupBy(*g, ident)
-            .agg(F.sqrt(F.sum((F.col("_v") - F.col("_mu")) ** 2)).alias("distance")))
+    means = (df.select(*g, F.posexplode(vector).alias("_d", "_v"))
+             .groupBy(*g, "_d").agg(F.avg(F.col("_v").cast("double")).alias("_mu")))
+    centroid = (means.groupBy(*g).agg(F.array_sort(F.collect_list(F.struct("_d", "_mu"))).alias("_c"))
+                .select(*g, F.transform("_c", lambda s: s["_mu"]).alias("_c")))
+    squares = F.zip_with(F.col(vector), F.col("_c"),
+                         lambda v, mu: F.coalesce((v.cast("double") - mu) * (v.cast("double") - mu), F.lit(0.0)))
+    dist = (df.filter(F.size(vector) > 0).join(centroid, g)
+            .withColumn("distance", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, x: total + x)))
+            .drop("_c"))
     stats = dist.groupBy(*g).agg(F.avg("distance").alias("mean_distance"),
                                  F.greatest(F.stddev_pop("distance"), F.lit(std_floor)).alias("_sd"))
     scored = (dist.join(stats, g)
               .withColumn("threshold", F.col("mean_distance") + F.lit(sigma) * F.col("_sd")))
-    return (scored.filter(F.col("distance") > F.col("threshold"))
-            .join(df, [*g, ident]).drop("_sd"))
+    return scored.filter(F.col("distance") > F.col("threshold")).drop("_sd")

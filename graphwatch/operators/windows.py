@@ -92,8 +92,7 @@ def quarter_windows(edges: DataFrame, order: Sequence[str] = ORDER_COLUMNS,
     sizes = (ranked.groupBy(key).agg(F.count(F.lit(1)).alias("_gw_total"))
              .select(key, F.greatest(F.lit(3), F.floor(F.col("_gw_total") / 4))
                      .cast("long").alias("window_size")))
-    # one row per stream
-    return (ranked.join(F.broadcast(sizes), key)
+    return (ranked.join(sizes, key)
             .withColumn("window_no", F.floor(F.col("rank") / F.col("window_size")).cast("long")))
 
 
@@ -108,8 +107,8 @@ def time_windows(edges: DataFrame, seconds: float = 5.0, ts_col: str = "ts",
     width = int(round(seconds * 1_000_000))
     bucket = F.floor(F.unix_micros(F.col(ts_col)) / F.lit(width)).cast("long")
     with_bucket = edges.filter(F.col(ts_col).isNotNull()).withColumn("_gw_bucket", bucket)
-    first = with_bucket.groupBy(key).agg(F.min("_gw_bucket").alias("_gw_first"))  # one row per stream
-    return (with_bucket.join(F.broadcast(first), key)
+    first = with_bucket.groupBy(key).agg(F.min("_gw_bucket").alias("_gw_first"))
+    return (with_bucket.join(first, key)
             .withColumn("window_no", F.col("_gw_bucket") - F.col("_gw_first"))
             .withColumn("window_start", F.timestamp_micros(F.col("_gw_bucket") * F.lit(width)))
             .withColumn("window_end", F.timestamp_micros((F.col("_gw_bucket") + 1) * F.lit(width)))
@@ -134,11 +133,15 @@ def range_filter(edges: DataFrame, start: str | None = None, end: str | None = N
         return out
     if mode != "event_time":
         raise ValueError(f"unknown range mode: {mode!r}")
-    when = F.coalesce(F.col("ts"), F.try_to_timestamp(F.col("timestamp"), F.lit(fmt)))
+    # rows with an instant are cut on the plain column, which a scan can take over
+    ts = F.col("ts")
+    when = F.coalesce(ts, F.try_to_timestamp(F.col("timestamp"), F.lit(fmt)))
     if start:
-        out = out.filter(when >= F.to_timestamp(F.lit(start)))
+        bound = F.to_timestamp(F.lit(start))
+        out = out.filter(ts.isNull() | (ts >= bound)).filter(when >= bound)
     if end:
-        out = out.filter(when <= F.to_timestamp(F.lit(end)))
+        bound = F.to_timestamp(F.lit(end))
+        out = out.filter(ts.isNull() | (ts <= bound)).filter(when <= bound)
     return out
 
 

@@ -70,7 +70,9 @@ def stix_bundles(events: DataFrame, latest_only: bool = False) -> DataFrame:
     bundle = F.struct(F.lit("bundle").alias("type"),
                       F.concat(F.lit(BUNDLE_PREFIX), F.col("anomaly_id")).alias("id"),
                       F.array(indicator).alias("objects"))
-    return ev.select("anomaly_id", "source_id", "window_no", F.to_json(bundle).alias("bundle"))
+    # fields without a value are written as null, not left out
+    return ev.select("anomaly_id", "source_id", "window_no",
+                     F.to_json(bundle, {"ignoreNullFields": "false"}).alias("bundle"))
 
 
 def run_report(windows: DataFrame, details: DataFrame | None = None, mode: str = "batch",

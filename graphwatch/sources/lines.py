@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphwatch.functions.text import first_path_segment
+from graphwatch.functions.text import first_path_segment, strip
 from graphwatch.schema import EDGE_COLUMNS
 
 # Record patterns of the supported formats.
@@ -78,13 +78,13 @@ def parse_flow_log(df: DataFrame, col: str = "value", source_id: str | None = No
     Needs at least 12 fields, version ``2``, and neither address ``-``;
     accept/reject is not filtered.
     """
-    parts = F.split(F.btrim(F.col(col)), r"\s+")
+    parts = F.split(strip(F.col(col)), r"\s+")
     n = F.size(parts)
     src, dst = F.element_at(parts, 4), F.element_at(parts, 5)
     ok = (F.col(col).isNotNull() & (n >= FLOW_LOG_MIN_FIELDS)
           & (F.element_at(parts, 1) == FLOW_LOG_VERSION) & (src != "-") & (dst != "-"))
     weight = F.coalesce(F.element_at(parts, 9).try_cast("double"), F.lit(1.0))
-    return _edge_select(df, ok, src, dst, weight, F.btrim(F.col(col)), None, source_id, keep_rejects)
+    return _edge_select(df, ok, src, dst, weight, strip(F.col(col)), None, source_id, keep_rejects)
 
 
 # ---------------------------------------------------------------- syslog (S8)
@@ -115,8 +115,8 @@ def parse_arrow_lines(df: DataFrame, col: str = "value", source_id: str | None =
     """``a -> b`` lines split on the first arrow, both ends trimmed and non-empty."""
     line = F.col(col)
     at = F.instr(line, ARROW)
-    src = F.btrim(F.substring_index(line, ARROW, 1))
-    dst = F.btrim(F.substring(line, at + len(ARROW), 1 << 30))
+    src = strip(F.substring_index(line, ARROW, 1))
+    dst = strip(F.substring(line, at + len(ARROW), 1 << 30))
     ok = line.isNotNull() & (at > 0) & (F.length(src) > 0) & (F.length(dst) > 0)
     return _edge_select(df, ok, src, dst, F.lit(1.0), line, None, source_id, keep_rejects)
 

@@ -208,13 +208,11 @@ def analyze_batch(spark: SparkSession, batch: DataFrame, out: str, batch_id: int
     windowed.write.mode("overwrite").parquet(f"{out}/edges/batch={batch_id}")
     spec = materialize(spectrum(adjacency(windowed, colocate=True), pairs_bound=window_size))
     spec.write.mode("overwrite").parquet(f"{out}/spectra/batch={batch_id}")
+    # every batch writes the state of all streams, so the last one's is read alone;
+    # only the first batch has none, and a read error stops the query
     state = None
-    try:
-        hist = spark.read.schema(STATE_SCHEMA).parquet(f"{out}/state").filter(F.col("batch") < batch_id)
-        state = (hist.groupBy("source_id").agg(F.max_by(F.struct("*"), "batch").alias("s"))
-                 .select("s.*"))
-    except Exception:  # noqa: BLE001 - no state written yet
-        state = None
+    if batch_id > 0:
+        state = spark.read.schema(STATE_SCHEMA).parquet(f"{out}/state/batch={batch_id - 1}")
     windows, new_state = continue_baseline(spec, state, warmup, adaptive, alpha)
     windows.write.mode("overwrite").parquet(f"{out}/windows/batch={batch_id}")
     new_state.drop("batch").write.mode("overwrite").parquet(f"{out}/state/batch={batch_id}")
@@ -224,16 +222,16 @@ def run_stream(spark: SparkSession, folder: str, out: str, checkpoint: str | Non
                parser: Parser = L.parse_access_log, source_id: str = "live",
                window_size: int = LIVE_WINDOW, warmup: int = 12, adaptive: bool = False,
                available_now: bool = True, processing_time: str = "1 second",
-               max_files_per_trigger: int | None = None):
+               max_files_per_trigger: int | None = None, start: str = "earliest"):
     """Start the live analysis; returns the ``StreamingQuery``.
 
     ``available_now=True`` drains what is in the folder and stops (bounded
-    run); otherwise the query polls every ``processing_time``.
+    run); otherwise the query polls every ``processing_time``. ``start="latest"``
+    leaves out the files that are there when it starts. The state store is the
+    session's.
     """
     ensure_checkpoint_dir(spark)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    edges = line_stream(spark, folder, parser, source_id, max_files_per_trigger)
+    edges = line_stream(spark, folder, parser, source_id, max_files_per_trigger, start)
     wins = live_count_windows(edges, window_size)
     writer = (wins.writeStream.outputMode("append")
               .option("checkpointLocation", checkpoint or f"{out}/_checkpoint")
@@ -286,9 +284,10 @@ def run_event_time_stream(spark: SparkSession, folder: str, out: str, seconds: f
         "raw", L.ACCESS_LOG_PATTERN, 2), F.lit("dd/MMM/yyyy:HH:mm:ss Z")))
     adj = event_time_adjacency(edges, seconds, lateness)
 
-    def per_batch(df: DataFrame, _id: int) -> None:
+    def per_batch(df: DataFrame, batch_id: int) -> None:
+        # overwritten under the batch's name, so a batch that runs again replaces its rows
         spectrum(df.select("source_id", "window_no", "src", "dst", "weight", "cnt")) \
-            .write.mode("append").parquet(f"{out}/spectra")
+            .write.mode("overwrite").parquet(f"{out}/spectra/batch={batch_id}")
 
     return (adj.writeStream.outputMode("append")
             .option("checkpointLocation", checkpoint or f"{out}/_checkpoint_et")

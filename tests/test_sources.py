@@ -49,6 +49,32 @@ def test_ndjson_skips_bad(spark):
     assert [(r.src, r.dst, r.weight) for r in rows] == [("a", "b", 2.0)]
 
 
+def test_ndjson_weight_that_is_no_number(spark):
+    for weight in ('"abc"', "null"):
+        lines = _df(spark, ['{"src": "a", "dst": "b", "weight": %s}' % weight])
+        try:
+            S.parse_edge_ndjson(lines).collect()
+        except Exception as e:  # noqa: BLE001 - the job fails with the line in its message
+            assert "weight is not a number" in str(e)
+        else:
+            raise AssertionError("bad weight accepted")
+        assert not S.parse_edge_ndjson(lines, keep_rejects=True).first().parsed_ok
+
+
+def test_white_space_at_line_ends(spark):
+    flow = "\t2 123 eni-1 10.0.0.1 10.0.0.2 443 5555 6 12 999 1 2 ACCEPT OK\t"
+    assert L.parse_flow_log(_df(spark, [flow])).first().src == "10.0.0.1"
+    row = L.parse_arrow_lines(_df(spark, ["\ta\t->\tb\t"])).first()
+    assert (row.src, row.dst) == ("a", "b")
+
+
+def test_network_snapshot_types_and_order(spark):
+    flows = [{"src": 5, "dst": "b"}, {"src": "a", "dst": "b", "weight": "2"}, {"src": "a", "dst": "c", "weight": "x"}]
+    docs = spark.createDataFrame([(2 ** 37, json.dumps({"flows": flows}))], "seq long, value string")
+    rows = S.parse_network_snapshot(docs).orderBy("part", "pos", "seq").collect()
+    assert [(r.src, r.dst, r.weight, r.seq) for r in rows] == [("a", "b", 2.0, 1), ("a", "c", 1.0, 2)]
+
+
 def test_socket_trace_keys_and_weights(spark):
     lines = [json.dumps({"saddr": "1.1.1.1", "daddr": "2.2.2.2", "bytes": 10}),
              json.dumps({"src": "a", "dst": "b", "weight": "x"}),
