@@ -31,3 +31,18 @@ def test_diagnose_guard_and_windows(spark):
     assert s["big"].ok is True and s["big"].windows == 4
     sizes = sorted(r.m for r in windows.collect())
     assert sizes == [10, 10, 10, 10]
+
+
+def test_replies_and_fallback_scripts_reach_the_event(spark):
+    from graphwatch.jobs import diagnosed
+
+    details = spark.createDataFrame(
+        [("s", 1, ["h1", "h2"], ["x"], 2), ("s", 2, ["h3"], ["y"], 2)],
+        "source_id string, window_no long, nodes array<string>, logs array<string>, votes int")
+    replies = spark.createDataFrame(
+        [("s", 1, '{"diagnosis": "d", "root_cause": "r", "confidence": {"total": 0.3}}')],
+        "source_id string, window_no long, text string")
+    said, rule = diagnosed(details, replies).orderBy("window_no").collect()
+    assert (said.diagnosis.diagnosis, said.diagnosis.confidence.total) == ("d", 0.3)
+    assert "-s h1" in said.diagnosis.mitigation.script and said.validation.valid
+    assert rule.diagnosis.diagnosis.startswith("Rule-based") and "-s h3" in rule.diagnosis.mitigation.script
