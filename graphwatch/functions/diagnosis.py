@@ -38,7 +38,7 @@ def top_target(counts: Column) -> Column:
     """Most frequent target; ties go to the one seen first."""
     ranked = F.array_sort(counts, lambda a, b: F.when(a["hits"] != b["hits"], b["hits"] - a["hits"])
                           .otherwise(a["first"] - b["first"]).cast("int"))
-    return F.element_at(ranked, 1)
+    return F.get(ranked, F.lit(0))
 
 
 def confidence(strength: Column) -> Column:
@@ -68,7 +68,7 @@ def diagnose(df: DataFrame, nodes: str = "nodes", logs: str = "logs", votes: str
     top_name = F.coalesce(top["target"], F.lit("unknown"))
     top_hits = F.coalesce(top["hits"], F.lit(0))
     node_list = F.coalesce(F.col(nodes), F.array().cast("array<string>"))
-    first = F.coalesce(F.element_at(node_list, 1), F.lit("unknown"))
+    first = F.coalesce(F.get(node_list, F.lit(0)), F.lit("unknown"))
     strength = F.col(votes).cast("double") / 3.0
     pattern = (F.when((n_targets == 1) & (top_hits >= BEACON_MIN_HITS),
                       F.format_string("repeated requests to %s (%d hits), beacon-like", top_name, top_hits))
