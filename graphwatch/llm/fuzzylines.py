@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, lower_ascii, mix64, prepare, text_slices, word_hashes, written
+from .common import NOT_ALNUM, lower_ascii, mix64, prepare, ragged, text_slices, word_hashes, written
 from .components import components
 
 MAX_BITS = 3
@@ -43,25 +43,98 @@ def _lines(texts: pa.Array) -> Iterator[tuple]:
         yield lo, low, off, cut, h, starts, ends, first
 
 
+def _majority(words: np.ndarray, pairs: np.ndarray, begins: np.ndarray, need: np.ndarray, width: int) -> np.ndarray:
+    """Bits set in at least ``need`` of a line's words and pairs. Counts of
+    64 / width bits at a time stand side by side in one integer, ``width`` bits
+    each, so a line may have up to 2**(width - 1) - 1 words."""
+    mask = np.uint64(sum(1 << k for k in range(0, 64, width)))
+    kind = np.dtype(f"<u{width // 8}")
+    out = np.zeros(len(begins), np.uint64)
+    for k in map(np.uint64, range(width)):
+        ones = np.add.reduceat(((words >> k) & mask) + ((pairs >> k) & mask), begins)
+        bits = (ones.view(kind).reshape(len(begins), -1) >= need[:, None]).astype(kind)
+        out |= bits.view(np.uint64).ravel() << k
+    return out
+
+
 def simhashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """SimHash of each line's words and word pairs; 0 for lines without words."""
-    n = len(first) - 1
-    out = np.zeros(n, np.uint64)
-    full = np.flatnonzero(np.diff(first) > 0)
+    n = np.diff(first)
+    out = np.zeros(len(n), np.uint64)
+    full = np.flatnonzero(n > 0)
     if not len(full):
         return out
     pair = mix64(h * np.uint64(0x9E3779B97F4A7C15) + np.roll(h, -1))
-    last = np.zeros(len(h), bool)
-    last[first[1:][np.diff(first) > 0] - 1] = True          # a pair does not cross a line's end
-    words = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.int8)
-    pairs = np.unpackbits(pair.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.int8)
-    votes = (2 * words - 1) + np.where(last[:, None], 0, 2 * pairs - 1).astype(np.int8)
-    total = np.add.reduceat(votes, first[:-1][full], axis=0, dtype=np.int32)
-    bits = np.packbits(total > 0, axis=1, bitorder="little")
-    out[full] = bits.view("<u8").ravel()
+    pair[first[1:][full] - 1] = 0                            # a pair does not cross a line's end
+    # n words and n - 1 pairs: n votes are the majority
+    out[full] = _majority(h, pair, first[:-1][full], n[full], 8)
+    for width, most in ((16, (1 << 7) - 1), (32, (1 << 15) - 1)):
+        long = np.flatnonzero(n > most)                      # their counts ran over
+        if len(long):
+            at = np.repeat(first[:-1][long], n[long]) + ragged(n[long])
+            out[long] = _majority(h[at], pair[at], np.cumsum(n[long]) - n[long], n[long], width)
     return out
 
 
+def _agree(a: str, b: str) -> int:
+    """Length of the common prefix."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return lo
+
+
+def within(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance of two texts is at most ``most``. What they
+    begin and end with alike is left out; the rest goes by bit-parallel columns
+    (Myers 1999), one integer as long as the longer text."""
+    k = _agree(a, b)
+    a, b = a[k:], b[k:]
+    k = _agree(a[::-1], b[::-1])
+    a, b = a[:len(a) - k], b[:len(b) - k]
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) - len(b) > most:
+        return False
+    if len(a) <= most:
+        return True
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | (1 << i)
+    every, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, distance = every, 0, len(a)
+    for left, c in zip(range(len(b) - 1, -1, -1), b):
+        same = at.get(c, 0)
+        diagonal = (((same & up) + up) ^ up) | same
+        right = down | (every & ~(diagonal | up))
+        less = up & diagonal
+        if right & last:
+            distance += 1
+        elif less & last:
+            distance -= 1
+        if distance - left > most:
+            return False
+        right = (right << 1) | 1
+        vertical = same | down
+        up = ((less << 1) | ~(vertical | right)) & every
+        down = right & vertical & every
+    return distance <= most
+
+
+def _close(similarity: float):
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # the largest distance allowed; a hair more than the product, which is not exact
+            near = [within(a, b, int(max(len(a), len(b)) * (1 - similarity) + 1e-9))
+                    for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
+    return verify
+
+
 def _each_line(texts: pa.Array):
     """Per slice: rows, line numbers, normalised lines, SimHashes."""
     for lo, low, off, cut, h, starts, ends, first in _lines(texts):
@@ -159,12 +232,7 @@ def fuzzy_lines(docs: DataFrame, max_bits: int = MAX_BITS, similarity: float = S
     def verified(pairs: DataFrame) -> DataFrame:
         both = (pairs.join(texts.select(F.col("digest").alias("u"), F.col("line").alias("a")), "u")
                 .join(texts.select(F.col("digest").alias("v"), F.col("line").alias("b")), "v"))
-        # the largest distance allowed; a hair more than the product, which is not exact
-        most = f"cast(floor(greatest(length(a), length(b)) * {1 - similarity} + 1e-9) as int)"
-        # most lines that are near differ little: a narrow band answers for them
-        close = F.expr(f"abs(length(a) - length(b)) <= {most} and (levenshtein(a, b, least(12, {most})) >= 0"
-                       f" or levenshtein(a, b, {most}) >= 0)")
-        return written(both.filter(close).select("u", "v"), "verified")
+        return written(both.select("u", "v", "a", "b").mapInArrow(_close(similarity), "u binary, v binary"), "verified")
 
     links = verified(first)
     named = written(components(links), "named")

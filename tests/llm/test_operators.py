@@ -302,6 +302,45 @@ def test_counts_follow_edits(spark, docs, nothing):
 
 # ---------------------------------------------------------------- 8 fuzzy lines
 
+def test_edit_distance_within_a_bound():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            above, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, above[j] + 1, above[j - 1] + (x != y)))
+        return row[-1]
+
+    draw = random.Random(8)
+    for _ in range(400):
+        a = "".join(draw.choice("abé ") for _ in range(draw.randrange(90)))
+        b = list(a)
+        for _ in range(draw.randrange(12)):
+            k = draw.randrange(len(b) + 1)
+            b[k:k + draw.randrange(3)] = draw.choice(["", "z", "é"])
+        b = "".join(b)
+        e = distance(a, b)
+        for most in (e - 1, e, e + 1, draw.randrange(30)):
+            assert most < 0 or fuzzylines.within(a, b, most) == (e <= most)
+
+
+def test_simhash_of_short_and_long_lines():
+    draw = np.random.default_rng(8)
+    counts = np.array([0, 1, 5, 127, 128, 129, 700, 33_000, 0, 2])
+    h = draw.integers(0, 1 << 64, counts.sum(), np.uint64)
+    first = np.concatenate([[0], np.cumsum(counts)])
+    got = fuzzylines.simhashes(h, first)
+    for k, n in enumerate(counts):
+        words = h[first[k]:first[k + 1]]
+        pairs = fuzzylines.mix64(words * np.uint64(0x9E3779B97F4A7C15) + np.roll(words, -1))[:-1]
+        votes = np.concatenate([words, pairs])
+        expected = 0
+        for bit in range(64):
+            ones = int(((votes >> np.uint64(bit)) & np.uint64(1)).sum())
+            expected |= (2 * ones > len(votes)) << bit
+        assert int(got[k]) == (expected if n else 0)
+
+
 def test_fuzzy_lines_against_all_pairs(spark, nothing):
     rng = random.Random(9)
     base = [_words(rng, 40) for _ in range(8)]
