@@ -80,7 +80,7 @@ def apply_fixed(ranked: DataFrame, warmup: int = DEFAULT_WARMUP,
                 key: str = "source_id") -> DataFrame:
     """Attach the compared and reported baseline (identical in fixed mode)."""
     base = fixed_baseline(ranked, warmup, key)       # one row per stream
-    return (ranked.join(F.broadcast(base), key, "left")
+    return (ranked.join(base, key, "left")
             .withColumn("cmp_lambda2", F.col("base_lambda2"))
             .withColumn("cmp_mult", F.col("base_mult"))
             .withColumnRenamed("base_lambda2", "baseline_lambda2")
@@ -122,7 +122,7 @@ def ema_columns(ranked: DataFrame, values: str | list[str], alpha: float = DEFAU
     p2 = chunks.select(key, (F.col("_c") + 2).alias("_c"),
                        *[F.col(f"_b{t}").alias(f"_b2_{t}") for t in range(len(vals))])
     entry = (chunks.select(key, "_c").join(p1, [key, "_c"], "left").join(p2, [key, "_c"], "left")
-             .join(F.broadcast(seed), key, "left"))
+             .join(seed, key, "left"))
     qc = F.pow(F.lit(q), F.lit(float(size)))     # every chunk before the last is full
     # (a small test chunk keeps older chunks' weight above double precision; the
     # default size makes it exactly negligible)

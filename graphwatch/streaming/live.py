@@ -146,7 +146,7 @@ def continue_baseline(spec: DataFrame, state: DataFrame | None, warmup: int = 12
     st = state.drop("batch")
     keep = F.col("n") >= bl.TINY_NODES
     per = Window.partitionBy("source_id").orderBy("window_no")   # this batch's windows of one stream
-    w = (spec.join(F.broadcast(st), "source_id", "left")         # state: one row per stream
+    w = (spec.join(st, "source_id", "left")  # state: one row per stream
          .withColumn("_keep", keep.cast("long"))
          .withColumn("_i", F.sum("_keep").over(per.rowsBetween(Window.unboundedPreceding, 0)) - 1)
          .withColumn("n_seen", F.coalesce("n_seen", F.lit(0)))
@@ -164,7 +164,7 @@ def continue_baseline(spec: DataFrame, state: DataFrame | None, warmup: int = 12
                                                        F.lit(False).alias("_seed"))
         both = seed.unionByName(rows)
         base_r = both.groupBy("source_id").agg(F.min("r").alias("_r0"))
-        local = both.join(F.broadcast(base_r), "source_id").withColumn("r", F.col("r") - F.col("_r0"))
+        local = both.join(base_r, "source_id").withColumn("r", F.col("r") - F.col("_r0"))
         ema = (bl.ema_columns(local, ["lambda2", "mult"], alpha, "source_id", ["_l2", "_mu"])
                .filter(~F.col("_seed")).withColumn("r", F.col("r") + F.col("_r0"))
                .select("source_id", "r", "_l2_before", "_l2_after", "_mu_before", "_mu_after"))
