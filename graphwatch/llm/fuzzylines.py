@@ -7,6 +7,10 @@ blocks (pigeonhole), so a join on these choices finds every such pair. Pairs are
 verified by edit similarity, and one occurrence per connected group is kept:
 the first by (doc_id, line number).
 
+That radius misses most lines with an edited word, so ``max_bits=None`` proposes
+pairs by their words instead (``sketches``): a pair is compared where any three
+of its six drawn words are the same and in one order, whatever its SimHashes.
+
 Lines with one SimHash are linked to the first of them and near SimHashes
 through their first lines; what that leaves in different groups is then compared
 pair by pair, so that no link is lost and no block's members are all paired.
@@ -20,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NOT_ALNUM, lower_ascii, mix64, prepare, ragged, text_slices, word_hashes, written
@@ -28,7 +32,11 @@ from .components import components
 
 MAX_BITS = 3
 SIMILARITY = 0.8
+DRAWN, SHARED = 6, 3       # words drawn from a line, and how many of them two lines must share
+SHORT_WORDS, SHORT_CHARS = 6, 14
 _LINES = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int64()), ("digest", pa.binary()), ("simhash", pa.int64())])
+_SKETCHES = pa.schema([("digest", pa.binary()), ("id", pa.int64()), ("size", pa.int32()),
+                       ("drawn", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("short", pa.list_(pa.int64()))])
 _TEXTS = pa.schema([("digest", pa.binary()), ("line", pa.string())])
 
 
@@ -166,6 +174,153 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array([x.decode("utf-8", "replace") for x in normal], pa.string())], schema=_TEXTS)
 
 
+def _draw(h: np.ndarray, size: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in h, offsets): the DRAWN words of each line that come first in a
+    race in which a word's speed is the square of its length. A word runs alike
+    in every line, so lines that differ little draw much the same words. They
+    stand as in the line, by their first places."""
+    line = np.repeat(np.arange(len(first) - 1, dtype=np.uint64), np.diff(first))
+    unit = ((mix64(h ^ np.uint64(0xD1B54A32D192ED03)) >> np.uint64(11)).astype(float) + 1) / 2.0 ** 53
+    race = (-np.log(unit) / size.astype(float) ** 2).astype(np.float32).view(np.uint32)
+    order = np.argsort((line << np.uint64(32)) | race, kind="stable")
+    own, line = h[order], line[order].astype(np.int64)
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (own[1:] != own[:-1]) | (line[1:] != line[:-1])
+    order, line = order[fresh], line[fresh]
+    begin = np.searchsorted(line, np.arange(len(first)))
+    # lines follow one another, so sorted places stay with their lines
+    chosen = np.sort(order[np.arange(len(order)) - begin[line] < DRAWN])
+    return chosen, np.searchsorted(chosen, first)
+
+
+def _hash(kind: bytes, x: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(kind + x, digest_size=8).digest(), "little", signed=True)
+
+
+def _short_keys(text: str) -> list[int]:
+    """Further keys of a line of few words: pairs of its drawn words, three of
+    its drawn three-letter pieces where it has at most three words, and the line
+    without up to two of its letters where it has at most SHORT_CHARS."""
+    words, out = sorted(set(text.split(" "))), set()
+    out.update(_hash(b"p", f"{a} {b}".encode()) for a, b in combinations(words, 2))
+    if len(words) <= 3:
+        pieces = {text[i:i + 3] for i in range(len(text) - 2)}
+        drawn = sorted(sorted(pieces, key=lambda x: _hash(b"d", x.encode()))[:DRAWN])
+        out.update(_hash(b"t", "|".join(x).encode()) for x in combinations(drawn, SHARED))
+    if 5 <= len(text) <= SHORT_CHARS:
+        for gone in range(3):
+            for at in combinations(range(len(text)), gone):
+                out.add(_hash(b"g", "".join(c for i, c in enumerate(text) if i not in at).encode()))
+    return sorted(out)
+
+
+def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, id, size, drawn, places, short) of the distinct lines of each slice."""
+    for batch in batches:
+        for _, low, _, _, h, starts, ends, first in _lines(batch.column(0)):
+            inner = np.concatenate([[0], np.cumsum((low & 0xC0) == 0x80)])      # bytes that begin no letter
+            size = ends - starts - (inner[ends] - inner[starts])
+            chosen, at = _draw(h, size, first)
+            place = np.cumsum(size + 1) - size - 1                              # in the normalised line
+            place = place[chosen] - np.repeat(np.append(place, 0)[first[:-1]], np.diff(at))
+            raw, seen, rows, keys, sizes, digests = low.tobytes(), set(), [], [], [], []
+            s, e, f = starts.tolist(), ends.tolist(), first.tolist()
+            for k in range(len(f) - 1):
+                x = b" ".join([raw[i:j] for i, j in zip(s[f[k]:f[k + 1]], e[f[k]:f[k + 1]])])
+                d = hashlib.blake2b(x, digest_size=16).digest()
+                if not x or d in seen:
+                    continue
+                seen.add(d)
+                text = x.decode("utf-8", "replace")
+                rows.append(k)
+                digests.append(d)
+                sizes.append(len(text))
+                keys.append(_short_keys(text) if f[k + 1] - f[k] <= SHORT_WORDS else None)
+            n = np.diff(at)[rows]
+            picks = np.repeat(at[:-1][rows], n) + ragged(n)
+            ends_at = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(digests, pa.binary()),
+                 pa.array(np.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], np.int64)),
+                 pa.array(sizes, pa.int32()),
+                 pa.ListArray.from_arrays(ends_at, pa.array(h[chosen[picks]].view(np.int64))),
+                 pa.ListArray.from_arrays(ends_at, pa.array(place[picks], pa.int32())),
+                 pa.array(keys, pa.list_(pa.int64()))], schema=_SKETCHES)
+
+
+def _sketch_keys() -> Column:
+    """(key, p0, p1, p2): one key per choice of SHARED of a line's drawn words,
+    with their places, and its short keys, without."""
+    at = [F.get("drawn", F.lit(k)) for k in range(DRAWN)]
+    place = [F.get("places", F.lit(k)) for k in range(DRAWN)]
+    chosen = [F.when(at[c[-1]].isNotNull(), F.struct(
+        F.xxhash64(*(at[k] for k in c)).alias("key"), *(place[k].alias(f"p{i}") for i, k in enumerate(c))))
+        for c in combinations(range(DRAWN), SHARED)]
+    none = F.lit(None).cast("int")
+    short = F.transform(F.coalesce("short", F.array().cast("array<long>")), lambda x: F.struct(
+        x.alias("key"), *(none.alias(f"p{i}") for i in range(SHARED))))
+    return F.concat(F.array_compact(F.array(*chosen)), short)
+
+
+def _fits(a: list[Column], b: list[Column], similarity: float) -> Column:
+    """Whether two lines with the words of one key at ``a[:-1]`` and ``b[:-1]``
+    and of the sizes ``a[-1]`` and ``b[-1]`` can be near: what is more of one
+    than of the other before, between and behind these words is edits."""
+    step = [x - y for x, y in zip(a, b)]
+    edits = F.abs(step[0]) + sum((F.abs(y - x) for x, y in zip(step, step[1:])), F.lit(0))
+    most = F.floor(F.greatest(a[-1], b[-1]) * (1 - similarity) + 1e-9)
+    return F.coalesce(edits, F.abs(step[-1])) <= most
+
+
+def _sketch_groups(rows: DataFrame, similarity: float) -> DataFrame:
+    """(node, component) over pairs that share a key and whose edit similarity
+    is at least ``similarity``. In each key every line is compared with the
+    first one, then with what this leaves in another group."""
+    lines = rows.select("text").mapInArrow(
+        sketches, "digest binary, id long, size int, drawn array<long>, places array<int>, short array<long>")
+    lines = written(lines.dropDuplicates(["digest"]), "sketches")
+    places = [*(f"p{i}" for i in range(SHARED)), "size"]
+    keyed = lines.select("id", "size", F.inline(_sketch_keys()))
+    in_key = Window.partitionBy("key")
+    shared = (keyed.withColumn("first", F.min(F.struct("id", *places)).over(in_key))
+              .withColumn("n", F.count(F.lit(1)).over(in_key)).filter("n > 1").drop("n"))
+    shared = written(shared, "shared")
+
+    def fits(other: str) -> Column:
+        return _fits([F.col(x) for x in places], [F.col(f"{other}{x}") for x in places], similarity)
+
+    star = shared.filter((F.col("first.id") != F.col("id")) & fits("first."))
+    star = written(star.select(F.col("first.id").alias("u"), F.col("id").alias("v")).distinct(), "star")
+    text = F.col("text").cast("string")
+    texts = rows.select(text.alias("text")).mapInArrow(_texts, "digest binary, line string").dropDuplicates(["digest"])
+    texts = written(texts.join(lines.select("digest", "id"), "digest"), "texts")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = (pairs.join(texts.select(F.col("id").alias("u"), F.col("digest").alias("du"), F.col("line").alias("a")), "u")
+                .join(texts.select(F.col("id").alias("v"), F.col("digest").alias("dv"), F.col("line").alias("b")), "v"))
+        return written(both.select(F.col("du").alias("u"), F.col("dv").alias("v"), "a", "b")
+                       .mapInArrow(_close(similarity), "u binary, v binary"), "verified")
+
+    links = verified(star)
+    named = written(components(links), "named")
+    label = lines.select("digest", "id").join(named.withColumnRenamed("node", "digest"), "digest")
+    label = label.groupBy("id").agg(F.min("component").alias("component"))
+    member = shared.join(label, "id", "left").select(
+        "key", "id", *places, F.coalesce("component", F.unhex(F.hex("id"))).alias("c"))
+    # only keys that still hold two groups have pairs to compare
+    split = member.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("key")
+    member = written(member.join(split, "key", "left_semi"), "labels")
+    other = member.select("key", F.col("id").alias("v"), F.col("c").alias("other_c"),
+                          *(F.col(x).alias(f"other_{x}") for x in places))
+    left = (member.withColumnRenamed("id", "u").join(other, "key")
+            .filter((F.col("u") < F.col("v")) & (F.col("c") != F.col("other_c")) & fits("other_"))
+            .select("u", "v").distinct().join(star, ["u", "v"], "left_anti"))
+    left = written(left, "open")
+    if left.limit(1).count():
+        named = written(components(links.unionByName(verified(left))), "named")
+    return named
+
+
 def _keys(sim: Column, blocks: int, shared: int) -> Column:
     """One key per choice of ``shared`` of ``blocks`` blocks of a SimHash."""
     edges = [round(64 * k / blocks) for k in range(blocks + 1)]
@@ -190,13 +345,14 @@ def near_simhashes(sims: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             .select(F.col("simhash").alias("s"), "t").distinct())
 
 
-def fuzzy_lines(docs: DataFrame, max_bits: int = MAX_BITS, similarity: float = SIMILARITY) -> DataFrame:
+def fuzzy_lines(docs: DataFrame, max_bits: int | None = MAX_BITS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, line_no, group_doc, group_line, kept) for every line of every
     text; lines are what line feeds part, numbered from 0.
 
     Two distinct normalised lines are linked where their SimHashes differ in at
     most ``max_bits`` bits and their edit distance is at most (1 - similarity)
-    of the longer one's code points. (group_doc, group_line) is the group's
+    of the longer one's code points; with ``max_bits=None`` the edit distance
+    alone decides, over the pairs that ``sketches`` propose. (group_doc, group_line) is the group's
     first occurrence, null ids last; kept marks it. Lines without a letter or
     digit are in no group and kept. Null and empty texts have no lines. Rows
     that repeat an id are told apart by nothing, so equal (doc_id, line_no) are
@@ -211,6 +367,24 @@ def fuzzy_lines(docs: DataFrame, max_bits: int = MAX_BITS, similarity: float = S
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")
     distinct = written(lines.filter("digest is not null").groupBy("digest").agg(
         F.first("simhash").alias("simhash"), F.min(place).alias("at")), "distinct")
+    if max_bits is None:
+        named = _sketch_groups(rows, similarity)
+    else:
+        named = _simhash_groups(rows, distinct, max_bits, similarity)
+    of_group = (distinct.join(named.withColumnRenamed("node", "digest"), "digest")
+                .groupBy("component").agg(F.min("at").alias("group_at")))
+    groups = (distinct.select("digest", "at")
+              .join(named.withColumnRenamed("node", "digest").join(of_group, "component"), "digest", "left")
+              .select("digest", F.coalesce("group_at", "at").alias("g")))
+    out = _with_groups(lines, written(groups, "line-groups"))
+    same = F.col("doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("line_no") == F.col("g.line_no"))
+    return out.select("doc_id", "line_no", F.col("g.doc_id").alias("group_doc"), F.col("g.line_no").alias("group_line"),
+                      F.when(F.col("g").isNull(), True).otherwise(same).alias("kept"))
+
+
+def _simhash_groups(rows: DataFrame, distinct: DataFrame, max_bits: int, similarity: float) -> DataFrame:
+    """(node, component) over pairs at most ``max_bits`` SimHash bits apart and
+    whose edit similarity is at least ``similarity``."""
     hubs = distinct.groupBy("simhash").agg(F.min("digest").alias("hub"), F.count(F.lit(1)).alias("n"))
     hubs = written(hubs, "hubs")
     near = written(near_simhashes(hubs.select("simhash"), max_bits), "near")
@@ -240,15 +414,7 @@ def fuzzy_lines(docs: DataFrame, max_bits: int = MAX_BITS, similarity: float = S
     open_pairs = written(open_pairs, "open")
     if open_pairs.limit(1).count():
         named = written(components(links.unionByName(verified(open_pairs))), "named")
-    of_group = (distinct.join(named.withColumnRenamed("node", "digest"), "digest")
-                .groupBy("component").agg(F.min("at").alias("group_at")))
-    groups = (distinct.select("digest", "at")
-              .join(named.withColumnRenamed("node", "digest").join(of_group, "component"), "digest", "left")
-              .select("digest", F.coalesce("group_at", "at").alias("g")))
-    out = _with_groups(lines, written(groups, "line-groups"))
-    same = F.col("doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("line_no") == F.col("g.line_no"))
-    return out.select("doc_id", "line_no", F.col("g.doc_id").alias("group_doc"), F.col("g.line_no").alias("group_line"),
-                      F.when(F.col("g").isNull(), True).otherwise(same).alias("kept"))
+    return named
 
 
 def _open_pairs(wanted: DataFrame, hubs: DataFrame, near: DataFrame, named: DataFrame) -> DataFrame:
@@ -284,7 +450,9 @@ def _with_groups(lines: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def drop_fuzzy_lines(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the lines that are not kept taken out of ``text``."""
+    """``docs`` with the lines that are not kept taken out of ``text``; the edit
+    distance alone decides unless ``max_bits`` is given."""
+    options.setdefault("max_bits", None)
     gone = (fuzzy_lines(docs, **options).filter("not kept").groupBy("doc_id")
             .agg(F.collect_set("line_no").alias("_gone")))
     from .exact import null_safe

@@ -75,7 +75,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzylines.fuzzy_lines(documents(spark, sf_dir))
+    return fuzzylines.fuzzy_lines(documents(spark, sf_dir), max_bits=None)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -389,6 +389,33 @@ def test_fuzzy_lines_against_all_pairs(spark, nothing):
     assert fuzzylines.fuzzy_lines(nothing).count() == 0
 
 
+def test_fuzzy_lines_by_edit_similarity_alone(spark):
+    rng = random.Random(12)
+    lines, pair = [], {}
+    for n in (3, 5, 10, 20, 40, 100):
+        for k in range(30):
+            w = _words(rng, n).split()
+            long = [i for i in range(n) if len(w[i]) <= 0.2 * len(" ".join(w))] or [0]
+            v = list(w)
+            for i in rng.sample(long, max(1, min(len(long), n // 10))):
+                v[i] = v[i][:-1] + "z" if n < 5 else "".join(rng.choice("ijklmnop") for _ in v[i])
+            a, b = " ".join(w), " ".join(v)
+            if _edit(a, b) <= 0.2 * max(len(a), len(b)):
+                pair[len(lines)] = n
+                lines += [a, b]
+    docs = _frame(spark, lines, repeat=False)
+    group = {r.doc_id: r.group_doc for r in fuzzylines.fuzzy_lines(docs, max_bits=None).collect()}
+    for n in (3, 5, 10, 20, 40, 100):
+        of_n = [i for i in pair if pair[i] == n]
+        assert len(of_n) >= 10
+        assert sum(group[i] == group[i + 1] for i in of_n) >= 0.95 * len(of_n), n
+    by = {}
+    for i in range(len(lines)):
+        by.setdefault(group[i], []).append(lines[i])
+    for x in by.values():         # every group hangs together by edit similarity
+        assert len(x) == 1 or all(any(_edit(a, b) <= 0.2 * max(len(a), len(b)) for b in x if b != a) for a in x)
+
+
 # ---------------------------------------------------------------- 9 packing
 
 def test_packing(docs, nothing):
