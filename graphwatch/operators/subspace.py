@@ -58,7 +58,8 @@ def smallest_nonzero(edges: DataFrame, keep: int) -> DataFrame:
     component in ``edges (source_id, window_no, component, src, dst, weight)``: the
     ``keep`` smallest non-zero eigenvalues of the component's normalized Laplacian,
     the node's entries of their eigenvectors, and its norm over the λ₂ eigenspace
-    (within the computed block)."""
+    (0 where λ₂ fills the computed block, whose columns then are any ones of a
+    larger eigenspace). Raises where the values have not settled after MAX_STEPS."""
     spark = edges.sparkSession
     b = keep + EXTRA_COLUMNS
     off = edges.filter(F.col("src") != F.col("dst"))
@@ -114,10 +115,9 @@ def smallest_nonzero(edges: DataFrame, keep: int) -> DataFrame:
     X = orthonormalize(deflate(X))
     theta_old = None
     theta = None
-    V = None
     for step in range(1, MAX_STEPS + 1):
         Y = apply_m(X)
-        if step % RITZ_EVERY == 0 or step == MAX_STEPS:
+        if step % RITZ_EVERY == 0:
             H = gram(X, Y)
             ritz = {k: np.linalg.eigh((m + m.T) / 2) for k, m in H.items()}
             theta = {k: w[::-1] for k, (w, _v) in ritz.items()}
@@ -129,13 +129,15 @@ def smallest_nonzero(edges: DataFrame, keep: int) -> DataFrame:
             theta_old = theta
         X = orthonormalize(Y)
     else:
-        X = _times(X, _mat_table(spark, V, "col", "out", "m")).checkpoint(eager=True)
+        raise RuntimeError(f"subspace iteration not settled after {MAX_STEPS} steps")
     # lambda = 2 - theta, ascending; keep the first `keep` columns
     lam = {k: [float(2.0 - t) for t in th[:keep]] for k, th in theta.items()}
     g1cols = {}
     for k, ls in lam.items():
         first = ls[0]
-        g1cols[k] = [c for c, v in enumerate(ls) if abs(v - first) <= GROUP_TOL * max(1.0, abs(v), abs(first))]
+        cluster = [c for c, v in enumerate(ls) if abs(v - first) <= GROUP_TOL * max(1.0, abs(v), abs(first))]
+        # a cluster that fills the block may go on beyond it: these columns are any ones of its space
+        g1cols[k] = cluster if len(cluster) < len(ls) else []
     info = spark.createDataFrame([(*k, lam[k], g1cols[k]) for k in lam],
                                  "source_id string, window_no long, component string, "
                                  "vals array<double>, g1cols array<int>")

@@ -157,3 +157,24 @@ def test_fiedler_entries_path_and_repeated():
     assert v is not None and v[0] > 0 and abs(v[0] + v[4]) < 1e-9
     # star: lambda2 = 1 is repeated -> no unique vector
     assert fiedler_entries([f"n{i}" for i in range(6)], _dense(6, [(0, i, 1) for i in range(1, 6)])) is None
+
+
+def _one_component(spark, pairs):
+    rows = [("s", 0, "c", f"n{a:02d}", f"n{b:02d}", 1.0) for a, b in pairs]
+    return spark.createDataFrame(rows, "source_id string, window_no long, component string, src string, dst string, weight double")
+
+
+def test_subspace_solver_raises_when_not_settled(spark, monkeypatch):
+    from graphwatch.operators import subspace
+
+    monkeypatch.setattr(subspace, "MAX_STEPS", 5)
+    with pytest.raises(RuntimeError, match="not settled"):
+        subspace.smallest_nonzero(_one_component(spark, [(i, i + 1) for i in range(30)]), 2)
+
+
+def test_subspace_solver_does_not_rank_within_a_cut_eigenspace(spark):
+    from graphwatch.operators.subspace import smallest_nonzero
+
+    rows = smallest_nonzero(_one_component(spark, [(0, i) for i in range(1, 25)]), 2).collect()
+    assert len(rows) == 25 and all(abs(v - 1) < 1e-9 for r in rows for v in r.vals)
+    assert all(r.g1 == 0 for r in rows)
