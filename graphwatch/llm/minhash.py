@@ -34,7 +34,7 @@ from .components import components
 
 WORDS = 5
 BINS = 128
-BANDS, ROWS = 21, 6
+RECALL = 0.9999            # of one pair at the least similarity that is a link
 _BIN_SHIFT = np.uint64(57)
 _ODD = mix64(np.arange(1, 64, dtype=np.uint64)) | np.uint64(1)
 # donors of empty bins: row t has the bin that each bin asks at attempt t
@@ -89,28 +89,42 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return sig
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    rows = sig[:BANDS * ROWS].reshape(BANDS, ROWS)
-    mixed = (mix64(rows) * _ODD[:ROWS]).sum(axis=1, dtype=np.uint64)
-    return mix64(mixed + np.arange(BANDS, dtype=np.uint64) * _ODD[20]).view(np.int64)
+def band_shape(percent: int) -> tuple[int, int]:
+    """(bands, rows): the longest bands in which a pair at ``percent`` shares a
+    bucket with probability RECALL at least, by all the bins they fill."""
+    for rows in range(6, 1, -1):
+        bands = BINS // rows
+        if 1 - (1 - (percent / 100) ** rows) ** bands >= RECALL:
+            return bands, rows
+    return BINS, 1
+
+
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    cut = sig[:bands * rows].reshape(bands, rows)
+    mixed = (mix64(cut) * _ODD[:rows]).sum(axis=1, dtype=np.uint64)
+    return mix64(mixed + np.arange(bands, dtype=np.uint64) * _ODD[20]).view(np.int64)
 
 
 def _digest(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes, digests, bands = [], [], []
-        for _, hashes in shingle_sets(batch.column(2)):
-            sizes.append(len(hashes))
-            digests.append(_digest(hashes))
-            bands.append(band_keys(signature(hashes)) if len(hashes) else np.zeros(0, np.int64))
-        flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
-        ends = np.cumsum([0] + [len(x) for x in bands]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-             pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], schema=_SIGNED)
+def _sign(percent: int):
+    n_bands, n_rows = band_shape(percent)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, digests, bands = [], [], []
+            for _, hashes in shingle_sets(batch.column(2)):
+                sizes.append(len(hashes))
+                digests.append(_digest(hashes))
+                bands.append(band_keys(signature(hashes), n_bands, n_rows) if len(hashes) else np.zeros(0, np.int64))
+            flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
+            ends = np.cumsum([0] + [len(x) for x in bands]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], schema=_SIGNED)
+    return sign
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +185,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
                      F.lit(-1) - F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 2))
     rows = docs.select(rid.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     signed = written(rows.mapInArrow(
-        _sign, "rid long, doc_id long, n_shingles long, digest binary, bands array<long>"), "signed")
+        _sign(percent), "rid long, doc_id long, n_shingles long, digest binary, bands array<long>"), "signed")
     # documents of one set are one class from here on
     members = signed.filter("n_shingles > 0").select("rid", "n_shingles", "digest", "bands")
     classes = written(

@@ -481,6 +481,15 @@ def test_near_duplicates_against_all_pairs(docs, nothing, percent):
     assert minhash.near_duplicates(nothing).count() == 0
 
 
+def test_bands_keep_their_recall_at_lower_similarities():
+    assert minhash.band_shape(85) == (21, 6)
+    for percent in (85, 80, 70, 60, 50):
+        bands, rows = minhash.band_shape(percent)
+        assert bands * rows <= minhash.BINS
+        assert 1 - (1 - (percent / 100) ** rows) ** bands >= 0.9999
+        assert minhash.band_keys(np.arange(minhash.BINS, dtype=np.uint64), bands, rows).shape == (bands,)
+
+
 # ---------------------------------------------------------------- pipeline
 
 def test_pipeline_stages(spark):
