@@ -300,6 +300,17 @@ def test_counts_follow_edits(spark, docs, nothing):
     assert editcounts.apply_edits(editcounts.with_edits(editcounts.plant_trees(nothing), table)).count() == 0
 
 
+def test_ids_are_those_of_the_tokenizer_as_loaded():
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(tokenizer_path())
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|>y z", "<|endoftext|> <|endoftext|>\n", "<|endof text|>",
+             "é<|endoftext|> é", "many words in a row <|endoftext|>  and on", "plain text"]
+    expected = [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(expected[0]) == 1
+    assert [x.tolist() for x in encoder(tokenizer_path()).encode(pa.array(texts))] == expected
+
+
 # ---------------------------------------------------------------- 8 fuzzy lines
 
 def test_edit_distance_within_a_bound():
