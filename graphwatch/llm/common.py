@@ -115,17 +115,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def word_hashes(b: np.ndarray, off: np.ndarray, separators: np.ndarray
-                ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of every row of a slice: (hashes, byte starts, byte ends, first
-    word of each row, with one entry more than rows).
-
-    A word's hash is a polynomial over its bytes modulo 2**64, read off a
-    running sum, so that no Python step is taken per word."""
+def word_spans(b: np.ndarray, off: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of every row of a slice: (byte starts, byte ends, first word of
+    each row, with one entry more than rows)."""
     n = len(b)
     if n == 0:
         z = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), z, z, np.zeros(len(off), np.int64)
+        return z, z, np.zeros(len(off), np.int64)
     word = ~separators[b]
     first = np.zeros(n + 1, bool)
     first[off[off < n]] = True
@@ -135,11 +131,40 @@ def word_hashes(b: np.ndarray, off: np.ndarray, separators: np.ndarray
     stop = np.ones(n, bool)                      # a word ends before a separator, a row or a start
     stop[:-1] = ~word[1:] | first[1:n]
     ends = np.flatnonzero(word & stop) + 1
+    return starts, ends, np.searchsorted(starts, off)
+
+
+def word_hashes(b: np.ndarray, off: np.ndarray, separators: np.ndarray
+                ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of every row of a slice: (hashes, byte starts, byte ends, first
+    word of each row, with one entry more than rows).
+
+    A word's hash is a polynomial over its bytes modulo 2**64, read off a
+    running sum, so that no Python step is taken per word."""
+    starts, ends, first = word_spans(b, off, separators)
+    n = len(b)
+    if n == 0:
+        return np.zeros(0, np.uint64), starts, ends, first
     up, down = _powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
     h = mix64((sums[ends] - sums[starts]) * down[starts])
-    return h, starts, ends, np.searchsorted(starts, off)
+    return h, starts, ends, first
+
+
+def word_codes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words of a slice as an Arrow array, and for each the number of its
+    content: equal numbers mean equal bytes."""
+    if not len(starts):
+        return pa.array([], pa.large_binary()), np.zeros(0, np.int64)
+    flags = np.zeros(len(b) + 1, np.int8)
+    flags[starts] += 1
+    flags[ends] -= 1
+    held = b[np.cumsum(flags[:-1], dtype=np.int8).astype(bool)]
+    bounds = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(held)])
+    coded = words.dictionary_encode()
+    return words, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def ragged(counts: np.ndarray) -> np.ndarray:

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and their DuckDB oracles."""
+"""The registered queries of the operators, and their DuckDB oracles."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from graphwatch.session import scratch_path
 
-from . import decontam, directcodes, editcounts, exact, fuzzylines, minhash, packing, pii, quality, shards
+from . import (
+    decontam, directcodes, editcounts, exact, fuzzylines, hardneg, langid, minhash, packing, pii, quality, runs, shards,
+)
 from .common import documents
 
 
@@ -82,9 +84,63 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_crc(packing.pack_documents(documents(spark, sf_dir)))
 
 
+WORD = "[^\\x20\\x09-\\x0D]+"
+
+
+def with_planted_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of one document in ten (by crc32 of its id), the words from
+    one place on give way to copies of the first few of them."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("doc_id", "text", h.alias("h"), F.when(
+        h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("words"))
+    n, g = F.size("words"), F.floor(F.col("h") / 10)
+    cut = chosen.withColumn("a", F.when(n > 0, (g % n).cast("int")))
+    left = n - F.col("a")
+    cut = cut.withColumn("p", (1 + F.floor(left / (3 + g % 8))).cast("int"))
+    period = F.slice("words", F.col("a") + 1, F.col("p"))
+    copies = F.flatten(F.array_repeat(period, F.ceil(left / F.col("p")).cast("int")))
+    words = F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(copies, F.lit(1), left))
+    return cut.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(with_planted_repeats(documents(spark, sf_dir)))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "runs", "collapsed", longest.alias("m")).select(
+        "doc_id", "n_runs", (-F.col("m.start")).alias("start"), F.col("m.length").alias("length"), (-F.col("m.period")).alias("period"),
+        F.expr("1000 * m.length div -m.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def whole_vectors(rows: DataFrame) -> DataFrame:
+    """(vec_id, label, vector): components floor(256 * x), rows with a null or
+    non-finite part left out, every seventh label moved on by one."""
+    x = F.col("embedding").cast("array<double>")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    return (rows.filter(F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite)
+            .select("vec_id", moved.alias("label"), F.transform(x, lambda c: F.floor(256 * c)).alias("vector")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return hardneg.mine_hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = F.coalesce(langid.fold(F.col("doc_id")) == 1, F.lit(False))
+    model = langid.learn(docs.filter(~held_out))
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_sharding, op3_quality, op4_pii, op5_exact_dedup, op6_token_codes, op7_token_counts,
-    op8_fuzzy_lines, op9_packing, op10_minhash)}
+    op8_fuzzy_lines, op9_packing, op10_minhash, op11_periodic_runs, op12_hard_negatives, op13_language_id)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
