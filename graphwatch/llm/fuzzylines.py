@@ -1,87 +1,240 @@
 """Fuzzy line duplicates.
 
 Lines are normalised (letters and digits, lower-cased, one blank between words)
-and equal ones counted as one. A 64-bit SimHash of words and word pairs stands
-for each distinct line. SimHashes at most MAX_BITS apart agree in some choice of
-blocks (pigeonhole), so a join on these choices finds every such pair. Pairs are
-verified by edit similarity, and one occurrence per connected group is kept:
-the first by (doc_id, line number).
-
-That radius misses most lines with an edited word, so ``max_bits=None`` proposes
-pairs by their words instead (``sketches``): a pair is compared where any three
-of its six drawn words are the same and in one order, whatever its SimHashes.
-
-Lines with one SimHash are linked to the first of them and near SimHashes
-through their first lines; what that leaves in different groups is then compared
-pair by pair, so that no link is lost and no block's members are all paired.
+and equal ones counted as one. A line's SimHash is voted block by block: a hash
+deals each word to one block, and a block's 64 bits are the majority of the bits
+of its words' hashes. A changed word touches the block that the old word was in
+and the one that the new word falls into, so by the pigeonhole principle lines
+with fewer changes than half the blocks agree in a whole block; lines that agree
+in one are compared. The number of blocks follows the number of words (some
+three a block), several deals give every line about BLOCKS of them, and lines
+whose number of words is near a step of that number are dealt both ways. Blocks
+with too few letters to say anything are left out. Lines of few words are also
+dealt by their three-letter pieces.
+
+Candidates are verified by edit similarity, and one occurrence per connected
+group is kept: the first by (doc_id, line number). In every block, each line is
+compared with the first one; what that leaves in different groups is then
+compared pair by pair, so that no candidate is lost and no block's members are
+all paired.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, lower_ascii, mix64, prepare, ragged, text_slices, word_hashes, written
+from .common import NOT_ALNUM, lower_ascii, mix64, prepare, ragged, text_slices, word_hashes, word_spans, written
 from .components import components
 
-MAX_BITS = 3
 SIMILARITY = 0.8
-DRAWN, SHARED = 6, 3       # words drawn from a line, and how many of them two lines must share
-SHORT_WORDS, SHORT_CHARS = 6, 14
-_LINES = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int64()), ("digest", pa.binary()), ("simhash", pa.int64())])
-_SKETCHES = pa.schema([("digest", pa.binary()), ("id", pa.int64()), ("size", pa.int32()),
-                       ("drawn", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("short", pa.list_(pa.int64()))])
-_TEXTS = pa.schema([("digest", pa.binary()), ("line", pa.string())])
+BLOCKS = 24                # of a line, about, over all its deals
+WORDS_PER_BLOCK = 2.4      # at least; up to twice as many
+LETTERS = 10               # letters beyond the second of its words that a block must hold
+FEW_WORDS = 7              # lines of up to so many words are dealt by pieces too
+PIECES_PER_BLOCK, PIECES = 3.5, 6
+NEAR_STEP = 0.1            # lines so near a step of the number of blocks (in powers of two) go both ways
+FILTER_WORDS = 1 << 20     # 64-bit words of the table that tells which lines are candidates at all
 
+_LINES = pa.schema([("doc_id", pa.int64()), ("of", pa.int64()), ("line_no", pa.int64()), ("digest", pa.binary()),
+                    ("id", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_TEXTS = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("line", pa.string())])
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 
-def _lines(texts: pa.Array) -> Iterator[tuple]:
-    """Per slice: first row, bytes, row and line offsets, and the lines' words."""
+
+# -------------------------------------------------------------------- lines
+
+def _cut(texts: pa.Array) -> Iterator[tuple]:
+    """Per slice: first row, bytes in lower case, row offsets, line offsets."""
     for lo, b, off in text_slices(texts):
-        low = lower_ascii(b)
         # a line feed ends a row: lines are the rows of a finer cut
-        feeds = np.flatnonzero(b == 10) + 1
-        cut = np.unique(np.concatenate([off, feeds]))
-        h, starts, ends, first = word_hashes(low, cut, NOT_ALNUM)
-        yield lo, low, off, cut, h, starts, ends, first
-
-
-def _majority(words: np.ndarray, pairs: np.ndarray, begins: np.ndarray, need: np.ndarray, width: int) -> np.ndarray:
-    """Bits set in at least ``need`` of a line's words and pairs. Counts of
-    64 / width bits at a time stand side by side in one integer, ``width`` bits
-    each, so a line may have up to 2**(width - 1) - 1 words."""
-    mask = np.uint64(sum(1 << k for k in range(0, 64, width)))
-    kind = np.dtype(f"<u{width // 8}")
-    out = np.zeros(len(begins), np.uint64)
-    for k in map(np.uint64, range(width)):
-        ones = np.add.reduceat(((words >> k) & mask) + ((pairs >> k) & mask), begins)
-        bits = (ones.view(kind).reshape(len(begins), -1) >= need[:, None]).astype(kind)
-        out |= bits.view(np.uint64).ravel() << k
+        yield lo, lower_ascii(b), off, np.unique(np.concatenate([off, np.flatnonzero(b == 10) + 1]))
+
+
+def _normal(low: np.ndarray, cut: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """The normalised lines: words with one blank between."""
+    if not len(starts):
+        return [b""] * (len(cut) - 1)
+    flags = np.zeros(len(low) + 1, np.int8)
+    flags[starts] += 1
+    flags[ends] -= 1
+    held = np.cumsum(flags, dtype=np.int8).astype(bool)
+    held[ends] = True                                   # one byte behind each word, for the blank
+    text = np.append(low, np.uint8(32))
+    text[ends] = 32
+    # words that touch without a byte between them do so only where a text ends
+    touch = np.flatnonzero(np.isin(ends, starts))
+    size = ends - starts + 1
+    if len(touch):
+        at = np.repeat(starts, size) + ragged(size)
+        raw = text[np.minimum(at, len(text) - 1)]
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        raw[bounds[1:] - 1] = 32
+        own = np.flatnonzero(np.isin(starts, ends[touch]))
+        raw[bounds[own]] = low[starts[own]]
+    else:
+        raw = text[held]
+        bounds = np.concatenate([[0], np.cumsum(size)])
+    whole = raw.tobytes()
+    edges = bounds[first].tolist()
+    return [whole[s:e - 1] if e > s else b"" for s, e in zip(edges[:-1], edges[1:])]
+
+
+def _digest(line: bytes) -> bytes:
+    return hashlib.blake2b(line, digest_size=16).digest()
+
+
+_STEP = math.log(1.04)
+
+
+def line_id(digest: bytes, letters: int) -> int:
+    """55 bits of a digest below a class of the line's length: one class per 4 %."""
+    size = min(255, int(math.log(max(1, letters)) / _STEP))
+    return (size << 55) | (int.from_bytes(digest[:8], "little") >> 9)
+
+
+def _classes_apart(similarity: float) -> int:
+    """How far the classes of two lines at ``similarity`` can lie apart."""
+    return math.ceil(-math.log(max(similarity, 1e-9)) / _STEP)
+
+
+# ----------------------------------------------------------------- SimHashes
+
+def majority(votes: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """For each group of votes (``count`` of them from ``begin``) the bits that
+    half of them or more have set. Counts are kept as bit planes, so that one
+    operation counts all 64 bits."""
+    order = np.argsort(-count, kind="stable")            # groups with a k-th vote come first
+    begin, count = begin[order], count[order]
+    most = int(count[0]) if len(count) else 0
+    planes = [np.zeros(len(begin), np.uint64) for _ in range(max(1, most.bit_length()))]
+    left = len(begin)
+    for k in range(most):
+        left = int(np.searchsorted(-count[:left], -k, side="left"))
+        carry = votes[begin[:left] + k]
+        for plane in planes[:(k + 1).bit_length()]:
+            plane[:left], carry = plane[:left] ^ carry, plane[:left] & carry
+    need = (count + 1) // 2
+    enough = np.full(len(begin), ~np.uint64(0))
+    for k, plane in enumerate(planes):
+        wanted = np.where((need >> k) & 1, ~np.uint64(0), np.uint64(0))
+        enough = (plane & ~wanted) | (~(plane ^ wanted) & enough)
+    out = np.empty(len(begin), np.uint64)
+    out[order] = enough
     return out
 
 
-def simhashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """SimHash of each line's words and word pairs; 0 for lines without words."""
+def _steps(n: np.ndarray, per_block: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of two of the numbers of blocks of lines with ``n`` features: one,
+    or two near a step."""
+    x = np.log2(np.maximum(n, 1) / per_block)
+    return (np.maximum(np.floor(x - NEAR_STEP), least).astype(np.int64),
+            np.maximum(np.floor(x + NEAR_STEP), least).astype(np.int64))
+
+
+def _dealt(h: np.ndarray, weight: np.ndarray, first: np.ndarray, lines: np.ndarray, step: int, need: np.ndarray, kind: int
+           ) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of the blocks of ``lines``, each dealt into 2**step blocks."""
+    m = 1 << step
+    deals, used = -(-BLOCKS // m), min(m, BLOCKS)
+    count = first[lines + 1] - first[lines]
+    at = np.repeat(first[lines], count) + ragged(count)
+    row = np.repeat(np.arange(len(lines), dtype=np.uint64), count)
+    own = h[at]
+    # the low bits of a hash deal, the high ones are the feature's identity
+    low = ((own >> np.uint64(36)) << np.uint64(4)) | np.minimum(weight[at], 15).astype(np.uint64)
+    parts = []
+    for r in range(deals):
+        block = (own >> np.uint64(r * step)) & np.uint64(m - 1)
+        packed = ((row * np.uint64(deals * used) + np.uint64(r * used) + block) << np.uint64(32)) | low
+        parts.append(packed[block < used] if used < m else packed)
+    x = np.sort(np.concatenate(parts))
+    if not len(x):
+        return lines[:0], x
+    fresh = np.ones(len(x), bool)
+    fresh[1:] = x[1:] != x[:-1]
+    x = x[fresh]                                         # a word counts once in its block
+    group = x >> np.uint64(32)
+    begin = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    count = np.diff(np.append(begin, len(x)))
+    held = np.add.reduceat((x & np.uint64(15)).astype(np.int64), begin)
+    group = group[begin]
+    line = (group // np.uint64(deals * used)).astype(np.int64)
+    strong = held >= need[lines[line]]
+    begin, count, group, line = begin[strong], count[strong], group[strong], line[strong]
+    sim = majority(mix64(x & np.uint64(0xFFFFFFF0)), begin, count)
+    number = group % np.uint64(deals * used) + np.uint64(1024 * (step + 64 * kind))
+    return lines[line], mix64(sim + _GOLD * (number + np.uint64(1)))
+
+
+def block_keys(low: np.ndarray, h: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, normal: list[bytes]
+               ) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) for all blocks of the lines of a slice, by line."""
+    inner = np.concatenate([[0], np.cumsum((low & 0xC0) == 0x80)])      # bytes that begin no letter
+    letters = ends - starts - (inner[ends] - inner[starts])
+    found = _by_features(h, np.maximum(letters - 2, 0), first, WORDS_PER_BLOCK, 1, LETTERS, 5, 0)
+    few = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) <= FEW_WORDS))
+    if len(few):
+        padded = [" " + normal[k].decode("utf-8", "replace") + " " for k in few]
+        points = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        sizes = np.array([len(t) for t in padded])
+        of = np.repeat(np.arange(len(few)), sizes)[:-2]
+        piece = mix64((points[:-2] * _GOLD + points[1:-1]) * _GOLD + points[2:])
+        inside = ragged(sizes)[:-2] < sizes[of] - 2
+        cut = np.concatenate([[0], np.cumsum(sizes - 2)])
+        line, key = _by_features(piece[inside], np.ones(int(inside.sum()), np.int64), cut, PIECES_PER_BLOCK, 2, PIECES, 8, 1)
+        found = np.concatenate([found[0], few[line]]), np.concatenate([found[1], key])
+    order = np.argsort(found[0], kind="stable")
+    return found[0][order], found[1][order]
+
+
+def _by_features(h, weight, first, per_block: float, least: int, need: int, share: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
     n = np.diff(first)
-    out = np.zeros(len(n), np.uint64)
-    full = np.flatnonzero(n > 0)
-    if not len(full):
-        return out
-    pair = mix64(h * np.uint64(0x9E3779B97F4A7C15) + np.roll(h, -1))
-    pair[first[1:][full] - 1] = 0                            # a pair does not cross a line's end
-    # n words and n - 1 pairs: n votes are the majority
-    out[full] = _majority(h, pair, first[:-1][full], n[full], 8)
-    for width, most in ((16, (1 << 7) - 1), (32, (1 << 15) - 1)):
-        long = np.flatnonzero(n > most)                      # their counts ran over
-        if len(long):
-            at = np.repeat(first[:-1][long], n[long]) + ragged(n[long])
-            out[long] = _majority(h[at], pair[at], np.cumsum(n[long]) - n[long], n[long], width)
-    return out
+    run = np.concatenate([[0], np.cumsum(np.minimum(weight, 15))])
+    need = np.maximum(np.minimum(need, (run[first[1:]] - run[first[:-1]]) // share), 1 if kind == 0 else 2)
+    low, high = _steps(n, per_block, least)
+    lines, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for step in np.unique(np.concatenate([low[n > 0], high[n > 0]])):
+        which = np.flatnonzero((n > 0) & ((low == step) | (high == step)))
+        line, key = _dealt(h, weight, first, which, int(step), need, kind)
+        lines.append(line)
+        keys.append(key)
+    return np.concatenate(lines), np.concatenate(keys)
+
+
+# --------------------------------------------------------------- the operator
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, low, off, cut in _cut(batch.column(2)):
+            h, starts, ends, first = word_hashes(low, cut, NOT_ALNUM)
+            normal = _normal(low, cut, starts, ends, first)
+            begins = cut[:-1]
+            row = np.searchsorted(off, begins, side="right") - 1
+            number = np.arange(len(begins)) - np.searchsorted(begins, off[row])
+            digests = [_digest(x) if x else None for x in normal]
+            # only the first of a slice's equal lines has keys
+            fresh, seen = np.zeros(len(normal), bool), set()
+            for k, d in enumerate(digests):
+                if d is not None and d not in seen:
+                    seen.add(d)
+                    fresh[k] = True
+            line, key = block_keys(low, h, starts, ends, first, normal)
+            of_fresh = fresh[line]
+            line, key = line[of_fresh], key[of_fresh]
+            ids = [line_id(d, len(x.decode("utf-8", "replace"))) if d else None for d, x in zip(digests, normal)]
+            taken = pa.array(lo + row)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(number, pa.int64()),
+                 pa.array(digests, pa.binary()), pa.array(ids, pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(np.searchsorted(line, np.arange(len(normal) + 1)).astype(np.int32)),
+                                          pa.array(key.view(np.int64)))], schema=_LINES)
 
 
 def _agree(a: str, b: str) -> int:
@@ -143,157 +296,56 @@ def _close(similarity: float):
     return verify
 
 
-def _each_line(texts: pa.Array):
-    """Per slice: rows, line numbers, normalised lines, SimHashes."""
-    for lo, low, off, cut, h, starts, ends, first in _lines(texts):
-        sim = simhashes(h, first).view(np.int64)
-        raw = low.tobytes()
-        spans = [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
-        normal = [b" ".join(spans[s:e]) for s, e in zip(first[:-1].tolist(), first[1:].tolist())]
-        begins = cut[:-1]
-        row = np.searchsorted(off, begins, side="right") - 1
-        number = np.arange(len(begins)) - np.searchsorted(begins, off[row])
-        yield lo + row, number, normal, sim
+def _filter_words(ids: DataFrame) -> np.ndarray:
+    """A table of FILTER_WORDS * 64 bits in which the last bits of every id of
+    ``ids`` set one; so much reaches the driver, however many ids there are."""
+    place = F.col("id").bitwiseAND(F.lit(FILTER_WORDS * 64 - 1))
+    words = (ids.select(F.shiftright(place, 6).alias("word"), place.bitwiseAND(F.lit(63)).cast("int").alias("n"))
+             .select("word", F.expr("shiftleft(1L, n)").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect())
+    table = np.zeros(FILTER_WORDS, np.int64)
+    for r in words:
+        table[r["word"]] = r["bits"]
+    return table.view(np.uint64)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row, number, normal, sim in _each_line(batch.column(1)):
-            digests = [hashlib.blake2b(x, digest_size=16).digest() if x else None for x in normal]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), pa.array(number, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.array(sim, pa.int64())], schema=_LINES)
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, _, normal, _ in _each_line(batch.column(0)):
-            normal = [x for x in set(normal) if x]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in normal], pa.binary()),
-                 pa.array([x.decode("utf-8", "replace") for x in normal], pa.string())], schema=_TEXTS)
-
-
-def _draw(h: np.ndarray, size: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places in h, offsets): the DRAWN words of each line that come first in a
-    race in which a word's speed is the square of its length. A word runs alike
-    in every line, so lines that differ little draw much the same words. They
-    stand as in the line, by their first places."""
-    line = np.repeat(np.arange(len(first) - 1, dtype=np.uint64), np.diff(first))
-    unit = ((mix64(h ^ np.uint64(0xD1B54A32D192ED03)) >> np.uint64(11)).astype(float) + 1) / 2.0 ** 53
-    race = (-np.log(unit) / size.astype(float) ** 2).astype(np.float32).view(np.uint32)
-    order = np.argsort((line << np.uint64(32)) | race, kind="stable")
-    own, line = h[order], line[order].astype(np.int64)
-    fresh = np.ones(len(h), bool)
-    fresh[1:] = (own[1:] != own[:-1]) | (line[1:] != line[:-1])
-    order, line = order[fresh], line[fresh]
-    begin = np.searchsorted(line, np.arange(len(first)))
-    # lines follow one another, so sorted places stay with their lines
-    chosen = np.sort(order[np.arange(len(order)) - begin[line] < DRAWN])
-    return chosen, np.searchsorted(chosen, first)
-
-
-def _hash(kind: bytes, x: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(kind + x, digest_size=8).digest(), "little", signed=True)
-
-
-def _short_keys(text: str) -> list[int]:
-    """Further keys of a line of few words: pairs of its drawn words, three of
-    its drawn three-letter pieces where it has at most three words, and the line
-    without up to two of its letters where it has at most SHORT_CHARS."""
-    words, out = sorted(set(text.split(" "))), set()
-    out.update(_hash(b"p", f"{a} {b}".encode()) for a, b in combinations(words, 2))
-    if len(words) <= 3:
-        pieces = {text[i:i + 3] for i in range(len(text) - 2)}
-        drawn = sorted(sorted(pieces, key=lambda x: _hash(b"d", x.encode()))[:DRAWN])
-        out.update(_hash(b"t", "|".join(x).encode()) for x in combinations(drawn, SHARED))
-    if 5 <= len(text) <= SHORT_CHARS:
-        for gone in range(3):
-            for at in combinations(range(len(text)), gone):
-                out.add(_hash(b"g", "".join(c for i, c in enumerate(text) if i not in at).encode()))
-    return sorted(out)
-
-
-def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, id, size, drawn, places, short) of the distinct lines of each slice."""
-    for batch in batches:
-        for _, low, _, _, h, starts, ends, first in _lines(batch.column(0)):
-            inner = np.concatenate([[0], np.cumsum((low & 0xC0) == 0x80)])      # bytes that begin no letter
-            size = ends - starts - (inner[ends] - inner[starts])
-            chosen, at = _draw(h, size, first)
-            place = np.cumsum(size + 1) - size - 1                              # in the normalised line
-            place = place[chosen] - np.repeat(np.append(place, 0)[first[:-1]], np.diff(at))
-            raw, seen, rows, keys, sizes, digests = low.tobytes(), set(), [], [], [], []
-            s, e, f = starts.tolist(), ends.tolist(), first.tolist()
-            for k in range(len(f) - 1):
-                x = b" ".join([raw[i:j] for i, j in zip(s[f[k]:f[k + 1]], e[f[k]:f[k + 1]])])
-                d = hashlib.blake2b(x, digest_size=16).digest()
-                if not x or d in seen:
-                    continue
-                seen.add(d)
-                text = x.decode("utf-8", "replace")
-                rows.append(k)
-                digests.append(d)
-                sizes.append(len(text))
-                keys.append(_short_keys(text) if f[k + 1] - f[k] <= SHORT_WORDS else None)
-            n = np.diff(at)[rows]
-            picks = np.repeat(at[:-1][rows], n) + ragged(n)
-            ends_at = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(digests, pa.binary()),
-                 pa.array(np.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], np.int64)),
-                 pa.array(sizes, pa.int32()),
-                 pa.ListArray.from_arrays(ends_at, pa.array(h[chosen[picks]].view(np.int64))),
-                 pa.ListArray.from_arrays(ends_at, pa.array(place[picks], pa.int32())),
-                 pa.array(keys, pa.list_(pa.int64()))], schema=_SKETCHES)
-
-
-def _sketch_keys() -> Column:
-    """(key, p0, p1, p2): one key per choice of SHARED of a line's drawn words,
-    with their places, and its short keys, without."""
-    at = [F.get("drawn", F.lit(k)) for k in range(DRAWN)]
-    place = [F.get("places", F.lit(k)) for k in range(DRAWN)]
-    chosen = [F.when(at[c[-1]].isNotNull(), F.struct(
-        F.xxhash64(*(at[k] for k in c)).alias("key"), *(place[k].alias(f"p{i}") for i, k in enumerate(c))))
-        for c in combinations(range(DRAWN), SHARED)]
-    none = F.lit(None).cast("int")
-    short = F.transform(F.coalesce("short", F.array().cast("array<long>")), lambda x: F.struct(
-        x.alias("key"), *(none.alias(f"p{i}") for i in range(SHARED))))
-    return F.concat(F.array_compact(F.array(*chosen)), short)
-
-
-def _fits(a: list[Column], b: list[Column], similarity: float) -> Column:
-    """Whether two lines with the words of one key at ``a[:-1]`` and ``b[:-1]``
-    and of the sizes ``a[-1]`` and ``b[-1]`` can be near: what is more of one
-    than of the other before, between and behind these words is edits."""
-    step = [x - y for x, y in zip(a, b)]
-    edits = F.abs(step[0]) + sum((F.abs(y - x) for x, y in zip(step, step[1:])), F.lit(0))
-    most = F.floor(F.greatest(a[-1], b[-1]) * (1 - similarity) + 1e-9)
-    return F.coalesce(edits, F.abs(step[-1])) <= most
-
-
-def _sketch_groups(rows: DataFrame, similarity: float) -> DataFrame:
-    """(node, component) over pairs that share a key and whose edit similarity
-    is at least ``similarity``. In each key every line is compared with the
-    first one, then with what this leaves in another group."""
-    lines = rows.select("text").mapInArrow(
-        sketches, "digest binary, id long, size int, drawn array<long>, places array<int>, short array<long>")
-    lines = written(lines.dropDuplicates(["digest"]), "sketches")
-    places = [*(f"p{i}" for i in range(SHARED)), "size"]
-    keyed = lines.select("id", "size", F.inline(_sketch_keys()))
+def _texts(table):
+    """(id, digest, line) of the lines whose id may be in the table."""
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = table.value
+        for batch in batches:
+            for _, low, _, cut in _cut(batch.column(0)):
+                normal = list({x for x in _normal(low, cut, *word_spans(low, cut, NOT_ALNUM)) if x})
+                digests = [_digest(x) for x in normal]
+                place = np.array([int.from_bytes(d[:8], "little") >> 9 for d in digests], np.uint64) % np.uint64(FILTER_WORDS * 64)
+                hit = np.flatnonzero((bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
+                lines = [normal[k].decode("utf-8", "replace") for k in hit]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([line_id(digests[k], len(x)) for k, x in zip(hit, lines)], pa.int64()),
+                     pa.array([digests[k] for k in hit], pa.binary()), pa.array(lines, pa.string())], schema=_TEXTS)
+    return texts
+
+
+def _components(rows: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """(node, component) over the digests of lines that agree in a block and
+    whose edit similarity is at least ``similarity``."""
+    spark = rows.sparkSession
+    keyed = lines.filter("id is not null").select("id", F.explode("keys").alias("key"))
     in_key = Window.partitionBy("key")
-    shared = (keyed.withColumn("first", F.min(F.struct("id", *places)).over(in_key))
-              .withColumn("n", F.count(F.lit(1)).over(in_key)).filter("n > 1").drop("n"))
+    shared = (keyed.withColumn("hub", F.min("id").over(in_key)).withColumn("last", F.max("id").over(in_key))
+              .filter(F.col("hub") != F.col("last")).select("key", "id", "hub").distinct())
     shared = written(shared, "shared")
+    most = _classes_apart(similarity)
 
-    def fits(other: str) -> Column:
-        return _fits([F.col(x) for x in places], [F.col(f"{other}{x}") for x in places], similarity)
+    def alike_in_size(a: str, b: str) -> Column:
+        return F.abs(F.shiftright(F.col(a), 55) - F.shiftright(F.col(b), 55)) <= most
 
-    star = shared.filter((F.col("first.id") != F.col("id")) & fits("first."))
-    star = written(star.select(F.col("first.id").alias("u"), F.col("id").alias("v")).distinct(), "star")
-    text = F.col("text").cast("string")
-    texts = rows.select(text.alias("text")).mapInArrow(_texts, "digest binary, line string").dropDuplicates(["digest"])
-    texts = written(texts.join(lines.select("digest", "id"), "digest"), "texts")
+    star = shared.filter((F.col("hub") != F.col("id")) & alike_in_size("hub", "id"))
+    star = written(star.select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct(), "star")
+    wanted = written(shared.select("id").distinct(), "wanted")
+    table = spark.sparkContext.broadcast(_filter_words(wanted))
+    texts = (rows.select("text").mapInArrow(_texts(table), "id long, digest binary, line string")
+             .join(wanted, "id", "left_semi").dropDuplicates(["digest"]))
+    texts = written(texts, "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = (pairs.join(texts.select(F.col("id").alias("u"), F.col("digest").alias("du"), F.col("line").alias("a")), "u")
@@ -303,17 +355,17 @@ def _sketch_groups(rows: DataFrame, similarity: float) -> DataFrame:
 
     links = verified(star)
     named = written(components(links), "named")
-    label = lines.select("digest", "id").join(named.withColumnRenamed("node", "digest"), "digest")
-    label = label.groupBy("id").agg(F.min("component").alias("component"))
+    label = (texts.select("id", "digest").join(named.withColumnRenamed("node", "digest"), "digest")
+             .groupBy("id").agg(F.min("component").alias("component")))
     member = shared.join(label, "id", "left").select(
-        "key", "id", *places, F.coalesce("component", F.unhex(F.hex("id"))).alias("c"))
-    # only keys that still hold two groups have pairs to compare
+        "key", "id", "hub", F.coalesce("component", F.unhex(F.hex("id"))).alias("c"))
+    # only blocks that still hold two groups have pairs to compare
     split = member.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("key")
     member = written(member.join(split, "key", "left_semi"), "labels")
-    other = member.select("key", F.col("id").alias("v"), F.col("c").alias("other_c"),
-                          *(F.col(x).alias(f"other_{x}") for x in places))
-    left = (member.withColumnRenamed("id", "u").join(other, "key")
-            .filter((F.col("u") < F.col("v")) & (F.col("c") != F.col("other_c")) & fits("other_"))
+    one = member.select("key", F.col("id").alias("u"), F.col("c").alias("c1"), "hub")
+    two = member.select("key", F.col("id").alias("v"), F.col("c").alias("c2"))
+    left = (one.join(two, "key").filter((F.col("u") < F.col("v")) & (F.col("u") != F.col("hub")) & (F.col("c1") != F.col("c2"))
+                                        & alike_in_size("u", "v"))
             .select("u", "v").distinct().join(star, ["u", "v"], "left_anti"))
     left = written(left, "open")
     if left.limit(1).count():
@@ -321,119 +373,39 @@ def _sketch_groups(rows: DataFrame, similarity: float) -> DataFrame:
     return named
 
 
-def _keys(sim: Column, blocks: int, shared: int) -> Column:
-    """One key per choice of ``shared`` of ``blocks`` blocks of a SimHash."""
-    edges = [round(64 * k / blocks) for k in range(blocks + 1)]
-    out = []
-    for number, chosen in enumerate(combinations(range(blocks), shared)):
-        mask = sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in chosen)
-        mask -= (1 << 64) if mask >= 1 << 63 else 0
-        out.append(F.xxhash64(F.lit(number), sim.bitwiseAND(F.lit(mask))))
-    return F.array(*out)
-
-
-def near_simhashes(sims: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(s, t): all pairs s < t of the column ``simhash`` at most ``max_bits``
-    bits apart. Two blocks more than bits, of which two agree, suffice up to some
-    ten million lines; beyond, three more of which three agree: longer keys, and
-    the same pairs."""
-    extra = 2 if sims.count() < 1 << 24 else 3
-    keyed = sims.select("simhash", F.explode(_keys(F.col("simhash"), max_bits + extra, extra)).alias("key"))
-    other = keyed.select("key", F.col("simhash").alias("t"))
-    return (keyed.join(other, "key").filter((F.col("simhash") < F.col("t"))
-                                            & (F.bit_count(F.col("simhash").bitwiseXOR(F.col("t"))) <= max_bits))
-            .select(F.col("simhash").alias("s"), "t").distinct())
-
-
-def fuzzy_lines(docs: DataFrame, max_bits: int | None = MAX_BITS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, line_no, group_doc, group_line, kept) for every line of every
-    text; lines are what line feeds part, numbered from 0.
-
-    Two distinct normalised lines are linked where their SimHashes differ in at
-    most ``max_bits`` bits and their edit distance is at most (1 - similarity)
-    of the longer one's code points; with ``max_bits=None`` the edit distance
-    alone decides, over the pairs that ``sketches`` propose. (group_doc, group_line) is the group's
-    first occurrence, null ids last; kept marks it. Lines without a letter or
-    digit are in no group and kept. Null and empty texts have no lines. Rows
-    that repeat an id are told apart by nothing, so equal (doc_id, line_no) are
-    kept alike. Other columns are not read. An empty table gives an empty
-    result.
-    """
-    spark = docs.sparkSession
-    prepare(spark)
-    text = F.col("text").cast("string").alias("text")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
-    lines = written(rows.mapInArrow(_scan, "doc_id long, line_no long, digest binary, simhash long"), "lines")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")
-    distinct = written(lines.filter("digest is not null").groupBy("digest").agg(
-        F.first("simhash").alias("simhash"), F.min(place).alias("at")), "distinct")
-    if max_bits is None:
-        named = _sketch_groups(rows, similarity)
-    else:
-        named = _simhash_groups(rows, distinct, max_bits, similarity)
-    of_group = (distinct.join(named.withColumnRenamed("node", "digest"), "digest")
-                .groupBy("component").agg(F.min("at").alias("group_at")))
-    groups = (distinct.select("digest", "at")
-              .join(named.withColumnRenamed("node", "digest").join(of_group, "component"), "digest", "left")
+def _line_groups(docs: DataFrame, similarity: float) -> DataFrame:
+    """The columns of ``fuzzy_lines``, and ``of``: a hash of the line's text."""
+    prepare(docs.sparkSession)
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("of"), text.alias("text"))
+    lines = written(rows.mapInArrow(
+        _scan, "doc_id long, of long, line_no long, digest binary, id long, keys array<long>"), "lines")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no", "of")
+    distinct = written(lines.filter("digest is not null").groupBy("digest").agg(F.min(place).alias("at")), "distinct")
+    named = _components(rows, lines, similarity).withColumnRenamed("node", "digest")
+    of_group = distinct.join(named, "digest").groupBy("component").agg(F.min("at").alias("group_at"))
+    groups = (distinct.join(named.join(of_group, "component"), "digest", "left")
               .select("digest", F.coalesce("group_at", "at").alias("g")))
     out = _with_groups(lines, written(groups, "line-groups"))
-    same = F.col("doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("line_no") == F.col("g.line_no"))
+    same = (F.col("doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("line_no") == F.col("g.line_no"))
+            & F.col("of").eqNullSafe(F.col("g.of")))
     return out.select("doc_id", "line_no", F.col("g.doc_id").alias("group_doc"), F.col("g.line_no").alias("group_line"),
-                      F.when(F.col("g").isNull(), True).otherwise(same).alias("kept"))
+                      F.when(F.col("g").isNull(), True).otherwise(same).alias("kept"), "of")
 
 
-def _simhash_groups(rows: DataFrame, distinct: DataFrame, max_bits: int, similarity: float) -> DataFrame:
-    """(node, component) over pairs at most ``max_bits`` SimHash bits apart and
-    whose edit similarity is at least ``similarity``."""
-    hubs = distinct.groupBy("simhash").agg(F.min("digest").alias("hub"), F.count(F.lit(1)).alias("n"))
-    hubs = written(hubs, "hubs")
-    near = written(near_simhashes(hubs.select("simhash"), max_bits), "near")
-    shared = distinct.select("digest", "simhash", "at").join(
-        hubs.filter("n > 1").select("simhash", "hub"), "simhash")
-    star = shared.filter(F.col("digest") != F.col("hub")).select(F.col("hub").alias("u"), F.col("digest").alias("v"))
-    hub_of = hubs.select(F.col("simhash").alias("s"), F.col("hub").alias("u"))
-    bridge = near.join(hub_of, "s").join(hub_of.select(F.col("s").alias("t"), F.col("u").alias("v")), "t").select("u", "v")
-    first = written(star.unionByName(bridge), "first")
-    # the lines that any comparison can need, read again from their documents
-    busy = (near.select(F.col("s").alias("simhash")).unionByName(near.select(F.col("t").alias("simhash")))
-            .unionByName(hubs.filter("n > 1").select("simhash")).distinct())
-    wanted = written(distinct.join(busy, "simhash", "left_semi"), "wanted")
-    sources = wanted.select(F.coalesce("at.doc_id", F.lit(0)).alias("_id"), F.col("at.no_id").alias("_no")).distinct()
-    found = (rows.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_no"), "text")
-             .join(sources, ["_id", "_no"], "left_semi").select("text").mapInArrow(_texts, "digest binary, line string"))
-    texts = written(found.join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]), "texts")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = (pairs.join(texts.select(F.col("digest").alias("u"), F.col("line").alias("a")), "u")
-                .join(texts.select(F.col("digest").alias("v"), F.col("line").alias("b")), "v"))
-        return written(both.select("u", "v", "a", "b").mapInArrow(_close(similarity), "u binary, v binary"), "verified")
-
-    links = verified(first)
-    named = written(components(links), "named")
-    open_pairs = _open_pairs(wanted, hubs, near, named).join(first, ["u", "v"], "left_anti")
-    open_pairs = written(open_pairs, "open")
-    if open_pairs.limit(1).count():
-        named = written(components(links.unionByName(verified(open_pairs))), "named")
-    return named
-
+def fuzzy_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, line_no, group_doc, group_line, kept) for every line of every
+    text; lines are what line feeds part, numbered from 0.
 
-def _open_pairs(wanted: DataFrame, hubs: DataFrame, near: DataFrame, named: DataFrame) -> DataFrame:
-    """Pairs of lines with one or with near SimHashes that are in different
-    groups, or in none."""
-    label = named.select(F.col("node").alias("digest"), "component")
-    at = (wanted.join(label, "digest", "left")
-          .select("simhash", "digest", F.coalesce("component", "digest").alias("c")))
-    hub_c = (hubs.select("simhash", F.col("hub").alias("digest")).join(label, "digest", "left")
-             .select("simhash", F.coalesce("component", "digest").alias("hub_c")))
-    at = written(at.join(hub_c, "simhash").withColumn("out", F.col("c") != F.col("hub_c")), "labels")
-    one = at.select(F.col("simhash").alias("s"), F.col("digest").alias("d1"), F.col("c").alias("c1"), "out")
-    two = at.select(F.col("simhash").alias("t"), F.col("digest").alias("d2"), F.col("c").alias("c2"))
-    inside = one.filter("out").join(two, F.col("s") == F.col("t")).filter("c1 != c2").select("d1", "d2")
-    across = near.join(one, "s").join(two, "t").filter("c1 != c2").select("d1", "d2")
-    both = inside.unionByName(across)
-    # the first comparisons were (hub, line) and (hub of s, hub of t): both orders are left out
-    pairs = both.select(F.least("d1", "d2").alias("u"), F.greatest("d1", "d2").alias("v")).distinct()
-    return pairs
+    Two distinct normalised lines are linked where they agree in a block of
+    their SimHashes and their edit distance is at most (1 - similarity) of the
+    longer one's code points. (group_doc, group_line) is the group's first
+    occurrence, null ids last; kept marks it. Lines without a letter or digit
+    are in no group and kept. Null and empty texts have no lines. Rows that
+    repeat an id are told apart by their texts; equal rows are kept alike.
+    Other columns are not read. An empty table gives an empty result.
+    """
+    return _line_groups(docs, similarity).drop("of")
 
 
 def _with_groups(lines: DataFrame, groups: DataFrame) -> DataFrame:
@@ -442,22 +414,26 @@ def _with_groups(lines: DataFrame, groups: DataFrame) -> DataFrame:
     limit = max(lines.count() // 1024, 1)
     frequent = lines.filter("digest is not null").groupBy("digest").count().filter(F.col("count") > limit).select("digest")
     hot = F.broadcast(groups.join(frequent, "digest").select("digest", F.col("g").alias("hot_g")))
-    marked = lines.select("doc_id", "line_no", "digest").join(hot, "digest", "left")
-    settled = marked.filter("hot_g is not null or digest is null").select("doc_id", "line_no", F.col("hot_g").alias("g"))
-    rest = (marked.filter("hot_g is null and digest is not null").select("doc_id", "line_no", "digest")
-            .join(groups, "digest").select("doc_id", "line_no", "g"))
+    marked = lines.select("doc_id", "of", "line_no", "digest").join(hot, "digest", "left")
+    settled = marked.filter("hot_g is not null or digest is null").select("doc_id", "of", "line_no", F.col("hot_g").alias("g"))
+    rest = (marked.filter("hot_g is null and digest is not null").select("doc_id", "of", "line_no", "digest")
+            .join(groups, "digest").select("doc_id", "of", "line_no", "g"))
     return settled.unionByName(rest)
 
 
-def drop_fuzzy_lines(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the lines that are not kept taken out of ``text``; the edit
-    distance alone decides unless ``max_bits`` is given."""
-    options.setdefault("max_bits", None)
-    gone = (fuzzy_lines(docs, **options).filter("not kept").groupBy("doc_id")
-            .agg(F.collect_set("line_no").alias("_gone")))
-    from .exact import null_safe
-    keys = ["_id", "_no_id"]
-    marked = null_safe(docs).join(null_safe(gone).select(*keys, "_gone"), keys, "left")
-    kept = F.filter(F.split(F.col("text"), "\n", -1), lambda x, i: ~F.array_contains("_gone", i.cast("long")))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return marked.withColumn("text", text).drop("_gone", *keys)
+def drop_fuzzy_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with the lines that are not kept taken out of ``text``.
+
+    Every row stays, with all its columns whatever their names; a text of which
+    no line stays becomes empty, null stays null. Equal rows (same doc_id and
+    text) lose the same lines. An empty table gives an empty result."""
+    gone = (_line_groups(docs, similarity).filter("not kept").groupBy("doc_id", "of")
+            .agg(F.collect_set("line_no").alias("gone"))
+            .select(F.struct("doc_id", "of", "gone").alias("found")))
+    text = F.col("row.text").cast("string")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    marked = rows.join(gone, F.col("row.doc_id").cast("long").eqNullSafe(F.col("found.doc_id"))
+                       & (F.xxhash64(text) == F.col("found.of")), "left")
+    kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("found.gone", i.cast("long")))
+    cut = F.when(F.col("found").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    return marked.select(*[cut.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -335,21 +335,16 @@ def test_edit_distance_within_a_bound():
             assert most < 0 or fuzzylines.within(a, b, most) == (e <= most)
 
 
-def test_simhash_of_short_and_long_lines():
+def test_majority_of_votes():
     draw = np.random.default_rng(8)
-    counts = np.array([0, 1, 5, 127, 128, 129, 700, 33_000, 0, 2])
-    h = draw.integers(0, 1 << 64, counts.sum(), np.uint64)
-    first = np.concatenate([[0], np.cumsum(counts)])
-    got = fuzzylines.simhashes(h, first)
+    counts = np.array([1, 2, 3, 4, 7, 8, 129, 700, 1, 2])
+    votes = draw.integers(0, 1 << 64, counts.sum(), np.uint64)
+    begin = np.cumsum(counts) - counts
+    got = fuzzylines.majority(votes, begin, counts)
     for k, n in enumerate(counts):
-        words = h[first[k]:first[k + 1]]
-        pairs = fuzzylines.mix64(words * np.uint64(0x9E3779B97F4A7C15) + np.roll(words, -1))[:-1]
-        votes = np.concatenate([words, pairs])
-        expected = 0
-        for bit in range(64):
-            ones = int(((votes >> np.uint64(bit)) & np.uint64(1)).sum())
-            expected |= (2 * ones > len(votes)) << bit
-        assert int(got[k]) == (expected if n else 0)
+        own = votes[begin[k]:begin[k] + n]
+        ones = [int(((own >> np.uint64(bit)) & np.uint64(1)).sum()) for bit in range(64)]
+        assert int(got[k]) == sum(int(2 * x >= n) << bit for bit, x in enumerate(ones))
 
 
 def test_fuzzy_lines_against_all_pairs(spark, nothing):
@@ -370,10 +365,6 @@ def test_fuzzy_lines_against_all_pairs(spark, nothing):
     every = {(d, k): " ".join(re.findall(r"[0-9a-z]+", x.lower())) for d, t in enumerate(texts) if t for k, x in enumerate(t.split("\n"))}
     assert set(rows) == set(every)
     norm = sorted({x for x in every.values() if x})
-    sim = {}
-    for x in norm:
-        _, _, normal, s = next(fuzzylines._each_line(pa.array([x])))
-        sim[x] = int(s[0]) & (2 ** 64 - 1)
     parent = {x: x for x in norm}
 
     def root(x):
@@ -382,7 +373,7 @@ def test_fuzzy_lines_against_all_pairs(spark, nothing):
         return x
 
     for a, b in itertools.combinations(norm, 2):
-        if (sim[a] ^ sim[b]).bit_count() <= 3 and _edit(a, b) <= 0.2 * max(len(a), len(b)):
+        if _edit(a, b) <= 0.2 * max(len(a), len(b)):
             parent[root(a)] = root(b)
     first = {}
     for place in sorted(every):
@@ -415,7 +406,7 @@ def test_fuzzy_lines_by_edit_similarity_alone(spark):
                 pair[len(lines)] = n
                 lines += [a, b]
     docs = _frame(spark, lines, repeat=False)
-    group = {r.doc_id: r.group_doc for r in fuzzylines.fuzzy_lines(docs, max_bits=None).collect()}
+    group = {r.doc_id: r.group_doc for r in fuzzylines.fuzzy_lines(docs).collect()}
     for n in (3, 5, 10, 20, 40, 100):
         of_n = [i for i in pair if pair[i] == n]
         assert len(of_n) >= 10
