@@ -13,10 +13,10 @@ with too few letters to say anything are left out. Lines of few words are also
 dealt by their three-letter pieces.
 
 Candidates are verified by edit similarity, and one occurrence per connected
-group is kept: the first by (doc_id, line number). In every block, each line is
-compared with the first one; what that leaves in different groups is then
-compared pair by pair, so that no candidate is lost and no block's members are
-all paired.
+group is kept: the first by (doc_id, line number). Each line is compared with
+one other, of the first lines of its blocks the one that most of them share;
+what that leaves in different groups is then compared pair by pair, so that no
+candidate is lost and no block's members are all paired.
 """
 
 from __future__ import annotations
@@ -35,10 +35,12 @@ from .components import components
 
 SIMILARITY = 0.8
 BLOCKS = 24                # of a line, about, over all its deals
-WORDS_PER_BLOCK = 2.4      # at least; up to twice as many
-LETTERS = 10               # letters beyond the second of its words that a block must hold
+LETTERS_PER_BLOCK = 9.0    # at least, on average; up to twice as many
+LETTERS = 12               # letters beyond the second of its words that a block must hold; a fifth of
+LEAST_LETTERS = 6          # the line's in short lines, but so many at least
 FEW_WORDS = 7              # lines of up to so many words are dealt by pieces too
-PIECES_PER_BLOCK, PIECES = 3.5, 6
+PIECES_PER_BLOCK = 2.0
+PIECES, LEAST_PIECES = 6, 2   # pieces that a block must hold; a seventh of the line's, but so many at least
 NEAR_STEP = 0.1            # lines so near a step of the number of blocks (in powers of two) go both ways
 FILTER_WORDS = 1 << 20     # 64-bit words of the table that tells which lines are candidates at all
 
@@ -131,8 +133,8 @@ def majority(votes: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndar
 
 
 def _steps(n: np.ndarray, per_block: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of two of the numbers of blocks of lines with ``n`` features: one,
-    or two near a step."""
+    """Powers of two of the numbers of blocks of lines of weight ``n``: one, or two
+    near a step."""
     x = np.log2(np.maximum(n, 1) / per_block)
     return (np.maximum(np.floor(x - NEAR_STEP), least).astype(np.int64),
             np.maximum(np.floor(x + NEAR_STEP), least).astype(np.int64))
@@ -178,7 +180,7 @@ def block_keys(low: np.ndarray, h: np.ndarray, starts: np.ndarray, ends: np.ndar
     """(line, key) for all blocks of the lines of a slice, by line."""
     inner = np.concatenate([[0], np.cumsum((low & 0xC0) == 0x80)])      # bytes that begin no letter
     letters = ends - starts - (inner[ends] - inner[starts])
-    found = _by_features(h, np.maximum(letters - 2, 0), first, WORDS_PER_BLOCK, 1, LETTERS, 5, 0)
+    found = _by_features(h, np.maximum(letters - 2, 0), first, LETTERS_PER_BLOCK, 1, LETTERS, LEAST_LETTERS, 5, 0)
     few = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) <= FEW_WORDS))
     if len(few):
         padded = [" " + normal[k].decode("utf-8", "replace") + " " for k in few]
@@ -188,17 +190,17 @@ def block_keys(low: np.ndarray, h: np.ndarray, starts: np.ndarray, ends: np.ndar
         piece = mix64((points[:-2] * _GOLD + points[1:-1]) * _GOLD + points[2:])
         inside = ragged(sizes)[:-2] < sizes[of] - 2
         cut = np.concatenate([[0], np.cumsum(sizes - 2)])
-        line, key = _by_features(piece[inside], np.ones(int(inside.sum()), np.int64), cut, PIECES_PER_BLOCK, 2, PIECES, 8, 1)
+        line, key = _by_features(piece[inside], np.ones(int(inside.sum()), np.int64), cut, PIECES_PER_BLOCK, 2, PIECES, LEAST_PIECES, 7, 1)
         found = np.concatenate([found[0], few[line]]), np.concatenate([found[1], key])
     order = np.argsort(found[0], kind="stable")
     return found[0][order], found[1][order]
 
 
-def _by_features(h, weight, first, per_block: float, least: int, need: int, share: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
+def _by_features(h, weight, first, per_block: float, least: int, most: int, floor: int, share: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
     n = np.diff(first)
     run = np.concatenate([[0], np.cumsum(np.minimum(weight, 15))])
-    need = np.maximum(np.minimum(need, (run[first[1:]] - run[first[:-1]]) // share), 1 if kind == 0 else 2)
-    low, high = _steps(n, per_block, least)
+    need = np.clip((run[first[1:]] - run[first[:-1]]) // share, floor, most)
+    low, high = _steps(run[first[1:]] - run[first[:-1]], per_block, least)
     lines, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for step in np.unique(np.concatenate([low[n > 0], high[n > 0]])):
         which = np.flatnonzero((n > 0) & ((low == step) | (high == step)))
@@ -339,8 +341,10 @@ def _components(rows: DataFrame, lines: DataFrame, similarity: float) -> DataFra
     def alike_in_size(a: str, b: str) -> Column:
         return F.abs(F.shiftright(F.col(a), 55) - F.shiftright(F.col(b), 55)) <= most
 
-    star = shared.filter((F.col("hub") != F.col("id")) & alike_in_size("hub", "id"))
-    star = written(star.select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct(), "star")
+    # every line meets the first line that it shares most blocks with
+    first = (shared.filter((F.col("hub") != F.col("id")) & alike_in_size("hub", "id")).groupBy("id", "hub").count()
+             .groupBy("id").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("u")))
+    first = written(first.select("u", F.col("id").alias("v")), "first")
     wanted = written(shared.select("id").distinct(), "wanted")
     table = spark.sparkContext.broadcast(_filter_words(wanted))
     texts = (rows.select("text").mapInArrow(_texts(table), "id long, digest binary, line string")
@@ -353,20 +357,18 @@ def _components(rows: DataFrame, lines: DataFrame, similarity: float) -> DataFra
         return written(both.select(F.col("du").alias("u"), F.col("dv").alias("v"), "a", "b")
                        .mapInArrow(_close(similarity), "u binary, v binary"), "verified")
 
-    links = verified(star)
+    links = verified(first)
     named = written(components(links), "named")
     label = (texts.select("id", "digest").join(named.withColumnRenamed("node", "digest"), "digest")
              .groupBy("id").agg(F.min("component").alias("component")))
-    member = shared.join(label, "id", "left").select(
-        "key", "id", "hub", F.coalesce("component", F.unhex(F.hex("id"))).alias("c"))
+    member = shared.join(label, "id", "left").select("key", "id", F.coalesce("component", F.unhex(F.hex("id"))).alias("c"))
     # only blocks that still hold two groups have pairs to compare
     split = member.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("key")
     member = written(member.join(split, "key", "left_semi"), "labels")
-    one = member.select("key", F.col("id").alias("u"), F.col("c").alias("c1"), "hub")
+    one = member.select("key", F.col("id").alias("u"), F.col("c").alias("c1"))
     two = member.select("key", F.col("id").alias("v"), F.col("c").alias("c2"))
-    left = (one.join(two, "key").filter((F.col("u") < F.col("v")) & (F.col("u") != F.col("hub")) & (F.col("c1") != F.col("c2"))
-                                        & alike_in_size("u", "v"))
-            .select("u", "v").distinct().join(star, ["u", "v"], "left_anti"))
+    left = (one.join(two, "key").filter((F.col("u") < F.col("v")) & (F.col("c1") != F.col("c2")) & alike_in_size("u", "v"))
+            .select("u", "v").distinct().join(first, ["u", "v"], "left_anti"))
     left = written(left, "open")
     if left.limit(1).count():
         named = written(components(links.unionByName(verified(left))), "named")

@@ -144,10 +144,124 @@ QUERIES = {f.__name__: f for f in (
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+# crc32 of an id written as text: the table of the reflected polynomial, then one step a digit
+_CRC_TABLE = """
+    SELECT list(v ORDER BY i) AS crc_table FROM (
+        SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+                              lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v
+        FROM range(256) r(i))"""
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                       lambda x, y: xor(x >> 8, crc_table[1 + (xor(x, y) & 255)])), 4294967295)"""
+_WORD = "[^\\x20\\x09-\\x0D]+"
+
 ORACLES = {
     "op5_exact_dedup": f"""
         WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), {_AZ})) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY text_sha256)""",
+    "op10_minhash": f"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_WORD}') AS w FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+            FROM words),
+        sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+        shingles AS (SELECT doc_id, hash(unnest(s)) AS s FROM sets),
+        shared AS (
+            SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+            GROUP BY ALL),
+        links AS (
+            SELECT u, v FROM shared JOIN sizes a ON a.doc_id = u JOIN sizes b ON b.doc_id = v
+            WHERE 100 * shared.n >= 85 * (a.n + b.n - shared.n)),
+        reached AS (
+            SELECT doc_id, doc_id AS r FROM sizes UNION SELECT reached.doc_id, links.v FROM reached JOIN links ON links.u = reached.r)
+        SELECT doc_id, any_value(n)::BIGINT AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept
+        FROM reached JOIN sizes USING (doc_id) GROUP BY doc_id""",
+    "op11_periodic_runs": f"""
+        WITH hashed AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w, {_CRC} AS h FROM documents, ({_CRC_TABLE})),
+        cut AS (SELECT *, len(w) AS n, h // 10 AS g, (h // 10) % len(w) AS a FROM hashed),
+        step AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM cut),
+        planted AS (
+            SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+                   THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w
+            FROM step),
+        words AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS w FROM planted),
+        threes AS (
+            SELECT doc_id, n, i, w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o AS t FROM words
+            WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        alike AS (
+            SELECT x.doc_id, x.i, y.i - x.i AS period FROM threes x JOIN threes y
+            ON x.doc_id = y.doc_id AND x.t = y.t AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+        islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, period ORDER BY i) AS k FROM alike),
+        repeats AS (
+            SELECT doc_id, min(i) AS start, count(*) + 2 + period AS length, period FROM islands GROUP BY doc_id, period, k
+            HAVING count(*) + 2 + period >= greatest(6, 4 * period)),
+        runs AS (
+            SELECT * FROM repeats r WHERE NOT EXISTS (
+                SELECT 1 FROM repeats s WHERE s.doc_id = r.doc_id AND s.period < r.period AND r.period % s.period = 0
+                AND s.start <= r.start AND s.start + s.length >= r.start + r.length)),
+        longest AS (
+            SELECT doc_id, count(*) AS n_runs, arg_min(struct_pack(start, length, period), (-length, start, period)) AS m,
+                   string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed
+            FROM runs GROUP BY doc_id),
+        kept AS (
+            SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS collapsed FROM words
+            WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = words.doc_id AND i >= r.start + r.period AND i < r.start + r.length)
+            GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, m.start AS start, m.length AS length, m.period AS period,
+               1000 * m.length // m.period AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256,
+               sha256(coalesce(collapsed, '')) AS collapsed_sha256
+        FROM planted LEFT JOIN longest USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op12_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+                   list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2]))::BIGINT AS score
+            FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, vec_id AS negative_id, positive_score,
+               score AS negative_score
+        FROM positives JOIN scored USING (anchor_id)
+        WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY rank <= 5""",
+    "op13_language_id": f"""
+        WITH docs AS (
+            SELECT doc_id, lang, coalesce(text, '') AS text, {_CRC} % 3 = 1 AS held_out FROM documents, ({_CRC_TABLE})),
+        words AS (
+            SELECT doc_id, w, count(*) AS n FROM (
+                SELECT doc_id, unnest(string_split(regexp_replace(lower(text), '[^\\p{{L}}\\p{{M}}]+', ' ', 'g'), ' ')) AS w FROM docs)
+            WHERE w <> '' GROUP BY ALL),
+        grams AS (
+            SELECT doc_id, g, sum(n)::BIGINT AS n FROM (
+                SELECT doc_id, n, unnest(list_concat(
+                    list_transform(range(1, len(w) + 1), lambda i: substr(w, i, 1)),
+                    list_transform(range(1, len(w) + 2), lambda i: substr(' ' || w || ' ', i, 2)),
+                    list_transform(range(1, len(w) + 1), lambda i: substr(' ' || w || ' ', i, 3)))) AS g FROM words)
+            GROUP BY ALL),
+        profiles AS (
+            SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, g) - 1 AS place
+            FROM grams JOIN docs USING (doc_id) WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, g
+            QUALIFY place < {langid.PROFILE}),
+        own AS (
+            SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, g) - 1 AS place FROM grams
+            QUALIFY place < {langid.PROFILE}),
+        apart AS (
+            SELECT doc_id, l.lang, count(*) AS used,
+                   sum(CASE WHEN p.place IS NULL THEN {langid.PROFILE} ELSE abs(p.place - own.place) END) AS d
+            FROM own CROSS JOIN (SELECT DISTINCT lang FROM profiles) l LEFT JOIN profiles p ON p.lang = l.lang AND p.g = own.g
+            GROUP BY ALL),
+        nearest AS (SELECT doc_id, used, d, lang FROM apart QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY d, lang) = 1)
+        SELECT doc_id, held_out, CASE WHEN regexp_matches(text, '\\p{{L}}') THEN coalesce(n.lang, 'und') ELSE 'und' END AS lang_pred,
+               CASE WHEN regexp_matches(text, '\\p{{L}}') AND n.lang IS NOT NULL
+                    THEN 1 - d::DOUBLE / (used * {langid.PROFILE}) ELSE 0 END::DOUBLE AS score
+        FROM docs LEFT JOIN nearest n USING (doc_id)""",
 }

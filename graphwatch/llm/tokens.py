@@ -3,8 +3,8 @@
 A byte-level BPE encodes each pre-token on its own, and no pre-token runs past
 the end of a word into the blank behind it. A text may therefore be cut before
 each blank that follows a visible character, and the pieces' ids laid end to
-end are the text's ids. A task finds its pieces with numpy, encodes each
-distinct one once and keeps it for the texts that follow.
+end are the text's ids. A task finds its pieces with numpy, looks them all up at
+once in a memory of pieces and gives the library only those that are not there.
 """
 
 from __future__ import annotations
@@ -14,13 +14,16 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from .common import ragged, text_slices
+from .common import mix64, ragged, text_slices
 
 TOKENIZER = "byte_bpe_50k.json"
-KEPT_PIECES = 300_000          # the memory is emptied beyond so many pieces
-KEPT_IDS = 3_000_000           # or ids
+KEPT_PIECES = 900_000          # beyond so many pieces a new memory is begun, and the one before the last forgotten
+KEPT_IDS = 7_500_000           # or ids
+SHORT = 23                     # bytes of a piece that three words hold beside its length
 SLICE = 2 << 20                # bytes of text worked on at once
-JOINED = 1000                  # new pieces that go to the library as one text
+JOINED = 200                   # new pieces that go to the library as one text
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
 def tokenizer_path(path: str | None = None) -> str:
@@ -47,8 +50,103 @@ def ends_visibly(piece: bytes) -> bool:
     return 32 < last < 127 or (last >= 128 and len(piece) > 1 and piece[-2] == 0xC3)
 
 
+class Memory:
+    """Pieces with their ids. Pieces of up to SHORT bytes are found by an open
+    table over numpy arrays, many at once and by their whole content; longer
+    ones by a dict."""
+
+    def __init__(self, kind: type = np.int32) -> None:
+        self.n = self.n_ids = 0
+        self.keys = np.zeros((3, 1 << 12), np.uint64)
+        self.starts, self.counts = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
+        self.ids = np.zeros(1 << 14, kind)
+        self.table = np.full(1 << 13, -1, np.int32)
+        self.long: dict[bytes, int] = {}
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Entry of each key (a column of three words), -1 where there is none."""
+        out = np.full(keys.shape[1], -1, np.int32)
+        mask = len(self.table) - 1
+        at = (_spread(keys) & np.uint64(mask)).astype(np.int64)
+        left = np.arange(keys.shape[1])
+        while len(left):
+            entry = self.table[at]
+            there = entry >= 0
+            left, at, entry = left[there], at[there], entry[there]
+            same = ((self.keys[0, entry] == keys[0, left]) & (self.keys[1, entry] == keys[1, left])
+                    & (self.keys[2, entry] == keys[2, left]))
+            out[left[same]] = entry[same]
+            left, at = left[~same], (at[~same] + 1) & mask
+        return out
+
+    def _entries(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Numbers of new entries that hold ``ids``, ``counts`` of them each."""
+        while self.n + len(counts) > len(self.starts):
+            self.starts, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts))
+            self.keys = np.concatenate([self.keys, np.zeros_like(self.keys)], axis=1)
+        while self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        entry = np.arange(self.n, self.n + len(counts), dtype=np.int32)
+        self.ids[self.n_ids:self.n_ids + len(ids)] = ids
+        self.starts[entry] = self.n_ids + np.cumsum(counts) - counts
+        self.counts[entry] = counts
+        self.n, self.n_ids = self.n + len(counts), self.n_ids + len(ids)
+        return entry
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Entries of distinct keys that the memory does not have yet."""
+        entry = self._entries(ids, counts)
+        self.keys[:, entry] = keys
+        if self.n * 2 > len(self.table):
+            while self.n * 2 > len(self.table):
+                self.table = np.full(2 * len(self.table), -1, np.int32)
+            held = np.ones(self.n, bool)
+            held[list(self.long.values())] = False
+            self._place(np.flatnonzero(held).astype(np.int32))
+        else:
+            self._place(entry)
+        return entry
+
+    def _place(self, entry: np.ndarray) -> None:
+        mask = len(self.table) - 1
+        at = (_spread(self.keys[:, entry]) & np.uint64(mask)).astype(np.int64)
+        while len(entry):
+            free = self.table[at] < 0
+            self.table[at[free]] = entry[free]           # of several that want one place, one gets it
+            left = self.table[at] != entry
+            entry, at = entry[left], at[left]
+            at = np.where(self.table[at] >= 0, (at + 1) & mask, at)
+
+    def add_long(self, piece: bytes, ids: np.ndarray) -> int:
+        entry = int(self._entries(ids, np.array([len(ids)]))[0])
+        self.long[piece] = entry
+        return entry
+
+    def ids_of(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        counts = self.counts[entry].astype(np.int64)
+        return self.ids[np.repeat(self.starts[entry], counts) + ragged(counts)].astype(np.int32), counts
+
+
+def _spread(keys: np.ndarray) -> np.ndarray:
+    return mix64((keys[0] * _ODD + keys[1]) * _ODD + keys[2])
+
+
+def short_keys(b: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Pieces of up to SHORT bytes as three words: their bytes, padded with
+    zeros, and their length in the last byte."""
+    padded = np.concatenate([b, np.zeros(24, np.uint8)])
+    window = np.ndarray((len(b) + 17,), "<u8", padded, strides=(1,))     # the eight bytes from every place on
+    out = np.empty((3, len(starts)), np.uint64)
+    for k in range(3):
+        held = np.clip(sizes - 8 * k, 0, 8)
+        out[k] = window[starts + 8 * k] & _MASKS[held]
+    out[2] |= sizes.astype(np.uint64) << np.uint64(56)
+    return out
+
+
 class PieceEncoder:
-    """ids of texts, with a memory of pieces."""
+    """ids of texts, with a memory of pieces: a young one that takes what is met,
+    and the one before it, which is asked where the young one has no answer."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -59,87 +157,99 @@ class PieceEncoder:
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.width[i] = len(token)                   # a character of the vocabulary is a byte
-        self._forget()
-
-    def _forget(self) -> None:
-        self.slot: dict[bytes, int] = {}
-        self.starts, self.counts, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32)
-        self.n_ids = 0
-
-    def _encode_new(self, pieces: list[bytes]) -> None:
-        texts: list[str] = []
-        groups: list[list[bytes] | None] = []
-        run: list[bytes] = []
-        for p in pieces:
+        self.kind = np.uint16 if len(self.width) <= 1 << 16 else np.int32
+        self.young, self.old = Memory(self.kind), Memory(self.kind)
+
+    def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of pieces end to end, and how many each has. Pieces that begin with
+        a blank and end visibly go to the library JOINED at a time."""
+        ids: list[np.ndarray] = [np.zeros(0, np.int32)]
+        counts = np.zeros(len(pieces), np.int64)
+        order: list[int] = []
+        run: list[int] = []
+        groups: list[list[int]] = []
+        for k, p in enumerate(pieces):
             if p[:1] == b" " and ends_visibly(p):
-                run.append(p)
-                if len(run) < JOINED:
-                    continue
+                run.append(k)
+                if len(run) == JOINED:
+                    groups.append(run)
+                    run = []
             else:
-                texts.append(p.decode("utf-8", "replace"))
-                groups.append([p])
-                continue
-            texts.append(b"".join(run).decode("utf-8", "replace"))
-            groups.append(run)
-            run = []
+                groups.append([k])
         if run:
-            texts.append(b"".join(run).decode("utf-8", "replace"))
             groups.append(run)
+        texts = [b"".join([pieces[k] for k in g]).decode("utf-8", "replace") for g in groups]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(e.ids, np.int32)
+            own = np.array(e.ids, np.int32)
             if len(group) == 1:
-                counts = np.array([len(ids)])
+                counts[group[0]] = len(own)
             else:
-                sizes = np.cumsum([len(p) for p in group])
-                ends = np.cumsum(self.width[ids])
+                sizes = np.cumsum([len(pieces[k]) for k in group])
+                ends = np.cumsum(self.width[own])
                 if not len(ends) or ends[-1] != sizes[-1]:     # bytes that are no UTF-8: one by one
-                    for p in group:
-                        own = self.tokenizer.encode(p.decode("utf-8", "replace"), add_special_tokens=False).ids
-                        self._store([p], np.array(own, np.int32), np.array([len(own)]))
-                    continue
-                counts = np.diff(np.searchsorted(ends, sizes) + 1, prepend=0)
-            self._store(group, ids, counts)
-
-    def _store(self, group: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
-        first, n = len(self.slot), len(group)
-        while first + n > len(self.starts):
-            self.starts, self.counts = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.counts))
-        while self.n_ids + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.n_ids:self.n_ids + len(ids)] = ids
-        self.starts[first:first + n] = self.n_ids + np.cumsum(counts) - counts
-        self.counts[first:first + n] = counts
-        self.n_ids += len(ids)
-        for k, p in enumerate(group):
-            self.slot[p] = first + k
+                    each = [np.array(self.tokenizer.encode(pieces[k].decode("utf-8", "replace"), add_special_tokens=False).ids,
+                                     np.int32) for k in group]
+                    counts[group] = [len(x) for x in each]
+                    own = np.concatenate(each)
+                else:
+                    counts[group] = np.diff(np.searchsorted(ends, sizes) + 1, prepend=0)
+            ids.append(own)
+            order += group
+        # from the order of the groups to that of the pieces
+        of = np.array(order, np.int64)
+        flat, taken = np.concatenate(ids), counts[of]
+        begin = np.empty(len(pieces), np.int64)
+        begin[of] = np.cumsum(taken) - taken
+        return flat[np.repeat(begin, counts) + ragged(counts)], counts
 
     def _pieces(self, b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and memory slots of the pieces of a slice."""
-        if len(self.slot) > KEPT_PIECES or self.n_ids > KEPT_IDS:
-            self._forget()
+        """Starts and memory entries of the pieces of a slice."""
+        if self.young.n > KEPT_PIECES or self.young.n_ids > KEPT_IDS:
+            self.young, self.old = Memory(self.kind), self.young
         cut = piece_starts(b, off)
         if not len(cut):
             return cut, cut
-        ends = pa.py_buffer(np.append(cut, len(b)).astype(np.int64))
-        coded = pa.Array.from_buffers(pa.large_binary(), len(cut), [None, ends, pa.py_buffer(np.ascontiguousarray(b))]
-                                      ).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        self._encode_new([p for p in distinct if p not in self.slot])
-        slots = np.array([self.slot[p] for p in distinct], np.int64)
-        return cut, slots[coded.indices.to_numpy(zero_copy_only=False)]
+        sizes = np.diff(np.append(cut, len(b)))
+        entries = np.empty(len(cut), np.int64)
+        raw = b.tobytes()
+        short = sizes <= SHORT
+        at = np.flatnonzero(short)
+        keys = short_keys(b, cut[at], sizes[at])
+        entries[at] = self.young.find(keys)
+        missing = np.flatnonzero(entries[at] < 0)
+        while len(missing):
+            # one of each content, as far as its hash tells; a second round takes what that mixed up
+            one = missing[np.unique(_spread(keys[:, missing]), return_index=True)[1]]
+            known = self.old.find(keys[:, one])
+            again, new = one[known >= 0], one[known < 0]
+            if len(again):
+                self.young.add(keys[:, again], *self.old.ids_of(known[known >= 0]))
+            if len(new):
+                begin, size = cut[at[new]].tolist(), sizes[at[new]].tolist()
+                self.young.add(keys[:, new], *self._encode([raw[s:s + n] for s, n in zip(begin, size)]))
+            entries[at[missing]] = self.young.find(keys[:, missing])
+            missing = missing[entries[at[missing]] < 0]
+        for k in np.flatnonzero(~short).tolist():
+            piece = raw[cut[k]:cut[k] + sizes[k]]
+            entry = self.young.long.get(piece)
+            if entry is None:
+                known = self.old.long.get(piece)
+                ids = (self._encode([piece]) if known is None else self.old.ids_of(np.array([known])))[0]
+                entry = self.young.add_long(piece, ids)
+            entries[k] = entry
+        return cut, entries
 
     def counted(self, b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and numbers of ids of the pieces of a slice."""
-        cut, slots = self._pieces(b, off)
-        return cut, self.counts[slots] if len(slots) else slots
+        cut, entries = self._pieces(b, off)
+        return cut, self.young.counts[entries].astype(np.int64) if len(entries) else entries
 
     def encode_slice(self, b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice, and where each text's begin (one entry more)."""
-        cut, slots = self._pieces(b, off)
-        if not len(slots):
+        cut, entries = self._pieces(b, off)
+        if not len(entries):
             return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
-        counts = self.counts[slots]
-        ids = self.ids[np.repeat(self.starts[slots], counts) + ragged(counts)]
+        ids, counts = self.young.ids_of(entries)
         run = np.concatenate([[0], np.cumsum(counts)])
         return ids, run[np.searchsorted(cut, off)]
 
