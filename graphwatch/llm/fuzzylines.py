@@ -13,10 +13,10 @@ with too few letters to say anything are left out. Lines of few words are also
 dealt by their three-letter pieces.
 
 Candidates are verified by edit similarity, and one occurrence per connected
-group is kept: the first by (doc_id, line number). Each line is compared with
-one other, of the first lines of its blocks the one that most of them share;
-what that leaves in different groups is then compared pair by pair, so that no
-candidate is lost and no block's members are all paired.
+group is kept: the first by (doc_id, line number). In every block the line that
+meets most others is the hub; each line is compared with its hubs, and what that
+leaves in different groups is then compared pair by pair, so that no candidate
+is lost and no block's members are all paired.
 """
 
 from __future__ import annotations
@@ -34,9 +34,9 @@ from .common import NOT_ALNUM, lower_ascii, mix64, prepare, ragged, text_slices,
 from .components import components
 
 SIMILARITY = 0.8
-BLOCKS = 24                # of a line, about, over all its deals
-LETTERS_PER_BLOCK = 9.0    # at least, on average; up to twice as many
-LETTERS = 12               # letters beyond the second of its words that a block must hold; a fifth of
+BLOCKS = 20                # of a line, about, over all its deals
+LETTERS_PER_BLOCK = 10.0   # at least, on average; up to twice as many
+LETTERS = 14               # letters beyond the second of its words that a block must hold; a fifth of
 LEAST_LETTERS = 6          # the line's in short lines, but so many at least
 FEW_WORDS = 7              # lines of up to so many words are dealt by pieces too
 PIECES_PER_BLOCK = 2.0
@@ -251,10 +251,22 @@ def _agree(a: str, b: str) -> int:
     return lo
 
 
+def _words_apart(a: str, b: str) -> int:
+    """An upper bound of the edit distance: words compared one by one, those that
+    differ written anew; far off where the numbers of words differ."""
+    x, y = a.split(" "), b.split(" ")
+    if len(x) != len(y):
+        return 1 << 40
+    return sum(max(len(p), len(q)) for p, q in zip(x, y) if p != q)
+
+
 def within(a: str, b: str, most: int) -> bool:
     """Whether the edit distance of two texts is at most ``most``. What they
     begin and end with alike is left out; the rest goes by bit-parallel columns
-    (Myers 1999), one integer as long as the longer text."""
+    (Myers 1999), one integer as long as the longer text, and ends early where no
+    cell of a column can lead to ``most``."""
+    if _words_apart(a, b) <= most:
+        return True
     k = _agree(a, b)
     a, b = a[k:], b[k:]
     k = _agree(a[::-1], b[::-1])
@@ -285,9 +297,23 @@ def within(a: str, b: str, most: int) -> bool:
         vertical = same | down
         up = ((less << 1) | ~(vertical | right)) & every
         down = right & vertical & every
+        if left & 63 == 0 and left and _least_at(up, down, len(a), len(b) - left, left, most) > most:
+            return False
     return distance <= most
 
 
+def _least_at(up: int, down: int, rows: int, column: int, left: int, most: int, step: int = 16) -> int:
+    """A lower bound of the distance by way of a column's cells: each sampled
+    cell's value and the rest of the way, less what lies between two samples."""
+    least = 1 << 40
+    for i in range(max(0, column - most) // step * step, min(rows, column + most) + step, step):
+        i = min(i, rows)
+        mask = (1 << i) - 1
+        cell = column + (up & mask).bit_count() - (down & mask).bit_count()
+        least = min(least, cell + abs(rows - i - left))
+    return least - step
+
+
 def _close(similarity: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,18 +359,21 @@ def _components(rows: DataFrame, lines: DataFrame, similarity: float) -> DataFra
     spark = rows.sparkSession
     keyed = lines.filter("id is not null").select("id", F.explode("keys").alias("key"))
     in_key = Window.partitionBy("key")
-    shared = (keyed.withColumn("hub", F.min("id").over(in_key)).withColumn("last", F.max("id").over(in_key))
-              .filter(F.col("hub") != F.col("last")).select("key", "id", "hub").distinct())
+    shared = (keyed.withColumn("low", F.min("id").over(in_key)).withColumn("high", F.max("id").over(in_key))
+              .filter(F.col("low") != F.col("high")).select("key", "id").distinct())
     shared = written(shared, "shared")
+    # a block's hub is the line that meets most others in all its blocks: of
+    # edited copies, the text that they were made from
+    sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    degree = shared.join(sizes, "key").groupBy("id").agg(F.sum("size").alias("degree"))
+    hubs = shared.join(degree, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", "id")).alias("hub"))
     most = _classes_apart(similarity)
 
     def alike_in_size(a: str, b: str) -> Column:
         return F.abs(F.shiftright(F.col(a), 55) - F.shiftright(F.col(b), 55)) <= most
 
-    # every line meets the first line that it shares most blocks with
-    first = (shared.filter((F.col("hub") != F.col("id")) & alike_in_size("hub", "id")).groupBy("id", "hub").count()
-             .groupBy("id").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("u")))
-    first = written(first.select("u", F.col("id").alias("v")), "first")
+    star = shared.join(hubs, "key").filter((F.col("hub") != F.col("id")) & alike_in_size("hub", "id"))
+    star = written(star.groupBy("id", "hub").count().select(F.col("hub").alias("u"), F.col("id").alias("v"), "count"), "star")
     wanted = written(shared.select("id").distinct(), "wanted")
     table = spark.sparkContext.broadcast(_filter_words(wanted))
     texts = (rows.select("text").mapInArrow(_texts(table), "id long, digest binary, line string")
@@ -357,19 +386,33 @@ def _components(rows: DataFrame, lines: DataFrame, similarity: float) -> DataFra
         return written(both.select(F.col("du").alias("u"), F.col("dv").alias("v"), "a", "b")
                        .mapInArrow(_close(similarity), "u binary, v binary"), "verified")
 
+    def labels(named: DataFrame) -> DataFrame:
+        """(id, c): the component of every line, or what stands for a line alone."""
+        found = (texts.select("id", "digest").join(named.withColumnRenamed("node", "digest"), "digest")
+                 .groupBy("id").agg(F.min("component").alias("component")))
+        return written(wanted.join(found, "id", "left").select("id", F.coalesce("component", F.unhex(F.hex("id"))).alias("c")), "labels")
+
+    def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+        """Pairs whose ends are in different components."""
+        return (pairs.join(label.toDF("u", "cu"), "u").join(label.toDF("v", "cv"), "v")
+                .filter(F.col("cu") != F.col("cv")).select("u", "v"))
+
+    # every line meets the hub that it shares most blocks with, then its other hubs
+    first = star.groupBy("v").agg(F.max_by("u", F.struct("count", "u")).alias("u")).select("u", "v")
     links = verified(first)
     named = written(components(links), "named")
-    label = (texts.select("id", "digest").join(named.withColumnRenamed("node", "digest"), "digest")
-             .groupBy("id").agg(F.min("component").alias("component")))
-    member = shared.join(label, "id", "left").select("key", "id", F.coalesce("component", F.unhex(F.hex("id"))).alias("c"))
+    second = written(apart(star.select("u", "v").join(first, ["u", "v"], "left_anti"), labels(named)), "second")
+    links = links.unionByName(verified(second))
+    named = written(components(links), "named")
     # only blocks that still hold two groups have pairs to compare
+    member = shared.join(labels(named), "id")
     split = member.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("key")
-    member = written(member.join(split, "key", "left_semi"), "labels")
-    one = member.select("key", F.col("id").alias("u"), F.col("c").alias("c1"))
-    two = member.select("key", F.col("id").alias("v"), F.col("c").alias("c2"))
+    member = written(member.join(split, "key", "left_semi"), "members")
+    one, two = member.toDF("u", "key", "c1"), member.toDF("v", "key", "c2")
     left = (one.join(two, "key").filter((F.col("u") < F.col("v")) & (F.col("c1") != F.col("c2")) & alike_in_size("u", "v"))
-            .select("u", "v").distinct().join(first, ["u", "v"], "left_anti"))
-    left = written(left, "open")
+            .select("u", "v").distinct())
+    compared = star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    left = written(left.join(compared, ["u", "v"], "left_anti"), "open")
     if left.limit(1).count():
         named = written(components(links.unionByName(verified(left))), "named")
     return named
