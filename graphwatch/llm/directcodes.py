@@ -165,6 +165,47 @@ def read_codes(spark, path: str, digest: bool = False) -> DataFrame:
     prepare(spark)
     segments = spark.read.parquet(path)
     docs = segments.mapInArrow(_reader, "part int, segment int, doc_id long, start long, n_tokens long, ids binary")
-    last = F.crc32("ids").alias("ids_crc32") if digest else F.col("ids")
+    if digest:           # before the join, so that no ids are moved for it
+        docs = docs.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return (docs.join(_starts(segments), ["part", "segment"])
-            .select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", last))
+            .select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", docs.columns[-1]))
+
+
+def read_token(spark, path: str, wanted: DataFrame) -> DataFrame:
+    """(doc_id, place, token) for the rows (doc_id, place) of ``wanted``: single
+    tokens, read through the rank directories without decoding their neighbours.
+    Places count from 0 in the document; the last one holds the end id. Rows
+    without such a document or place are left out; a document that is written
+    more than once answers once for each."""
+    prepare(spark)
+    segments = spark.read.parquet(path)
+    holds = segments.select("part", "segment", "doc_ids", "no_id", "ends").mapInArrow(
+        _holds, "part int, segment int, doc_id long, first long, n_tokens long")
+    asked = (wanted.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("place").cast("long").alias("place"))
+             .join(holds, "doc_id").filter((F.col("place") >= 0) & (F.col("place") < F.col("n_tokens"))))
+    asked = (asked.groupBy("part", "segment").agg(F.collect_list(F.struct(
+        "doc_id", "place", (F.col("first") + F.col("place")).alias("at"))).alias("asked")))
+    levels = [f"{c}{k}" for k in range(LEVELS) for c in ("chunks", "bits", "ranks")]
+    return (segments.select("part", "segment", *levels).join(asked, ["part", "segment"])
+            .mapInArrow(_tokens_at, "doc_id long, place long, token long"))
+
+
+def _holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where each document stands in its segment; null ids are asked for by nobody."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            doc_ids, ends = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["ends"], "<i8")
+            null = np.unpackbits(np.frombuffer(row["no_id"], np.uint8), count=len(doc_ids), bitorder="little").astype(bool)
+            first = np.concatenate([[0], ends[:-1]])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(ends), row[c], np.int32)) for c in ("part", "segment")]
+                + [pa.array(doc_ids, pa.int64(), mask=null), pa.array(first), pa.array(ends - first)],
+                names=["part", "segment", "doc_id", "first", "n_tokens"])
+
+
+def _tokens_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            levels = levels_of(row)
+            found = [(a["doc_id"], a["place"], token_at(levels, a["at"])) for a in row["asked"]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["doc_id", "place", "token"])

@@ -17,8 +17,8 @@ import pyarrow as pa
 from .common import mix64, ragged, text_slices
 
 TOKENIZER = "byte_bpe_50k.json"
-KEPT_PIECES = 900_000          # beyond so many pieces a new memory is begun, and the one before the last forgotten
-KEPT_IDS = 7_500_000           # or ids
+KEPT_PIECES = 500_000          # beyond so many pieces a new memory is begun, and the one before the last forgotten
+KEPT_IDS = 4_000_000           # or ids
 SHORT = 23                     # bytes of a piece that three words hold beside its length
 SLICE = 2 << 20                # bytes of text worked on at once
 JOINED = 200                   # new pieces that go to the library as one text
