@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphwatch.operators import baseline as bl
@@ -142,9 +142,12 @@ def run_summary(windows: DataFrame, key: str = "source_id") -> DataFrame:
         F.coalesce(F.col("_latest.votes"), F.lit(0)).alias("votes"),
         F.col("_latest.lambda2").alias("lambda2"),
         F.col("_latest.mult").alias("multiplicity"),
-        F.when(is_anom, F.lit("latest window is anomalous"))
-        .otherwise(F.format_string("latest window normal, %d anomalous in total", F.col("anomalies")))
-        .alias("note"))
+        summary_note(is_anom, F.col("anomalies")).alias("note"))
+
+
+def summary_note(latest_anomalous: Column, anomalies: Column) -> Column:
+    return (F.when(latest_anomalous, F.lit("latest window is anomalous"))
+            .otherwise(F.format_string("latest window normal, %d anomalous in total", anomalies)))
 
 
 def latest(windows: DataFrame, key: str = "source_id", status: str | None = None) -> DataFrame:

@@ -226,7 +226,7 @@ def mitigation_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model replies rendered from ``conversations``: fenced JSON, plain text, broken JSON."""
     cv = table(spark, sf_dir, "conversations")
-    clean = F.substring(F.regexp_replace("text", "[^a-zA-Z ]", ""), 1, 40)
+    clean = F.regexp_replace("text", "[^a-zA-Z ]", "")
     obj = F.format_string('{"diagnosis": "%s", "root_cause": "r%d", "confidence": {"total": 0.5}}',
                           clean, F.col("turn"))
     v = F.col("conv_id") % 3

@@ -6,7 +6,7 @@ Each builder returns a DataFrame (so it can be inspected or tested), and a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphwatch.schema import STATUS_ANOMALY
@@ -118,11 +118,14 @@ def window_feed(windows: DataFrame, live: bool = False) -> DataFrame:
         "status", F.lit(live).alias("live"))
 
 
+def anomaly_payload() -> Column:
+    """An anomaly event as the feed's JSON."""
+    return F.to_json(F.struct("anomaly_id", "window_no", "nodes", "signals", "diagnosis", "mitigation", "validated"))
+
+
 def anomaly_feed(events: DataFrame) -> DataFrame:
     """Each anomaly once, as a JSON payload."""
-    payload = F.to_json(F.struct("anomaly_id", "window_no", "nodes", "signals", "diagnosis",
-                                 "mitigation", "validated"))
-    return events.dropDuplicates(["anomaly_id"]).select("anomaly_id", payload.alias("payload"))
+    return events.dropDuplicates(["anomaly_id"]).select("anomaly_id", anomaly_payload().alias("payload"))
 
 
 def mitigation_store(events: DataFrame) -> DataFrame:
