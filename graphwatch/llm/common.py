@@ -115,9 +115,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def word_spans(b: np.ndarray, off: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(b: np.ndarray, off: np.ndarray, separators: np.ndarray, breaks: np.ndarray | None = None
+               ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of every row of a slice: (byte starts, byte ends, first word of
-    each row, with one entry more than rows)."""
+    each row, with one entry more than rows). A word also ends before each byte
+    that ``breaks`` marks."""
     n = len(b)
     if n == 0:
         z = np.zeros(0, np.int64)
@@ -125,6 +127,8 @@ def word_spans(b: np.ndarray, off: np.ndarray, separators: np.ndarray) -> tuple[
     word = ~separators[b]
     first = np.zeros(n + 1, bool)
     first[off[off < n]] = True
+    if breaks is not None:
+        first[:n] |= breaks
     start = word.copy()
     start[1:] &= ~word[:-1] | first[1:n]
     starts = np.flatnonzero(start)
@@ -134,14 +138,14 @@ def word_spans(b: np.ndarray, off: np.ndarray, separators: np.ndarray) -> tuple[
     return starts, ends, np.searchsorted(starts, off)
 
 
-def word_hashes(b: np.ndarray, off: np.ndarray, separators: np.ndarray
+def word_hashes(b: np.ndarray, off: np.ndarray, separators: np.ndarray, breaks: np.ndarray | None = None
                 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of every row of a slice: (hashes, byte starts, byte ends, first
     word of each row, with one entry more than rows).
 
     A word's hash is a polynomial over its bytes modulo 2**64, read off a
     running sum, so that no Python step is taken per word."""
-    starts, ends, first = word_spans(b, off, separators)
+    starts, ends, first = word_spans(b, off, separators, breaks)
     n = len(b)
     if n == 0:
         return np.zeros(0, np.uint64), starts, ends, first

@@ -1,7 +1,8 @@
 """Benchmark decontamination by CGK embedding and bit sampling.
 
 Documents and benchmark items are sequences of words (letters and digits,
-lower-cased; punctuation and layout do not count). The CGK embedding walks over
+lower-cased; punctuation and layout do not count; in scripts written without
+blanks every character is a word). The CGK embedding walks over
 a sequence: at step t it writes the word it stands on and moves on one word or
 stays, as bit t of a random hash of that word says. Two sequences at a small
 edit distance fall into step again soon after each edit, so most steps write
@@ -36,17 +37,28 @@ PART_WORDS = 256          # longer items are looked for part by part
 BLOCK_BYTES = 256 << 10   # items that one pass looks for
 SAMPLED = 3
 MAX_STEPS = 48
-MAX_WALKS = 48
+MAX_WALKS = 1024          # where these do not reach the target recall, the index is refused
 
 _PAD = MAX_STEPS + PART_WORDS * 2
-_HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int64()),
+_HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("part", pa.int64()), ("first_word", pa.int64()),
                    ("n_words", pa.int64()), ("edits", pa.int64())])
 
 
+def _unspaced(b: np.ndarray) -> np.ndarray:
+    """Where the characters of scripts without blanks (Thai, Lao, Burmese, Khmer,
+    kana, Han) begin, and what follows each: all are three bytes long."""
+    following = np.append(b[1:], np.uint8(0))
+    lead = (((b >= 0xE3) & (b <= 0xE9)) | ((b == 0xE0) & (following >= 0xB8) & (following <= 0xBB))
+            | ((b == 0xE1) & (((following >= 0x80) & (following <= 0x82)) | (following == 0x9E) | (following == 0x9F))))
+    out = lead.copy()
+    out[3:] |= lead[:-3]
+    return out
+
+
 def words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, word hashes, first word of each row) over slices."""
     for lo, b, off in text_slices(texts):
-        h, _, _, first = word_hashes(lower_ascii(b), off, NOT_ALNUM)
+        h, _, _, first = word_hashes(lower_ascii(b), off, NOT_ALNUM, _unspaced(b))
         yield lo, h, first
 
 
@@ -65,6 +77,7 @@ class Walk:
 @dataclass
 class Index:
     ids: np.ndarray              # item id of each part
+    numbers: np.ndarray          # its place in the item
     seqs: list[np.ndarray]       # vocabulary ids of each part's words
     vocabulary: np.ndarray       # sorted word hashes
     has: np.ndarray              # parts x vocabulary (+ unknown): word occurs in part
@@ -111,9 +124,16 @@ def _mutated(seq: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarra
 
 def build_index(items: list[tuple[int, np.ndarray]], ratio: float = EDIT_RATIO,
                 recall: float = TARGET_RECALL) -> Index | None:
-    """Index of (item id, word hashes). None where no item is long enough."""
-    parts = [(i, h[s:s + PART_WORDS]) for i, h in items
-             for s in range(0, max(1, len(h) - MIN_WORDS + 1), PART_WORDS) if len(h[s:s + PART_WORDS]) >= MIN_WORDS]
+    """Index of (item id, word hashes). None where no item is long enough. Raises
+    where MAX_WALKS walks do not reach ``recall``."""
+    parts, numbers = [], []
+    for i, h in items:
+        # the last part takes what is too short to be one
+        cuts = [*range(0, max(1, len(h) - MIN_WORDS + 1), PART_WORDS), len(h)]
+        for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])):
+            if e - s >= MIN_WORDS:
+                parts.append((i, h[s:e]))
+                numbers.append(k)
     if not parts:
         return None
     vocabulary = np.unique(np.concatenate([h for _, h in parts]))
@@ -153,7 +173,9 @@ def build_index(items: list[tuple[int, np.ndarray]], ratio: float = EDIT_RATIO,
                     missed[i] = not np.array_equal(x[_sampled_words(x, walk)], y[_sampled_words(y, walk)])
             if r >= 3 and missed.mean() <= 1 - recall:
                 break
-    return Index(np.array([i for i, _ in parts], object), seqs, vocabulary, has, walks, ratio)
+        else:
+            raise ValueError(f"{MAX_WALKS} walks find {1 - missed.mean():.2f} of the leaks of items of {1 << int(c)} words or more")
+    return Index(np.array([i for i, _ in parts], object), np.array(numbers), seqs, vocabulary, has, walks, ratio)
 
 
 def _candidates(index: Index, h: np.ndarray, known: np.ndarray) -> dict[bool, np.ndarray]:
@@ -274,14 +296,17 @@ def _indexes(benchmark: DataFrame, ratio: float, recall: float) -> list[Index]:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = EDIT_RATIO,
           recall: float = TARGET_RECALL) -> DataFrame:
-    """(doc_id, item_id, first_word, n_words, edits): one row for each document
-    and benchmark item of which the document holds a copy that differs in at
-    most ``ratio`` of the item's words, with the copy's best place.
-
-    Null and empty texts and items hold nothing; items of fewer than five words
-    are no evidence and are not looked for; items of over 256 words are looked
-    for part by part. Repeated documents and items are reported once per doc_id
-    and item_id. Other columns are not read. Empty tables give an empty result.
+    """(doc_id, item_id, part, first_word, n_words, edits): one row for each
+    document and part of a benchmark item of which the document holds a copy that
+    differs in at most ``ratio`` of the part's words, with the copy's best place.
+
+    An item of up to 256 words is one part (number 0); a longer one is looked for
+    in parts of 256 words, the last one up to four words longer, and each part
+    that a document holds is a leak. Null and empty texts and items hold nothing;
+    items of fewer than five words (characters, in scripts without blanks) are no
+    evidence and are not looked for. Repeated documents and items are reported
+    once per doc_id, item_id and part. Other columns are not read. Empty tables
+    give an empty result.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -298,16 +323,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = EDIT_RATIO,
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([ids[r] for r, *_ in hits], pa.int64()),
                      pa.array([index.ids[k] for _, k, *_ in hits], pa.int64()),
+                     pa.array([index.numbers[k] for _, k, *_ in hits], pa.int64()),
                      *(pa.array([h[i] for h in hits], pa.int64()) for i in (2, 3, 4))], schema=_HITS)
 
-        part = rows.mapInArrow(scan, "doc_id long, item_id long, first_word long, n_words long, edits long")
+        part = rows.mapInArrow(scan, "doc_id long, item_id long, part long, first_word long, n_words long, edits long")
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return rows.limit(0).selectExpr("doc_id", "doc_id as item_id", "doc_id as first_word",
+        return rows.limit(0).selectExpr("doc_id", "doc_id as item_id", "doc_id as part", "doc_id as first_word",
                                         "doc_id as n_words", "doc_id as edits")
     best = F.min(F.struct("edits", "first_word", "n_words")).alias("b")
-    return (out.groupBy("doc_id", "item_id").agg(best)
-            .select("doc_id", "item_id", "b.first_word", "b.n_words", "b.edits"))
+    return (out.groupBy("doc_id", "item_id", "part").agg(best)
+            .select("doc_id", "item_id", "part", "b.first_word", "b.n_words", "b.edits"))
 
 
 def leak_flag(index_sent, text: Column) -> Column:
@@ -323,7 +349,10 @@ def leak_flag(index_sent, text: Column) -> Column:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = EDIT_RATIO,
                recall: float = TARGET_RECALL) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
+    """The documents that hold no part of a benchmark item (see ``leaks``), with all
+    their columns whatever their names. Null and empty texts hold none and stay;
+    rows that repeat stay alike. Empty tables give an empty result, and all
+    documents where the benchmark is empty."""
     prepare(docs.sparkSession)
     for index in _indexes(benchmark, ratio, recall):
         docs = docs.filter(~leak_flag(docs.sparkSession.sparkContext.broadcast(index), F.col("text")))

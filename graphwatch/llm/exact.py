@@ -6,7 +6,8 @@ open-addressing table (Python's ``dict`` over whole texts: open addressing,
 hash first, then the complete content). The spill files of the partitioning
 are Spark's shuffle files, so a lost executor's share is made again.
 
-The split is planned on digests, so a text is moved once. Before that move each
+The split is planned on digests, so a text is moved once; what stays and how
+large its group is comes out of the tables, and digests lead back to the rows. Before that move each
 task folds the copies it has read: a text that holds a third of all rows is
 sent once a task, and its bucket's table holds it once.
 """
@@ -18,7 +19,7 @@ import string
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare, written
@@ -28,10 +29,11 @@ FAN_OUT = 8                 # parts of a bucket that is split again
 FOLD_BYTES = 8 << 20        # copies are folded over so much text at a time
 MAX_LEVELS = 12
 LISTED = 4096               # more buckets than this to split: all are split
+TASKS = 8192                # tasks at most; each works through its buckets one by one
 
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("text_sha256", pa.string()), ("n_bytes", pa.int64())])
-_CONTENT = pa.schema([("text_sha256", pa.string()), ("content", pa.binary()), ("copies", pa.int64())])
-_FOUND = pa.schema([("text_sha256", pa.string()), ("tabled", pa.int64())])
+_CONTENT = pa.schema([("text_sha256", pa.string()), ("content", pa.binary()), ("copies", pa.int64()), ("top_id", pa.int64())])
+_FOUND = pa.schema([("text_sha256", pa.string()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
 
 
 def _contents(texts: pa.Array) -> list[bytes]:
@@ -48,24 +50,32 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array([p[1] for p in pairs], pa.int64())], schema=_DIGEST)
 
 
+def _later(a: int | None, b: int | None) -> int | None:
+    """The larger of two ids; null only where both are."""
+    return a if b is None else b if a is None else max(a, b)
+
+
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct contents of what the task reads, in runs of FOLD_BYTES."""
-    table: dict[bytes, int] = {}
+    """Distinct contents of what the task reads, with how many rows hold each and
+    the largest doc_id among them, in runs of FOLD_BYTES."""
+    table: dict[bytes, list] = {}
     held = 0
 
     def flush() -> pa.RecordBatch:
         keys = list(table)
         return pa.RecordBatch.from_arrays(
-            [pa.array([hashlib.sha256(k).hexdigest() for k in keys], pa.string()),
-             pa.array(keys, pa.binary()), pa.array(list(table.values()), pa.int64())],
+            [pa.array([hashlib.sha256(k).hexdigest() for k in keys], pa.string()), pa.array(keys, pa.binary()),
+             pa.array([e[0] for e in table.values()], pa.int64()), pa.array([e[1] for e in table.values()], pa.int64())],
             schema=_CONTENT)
 
     for batch in batches:
-        for content in _contents(batch.column(0)):
-            if content in table:
-                table[content] += 1
+        for doc_id, content in zip(batch.column(0).to_pylist(), _contents(batch.column(1))):
+            entry = table.get(content)
+            if entry is not None:
+                entry[0] += 1
+                entry[1] = _later(entry[1], doc_id)
             else:
-                table[content] = 1
+                table[content] = [1, doc_id]
                 held += len(content)
                 if held >= FOLD_BYTES:
                     yield flush()
@@ -74,19 +84,34 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bucket's table: complete contents and how many rows hold each."""
+def _found(table: dict[bytes, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([e[k] for e in table.values()], kind) for k, kind in enumerate(_FOUND.types)], schema=_FOUND)
+
+
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bucket after bucket, one table of complete contents each: the digest, the
+    doc_id that stays and the rows that hold the content. Rows come sorted by
+    bucket. A digest names one content; two in one digest stop the job."""
     table: dict[bytes, list] = {}
+    digests: set[str] = set()
+    now = None
     for batch in batches:
-        for sha, content, n in zip(*(c.to_pylist() for c in batch.columns)):
+        for bucket, sha, content, n, top in zip(*(c.to_pylist() for c in batch.columns)):
+            if bucket != now:
+                if table:
+                    yield _found(table)
+                now, table, digests = bucket, {}, set()
             entry = table.get(content)
-            if entry is None:
-                table[content] = [sha, n]
-            else:
-                entry[1] += n
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([e[0] for e in table.values()], pa.string()),
-         pa.array([e[1] for e in table.values()], pa.int64())], schema=_FOUND)
+            if entry is not None:
+                entry[1], entry[2] = _later(entry[1], top), entry[2] + n
+                continue
+            if sha in digests:
+                raise ValueError("two contents share a digest")
+            digests.add(sha)
+            table[content] = [sha, top, n]
+    if table:
+        yield _found(table)
 
 
 def _bucket(level: int, parts: int):
@@ -134,21 +159,13 @@ def exact_duplicates(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataF
     digests = written(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .mapInArrow(_digests, "doc_id long, text_sha256 string, n_bytes long"), "digests")
-    groups = written(
-        digests.groupBy("text_sha256")
-        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"),
-             F.max("n_bytes").alias("n_bytes")), "groups")
-    path, parts = plan_buckets(groups, bucket_bytes)
-    tabled = (docs.select(F.col("text").cast("string").alias("text"))
-              .mapInArrow(_fold, "text_sha256 string, content binary, copies long")
-              .repartition(parts, path)
-              .mapInArrow(_table, "text_sha256 string, tabled long"))
-    # a digest names one content: two contents in one digest would show here as
-    # two table entries, and stop the job instead of joining unlike texts
-    stays = (groups.join(tabled, "text_sha256")
-             .withColumn("group_size", F.when(F.col("tabled") == F.col("group_size"), F.col("group_size"))
-                         .otherwise(F.raise_error(F.lit("two contents share a digest")).cast("long")))
-             .select("text_sha256", "keep_id", "group_size"))
+    path, buckets = plan_buckets(written(
+        digests.groupBy("text_sha256").agg(F.max("n_bytes").alias("n_bytes")), "sizes"), bucket_bytes)
+    stays = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+             .mapInArrow(_fold, "text_sha256 string, content binary, copies long, top_id long")
+             .select(path.alias("bucket"), "text_sha256", "content", "copies", "top_id")
+             .repartition(min(buckets, TASKS), "bucket").sortWithinPartitions("bucket")
+             .mapInArrow(_tables, "text_sha256 string, keep_id long, group_size long"))
     stays = written(stays, "tables")
     # groups that hold over 1/1024 of the rows are 1023 at most: those are sent
     # to every task, the others meet their documents by a shuffle
@@ -169,18 +186,20 @@ def exact_duplicates(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataF
 
 
 def drop_exact(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay, with all their columns; rows that repeat id and
-    text are kept once (any of them where other columns differ)."""
+    """The documents that stay (see ``exact_duplicates``), with all their columns
+    whatever their names; rows that repeat id and text are kept once (any of them
+    where other columns differ). Null texts count as empty. An empty table gives
+    an empty result."""
     keep = (exact_duplicates(docs, **options).filter("kept")
-            .select("doc_id", F.col("text_sha256").alias("_sha")))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+            .select(F.struct("text_sha256", *_null_safe(F.col("doc_id"))).alias("key")))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
     lowered = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    keys = ["_sha", "_id", "_no_id"]
-    named = null_safe(docs.withColumn("_sha", F.sha2(F.encode(lowered, "UTF-8"), 256)))
-    return (named.join(null_safe(keep).select(*keys), keys, "left_semi")
-            .dropDuplicates(keys).drop(*keys))
+    key = F.struct(F.sha2(F.encode(lowered, "UTF-8"), 256).alias("text_sha256"), *_null_safe(F.col("row.doc_id")))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).withColumn("key", key)
+    return rows.join(keep, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
-def null_safe(df: DataFrame) -> DataFrame:
-    doc_id = F.col("doc_id").cast("long")
-    return df.withColumn("_id", F.coalesce(doc_id, F.lit(0))).withColumn("_no_id", doc_id.isNull())
+def _null_safe(doc_id: Column) -> tuple[Column, Column]:
+    """An id as two columns that are never null."""
+    doc_id = doc_id.cast("long")
+    return F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("no_id")

@@ -41,7 +41,7 @@ _ODD = mix64(np.arange(1, 64, dtype=np.uint64)) | np.uint64(1)
 _DONORS = (mix64(np.arange(4096 * BINS, dtype=np.uint64) ^ np.uint64(0x5BD1E995)) >> _BIN_SHIFT
            ).astype(np.int64).reshape(4096, BINS)
 
-_SIGNED = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()),
+_SIGNED = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("of", pa.int64()), ("n_shingles", pa.int64()),
                      ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 _SETS = pa.schema([("digest", pa.binary()), ("shingles", pa.binary())])
 
@@ -115,14 +115,14 @@ def _sign(percent: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, bands = [], [], []
-            for _, hashes in shingle_sets(batch.column(2)):
+            for _, hashes in shingle_sets(batch.column(3)):
                 sizes.append(len(hashes))
                 digests.append(_digest(hashes))
                 bands.append(band_keys(signature(hashes), n_bands, n_rows) if len(hashes) else np.zeros(0, np.int64))
             flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
             ends = np.cumsum([0] + [len(x) for x in bands]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+                [*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                  pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], schema=_SIGNED)
     return sign
 
@@ -178,14 +178,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     Rows that repeat id and text all get the same result. Other columns are not
     read. An empty table gives an empty result.
     """
+    return _groups(docs, percent).drop("of")
+
+
+def _groups(docs: DataFrame, percent: int) -> DataFrame:
+    """The columns of ``near_duplicates``, and ``of``: a hash of the row's text."""
     spark = docs.sparkSession
     prepare(spark)
     text = F.col("text").cast("string")
     rid = F.coalesce(F.col("doc_id").cast("long"),
                      F.lit(-1) - F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 2))
-    rows = docs.select(rid.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rows = docs.select(rid.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("of"),
+                       text.alias("text"))
     signed = written(rows.mapInArrow(
-        _sign(percent), "rid long, doc_id long, n_shingles long, digest binary, bands array<long>"), "signed")
+        _sign(percent), "rid long, doc_id long, of long, n_shingles long, digest binary, bands array<long>"), "signed")
     # documents of one set are one class from here on
     members = signed.filter("n_shingles > 0").select("rid", "n_shingles", "digest", "bands")
     classes = written(
@@ -229,24 +235,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
              .join(of_class, "digest", "left")
              .select("digest", F.coalesce("component_id", "own_id").alias("component_id")))
     out = _named_rows(signed, alone)
-    return out.select("doc_id", "n_shingles", "component_id",
+    return out.select("doc_id", "of", "n_shingles", "component_id",
                       F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _named_rows(signed: DataFrame, classes: DataFrame) -> DataFrame:
     """Every row with its class's component. A class of over 1/1024 of the rows
     (1023 at most) is sent to every task, the others meet by a shuffle."""
-    rows = signed.select("doc_id", "n_shingles", "digest")
-    empty = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    rows = signed.select("doc_id", "of", "n_shingles", "digest")
+    empty = rows.filter("n_shingles = 0").select("doc_id", "of", "n_shingles", F.col("doc_id").alias("component_id"))
     rows = rows.filter("n_shingles > 0")
     limit = max(signed.count() // 1024, 1)
     sizes = rows.groupBy("digest").count().filter(F.col("count") > limit).select("digest")
     hot = F.broadcast(classes.join(sizes, "digest").select(
         "digest", F.col("component_id").alias("hot_id"), F.lit(True).alias("hot")))
     marked = rows.join(hot, "digest", "left")
-    one = marked.filter("hot").select("doc_id", "n_shingles", F.col("hot_id").alias("component_id"))
-    rest = (marked.filter(F.col("hot").isNull()).select("doc_id", "n_shingles", "digest")
-            .join(classes, "digest").select("doc_id", "n_shingles", "component_id"))
+    one = marked.filter("hot").select("doc_id", "of", "n_shingles", F.col("hot_id").alias("component_id"))
+    rest = (marked.filter(F.col("hot").isNull()).select("doc_id", "of", "n_shingles", "digest")
+            .join(classes, "digest").select("doc_id", "of", "n_shingles", "component_id"))
     return empty.unionByName(one).unionByName(rest)
 
 
@@ -305,10 +311,16 @@ def _open_pairs(members: DataFrame, tested: DataFrame, named: DataFrame, percent
 _SIDES = (("digest", ""), ("n", "_n"), ("c", "_c"), ("common", "_common"), ("others", "_others"), ("keys", "_keys"))
 
 
-def drop_near(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group, with all its columns."""
-    from .exact import null_safe
-
-    keep = near_duplicates(docs, **options).filter("kept").select("doc_id").distinct()
-    keys = ["_id", "_no_id"]
-    return (null_safe(docs).join(null_safe(keep).select(*keys), keys, "left_semi").drop(*keys))
+def drop_near(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """One document of each group (see ``near_duplicates``), with all its columns
+    whatever their names. Rows are told apart by id and text: of rows that repeat
+    an id only those with a kept text stay, and equal rows stay alike. Null and
+    empty texts are linked with nothing and stay. An empty table gives an empty
+    result."""
+    keep = _groups(docs, percent).filter("kept").select("doc_id", "of").distinct().select(F.struct(
+        F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "of").alias("key"))
+    doc_id = F.col("row.doc_id").cast("long")
+    key = F.struct(F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("no_id"),
+                   F.xxhash64(F.col("row.text").cast("string")).alias("of"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).withColumn("key", key)
+    return rows.join(keep, "key", "left_semi").select("row.*")

@@ -118,12 +118,14 @@ def _features(c: DataFrame) -> DataFrame:
         "f_other_cue": near.rlike(r"\b(?:version|isbn|order|no|id|ref|page|fig|key|token|password|sha|md5)\b").cast("int")})
 
 
-def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): the documents with a row number, and every proposed span
-    of every text with its place, check and description."""
+def candidates(docs: DataFrame, row: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, spans): the documents with a row number (``row``, or that of the
+    scan), and every proposed span of every text with its place, check and
+    description."""
+    row = F.monotonically_increasing_id() if row is None else row
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     arrays = [_hits(F.col("text"), i, p, need) for i, (_, p, need) in enumerate(GENERATORS)]
-    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+    rows = written(docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
                                text.alias("text"))
                    .select("row", "doc_id", F.concat(*arrays).alias("hits")), "hits")
     each = rows.filter(F.size("hits") > 0).select("row", F.inline("hits"))
@@ -162,7 +164,7 @@ def _model_scores(spans: DataFrame, precision: float) -> DataFrame | None:
     return ranked.withColumn("limit", limit).filter("score >= limit").select(*FEATURES, "kind")
 
 
-def find_spans(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
+def find_spans(docs: DataFrame, precision: float = PRECISION, row: Column | None = None) -> DataFrame:
     """(row, doc_id, base, spans) for every document: arrays of (kind number,
     start, end), by kind as in KINDS, then start; code points, end exclusive.
 
@@ -172,7 +174,7 @@ def find_spans(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     answered one by one. Columns other than doc_id and text are not read.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    rows, spans = candidates(docs)
+    rows, spans = candidates(docs, row)
     number = sum((F.when(F.col("kind") == k, i).otherwise(0) for i, k in enumerate(KINDS)), F.lit(0))
     chosen = _model_scores(spans, precision)
     cell = F.struct(number.alias("k"), "start", "end")
@@ -207,12 +209,17 @@ def written_out(spans: Column) -> Column:
 
 def redact(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     """``docs`` with every found span of ``text`` replaced by its kind in angle
-    brackets. Rows that repeat id and text are alike before and after."""
-    spans = (find_spans(docs.select("doc_id", "text"), precision).select("row", "spans"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    brackets, and all other columns as they are, whatever their names. Null texts
+    become empty; rows that repeat id and text are alike before and after; an
+    empty table gives an empty result. The rows are numbered and written once, so
+    any DataFrame may come."""
+    numbered = written(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("whole"))
+                       .withColumn("number", F.monotonically_increasing_id()), "numbered")
+    spans = find_spans(numbered.select(F.col("whole.doc_id").alias("doc_id"), F.col("whole.text").alias("text"), "number"),
+                       precision, F.col("number")).select(F.col("row").alias("number"), "spans")
+    text = F.coalesce(F.col("whole.text").cast("string"), F.lit(""))
     names = F.array(*(F.lit(f"<{k}>") for k in KINDS))
-    cuts = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), s["k"].alias("k"))))
+    cuts = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), s["k"].alias("k"))))
 
     def rebuilt(c: Column) -> Column:
         parts = F.transform(c, lambda s, i: F.concat(
@@ -222,5 +229,5 @@ def redact(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
         tail = F.substring(text, F.coalesce(F.array_max(F.transform(c, lambda s: s["b"])), F.lit(0)).cast("int") + 1, F.length(text))
         return F.concat(F.array_join(parts, ""), tail)
 
-    joined = numbered.join(spans.select(F.col("row").alias("_row"), F.col("spans").alias("_spans")), "_row")
-    return joined.withColumn("text", _let(cuts, rebuilt)).drop("_row", "_spans")
+    joined = numbered.join(spans, "number").withColumn("clean", _let(cuts, rebuilt))
+    return joined.select(*[F.col("clean" if c == "text" else f"whole.`{c}`").alias(c) for c in docs.columns])

@@ -20,11 +20,13 @@ SHARDS = 24
 SEED = 20240501
 BUCKET_ROWS = 2048
 BUCKET_BYTES = 16 << 20
+TASKS = 4096                    # of the second pass, or as many as keep TASK_BYTES each
+TASK_BYTES = 256 << 20
 _RUN = 1024                     # buckets whose sizes are added up in one group
 
 
 def _buckets(counts: DataFrame, seed: int, parts: int) -> DataFrame:
-    """(bucket, n) -> (_bucket, before, places): records before the bucket, and a
+    """(bucket, n) -> (bucket, before, places): records before the bucket, and a
     Fisher-Yates permutation of its record numbers."""
     run = F.expr(f"bucket div {_RUN}")
     runs = counts.groupBy(run.alias("run")).agg(F.sum("n").alias("n"))
@@ -35,7 +37,7 @@ def _buckets(counts: DataFrame, seed: int, parts: int) -> DataFrame:
     # a fixed number of partitions in bucket order: the seeded draws of a
     # partition come out alike when it is made again
     dealt = counts.join(runs, "run").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return dealt.select(F.col("bucket").alias("_bucket"), (F.col("inside") + F.col("of_run")).alias("before"),
+    return dealt.select("bucket", (F.col("inside") + F.col("of_run")).alias("before"),
                         F.shuffle(F.sequence(F.lit(0), F.col("n") - 1), seed).alias("places"))
 
 
@@ -53,25 +55,30 @@ def shuffle_shards(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED, id
     if n == 0:
         return docs.drop("shard", "slot").withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
     buckets = max(1, -(-n // BUCKET_ROWS), -(-int(size) // BUCKET_BYTES))
-    parts = max(1, min(buckets, 4096))
+    parts = min(buckets, max(TASKS, -(-int(size) // TASK_BYTES)))
     salt = row_salt(docs, id_col)
     key = F.xxhash64(F.lit(seed), F.col(id_col), salt)
     bucket = F.pmod(key, F.lit(buckets)).cast("long")
     counts = docs.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     plan = written(_buckets(counts, seed, parts), "buckets")
-    keyed = docs.drop("shard", "slot").withColumns({"_key": key, "_salt": salt}).withColumn(
-        "_bucket", F.pmod("_key", F.lit(buckets)).cast("long"))
-    inside = Window.partitionBy("_bucket").orderBy("_key", id_col, "_salt")
-    ranked = keyed.repartition(parts, "_bucket").withColumn("_no", F.row_number().over(inside))
-    place = (F.col("before") + F.element_at("places", F.col("_no"))).cast("long")
-    placed = ranked.join(plan.hint("merge"), "_bucket").withColumn("_place", place)
-    shard = F.expr(f"_place * {n_shards} div {n}")
+    columns = [c for c in docs.columns if c not in ("shard", "slot")]
+    # the row's own columns stand in a struct, so that no name can meet a helper's
+    keyed = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), bucket.alias("bucket"), key.alias("key"), salt.alias("salt"))
+    inside = Window.partitionBy("bucket").orderBy("key", f"row.`{id_col}`", "salt")
+    ranked = keyed.repartition(parts, "bucket").withColumn("no", F.row_number().over(inside))
+    place = (F.col("before") + F.element_at("places", F.col("no"))).cast("long")
+    placed = ranked.join(plan.hint("merge"), "bucket").select("row", place.alias("place"))
+    shard = F.expr(f"place * {n_shards} div {n}")
     first = F.expr(f"(shard * {n} + {n_shards - 1}) div {n_shards}")
-    return (placed.withColumn("shard", shard.cast("int")).withColumn("slot", F.col("_place") - first)
-            .drop("_key", "_salt", "_bucket", "_no", "_place", "before", "places"))
+    return (placed.withColumn("shard", shard.cast("int")).withColumn("slot", F.col("place") - first)
+            .select(*[F.col("row").getField(c).alias(c) for c in columns], "shard", "slot"))
 
 
-def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """Shards as folders ``shard=N`` of Parquet files, rows in slot order."""
-    (shuffle_shards(docs, **options).sortWithinPartitions("shard", "slot")
+def write_shards(docs: DataFrame, path: str, n_shards: int = SHARDS, **options) -> None:
+    """Shards as folders ``shard=N`` of Parquet files: a shard's files in the order
+    of their names have its rows in slot order. Every row is written once, with
+    its columns as they are; an empty table writes no folder."""
+    placed = written(shuffle_shards(docs, n_shards, **options), "shards")
+    files = max(n_shards, placed.rdd.getNumPartitions())
+    (placed.repartitionByRange(files, "shard", "slot").sortWithinPartitions("shard", "slot")
      .write.partitionBy("shard").parquet(path))
