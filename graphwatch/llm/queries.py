@@ -163,12 +163,14 @@ ORACLES = {
     "op10_minhash": f"""
         WITH RECURSIVE words AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_WORD}') AS w FROM documents),
-        sets AS (
-            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-                   ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
-            FROM words),
-        sizes AS (SELECT doc_id, len(s) AS n FROM sets),
-        shingles AS (SELECT doc_id, hash(unnest(s)) AS s FROM sets),
+        placed AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS w FROM words),
+        fives AS (
+            SELECT doc_id, w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS s
+            FROM placed WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        shingles AS (
+            SELECT DISTINCT doc_id, hash(s) AS s FROM fives WHERE s IS NOT NULL
+            UNION ALL SELECT doc_id, hash(array_to_string(w, ' ')) FROM words WHERE len(w) BETWEEN 1 AND 4),
+        sizes AS (SELECT doc_id, count(s) AS n FROM documents LEFT JOIN shingles USING (doc_id) GROUP BY doc_id),
         shared AS (
             SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
             GROUP BY ALL),
