@@ -6,8 +6,9 @@ holding a whole window in one task:
 
 1. connected components of every large window by distributed label
    propagation (``graph.propagate_components``);
-2. every component is one group of a grouped Arrow function, solved densely;
-   it emits one row per node with the component's ``k+1`` smallest non-zero
+2. every component is one group of a grouped Arrow function, solved densely
+   up to MAX_COMPONENT_NODES and by restarted Lanczos above
+   (``operators.krylov``); it emits one row per node with the component's ``k+1`` smallest non-zero
    eigenvalues and the node's entries of their eigenvectors;
 3. the window summary is assembled with DataFrame aggregations: the k
    smallest values of the union, null-space coordinates from component
@@ -16,8 +17,11 @@ holding a whole window in one task:
    (a node has a coordinate only in its own component's columns), outliers,
    Fiedler scores, and the top-k subgraph ranking.
 
-A component above ``max_component_nodes`` is never solved in one task:
-it goes to the distributed block subspace iteration (``operators.subspace``).
+A component of more than ``max_task_pairs`` pairs is never solved in one task:
+it goes to Spark's distributed singular value decomposition
+(``krylov.smallest_pairs_distributed``). Where λ₂ repeats as often as values
+are computed (a star of thousands of leaves above MAX_COMPONENT_NODES), its
+whole eigenspace is not known and its nodes rank by id.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphwatch.operators.graph import propagate_components
+from graphwatch.operators.krylov import TASK_PAIRS, smallest_pairs, smallest_pairs_distributed
 from graphwatch.operators.spectrum import (GROUP_TOL, K_MAX, SCORE_DECIMALS, SIGMA, STD_FLOOR,
                                            TOP_K, ZERO_EPS)
 from graphwatch.schema import SPECTRUM_SCHEMA
@@ -46,30 +51,41 @@ _NODE_SCHEMA = T.StructType([
 ])
 
 
-def _component_fn(keep: int):
+def _lambda2_norm(vals: np.ndarray, vecs: np.ndarray, whole: bool) -> np.ndarray:
+    """Each node's norm over the eigenspace of the smallest non-zero value; 0 where
+    that value fills all columns, which need not be ``whole``."""
+    if not len(vals):
+        return np.zeros(len(vecs))
+    first = vals[0]
+    same = np.abs(vals - first) <= GROUP_TOL * np.maximum(1.0, np.maximum(np.abs(vals), abs(first)))
+    if same.all() and not whole:
+        return np.zeros(len(vecs))
+    return np.sqrt(np.sum(vecs[:, same] ** 2, axis=1))
+
+
+def _component_fn(keep: int, dense_nodes: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names = np.unique(np.concatenate([pdf["src"].to_numpy(object), pdf["dst"].to_numpy(object)]))
         n = len(names)
-        if n > MAX_COMPONENT_NODES:
-            raise RuntimeError(f"component with {n} nodes exceeds {MAX_COMPONENT_NODES}; "
-                               "needs the distributed eigensolver")
         i = np.searchsorted(names, pdf["src"].to_numpy(object))
         j = np.searchsorted(names, pdf["dst"].to_numpy(object))
-        A = np.zeros((n, n))
-        np.add.at(A, (i, j), pdf["weight"].to_numpy(float))
-        W = (A + A.T) * 0.5
-        np.fill_diagonal(W, 0.0)
-        deg = W.sum(axis=1)
-        if n >= 2 and np.all(deg > 0):
+        weight = pdf["weight"].to_numpy(float)
+        deg = np.bincount(i, weight * (i != j) * 0.5, n) + np.bincount(j, weight * (i != j) * 0.5, n)
+        if n < 2 or not np.all(deg > 0):
+            vals, vecs, g1 = np.zeros(0), np.zeros((n, 0)), np.zeros(n)
+        elif n > dense_nodes:
+            deg, vals, vecs = smallest_pairs(i, j, weight, n, keep)
+            g1 = _lambda2_norm(vals, vecs, whole=len(vals) == n - 1)
+        else:
+            A = np.zeros((n, n))
+            np.add.at(A, (i, j), weight)
+            W = (A + A.T) * 0.5
+            np.fill_diagonal(W, 0.0)
             inv = 1.0 / np.sqrt(deg)
             lap = np.eye(n) - W * inv[:, None] * inv[None, :]
             vals, vecs = np.linalg.eigh((lap + lap.T) * 0.5)
-            first = vals[1]
-            grp = np.abs(vals[1:] - first) <= GROUP_TOL * np.maximum(1.0, np.maximum(np.abs(vals[1:]), abs(first)))
-            g1 = np.sqrt(np.sum(vecs[:, 1:][:, grp] ** 2, axis=1))
+            g1 = _lambda2_norm(vals[1:], vecs[:, 1:], whole=True)
             vals, vecs = vals[1:keep + 1], vecs[:, 1:keep + 1]
-        else:
-            vals, vecs, g1 = np.zeros(0), np.zeros((n, 0)), np.zeros(n)
         return pd.DataFrame({
             "source_id": pdf["source_id"].iloc[0], "window_no": int(pdf["window_no"].iloc[0]),
             "component": pdf["component"].iloc[0], "node": names, "degree": deg,
@@ -110,28 +126,33 @@ def _top_rows(df: DataFrame, order: list, limit: Column | int, salt_cols: list[s
 
 
 def large_window_spectrum(adj: DataFrame, k_max: int = K_MAX, sigma: float = SIGMA,
-                          top_k: int = TOP_K, max_component_nodes: int | None = None) -> DataFrame:
+                          top_k: int = TOP_K, max_component_nodes: int | None = None,
+                          max_task_pairs: int = TASK_PAIRS) -> DataFrame:
     """Spectral summary rows (``SPECTRUM_SCHEMA``) for the windows in ``adj``."""
     spark = adj.sparkSession
     ship_package(spark)
-    # the iterative solver needs components much larger than its block of columns
-    max_component_nodes = max(max_component_nodes or MAX_COMPONENT_NODES, 8 * (k_max + 5))
+    dense_nodes = max_component_nodes or MAX_COMPONENT_NODES
     adj = adj.checkpoint(eager=True)
     comps = propagate_components(adj, KEY)
     sizes = adj.groupBy(*KEY).agg(F.count(F.lit(1)).alias("pairs"),
                                   (F.sum("cnt") if "cnt" in adj.columns else F.count(F.lit(1))).alias("m"))
-    # ---- per component: dense solve (one group per component) or, for components
-    # above max_component_nodes, the distributed subspace iteration; one row per node
+    # ---- per component: one group of a grouped function or, above max_task_pairs,
+    # the distributed decomposition; one row per node
     with_comp = adj.join(comps.withColumnRenamed("node", "src"), [*KEY, "src"]) \
         .select(*KEY, "component", "src", "dst", "weight")
-    comp_size = comps.groupBy(*KEY, "component").agg(F.count(F.lit(1)).alias("_size")).checkpoint(eager=True)
-    sized = with_comp.join(comp_size, [*KEY, "component"])
-    small = sized.filter(F.col("_size") <= max_component_nodes).drop("_size")
-    giant = sized.filter(F.col("_size") > max_component_nodes).drop("_size")
-    nodes = small.groupBy(*KEY, "component").applyInPandas(_component_fn(k_max + 1), _NODE_SCHEMA)
-    if comp_size.filter(F.col("_size") > max_component_nodes).limit(1).count():
-        from graphwatch.operators.subspace import smallest_nonzero
-        nodes = nodes.unionByName(smallest_nonzero(giant.checkpoint(eager=True), k_max + 1))
+    large = (with_comp.groupBy(*KEY, "component").agg(F.count(F.lit(1)).alias("_pairs"))
+             .filter(F.col("_pairs") > max_task_pairs).select(*KEY, "component").checkpoint(eager=True))
+    small = with_comp.join(large, [*KEY, "component"], "left_anti")
+    nodes = small.groupBy(*KEY, "component").applyInPandas(_component_fn(k_max + 1, dense_nodes), _NODE_SCHEMA)
+    if large.limit(1).count():
+        giant = with_comp.join(large, [*KEY, "component"], "left_semi").checkpoint(eager=True)
+        solved = smallest_pairs_distributed(giant, k_max + 1)
+        # the norm over the columns that hold the smallest value, unless it holds all
+        first = F.get("vals", F.lit(0))
+        alike = F.transform("vals", lambda x: F.abs(x - first) <= F.lit(GROUP_TOL) * F.greatest(F.lit(1.0), F.abs(x), F.abs(first)))
+        square = F.aggregate(F.zip_with("vec", alike, lambda x, a: F.when(a, x * x).otherwise(0.0)), F.lit(0.0), lambda t, x: t + x)
+        nodes = nodes.unionByName(solved.withColumn(
+            "g1", F.when(F.forall(alike, lambda a: a), F.lit(0.0)).otherwise(F.sqrt(square))))
     nodes = nodes.checkpoint(eager=True)
     comp = (nodes.groupBy(*KEY, "component")
             .agg(F.count(F.lit(1)).alias("n_c"), F.sum("degree").alias("vol"),
