@@ -14,9 +14,9 @@ dealt by their three-letter pieces.
 
 Candidates are verified by edit similarity, and one occurrence per connected
 group is kept: the first by (doc_id, line number). In every block the line that
-meets most others is the hub; each line is compared with its hubs, and what that
-leaves in different groups is then compared pair by pair, so that no candidate
-is lost and no block's members are all paired.
+meets most others is the hub; each line is compared with the hub of most of its
+blocks, and what that leaves in different groups is then compared pair by pair,
+so that no candidate is lost and no block's members are all paired.
 """
 
 from __future__ import annotations
@@ -373,7 +373,8 @@ def _components(rows: DataFrame, lines: DataFrame, similarity: float) -> DataFra
         return F.abs(F.shiftright(F.col(a), 55) - F.shiftright(F.col(b), 55)) <= most
 
     star = shared.join(hubs, "key").filter((F.col("hub") != F.col("id")) & alike_in_size("hub", "id"))
-    star = written(star.groupBy("id", "hub").count().select(F.col("hub").alias("u"), F.col("id").alias("v"), "count"), "star")
+    first = star.groupBy("id", "hub").count().groupBy("id").agg(F.max_by("hub", F.struct("count", "hub")).alias("u"))
+    first = written(first.select("u", F.col("id").alias("v")), "first")
     wanted = written(shared.select("id").distinct(), "wanted")
     table = spark.sparkContext.broadcast(_filter_words(wanted))
     texts = (rows.select("text").mapInArrow(_texts(table), "id long, digest binary, line string")
@@ -392,18 +393,9 @@ def _components(rows: DataFrame, lines: DataFrame, similarity: float) -> DataFra
                  .groupBy("id").agg(F.min("component").alias("component")))
         return written(wanted.join(found, "id", "left").select("id", F.coalesce("component", F.unhex(F.hex("id"))).alias("c")), "labels")
 
-    def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
-        """Pairs whose ends are in different components."""
-        return (pairs.join(label.toDF("u", "cu"), "u").join(label.toDF("v", "cv"), "v")
-                .filter(F.col("cu") != F.col("cv")).select("u", "v"))
-
-    # every line meets the hub that it shares most blocks with, then its other hubs
-    first = star.groupBy("v").agg(F.max_by("u", F.struct("count", "u")).alias("u")).select("u", "v")
+    # every line meets the hub that it shares most blocks with
     links = verified(first)
     named = written(components(links), "named")
-    second = written(apart(star.select("u", "v").join(first, ["u", "v"], "left_anti"), labels(named)), "second")
-    links = links.unionByName(verified(second))
-    named = written(components(links), "named")
     # only blocks that still hold two groups have pairs to compare
     member = shared.join(labels(named), "id")
     split = member.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("key")
@@ -411,7 +403,7 @@ def _components(rows: DataFrame, lines: DataFrame, similarity: float) -> DataFra
     one, two = member.toDF("u", "key", "c1"), member.toDF("v", "key", "c2")
     left = (one.join(two, "key").filter((F.col("u") < F.col("v")) & (F.col("c1") != F.col("c2")) & alike_in_size("u", "v"))
             .select("u", "v").distinct())
-    compared = star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    compared = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     left = written(left.join(compared, ["u", "v"], "left_anti"), "open")
     if left.limit(1).count():
         named = written(components(links.unionByName(verified(left))), "named")
