@@ -159,8 +159,8 @@ def _mined(rows, k=5, m=5, low=80, high=100):
 
     out = []
     for i, lab, v in {(i, lab, tuple(v)) for i, lab, v, a in used if a}:
-        ranked = sorted((-score(v, w), j, other) for j, other, w, _ in used if j != i)
-        for s, j, _ in [x for x in ranked if x[2] == lab][:k]:
+        ranked = sorted((-score(v, w), j, other) for j, other, w, _ in used)
+        for s, j, _ in [x for x in ranked if x[2] == lab and x[1] != i][:k]:
             near = [(-t, j2) for t, j2, other in ranked if other != lab and -s * low <= -t * 100 <= -s * high]
             out += [(i, j, r + 1, j2, -s, t) for r, (t, j2) in enumerate(near[:m])]
     return sorted(out)
