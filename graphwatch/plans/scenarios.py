@@ -237,41 +237,77 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cv.select("conv_id", "turn", text.alias("text"))
 
 
-def _capture_writer(out_dir: str):
+# Packets of a capture file, at most.
+CAPTURE_PACKETS = 100_000
+
+
+def _capture_bytes(pdf, order: str) -> bytes:
+    """Records of line items in a byte order (``<`` or ``>``): an ARP frame for line 3, a
+    frame cut after 20 bytes for line 4."""
+    import numpy as np
+
+    def put(at: int, kind: str, values) -> None:
+        kind = np.dtype(kind)
+        whole[:, at:at + kind.itemsize] = np.ascontiguousarray(values, dtype=kind).view(np.uint8).reshape(len(pdf), -1)
+
+    if pdf[["l_orderkey", "l_partkey", "l_suppkey"]].isna().to_numpy().any():
+        raise ValueError("a line item without its keys makes no packet")
+    keys = {c: pdf[c].to_numpy(np.int64) for c in ("l_orderkey", "l_partkey", "l_suppkey")}
+    line = pdf["l_linenumber"].to_numpy()
+    cut = np.where(line == 4, 20, 54)
+    whole = np.zeros((len(pdf), 16 + 54), np.uint8)
+    put(0, order + "u4", keys["l_orderkey"])
+    put(8, order + "u4", cut)
+    put(12, order + "u4", cut)
+    whole[:, 16:22], whole[:, 22:28] = 2, 4
+    put(28, ">u2", np.where(line == 3, 0x0806, 0x0800))
+    whole[:, 30] = 0x45
+    put(32, ">u2", np.full(len(pdf), 40))
+    put(34, ">u2", keys["l_orderkey"] % 65536)
+    whole[:, 38], whole[:, 39] = 64, 6
+    for at, net, key in ((42, 1, "l_partkey"), (46, 2, "l_suppkey")):
+        whole[:, at], whole[:, at + 1] = 10, net
+        put(at + 2, ">u2", keys[key] % 65536)
+    return whole[np.arange(16 + 54) < (16 + cut)[:, None]].tobytes()
+
+
+def _capture_writer(out_dir: str, most: int):
     import os
     import struct
 
     import pandas as pd
+    from pyspark import TaskContext
 
-    def ip_bytes(a: int, key: int) -> bytes:
-        return bytes([10, a, (key // 256) % 256, key % 256])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["l_orderkey", "l_linenumber"])
-        grp = int(pdf["grp"].iloc[0])
-        order = ">" if grp == 7 else "<"
-        parts = [struct.pack(order + "IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)]
-        for ok, ln, pk, skey in zip(pdf["l_orderkey"], pdf["l_linenumber"], pdf["l_partkey"],
-                                    pdf["l_suppkey"]):
-            ethertype = 0x0806 if ln == 3 else 0x0800
-            ip = (bytes([0x45, 0]) + struct.pack("!HHHBBH", 40, int(ok) % 65536, 0, 64, 6, 0)
-                  + ip_bytes(1, int(pk)) + ip_bytes(2, int(skey)))
-            frame = b"\x02" * 6 + b"\x04" * 6 + struct.pack("!H", ethertype) + ip + b"\x00" * 20
-            if ln == 4:
-                frame = frame[:20]
-            parts.append(struct.pack(order + "IIII", int(ok), 0, len(frame), len(frame)) + frame)
+    def run(batches):
         os.makedirs(out_dir, exist_ok=True)
-        target = os.path.join(out_dir, f"capture-{grp:02d}.pcap")
-        with open(target, "wb") as fh:
-            fh.write(b"".join(parts))
-        return pd.DataFrame({"grp": [grp], "packets": [len(pdf)]})
+        part, number, packets, group, fh = TaskContext.get().partitionId(), 0, 0, None, None
+        for pdf in batches:
+            # rows come sorted by group; a file ends with its group or when it is full
+            for grp, rows in pdf.groupby("grp", sort=True, dropna=False):
+                order = ">" if int(grp) == 7 else "<"
+                while len(rows):
+                    if fh is None or grp != group or packets >= most:
+                        if fh is not None:
+                            fh.close()
+                        fh = open(os.path.join(out_dir, f"capture-{int(grp):02d}-{part:05d}-{number:05d}.pcap"), "wb")
+                        fh.write(struct.pack(order + "IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1))
+                        group, packets, number = grp, 0, number + 1
+                    now, rows = rows.iloc[:most - packets], rows.iloc[most - packets:]
+                    fh.write(_capture_bytes(now, order))
+                    packets += len(now)
+            yield pd.DataFrame({"packets": [len(pdf)]})
+        if fh is not None:
+            fh.close()
     return run
 
 
 def write_captures(spark: SparkSession, sf_dir: str, files: int = 8) -> str:
-    """Write classic capture files built from ``lineitem`` (one packet per line item,
-    ARP frames for line 3, truncated frames for line 4, file 7 big-endian); returns
-    the folder. Test-fixture writer: it needs a POSIX path visible to executors."""
+    """Write classic capture files built from ``lineitem`` (one packet per line item in
+    ``files`` groups, ARP frames for line 3, truncated frames for line 4, group 7
+    big-endian); returns the folder. A file has CAPTURE_PACKETS packets at most, as a
+    capture tool that rotates its files would write, so their number follows the table
+    and no task holds more than a batch of rows. Test-fixture writer: it needs a POSIX
+    path visible to executors."""
     from graphwatch.session import scratch_path, ship_package
 
     ship_package(spark)
@@ -280,5 +316,8 @@ def write_captures(spark: SparkSession, sf_dir: str, files: int = 8) -> str:
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         (F.col("l_orderkey") % files).alias("grp"))
-    li.groupBy("grp").applyInPandas(_capture_writer(local), "grp long, packets long").count()
+    parts = files * max(1, -(-li.count() // (files * CAPTURE_PACKETS)))
+    order = ["grp", "l_orderkey", "l_linenumber"]
+    (li.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+     .mapInPandas(_capture_writer(local, CAPTURE_PACKETS), "packets long").agg(F.sum("packets")).collect())
     return out

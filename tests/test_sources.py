@@ -131,6 +131,38 @@ def test_packet_capture_both_byte_orders(spark, tmp_dir):
     assert sorted((r.src, r.dst) for r in rows) == [("1.2.3.4", "5.6.7.8")] * 2
 
 
+def test_packet_capture_in_pieces_equals_whole(spark, tmp_dir, monkeypatch):
+    """Records, and the file header, that lie across pieces; a last frame that is cut; a file named twice."""
+    a = os.path.join(tmp_dir, "a.pcap")
+    _pcap(a, ">")
+    with open(a, "rb") as fh:
+        blob = fh.read()
+    frame = blob[24:24 + 16 + 54]
+    with open(a, "wb") as fh:
+        fh.write(blob + frame * 40 + frame[:16 + 40])
+    for piece in (1 << 22, 7, 50):
+        monkeypatch.setattr(S, "PIECE", piece)
+        rows = S.read_packet_capture(spark, [a, a]).collect()
+        assert sorted((r.seq, r.src, r.dst) for r in rows) == sorted(
+            (k, "1.2.3.4", "5.6.7.8") for k in (0, *range(3, 44)) for _ in range(2))
+
+
+def test_captures_are_written_in_bounded_files(spark, tmp_dir, monkeypatch):
+    """No file, and so no task, holds a whole group of packets."""
+    from graphwatch.plans import scenarios
+
+    monkeypatch.setattr(scenarios, "CAPTURE_PACKETS", 50)
+    rows = [(k // 3, k % 7, k * 40 % 70000, k % 300) for k in range(3000)] + [(7, 1, 5, 5)] * 400
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long") \
+        .write.parquet(os.path.join(tmp_dir, "lineitem.parquet"))
+    folder = scenarios.write_captures(spark, tmp_dir)
+    folder = folder[5:] if folder.startswith("file:") else folder
+    assert max(os.path.getsize(os.path.join(folder, f)) for f in os.listdir(folder)) <= 24 + 50 * 70
+    got = sorted((r.src, r.dst) for r in S.read_packet_capture(spark, folder).collect())
+    assert got == sorted((f"10.1.{p // 256 % 256}.{p % 256}", f"10.2.{s // 256 % 256}.{s % 256}")
+                         for _, ln, p, s in rows if ln not in (3, 4))
+
+
 def test_registry_prefix_and_order(spark, tmp_dir):
     a, b = os.path.join(tmp_dir, "a.log"), os.path.join(tmp_dir, "b.txt")
     with open(a, "w") as fh:
