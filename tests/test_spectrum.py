@@ -238,3 +238,24 @@ def test_large_star_does_not_rank_within_a_cut_eigenspace(spark):
     (r,) = large_window_spectrum(star, max_component_nodes=1).collect()
     assert all(abs(v - 1) < 1e-9 for v in r.eigenvalues[1:]) and r.degenerate
     assert r.sub_nodes == [f"n{k:02d}" for k in range(8)]
+
+
+def test_window_whose_zeros_fill_its_values_is_not_solved(spark, monkeypatch):
+    """As many components as values are kept, or more: the summary holds no other pair."""
+    from graphwatch.operators import distributed_spectrum as ds
+    from graphwatch.operators.spectrum import spectrum
+
+    def unexpected(*_):
+        raise AssertionError("solved")
+
+    monkeypatch.setattr(ds, "smallest_pairs_distributed", unexpected)
+    rows = [("s", w, f"n{c}{a}", f"n{c}{b}", 1.0 + c + a) for w, z in ((0, 8), (1, 12)) for c in range(z)
+            for a, b in ((0, 1), (1, 2), (2, 0), (2, 2))]
+    adj = spark.createDataFrame(rows, "source_id string, window_no long, src string, dst string, weight double")
+    local = {r.window_no: r for r in spectrum(adj, pairs_bound=200).collect()}
+    large = {r.window_no: r for r in ds.large_window_spectrum(adj, max_task_pairs=1).collect()}
+    assert local.keys() == large.keys()
+    for k in local:
+        assert local[k] == large[k]
+    with pytest.raises(AssertionError, match="solved"):
+        ds.large_window_spectrum(adj.filter("window_no = 0 and src < 'n7'"), max_task_pairs=1)
