@@ -143,6 +143,7 @@ def propagate_components(adj: DataFrame, key: Sequence[str] = WINDOW_KEY,
     number of rounds that grows with the logarithm of its nodes. Every round's
     links are written with a reliable ``checkpoint()``. Raises where
     ``max_iter`` rounds do not settle, instead of returning wrong components.
+    Tables with a row per node are merged, never broadcast through the driver.
     """
     k = list(key)
     links = (adj.filter(F.col("src") != F.col("dst"))
@@ -157,7 +158,7 @@ def propagate_components(adj: DataFrame, key: Sequence[str] = WINDOW_KEY,
         before = now
     else:
         raise RuntimeError(f"components not settled after {max_iter} rounds")
-    named = links.select(*k, F.col("u").alias("node"), F.col("v").alias("component"))
+    named = links.select(*k, F.col("u").alias("node"), F.col("v").alias("component")).hint("merge")
     return (nodes(adj, k).join(named, [*k, "node"], "left")
             .select(*k, "node", F.coalesce("component", "node").alias("component")))
 
@@ -165,13 +166,13 @@ def propagate_components(adj: DataFrame, key: Sequence[str] = WINDOW_KEY,
 def _large_star(links: DataFrame, k: list[str]) -> DataFrame:
     both = links.unionByName(links.select(*k, F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy(*k, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    return (both.join(low, [*k, "u"]).filter(F.col("v") > F.col("u"))
+    return (both.join(low.hint("merge"), [*k, "u"]).filter(F.col("v") > F.col("u"))
             .select(*k, F.col("v").alias("u"), F.col("m").alias("v")).distinct())
 
 
 def _small_star(links: DataFrame, k: list[str]) -> DataFrame:
     low = links.groupBy(*k, "u").agg(F.min("v").alias("m"))
-    moved = links.join(low, [*k, "u"]).select(*k, F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = links.join(low.hint("merge"), [*k, "u"]).select(*k, F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select(*k, "u", F.col("m").alias("v"))).filter(F.col("u") != F.col("v")).distinct()
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphwatch.schema import SPECTRUM_SCHEMA
-from graphwatch.session import ship_package
+from graphwatch.session import scratch_path, ship_package
 
 # Fixed values of the detection rules.
 K_MAX = 8            # eigenpairs kept per window
@@ -225,8 +225,8 @@ def spectrum(adj: DataFrame, k_max: int = K_MAX, sigma: float = SIGMA, top_k: in
 
     ``pairs_bound``: a known upper bound on pairs per window (count windows:
     the window size). When it is within ``max_local`` every window is solved
-    locally; otherwise windows are split by their pair count and the large
-    ones go to the distributed solver.
+    locally; otherwise the pairs are written once, windows are split by their
+    pair count and the large ones, if any, go to the distributed solver.
     """
     ship_package(adj.sparkSession)
     key = ["source_id", "window_no"]
@@ -235,11 +235,19 @@ def spectrum(adj: DataFrame, k_max: int = K_MAX, sigma: float = SIGMA, top_k: in
     fn = _window_fn(k_max, sigma, top_k)
     if pairs_bound is not None and pairs_bound <= max_local:
         return cols.groupBy(*key).applyInPandas(fn, SPECTRUM_SCHEMA)
-    # Windows of unknown size: count pairs per window with a partial aggregation
-    # (a hot window never lands in one task), then split rows by semi/anti joins
-    # on the window key (adaptive execution splits a skewed join partition).
+    # Windows of unknown size: the pairs are read from files below, not computed anew
+    # for every use, and Spark knows their size (a streaming batch without new rows
+    # that closes windows counts as empty, and all joins would be broadcast).
+    path = scratch_path(adj.sparkSession, "pairs")
+    cols.write.parquet(path)
+    cols = adj.sparkSession.read.schema(cols.schema).parquet(path)
+    # Count pairs per window with a partial aggregation (a hot window never lands
+    # in one task), then split rows by semi/anti joins on the window key (adaptive
+    # execution splits a skewed join partition).
     big_keys = (cols.groupBy(*key).agg(F.count(F.lit(1)).alias("_gw_pairs"))
                 .filter(F.col("_gw_pairs") > max_local).select(*key))
+    if big_keys.isEmpty():
+        return cols.groupBy(*key).applyInPandas(fn, SPECTRUM_SCHEMA)
     small = (cols.join(big_keys, key, "left_anti")
              .groupBy(*key).applyInPandas(fn, SPECTRUM_SCHEMA))
     big = cols.join(big_keys, key, "left_semi")

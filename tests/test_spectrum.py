@@ -240,6 +240,24 @@ def test_large_star_does_not_rank_within_a_cut_eigenspace(spark):
     assert r.sub_nodes == [f"n{k:02d}" for k in range(8)]
 
 
+def test_pairs_of_unknown_windows_are_computed_once(spark):
+    """The split into small and large windows reads written pairs, whose size Spark knows."""
+    from graphwatch.operators.spectrum import spectrum
+
+    seen = spark.sparkContext.accumulator(0)
+    rows = [("s", w, f"a{w}{k}", f"b{k % 3}", 1.0) for w in range(4) for k in range(10 * (w + 1))]
+
+    def count(r):
+        seen.add(1)
+        return r
+
+    adj = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(count),
+                                "source_id string, window_no long, src string, dst string, weight double")
+    got = {r.window_no: (r.n, r.pairs) for r in spectrum(adj, max_local=20).collect()}
+    assert got == {w: (10 * (w + 1) + 3, 10 * (w + 1)) for w in range(4)}
+    assert seen.value == len(rows)
+
+
 def test_window_whose_zeros_fill_its_values_is_not_solved(spark, monkeypatch):
     """As many components as values are kept, or more: the summary holds no other pair."""
     from graphwatch.operators import distributed_spectrum as ds
