@@ -27,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, lower_ascii, mix64, prepare, ragged, text_slices, word_hashes, word_spans, written
+from .common import NOT_ALNUM, lower_ascii, mix64, prepare, ragged, text_slices, word_hashes, written
 from .components import components
 
 SIMILARITY = 0.8
@@ -43,9 +43,15 @@ PIECES_PER_BLOCK = 2.0
 PIECES, LEAST_PIECES = 6, 2   # pieces that a block must hold; a seventh of the line's, but so many at least
 NEAR_STEP = 0.1            # lines so near a step of the number of blocks (in powers of two) go both ways
 FILTER_WORDS = 1 << 20     # 64-bit words of the table that tells which lines are candidates at all
+BUCKET_BYTES = 16 << 20    # of pairs (key, id) in a bucket, at most on average
+PACK_PAIRS = 1024          # of a bucket in one row, about
+HELD_BYTES = 128 << 20     # of a bucket that are held at once
+LOOKS = 64                 # columns of an edit distance between two looks at whether it can still do
 
 _LINES = pa.schema([("doc_id", pa.int64()), ("of", pa.int64()), ("line_no", pa.int64()), ("digest", pa.binary()),
-                    ("id", pa.int64()), ("keys", pa.list_(pa.int64()))])
+                    ("id", pa.int64()), ("copies", pa.int64()), ("keys", pa.binary())])
+_PACKED = pa.schema([("bucket", pa.int32()), ("pairs", pa.binary())])
+_SHARED = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("size", pa.int64())])
 _TEXTS = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("line", pa.string())])
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -63,23 +69,19 @@ def _normal(low: np.ndarray, cut: np.ndarray, starts: np.ndarray, ends: np.ndarr
     """The normalised lines: words with one blank between."""
     if not len(starts):
         return [b""] * (len(cut) - 1)
-    flags = np.zeros(len(low) + 1, np.int8)
-    flags[starts] += 1
-    flags[ends] -= 1
-    held = np.cumsum(flags, dtype=np.int8).astype(bool)
+    held = np.append(_ALNUM[low], False)
     held[ends] = True                                   # one byte behind each word, for the blank
     text = np.append(low, np.uint8(32))
     text[ends] = 32
     # words that touch without a byte between them do so only where a text ends
-    touch = np.flatnonzero(np.isin(ends, starts))
+    touch = np.flatnonzero(ends[:-1] == starts[1:])
     size = ends - starts + 1
     if len(touch):
         at = np.repeat(starts, size) + ragged(size)
         raw = text[np.minimum(at, len(text) - 1)]
         bounds = np.concatenate([[0], np.cumsum(size)])
         raw[bounds[1:] - 1] = 32
-        own = np.flatnonzero(np.isin(starts, ends[touch]))
-        raw[bounds[own]] = low[starts[own]]
+        raw[bounds[touch + 1]] = low[starts[touch + 1]]
     else:
         raw = text[held]
         bounds = np.concatenate([[0], np.cumsum(size)])
@@ -92,13 +94,42 @@ def _digest(line: bytes) -> bytes:
     return hashlib.blake2b(line, digest_size=16).digest()
 
 
+_ALNUM = ~NOT_ALNUM
+_BLANKED = bytes(32 if NOT_ALNUM[k] else k for k in range(256))
 _STEP = math.log(1.04)
+_CLASSES = np.array([min(255, int(math.log(max(1, n)) / _STEP)) for n in range(int(math.exp(256 * _STEP)) + 1)], np.uint64)
 
 
-def line_id(digest: bytes, letters: int) -> int:
-    """55 bits of a digest below a class of the line's length: one class per 4 %."""
-    size = min(255, int(math.log(max(1, letters)) / _STEP))
-    return (size << 55) | (int.from_bytes(digest[:8], "little") >> 9)
+def line_hashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """55 bits for each line, from the hashes of its words in their order."""
+    count = np.diff(first)
+    out = np.zeros(len(count), np.uint64)
+    full = np.flatnonzero(count)
+    if len(full):
+        votes = mix64(h + _GOLD * (ragged(count) + 1).astype(np.uint64))
+        out[full] = np.add.reduceat(votes, first[full])
+    return mix64(out) >> np.uint64(9)
+
+
+def line_ids(hashes: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """The hashes below a class of the lines' lengths: one class per 4 %."""
+    return (_CLASSES[np.minimum(letters, len(_CLASSES) - 1)] << np.uint64(55) | hashes).view(np.int64)
+
+
+def _inner(low: np.ndarray) -> np.ndarray:
+    """The number of bytes before each that begin no letter."""
+    out = np.zeros(len(low) + 1, np.int32)
+    np.cumsum((low & 0xC0) == 0x80, dtype=np.int32, out=out[1:])
+    return out
+
+
+def _letters(low: np.ndarray, cut: np.ndarray, inner: np.ndarray, normal: list[bytes]) -> np.ndarray:
+    """Code points of the normalised lines."""
+    try:
+        low.tobytes().decode()
+    except UnicodeDecodeError:
+        return np.array([len(x.decode("utf-8", "replace")) for x in normal], np.int64)
+    return np.fromiter(map(len, normal), np.int64, len(normal)) - np.diff(inner[cut])
 
 
 def _classes_apart(similarity: float) -> int:
@@ -146,15 +177,16 @@ def _dealt(h: np.ndarray, weight: np.ndarray, first: np.ndarray, lines: np.ndarr
     m = 1 << step
     deals, used = -(-BLOCKS // m), min(m, BLOCKS)
     count = first[lines + 1] - first[lines]
-    at = np.repeat(first[lines], count) + ragged(count)
-    row = np.repeat(np.arange(len(lines), dtype=np.uint64), count)
+    row = np.repeat(np.arange(len(lines)), count)
+    at = np.arange(len(row)) + (first[lines + 1] - np.cumsum(count))[row]
     own = h[at]
     # the low bits of a hash deal, the high ones are the feature's identity
     low = ((own >> np.uint64(36)) << np.uint64(4)) | np.minimum(weight[at], 15).astype(np.uint64)
+    low |= row.astype(np.uint64) * np.uint64(deals * used) << np.uint64(32)
     parts = []
     for r in range(deals):
         block = (own >> np.uint64(r * step)) & np.uint64(m - 1)
-        packed = ((row * np.uint64(deals * used) + np.uint64(r * used) + block) << np.uint64(32)) | low
+        packed = low + (block + np.uint64(r * used) << np.uint64(32))
         parts.append(packed[block < used] if used < m else packed)
     x = np.sort(np.concatenate(parts))
     if not len(x):
@@ -175,13 +207,12 @@ def _dealt(h: np.ndarray, weight: np.ndarray, first: np.ndarray, lines: np.ndarr
     return lines[line], mix64(sim + _GOLD * (number + np.uint64(1)))
 
 
-def block_keys(low: np.ndarray, h: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, normal: list[bytes]
-               ) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key) for all blocks of the lines of a slice, by line."""
-    inner = np.concatenate([[0], np.cumsum((low & 0xC0) == 0x80)])      # bytes that begin no letter
+def block_keys(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, normal: list[bytes],
+               inner: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) for all blocks of the lines of a slice that are ``wanted``, by line."""
     letters = ends - starts - (inner[ends] - inner[starts])
-    found = _by_features(h, np.maximum(letters - 2, 0), first, LETTERS_PER_BLOCK, 1, LETTERS, LEAST_LETTERS, 5, 0)
-    few = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) <= FEW_WORDS))
+    found = _by_features(h, np.maximum(letters - 2, 0), first, wanted, LETTERS_PER_BLOCK, 1, LETTERS, LEAST_LETTERS, 5, 0)
+    few = np.flatnonzero(wanted & (np.diff(first) > 0) & (np.diff(first) <= FEW_WORDS))
     if len(few):
         padded = [" " + normal[k].decode("utf-8", "replace") + " " for k in few]
         points = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -190,20 +221,22 @@ def block_keys(low: np.ndarray, h: np.ndarray, starts: np.ndarray, ends: np.ndar
         piece = mix64((points[:-2] * _GOLD + points[1:-1]) * _GOLD + points[2:])
         inside = ragged(sizes)[:-2] < sizes[of] - 2
         cut = np.concatenate([[0], np.cumsum(sizes - 2)])
-        line, key = _by_features(piece[inside], np.ones(int(inside.sum()), np.int64), cut, PIECES_PER_BLOCK, 2, PIECES, LEAST_PIECES, 7, 1)
+        line, key = _by_features(piece[inside], np.ones(int(inside.sum()), np.int64), cut, np.ones(len(few), bool),
+                                 PIECES_PER_BLOCK, 2, PIECES, LEAST_PIECES, 7, 1)
         found = np.concatenate([found[0], few[line]]), np.concatenate([found[1], key])
     order = np.argsort(found[0], kind="stable")
     return found[0][order], found[1][order]
 
 
-def _by_features(h, weight, first, per_block: float, least: int, most: int, floor: int, share: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    n = np.diff(first)
+def _by_features(h, weight, first, wanted, per_block: float, least: int, most: int, floor: int, share: int, kind: int
+                 ) -> tuple[np.ndarray, np.ndarray]:
+    taken = wanted & (np.diff(first) > 0)
     run = np.concatenate([[0], np.cumsum(np.minimum(weight, 15))])
     need = np.clip((run[first[1:]] - run[first[:-1]]) // share, floor, most)
     low, high = _steps(run[first[1:]] - run[first[:-1]], per_block, least)
     lines, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for step in np.unique(np.concatenate([low[n > 0], high[n > 0]])):
-        which = np.flatnonzero((n > 0) & ((low == step) | (high == step)))
+    for step in np.unique(np.concatenate([low[taken], high[taken]])):
+        which = np.flatnonzero(taken & ((low == step) | (high == step)))
         line, key = _dealt(h, weight, first, which, int(step), need, kind)
         lines.append(line)
         keys.append(key)
@@ -220,24 +253,104 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begins = cut[:-1]
             row = np.searchsorted(off, begins, side="right") - 1
             number = np.arange(len(begins)) - np.searchsorted(begins, off[row])
-            digests = [_digest(x) if x else None for x in normal]
-            # only the first of a slice's equal lines has keys
-            fresh, seen = np.zeros(len(normal), bool), set()
-            for k, d in enumerate(digests):
-                if d is not None and d not in seen:
-                    seen.add(d)
-                    fresh[k] = True
-            line, key = block_keys(low, h, starts, ends, first, normal)
-            of_fresh = fresh[line]
-            line, key = line[of_fresh], key[of_fresh]
-            ids = [line_id(d, len(x.decode("utf-8", "replace"))) if d else None for d, x in zip(digests, normal)]
             taken = pa.array(lo + row)
+            doc_id, of = batch.column(0).take(taken), batch.column(1).take(taken)
+            digests = [_digest(x) if x else None for x in normal]
+            full = np.array([d is not None for d in digests], bool)
+            # of a slice's equal lines the first in place has the keys
+            place = np.lexsort((of.to_numpy(zero_copy_only=False), number, doc_id.fill_null(0).to_numpy(zero_copy_only=False),
+                                doc_id.is_null().to_numpy(zero_copy_only=False)))
+            place = place[full[place]].tolist()
+            first_of = dict(zip((digests[k] for k in reversed(place)), reversed(place)))
+            copies = np.bincount([first_of[digests[k]] for k in place], minlength=len(normal)) if place else np.zeros(len(normal), np.int64)
+            inner = _inner(low)
+            line, key = block_keys(h, starts, ends, first, normal, inner, copies > 0)
+            ids = line_ids(line_hashes(h, first), _letters(low, cut, inner, normal))
+            bounds = (8 * np.searchsorted(line, np.arange(len(normal) + 1))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(number, pa.int64()),
-                 pa.array(digests, pa.binary()), pa.array(ids, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(np.searchsorted(line, np.arange(len(normal) + 1)).astype(np.int32)),
-                                          pa.array(key.view(np.int64)))], schema=_LINES)
+                [doc_id, of, pa.array(number, pa.int64()), pa.array(digests, pa.binary()), pa.array(ids, mask=~full),
+                 pa.array(copies, pa.int64(), mask=copies == 0),
+                 pa.Array.from_buffers(pa.binary(), len(normal), [None, pa.py_buffer(bounds), pa.py_buffer(key.astype("<u8"))])],
+                schema=_LINES)
+
+
+# ------------------------------------------------------------ lines that meet
+
+def _packer(buckets: int):
+    """(id, keys) -> (bucket, pairs): the pairs (key, id) of one bucket, packed.
+    A key's bucket depends on the key alone."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            keys = batch.column(1)
+            edges = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset:keys.offset + len(keys) + 1]
+            key = np.frombuffer(keys.buffers()[2], "u1")[edges[0]:edges[-1]].view("<u8") if edges[-1] > edges[0] else np.zeros(0, "<u8")
+            held.append(np.column_stack([key.view("<i8"), np.repeat(batch.column(0).to_numpy(), np.diff(edges) // 8)]))
+            n += len(key)
+            if n >= min(buckets * PACK_PAIRS, 1 << 20):
+                yield _packed(np.concatenate(held), buckets)
+                held, n = [], 0
+        if n:
+            yield _packed(np.concatenate(held), buckets)
+    return pack
+
+
+def _packed(pairs: np.ndarray, buckets: int) -> pa.RecordBatch:
+    bucket = ((pairs[:, 0].view(np.uint64) >> np.uint64(40)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    bounds = (16 * np.append(begin, len(bucket))).astype(np.int32)
+    cells = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(bounds), pa.py_buffer(pairs[order])])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[begin].astype(np.int32)), cells], schema=_PACKED)
+
+
+def meeting(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs (key, id) in any order: those of keys that hold two ids or more,
+    each once, with the key's number of ids; and the places of one pair of every key."""
+    order = np.argsort(pairs[:, 0])
+    key = pairs[order, 0]
+    again = key[1:] == key[:-1]
+    one = order[np.r_[True, ~again]]
+    pairs = pairs[order[np.r_[False, again] | np.r_[again, False]]]
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    fresh = np.ones(len(pairs), bool)
+    fresh[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
+    pairs = pairs[fresh]                                 # copies from other slices
+    begin = np.flatnonzero(np.r_[True, pairs[1:, 0] != pairs[:-1, 0]])[:len(pairs)]
+    size = np.diff(np.append(begin, len(pairs)))
+    size = np.repeat(size, size)
+    return np.column_stack([pairs, size])[size > 1], one
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id, size) of the keys that hold two ids or more, from packed pairs
+    in order of their buckets. Of a bucket beyond HELD_BYTES one pair a key is
+    held on; its rows may then come more than once, with the sizes found so far."""
+    bucket, held, n, most = None, [], 0, HELD_BYTES
+    for batch in batches:
+        for of, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if held and (of != bucket or n > most):
+                pairs = np.frombuffer(b"".join(held), "<i8").reshape(-1, 2)
+                rows, one = meeting(pairs)
+                yield from _rows_of(rows)
+                held = [pairs[one].tobytes()] if of == bucket else []
+                n = sum(map(len, held))
+                most = max(HELD_BYTES, 2 * n)
+            bucket = of
+            held.append(raw)
+            n += len(raw)
+    if held:
+        yield from _rows_of(meeting(np.frombuffer(b"".join(held), "<i8").reshape(-1, 2))[0])
+
+
+def _rows_of(rows: np.ndarray, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(rows), most):
+        part = np.ascontiguousarray(rows[lo:lo + most].T)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in part], schema=_SHARED)
+
 
+# --------------------------------------------------------------- verification
 
 def _agree(a: str, b: str) -> int:
     """Length of the common prefix."""
@@ -253,11 +366,27 @@ def _agree(a: str, b: str) -> int:
 
 def _words_apart(a: str, b: str) -> int:
     """An upper bound of the edit distance: words compared one by one, those that
-    differ written anew; far off where the numbers of words differ."""
+    differ written anew. Where the numbers of words differ, a word is also left
+    out on one side if the next one fits the other side's."""
     x, y = a.split(" "), b.split(" ")
-    if len(x) != len(y):
-        return 1 << 40
-    return sum(max(len(p), len(q)) for p, q in zip(x, y) if p != q)
+    if len(x) == len(y):
+        return sum(max(len(p), len(q)) for p, q in zip(x, y) if p != q)
+    i = j = apart = 0
+    m, n = len(x), len(y)
+    while i < m and j < n:
+        p, q = x[i], y[j]
+        if p != q:
+            if i + 1 < m and x[i + 1] == q:
+                apart += len(p) + 1
+                j -= 1
+            elif j + 1 < n and y[j + 1] == p:
+                apart += len(q) + 1
+                i -= 1
+            else:
+                apart += max(len(p), len(q))
+        i += 1
+        j += 1
+    return apart + sum(len(p) + 1 for p in x[i:]) + sum(len(q) + 1 for q in y[j:])
 
 
 def within(a: str, b: str, most: int) -> bool:
@@ -280,26 +409,24 @@ def within(a: str, b: str, most: int) -> bool:
     at: dict[str, int] = {}
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | (1 << i)
-    every, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, distance = every, 0, len(a)
-    for left, c in zip(range(len(b) - 1, -1, -1), b):
-        same = at.get(c, 0)
-        diagonal = (((same & up) + up) ^ up) | same
-        right = down | (every & ~(diagonal | up))
-        less = up & diagonal
-        if right & last:
-            distance += 1
-        elif less & last:
-            distance -= 1
-        if distance - left > most:
+    every = (1 << len(a)) - 1
+    wide, wider = 2 * every + 1, 4 * every + 3           # sums and shifts reach beyond the rows
+    up, down = every, 0
+    for column in range(0, len(b), LOOKS):
+        for c in b[column:column + LOOKS]:
+            same = at.get(c, 0)
+            diagonal = (((same & up) + up) ^ up) | same
+            right = ((down | (wide ^ (diagonal | up))) << 1) | 1
+            vertical = same | down
+            up = (((up & diagonal) << 1) | (wider ^ (vertical | right))) & every
+            down = right & vertical
+        column = min(column + LOOKS, len(b))
+        left = len(b) - column
+        if column + up.bit_count() - down.bit_count() - left > most:
             return False
-        right = (right << 1) | 1
-        vertical = same | down
-        up = ((less << 1) | ~(vertical | right)) & every
-        down = right & vertical & every
-        if left & 63 == 0 and left and _least_at(up, down, len(a), len(b) - left, left, most) > most:
+        if left and _least_at(up, down, len(a), column, left, most) > most:
             return False
-    return distance <= most
+    return True
 
 
 def _least_at(up: int, down: int, rows: int, column: int, left: int, most: int, step: int = 16) -> int:
@@ -342,30 +469,34 @@ def _texts(table):
         bits = table.value
         for batch in batches:
             for _, low, _, cut in _cut(batch.column(0)):
-                normal = list({x for x in _normal(low, cut, *word_spans(low, cut, NOT_ALNUM)) if x})
-                digests = [_digest(x) for x in normal]
-                place = np.array([int.from_bytes(d[:8], "little") >> 9 for d in digests], np.uint64) % np.uint64(FILTER_WORDS * 64)
-                hit = np.flatnonzero((bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
-                lines = [normal[k].decode("utf-8", "replace") for k in hit]
+                h, _, _, first = word_hashes(low, cut, NOT_ALNUM)
+                hashes = line_hashes(h, first)
+                place = hashes % np.uint64(FILTER_WORDS * 64)
+                hit = (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)
+                hit[np.diff(first) == 0] = 0
+                hit = np.flatnonzero(hit)
+                whole = low.tobytes().translate(_BLANKED)
+                found = {b" ".join(whole[cut[k]:cut[k + 1]].split()): k for k in hit.tolist()}
+                lines = [x.decode("utf-8", "replace") for x in found]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([line_id(digests[k], len(x)) for k, x in zip(hit, lines)], pa.int64()),
-                     pa.array([digests[k] for k in hit], pa.binary()), pa.array(lines, pa.string())], schema=_TEXTS)
+                    [pa.array(line_ids(hashes[list(found.values())], np.array([len(x) for x in lines], np.int64))),
+                     pa.array([_digest(x) for x in found], pa.binary()), pa.array(lines, pa.string())], schema=_TEXTS)
     return texts
 
 
 def _components(rows: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """(node, component) over the digests of lines that agree in a block and
-    whose edit similarity is at least ``similarity``."""
+    """(digest, component) of the lines that agree in a block with others to which
+    their edit similarity is at least ``similarity``."""
     spark = rows.sparkSession
-    keyed = lines.filter("id is not null").select("id", F.explode("keys").alias("key"))
-    in_key = Window.partitionBy("key")
-    shared = (keyed.withColumn("low", F.min("id").over(in_key)).withColumn("high", F.max("id").over(in_key))
-              .filter(F.col("low") != F.col("high")).select("key", "id").distinct())
-    shared = written(shared, "shared")
+    buckets = max(16, lines.count() * BLOCKS * 16 // BUCKET_BYTES)
+    packed = (lines.filter("copies is not null").select("id", "keys")
+              .mapInArrow(_packer(buckets), "bucket int, pairs binary"))
+    met = written(packed.repartition("bucket").sortWithinPartitions("bucket")
+                  .mapInArrow(_meet, "key long, id long, size long"), "shared")
+    shared = met.select("key", "id")
     # a block's hub is the line that meets most others in all its blocks: of
     # edited copies, the text that they were made from
-    sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    degree = shared.join(sizes, "key").groupBy("id").agg(F.sum("size").alias("degree"))
+    degree = met.groupBy("id").agg(F.sum("size").alias("degree"))
     hubs = shared.join(degree, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", "id")).alias("hub"))
     most = _classes_apart(similarity)
 
@@ -379,19 +510,19 @@ def _components(rows: DataFrame, lines: DataFrame, similarity: float) -> DataFra
     table = spark.sparkContext.broadcast(_filter_words(wanted))
     texts = (rows.select("text").mapInArrow(_texts(table), "id long, digest binary, line string")
              .join(wanted, "id", "left_semi").dropDuplicates(["digest"]))
-    texts = written(texts, "texts")
+    # a line's node is a number as wide as ids, but never that of two digests
+    texts = written(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = (pairs.join(texts.select(F.col("id").alias("u"), F.col("digest").alias("du"), F.col("line").alias("a")), "u")
-                .join(texts.select(F.col("id").alias("v"), F.col("digest").alias("dv"), F.col("line").alias("b")), "v"))
+        both = (pairs.join(texts.select(F.col("id").alias("u"), F.col("node").alias("du"), F.col("line").alias("a")), "u")
+                .join(texts.select(F.col("id").alias("v"), F.col("node").alias("dv"), F.col("line").alias("b")), "v"))
         return written(both.select(F.col("du").alias("u"), F.col("dv").alias("v"), "a", "b")
-                       .mapInArrow(_close(similarity), "u binary, v binary"), "verified")
+                       .mapInArrow(_close(similarity), "u long, v long"), "verified")
 
     def labels(named: DataFrame) -> DataFrame:
         """(id, c): the component of every line, or what stands for a line alone."""
-        found = (texts.select("id", "digest").join(named.withColumnRenamed("node", "digest"), "digest")
-                 .groupBy("id").agg(F.min("component").alias("component")))
-        return written(wanted.join(found, "id", "left").select("id", F.coalesce("component", F.unhex(F.hex("id"))).alias("c")), "labels")
+        found = texts.select("id", "node").join(named, "node").groupBy("id").agg(F.min("component").alias("component"))
+        return written(wanted.join(found, "id", "left").select("id", F.coalesce("component", -1 - F.col("id")).alias("c")), "labels")
 
     # every line meets the hub that it shares most blocks with
     links = verified(first)
@@ -399,7 +530,7 @@ def _components(rows: DataFrame, lines: DataFrame, similarity: float) -> DataFra
     # only blocks that still hold two groups have pairs to compare
     member = shared.join(labels(named), "id")
     split = member.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("key")
-    member = written(member.join(split, "key", "left_semi"), "members")
+    member = written(member.join(split, "key", "left_semi").select("id", "key", "c"), "members")
     one, two = member.toDF("u", "key", "c1"), member.toDF("v", "key", "c2")
     left = (one.join(two, "key").filter((F.col("u") < F.col("v")) & (F.col("c1") != F.col("c2")) & alike_in_size("u", "v"))
             .select("u", "v").distinct())
@@ -407,7 +538,7 @@ def _components(rows: DataFrame, lines: DataFrame, similarity: float) -> DataFra
     left = written(left.join(compared, ["u", "v"], "left_anti"), "open")
     if left.limit(1).count():
         named = written(components(links.unionByName(verified(left))), "named")
-    return named
+    return texts.select("node", "digest").join(named, "node").select("digest", "component")
 
 
 def _line_groups(docs: DataFrame, similarity: float) -> DataFrame:
@@ -416,14 +547,18 @@ def _line_groups(docs: DataFrame, similarity: float) -> DataFrame:
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("of"), text.alias("text"))
     lines = written(rows.mapInArrow(
-        _scan, "doc_id long, of long, line_no long, digest binary, id long, keys array<long>"), "lines")
+        _scan, "doc_id long, of long, line_no long, digest binary, id long, copies long, keys binary"), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no", "of")
-    distinct = written(lines.filter("digest is not null").groupBy("digest").agg(F.min(place).alias("at")), "distinct")
-    named = _components(rows, lines, similarity).withColumnRenamed("node", "digest")
-    of_group = distinct.join(named, "digest").groupBy("component").agg(F.min("at").alias("group_at"))
-    groups = (distinct.join(named.join(of_group, "component"), "digest", "left")
-              .select("digest", F.coalesce("group_at", "at").alias("g")))
-    out = _with_groups(lines, written(groups, "line-groups"))
+    # a slice has one row at most with copies of a line, so few that no task before the exchange need join them
+    distinct = written(lines.filter("copies is not null").repartition("digest").groupBy("digest")
+                       .agg(F.min(place).alias("at"), F.sum("copies").alias("copies")), "distinct")
+    named = written(_components(rows, lines, similarity), "grouped")
+    linked = written(distinct.join(named, "digest"), "linked")
+    of_group = linked.groupBy("component").agg(F.min("at").alias("g"))
+    groups = (linked.join(of_group, "component").select("digest", "copies", "g")
+              .unionByName(distinct.filter("copies > 1").join(named.select("digest"), "digest", "left_anti")
+                           .select("digest", "copies", F.col("at").alias("g"))))
+    out = _with_groups(lines, written(groups, "line-groups"), place)
     same = (F.col("doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("line_no") == F.col("g.line_no"))
             & F.col("of").eqNullSafe(F.col("g.of")))
     return out.select("doc_id", "line_no", F.col("g.doc_id").alias("group_doc"), F.col("g.line_no").alias("group_line"),
@@ -445,16 +580,17 @@ def fuzzy_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return _line_groups(docs, similarity).drop("of")
 
 
-def _with_groups(lines: DataFrame, groups: DataFrame) -> DataFrame:
-    """Every line with its group; a line that makes up over 1/1024 of all lines
-    (1023 distinct ones at most) is sent to every task."""
+def _with_groups(lines: DataFrame, groups: DataFrame, place: Column) -> DataFrame:
+    """Every line with its group: its own place where it has no copy and no link.
+    A line that makes up over 1/1024 of all lines (1023 distinct ones at most)
+    is sent to every task."""
     limit = max(lines.count() // 1024, 1)
-    frequent = lines.filter("digest is not null").groupBy("digest").count().filter(F.col("count") > limit).select("digest")
-    hot = F.broadcast(groups.join(frequent, "digest").select("digest", F.col("g").alias("hot_g")))
+    hot = F.broadcast(groups.filter(F.col("copies") > limit).select("digest", F.col("g").alias("hot_g")))
     marked = lines.select("doc_id", "of", "line_no", "digest").join(hot, "digest", "left")
     settled = marked.filter("hot_g is not null or digest is null").select("doc_id", "of", "line_no", F.col("hot_g").alias("g"))
     rest = (marked.filter("hot_g is null and digest is not null").select("doc_id", "of", "line_no", "digest")
-            .join(groups, "digest").select("doc_id", "of", "line_no", "g"))
+            .join(groups.filter(F.col("copies") <= limit).select("digest", "g"), "digest", "left")
+            .select("doc_id", "of", "line_no", F.coalesce("g", place).alias("g")))
     return settled.unionByName(rest)
 
 

@@ -418,6 +418,48 @@ def test_fuzzy_lines_by_edit_similarity_alone(spark):
         assert len(x) == 1 or all(any(_edit(a, b) <= 0.2 * max(len(a), len(b)) for b in x if b != a) for a in x)
 
 
+def test_lines_that_their_hub_leaves_apart_are_compared(spark):
+    """Many lines share most words with a hub that is too unlike all of them;
+    each has a near copy, which shares fewer of its blocks."""
+    rng = random.Random(21)
+
+    def letters(n):
+        return "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+
+    lines, pair = [], []
+    for _ in range(25):
+        common = [letters(5) for _ in range(34)]
+        for _ in range(5):
+            own = [letters(30) for _ in range(4)]
+            a, b = common + own, common + own
+            b = b[:-1] + [b[-1][:-4] + letters(4)]
+            pair.append(len(lines))
+            lines += [" ".join(a), " ".join(b)]
+    docs = _frame(spark, lines, repeat=False)
+    group = {r.doc_id: r.group_doc for r in fuzzylines.fuzzy_lines(docs).collect()}
+    assert [i for i in pair if group[i] != group[i + 1]] == []
+
+
+def test_pairs_of_a_bucket_meet_in_parts_as_at_once(monkeypatch):
+    draw = np.random.default_rng(3)
+    pairs = np.column_stack([draw.integers(-200, 200, 5000), draw.integers(0, 40, 5000)])
+    pairs[:1500, 0] = 7                                  # one large block
+    ids = {}
+    for k, i in pairs.tolist():
+        ids.setdefault(k, set()).add(i)
+    expected = {(k, i) for k, v in ids.items() if len(v) > 1 for i in v}
+    packed = [fuzzylines._packed(pairs[lo:lo + 500].copy(), 3) for lo in range(0, 5000, 500)]
+    rows = pa.Table.from_batches(packed).sort_by("bucket").to_batches(max_chunksize=4)
+
+    def met():
+        return [tuple(r.values()) for b in fuzzylines._meet(iter(rows)) for r in b.to_pylist()]
+
+    at_once = met()
+    assert sorted(at_once) == sorted((k, i, len(ids[k])) for k, i in expected)
+    monkeypatch.setattr(fuzzylines, "HELD_BYTES", 4000)
+    assert {r[:2] for r in met()} == expected
+
+
 # ---------------------------------------------------------------- 9 packing
 
 def test_packing(docs, nothing):
