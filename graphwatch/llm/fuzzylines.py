@@ -46,7 +46,7 @@ FILTER_WORDS = 1 << 20     # 64-bit words of the table that tells which lines ar
 BUCKET_BYTES = 16 << 20    # of pairs (key, id) in a bucket, at most on average
 PACK_PAIRS = 1024          # of a bucket in one row, about
 HELD_BYTES = 128 << 20     # of a bucket that are held at once
-LOOKS = 64                 # columns of an edit distance between two looks at whether it can still do
+LOOKS = 128                # columns of an edit distance between two looks at whether it can still do
 
 _LINES = pa.schema([("doc_id", pa.int64()), ("of", pa.int64()), ("line_no", pa.int64()), ("digest", pa.binary()),
                     ("id", pa.int64()), ("copies", pa.int64()), ("keys", pa.binary())])
@@ -364,16 +364,16 @@ def _agree(a: str, b: str) -> int:
     return lo
 
 
-def _words_apart(a: str, b: str) -> int:
+def _words_apart(a: str, b: str, most: int) -> int:
     """An upper bound of the edit distance: words compared one by one, those that
     differ written anew. Where the numbers of words differ, a word is also left
-    out on one side if the next one fits the other side's."""
+    out on one side if the next one fits the other side's. Ends beyond ``most``."""
     x, y = a.split(" "), b.split(" ")
     if len(x) == len(y):
         return sum(max(len(p), len(q)) for p, q in zip(x, y) if p != q)
     i = j = apart = 0
     m, n = len(x), len(y)
-    while i < m and j < n:
+    while i < m and j < n and apart <= most:
         p, q = x[i], y[j]
         if p != q:
             if i + 1 < m and x[i + 1] == q:
@@ -389,12 +389,25 @@ def _words_apart(a: str, b: str) -> int:
     return apart + sum(len(p) + 1 for p in x[i:]) + sum(len(q) + 1 for q in y[j:])
 
 
+def _letters_apart(a: str, b: str) -> int:
+    """A lower bound of the edit distance: the letters that one text has more of."""
+    more, fewer, left = 0, 0, len(a) - len(b)
+    for c in "etaoinshrdlucmfwypvbgk ":
+        n = a.count(c) - b.count(c)
+        left -= n
+        if n > 0:
+            more += n
+        else:
+            fewer -= n
+    return max(more + max(left, 0), fewer + max(-left, 0))
+
+
 def within(a: str, b: str, most: int) -> bool:
     """Whether the edit distance of two texts is at most ``most``. What they
     begin and end with alike is left out; the rest goes by bit-parallel columns
     (Myers 1999), one integer as long as the longer text, and ends early where no
     cell of a column can lead to ``most``."""
-    if _words_apart(a, b) <= most:
+    if _words_apart(a, b, most) <= most:
         return True
     k = _agree(a, b)
     a, b = a[k:], b[k:]
@@ -406,6 +419,8 @@ def within(a: str, b: str, most: int) -> bool:
         return False
     if len(a) <= most:
         return True
+    if _letters_apart(a, b) > most:
+        return False
     at: dict[str, int] = {}
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | (1 << i)
@@ -537,7 +552,13 @@ def _components(rows: DataFrame, lines: DataFrame, similarity: float) -> DataFra
     compared = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     left = written(left.join(compared, ["u", "v"], "left_anti"), "open")
     if left.limit(1).count():
-        named = written(components(links.unionByName(verified(left))), "named")
+        # what these pairs link are components, or lines alone
+        more = (verified(left).join(named.toDF("u", "cu"), "u", "left").join(named.toDF("v", "cv"), "v", "left")
+                .select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")))
+        joined = written(components(more), "joined")
+        alone = joined.join(named.select("node"), "node", "left_anti")
+        named = (named.toDF("node", "old").join(joined.toDF("old", "new"), "old", "left")
+                 .select("node", F.coalesce("new", "old").alias("component")).unionByName(alone))
     return texts.select("node", "digest").join(named, "node").select("digest", "component")
 
 
@@ -549,15 +570,17 @@ def _line_groups(docs: DataFrame, similarity: float) -> DataFrame:
     lines = written(rows.mapInArrow(
         _scan, "doc_id long, of long, line_no long, digest binary, id long, copies long, keys binary"), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no", "of")
-    # a slice has one row at most with copies of a line, so few that no task before the exchange need join them
-    distinct = written(lines.filter("copies is not null").repartition("digest").groupBy("digest")
-                       .agg(F.min(place).alias("at"), F.sum("copies").alias("copies")), "distinct")
-    named = written(_components(rows, lines, similarity), "grouped")
-    linked = written(distinct.join(named, "digest"), "linked")
+    named = _components(rows, lines, similarity)
+    # only lines with copies or links need the places of others; a slice has one row at most for a line
+    first = lines.filter("copies is not null")
+    repeated = first.groupBy("digest").agg(F.sum("copies").alias("copies")).filter("copies > 1")
+    needed = written(repeated.join(named, "digest", "full"), "needed")
+    placed = written(first.select("digest", place.alias("at")).join(needed, "digest")
+                     .groupBy("digest", "component", "copies").agg(F.min("at").alias("at")), "placed")
+    linked = placed.filter("component is not null")
     of_group = linked.groupBy("component").agg(F.min("at").alias("g"))
-    groups = (linked.join(of_group, "component").select("digest", "copies", "g")
-              .unionByName(distinct.filter("copies > 1").join(named.select("digest"), "digest", "left_anti")
-                           .select("digest", "copies", F.col("at").alias("g"))))
+    groups = (linked.join(of_group, "component").select("digest", F.coalesce("copies", F.lit(1)).alias("copies"), "g")
+              .unionByName(placed.filter("component is null").select("digest", "copies", F.col("at").alias("g"))))
     out = _with_groups(lines, written(groups, "line-groups"), place)
     same = (F.col("doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("line_no") == F.col("g.line_no"))
             & F.col("of").eqNullSafe(F.col("g.of")))
