@@ -15,8 +15,9 @@ dealt by their three-letter pieces.
 Candidates are verified by edit similarity, and one occurrence per connected
 group is kept: the first by (doc_id, line number). In every block the line that
 meets most others is the hub; each line is compared with the hub of most of its
-blocks, and what that leaves in different groups is then compared pair by pair,
-so that no candidate is lost and no block's members are all paired.
+blocks, and what that leaves in different groups is then compared pair by pair
+where the lines of a block meet, so that no candidate is lost and no pair is
+written.
 """
 
 from __future__ import annotations
@@ -47,6 +48,12 @@ BUCKET_BYTES = 16 << 20    # of pairs (key, id) in a bucket, at most on average
 PACK_PAIRS = 1024          # of a bucket in one row, about
 HELD_BYTES = 128 << 20     # of a bucket that are held at once
 LOOKS = 128                # columns of an edit distance between two looks at whether it can still do
+PAIRED = 1024              # lines of a block that are compared in one task, about, and against as many others
+PAIRED_BYTES = 8 << 20     # of these lines, about
+MET_IN_TASK = 16384        # lines that meet in a task, about
+TOGETHER = 8192            # pairs whose edit distances are computed side by side
+WAITING = 4 * TOGETHER     # pairs that wait for others, about
+MASK_BYTES = 32 << 20      # of the tables that say where a line has a letter
 
 _LINES = pa.schema([("doc_id", pa.int64()), ("of", pa.int64()), ("line_no", pa.int64()), ("digest", pa.binary()),
                     ("id", pa.int64()), ("copies", pa.int64()), ("keys", pa.binary())])
@@ -456,6 +463,180 @@ def _least_at(up: int, down: int, rows: int, column: int, left: int, most: int,
     return least - step
 
 
+def _most(one: np.ndarray, two: np.ndarray, similarity: float) -> np.ndarray:
+    """The largest distance allowed to lines of these lengths; a hair more than the
+    product, which is not exact."""
+    return (np.maximum(one, two) * (1 - similarity) + 1e-9).astype(np.int64)
+
+
+def near_pairs(lines: list[str], one: np.ndarray, two: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the edit distance of each pair of ``lines``, given by their numbers,
+    is small enough: what ``within`` says, for many pairs side by side."""
+    size = np.array([len(x) for x in lines], np.int64)
+    # the longer line's letters are the rows, the other's the columns
+    swap = size[one] < size[two]
+    one, two = np.where(swap, two, one), np.where(swap, one, two)
+    most = _most(size[one], size[two], similarity)
+    out = (size[two] == 0) & (size[one] <= most)
+    left = np.flatnonzero((size[one] - size[two] <= most) & (size[two] > 0))
+    letters, kinds = _numbered(lines, np.unique(np.concatenate([one[left], two[left]])))
+    left = left[_letters_allow(letters, one[left], two[left], most[left])]
+    left = left[np.argsort(size[two[left]], kind="stable")]
+    while len(left):
+        # pairs of about the same length (few pairs take as long as some more), of as
+        # many lines as their tables may hold
+        alike, some = np.searchsorted(size[two[left]], size[two[left[0]]] * np.array([5, 16]) // 4 + 32, side="right")
+        part = left[:min(max(alike, min(some, TOGETHER // 4)), TOGETHER)]
+        longest = int(size[one[part]].max())
+        rows, of = np.unique(one[part], return_index=True)
+        if len(rows) > (held := max(1, MASK_BYTES // (8 * (longest // 64 + 1) * (kinds + 1)))):
+            part = part[:np.sort(of)[held]]
+        blocks = int(most[part].max()) // 64 + 2
+        # microseconds a column, about
+        if len(part) * (0.7 + longest * 6e-4) < (22 * blocks + 8) * (0.7 + len(part) * 6e-4):
+            out[part] = [within(lines[a], lines[b], m)
+                         for a, b, m in zip(one[part].tolist(), two[part].tolist(), most[part].tolist())]
+        else:
+            out[part] = _side_by_side(letters, kinds, one[part], two[part], most[part])
+        left = left[len(part):]
+    return out
+
+
+def _numbered(lines: list[str], used: np.ndarray) -> tuple[dict[int, np.ndarray], int]:
+    """The letters of the lines ``used`` as numbers from 0, and how many kinds there are."""
+    points = {k: np.frombuffer(lines[k].encode("utf-32-le", "surrogatepass"), np.uint32) for k in used.tolist()}
+    kinds = np.zeros(0x110000, bool)
+    for x in points.values():
+        kinds[x] = True
+    number = np.cumsum(kinds) - 1
+    return {k: number[x] for k, x in points.items()}, int(kinds.sum())
+
+
+def _letters_allow(letters: dict[int, np.ndarray], one: np.ndarray, two: np.ndarray, most: np.ndarray, classes: int = 64
+                   ) -> np.ndarray:
+    """False where one line has so many more of some letters that the edit distance
+    is beyond ``most``."""
+    at = {k: row for row, k in enumerate(letters)}
+    held = np.array([np.minimum(np.bincount(x % classes, minlength=classes), 30000) for x in letters.values()], np.int16)
+    one, two = (np.array([at[k] for k in x.tolist()], np.int64) for x in (one, two))
+    out = np.zeros(len(one), bool)
+    for lo in range(0, len(one), TOGETHER):
+        apart = held[one[lo:lo + TOGETHER]] - held[two[lo:lo + TOGETHER]]
+        more = np.maximum(apart, 0).sum(axis=1, dtype=np.int64)
+        fewer = more - apart.sum(axis=1, dtype=np.int64)
+        out[lo:lo + TOGETHER] = np.maximum(more, fewer) <= most[lo:lo + TOGETHER]
+    return out
+
+
+def _masks(rows: list[np.ndarray], width: int) -> np.ndarray:
+    """For every 64 places of each row and each letter the places that hold it, as bits."""
+    size = np.array([len(x) for x in rows], np.int64)
+    place, blocks = ragged(size), int(size.max() + 63) // 64
+    # sums of different powers of two below 2**32 are exact in doubles
+    cell = (place // 32 * len(rows) + np.repeat(np.arange(len(rows)), size)) * width + np.concatenate(rows)
+    half = np.bincount(cell, np.exp2(place % 32), 2 * blocks * len(rows) * width).astype(np.uint64)
+    half = half.reshape(blocks, 2, len(rows) * width)
+    return half[:, 0] | half[:, 1] << np.uint64(32)
+
+
+def _side_by_side(letters: dict[int, np.ndarray], kinds: int, one: np.ndarray, two: np.ndarray, most: np.ndarray
+                  ) -> np.ndarray:
+    """Whether the edit distances of pairs of lines, the longer one first, are at
+    most ``most``: bit-parallel columns in blocks of 64 rows (Myers 1999, Hyyro
+    2003), a step for all pairs at once. Rows beyond the diagonals that ``most``
+    allows (Ukkonen 1985) are left out; the values at their edge are those of ways
+    along it, so what is found within ``most`` is exact. Pairs of which no cell of a
+    column can lead to ``most`` are dropped."""
+    rows, at = np.unique(one, return_inverse=True)
+    texts, of = np.unique(two, return_inverse=True)
+    rows, texts = [letters[k] for k in rows.tolist()], [letters[k] for k in texts.tolist()]
+    masks = _masks(rows, kinds + 1)
+    m, n = np.array([len(x) for x in rows])[at], np.array([len(x) for x in texts])[of]
+    codes = np.full((int(n.max()), len(texts)), kinds, np.int64)
+    for k, x in enumerate(texts):
+        codes[:len(x), k] = x
+    at = at * (kinds + 1)
+    pair = np.arange(len(one))
+    out = np.zeros(len(one), bool)
+    blocks, first = len(masks), 0
+    one_bit, high, every = np.uint64(1), np.uint64(63), ~np.uint64(0)
+    up, down = np.full((blocks, len(pair)), every), np.zeros((blocks, len(pair)), np.uint64)
+    above = np.zeros(len(pair), np.int64)                # the cell over the first block
+
+    def sized() -> tuple:
+        return (int(((most - m + n) // 2).max()), int(((most + m - n) // 2).max()),
+                *(np.empty(len(pair), np.uint64) for _ in range(7)))
+
+    back, on, same, x, h, more, less, right, left = sized()
+    for column in range(1, len(codes) + 1):
+        while 64 * (first + 1) < column - back:
+            above += np.bitwise_count(up[first]).astype(np.int64) - np.bitwise_count(down[first])
+            first += 1
+        above += 1
+        last = min(blocks, (column + on - 1) // 64 + 1)
+        symbol = codes[column - 1].take(of) + at
+        right.fill(1)
+        left.fill(0)
+        for w in range(first, last):
+            u, d = up[w], down[w]
+            np.take(masks[w], symbol, out=same, mode="clip")
+            np.bitwise_or(same, d, out=x)
+            np.bitwise_or(same, left, out=same)
+            np.bitwise_and(same, u, out=h)
+            np.add(h, u, out=h)
+            np.bitwise_xor(h, u, out=h)
+            np.bitwise_or(h, same, out=h)
+            np.bitwise_or(h, u, out=more)
+            np.invert(more, out=more)
+            np.bitwise_or(more, d, out=more)
+            np.bitwise_and(u, h, out=less)
+            np.right_shift(more, high, out=same)         # what the next block begins with
+            np.right_shift(less, high, out=h)
+            np.left_shift(more, one_bit, out=more)
+            np.bitwise_or(more, right, out=more)
+            np.left_shift(less, one_bit, out=less)
+            np.bitwise_or(less, left, out=less)
+            right, same, left, h = same, right, h, left
+            np.bitwise_or(x, more, out=u)
+            np.invert(u, out=u)
+            np.bitwise_or(u, less, out=u)
+            np.bitwise_and(more, x, out=d)
+        ended = np.flatnonzero(n == column)
+        if len(ended):
+            value = above[ended]
+            for w in range(first, last):
+                rest = np.clip(m[ended] - 64 * w, 0, 64).astype(np.uint64)
+                mask = np.where(rest == 64, every, (one_bit << np.minimum(rest, high)) - one_bit)
+                value = value + np.bitwise_count(up[w, ended] & mask) - np.bitwise_count(down[w, ended] & mask)
+            out[pair[ended]] = value <= most[ended]
+        if column % 64 == 0 and column < len(codes):
+            alive = (n > column) & (_leads_to(up[first:last], down[first:last], above, 64 * first, m - n + column) <= most)
+            if alive.sum() < 0.75 * len(alive):
+                pair, at, of, m, n, most, above = (v[alive] for v in (pair, at, of, m, n, most, above))
+                if not len(pair):
+                    break
+                up, down = up[:, alive], down[:, alive]
+                back, on, same, x, h, more, less, right, left = sized()
+                # blocks that are left now are begun anew when they are reached
+                up[(column + on) // 64 + 1:], down[(column + on) // 64 + 1:] = every, 0
+    return out
+
+
+def _leads_to(up: np.ndarray, down: np.ndarray, above: np.ndarray, row: int, target: np.ndarray, step: int = 16) -> np.ndarray:
+    """A lower bound of the distances by way of a column's cells, of which every
+    ``step``-th is looked at; ``target`` is the row of the diagonal that ends right."""
+    blocks, pairs = up.shape
+    least = above + np.abs(target - row)
+    value = above
+    up, down = (np.bitwise_count(np.ascontiguousarray(v).view(np.uint16)).reshape(blocks, pairs, 4) for v in (up, down))
+    for w in range(blocks):
+        for k in range(4):
+            row += step
+            value = value + up[w, :, k] - down[w, :, k]
+            least = np.minimum(least, value + np.abs(target - row))
+    return least - step
+
+
 def _close(similarity: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -499,6 +680,134 @@ def _texts(table):
     return texts
 
 
+def _meetings(members: DataFrame, tasks: int) -> DataFrame:
+    """Lines with their ``blocks`` (key, parts) -> a row for every meeting of a line:
+    each part of a block meets itself and every other part. Meetings lie together,
+    the smaller part first."""
+    own = F.pmod(F.xxhash64("node"), F.col("b.parts")).cast("int")
+    other = F.transform(F.sequence(F.lit(0), F.col("b.parts") - 1),
+                        lambda q: F.struct(F.least(own, q).alias("i"), F.greatest(own, q).alias("j")))
+    rows = (members.select("*", F.explode("blocks").alias("b"))
+            .select("id", "hub", "c", "line", F.col("b.key").alias("key"), own.alias("own"),
+                    F.filter(F.transform("blocks", lambda x: x["key"]), lambda k: k < F.col("b.key")).alias("lower"),
+                    F.explode(other).alias("m")))
+    return (rows.select("key", F.col("m.i").alias("i"), F.col("m.j").alias("j"), "own", "id", "hub", "c", "lower", "line")
+            .repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j", "own"))
+
+
+def _meeting_pairs(rows: pa.RecordBatch, apart: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places of the pairs to compare in whole meetings: of different groups,
+    alike in size, not compared as line and hub, and without a smaller block in common."""
+    key, i, j, own, ids, hub, c = (rows.column(k).to_numpy() for k in range(7))
+    fresh = np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
+    begin = np.append(np.flatnonzero(fresh), len(key))
+    meeting = np.cumsum(fresh) - 1
+    # a row meets those behind it, or only those of the other part
+    place, end = np.arange(len(key)), begin[meeting + 1]
+    other = begin[:-1] + np.add.reduceat((own == i).astype(np.int64), begin[:-1])
+    start = np.where(i == j, place + 1, np.where(own == i, other[meeting], end))
+    size, lower = ids >> 55, rows.column(7)
+    count = end - start
+    total = np.cumsum(count)
+    lo = 0
+    while lo < len(key):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + (PAIRED << 10), side="right")))
+        one = np.repeat(place[lo:hi], count[lo:hi])
+        two = np.repeat(start[lo:hi], count[lo:hi]) + ragged(count[lo:hi])
+        lo = hi
+        open_ = np.flatnonzero((c[one] != c[two]) & (np.abs(size[one] - size[two]) <= apart)
+                               & (hub[one] != ids[two]) & (ids[one] != hub[two]))
+        one, two = one[open_], two[open_]
+        if len(one):
+            used, of = np.unique(np.concatenate([one, two]), return_inverse=True)
+            sets = [frozenset(x) for x in lower.take(pa.array(used)).to_pylist()]
+            first = np.fromiter((sets[a].isdisjoint(sets[b]) for a, b in zip(of[:len(one)].tolist(), of[len(one):].tolist())),
+                                bool, len(one))
+            yield one[first], two[first]
+
+
+def _compared(similarity: float):
+    """(u, v) of the groups that a pair of lines links, from meetings that lie
+    together. Pairs whose groups others have linked meanwhile are left out."""
+    apart = _classes_apart(similarity)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        def links(lines: list[str], c: np.ndarray, one: np.ndarray, two: np.ndarray) -> Iterator[pa.RecordBatch]:
+            found = []
+            for most in (2, len(one)):                   # pairs of two groups that are compared before they are looked at again
+                names, of = np.unique(c, return_inverse=True)
+                roots = np.array([root(x) for x in names.tolist()], np.int64)[of]
+                left = roots[one] != roots[two]
+                one, two = one[left], two[left]
+                if not len(one):
+                    break
+                ends = np.sort(np.column_stack([roots[one], roots[two]]), axis=1)
+                order = np.lexsort((ends[:, 1], ends[:, 0]))
+                ends = ends[order]
+                begin = np.flatnonzero(np.r_[True, (ends[1:] != ends[:-1]).any(axis=1)])
+                now = np.zeros(len(one), bool)
+                now[order] = ragged(np.diff(np.append(begin, len(ends)))) < most
+                near = near_pairs(lines, one[now], two[now], similarity)
+                for u, v in zip(c[one[now]][near].tolist(), c[two[now]][near].tolist()):
+                    a, b = root(u), root(v)
+                    if a != b:
+                        parent[max(a, b)] = min(a, b)
+                        found.append((u, v))
+                one, two = one[~now], two[~now]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["u", "v"])
+
+        waiting: tuple[list, list, list, list] = ([], [], [], [])
+        held, letters = 0, 0
+        for rows in _together(batches):
+            for one, two in _meeting_pairs(rows, apart):
+                used, of = np.unique(np.concatenate([one, two]), return_inverse=True)
+                taken = rows.take(pa.array(used))
+                at = len(waiting[0])
+                waiting[0].extend(taken.column(8).to_pylist())
+                for k, x in enumerate((taken.column(6).to_numpy(), at + of[:len(one)], at + of[len(one):]), 1):
+                    waiting[k].append(x)
+                held, letters = held + len(one), letters + taken.column(8).nbytes
+                if held >= WAITING or letters >= 4 * PAIRED_BYTES:
+                    yield from links(waiting[0], *map(np.concatenate, waiting[1:]))
+                    waiting = ([], [], [], [])
+                    held, letters = 0, 0
+        if held:
+            yield from links(waiting[0], *map(np.concatenate, waiting[1:]))
+    return compare
+
+
+def _together(batches: Iterator[pa.RecordBatch], most: int = 4 * PAIRED) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (key, i, j) in batches of whole meetings, of about ``most`` rows or one meeting."""
+    held, n = [], 0
+
+    def whole(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= most:
+            rows = whole(held)
+            where = np.column_stack([rows.column(k).to_numpy() for k in range(3)])
+            end = np.flatnonzero((where[1:] != where[:-1]).any(axis=1))
+            if len(end):
+                yield rows.slice(0, int(end[-1]) + 1)
+                rows = rows.slice(int(end[-1]) + 1)
+            held, n = [rows], rows.num_rows
+    if held:
+        yield whole(held)
+
+
 def _components(rows: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
     """(digest, component) of the lines that agree in a block with others to which
     their edit similarity is at least ``similarity``."""
@@ -534,27 +843,26 @@ def _components(rows: DataFrame, lines: DataFrame, similarity: float) -> DataFra
         return written(both.select(F.col("du").alias("u"), F.col("dv").alias("v"), "a", "b")
                        .mapInArrow(_close(similarity), "u long, v long"), "verified")
 
-    def labels(named: DataFrame) -> DataFrame:
-        """(id, c): the component of every line, or what stands for a line alone."""
-        found = texts.select("id", "node").join(named, "node").groupBy("id").agg(F.min("component").alias("component"))
-        return written(wanted.join(found, "id", "left").select("id", F.coalesce("component", -1 - F.col("id")).alias("c")), "labels")
-
     # every line meets the hub that it shares most blocks with
     links = verified(first)
     named = written(components(links), "named")
-    # only blocks that still hold two groups have pairs to compare
-    member = shared.join(labels(named), "id")
-    split = member.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("key")
-    member = written(member.join(split, "key", "left_semi").select("id", "key", "c"), "members")
-    one, two = member.toDF("u", "key", "c1"), member.toDF("v", "key", "c2")
-    left = (one.join(two, "key").filter((F.col("u") < F.col("v")) & (F.col("c1") != F.col("c2")) & alike_in_size("u", "v"))
-            .select("u", "v").distinct())
-    compared = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    left = written(left.join(compared, ["u", "v"], "left_anti"), "open")
-    if left.limit(1).count():
+    # only blocks that still hold two groups have pairs to compare; the lines of such
+    # a block meet part by part
+    group = F.coalesce("component", "node")
+    lined = texts.join(named, "node", "left").select("id", "node", group.alias("c"), "line")
+    label = written(lined.groupBy("id").agg(F.min("c").alias("c"), F.max(F.length("line")).alias("size")), "labels")
+    split = (shared.join(label, "id").groupBy("key")
+             .agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+             .filter("low != high")
+             .select("key", F.greatest(F.ceil(F.col("n") / PAIRED), F.ceil(F.col("size") / PAIRED_BYTES)).cast("int").alias("parts")))
+    blocks = (shared.join(split, "key").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("key", "parts"))).alias("blocks"))
+              .join(first.select(F.col("v").alias("id"), F.col("u").alias("hub")), "id", "left"))
+    blocks = written(blocks.select("id", F.coalesce("hub", "id").alias("hub"), "blocks"), "open")
+    rows_met = blocks.agg(F.sum(F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + b["parts"]))).first()[0]
+    if rows_met:
         # what these pairs link are components, or lines alone
-        more = (verified(left).join(named.toDF("u", "cu"), "u", "left").join(named.toDF("v", "cv"), "v", "left")
-                .select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")))
+        tasks = max(2 * spark.sparkContext.defaultParallelism, rows_met // MET_IN_TASK)
+        more = written(_meetings(lined.join(blocks, "id"), tasks).mapInArrow(_compared(similarity), "u long, v long"), "verified")
         joined = written(components(more), "joined")
         alone = joined.join(named.select("node"), "node", "left_anti")
         named = (named.toDF("node", "old").join(joined.toDF("old", "new"), "old", "left")

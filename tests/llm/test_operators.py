@@ -335,6 +335,27 @@ def test_edit_distance_within_a_bound():
             assert most < 0 or fuzzylines.within(a, b, most) == (e <= most)
 
 
+def test_edit_distances_side_by_side(monkeypatch):
+    draw = random.Random(18)
+    monkeypatch.setattr(fuzzylines, "within", lambda a, b, most: _edit(a, b) <= most)
+    for letters, similarity in (("ab", 0.8), ("abcdefgh é漢😀", 0.8), ("abcd ", 0.6)):
+        lines = ["", "a"]
+        for size in (5, 64, 65, 150):
+            base = [draw.choice(letters) for _ in range(size)]
+            for edits in (0, size // 9, size // 4):
+                x = list(base)
+                for _ in range(edits):
+                    k = draw.randrange(len(x) + 1)
+                    x[k:k + draw.randrange(3)] = draw.choice(letters)
+                lines += ["".join(x), "".join(x[draw.randrange(9):]) + "z" * draw.randrange(30)]
+        draw.shuffle(lines)
+        one, two = (np.array(x) for x in zip(*itertools.combinations(range(len(lines)), 2)))
+        got = fuzzylines.near_pairs(lines, one, two, similarity)
+        want = [_edit(a, b) <= int(max(len(a), len(b)) * (1 - similarity) + 1e-9) for a, b in itertools.combinations(lines, 2)]
+        assert got.tolist() == want
+        assert 0 < got.sum() < len(got)
+
+
 def test_majority_of_votes():
     draw = np.random.default_rng(8)
     counts = np.array([1, 2, 3, 4, 7, 8, 129, 700, 1, 2])
@@ -440,6 +461,35 @@ def test_lines_that_their_hub_leaves_apart_are_compared(spark):
     assert [i for i in pair if group[i] != group[i + 1]] == []
 
 
+def test_pairs_that_hubs_leave_open_are_no_rows(spark, monkeypatch):
+    """Lines that share most words and are all unlike, but for a few near copies: no
+    table written holds a row for a pair, and blocks compared in parts give the same."""
+    rng = random.Random(22)
+
+    def letters(n):
+        return "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+
+    common, lines = [letters(5) for _ in range(34)], []
+    for k in range(160):
+        own = [letters(30) for _ in range(4)]
+        lines.append(" ".join(common + own))
+        if k % 8 == 0:
+            lines.append(" ".join(common + own[:-1] + [own[-1][:-4] + letters(4)]))
+    docs, written, rows = _frame(spark, lines, repeat=False), fuzzylines.written, {}
+
+    def counted(df, name):
+        out = written(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(fuzzylines, "written", counted)
+    at_once = {r.doc_id: r.group_doc for r in fuzzylines.fuzzy_lines(docs).collect()}
+    assert max(rows.values()) <= 30 * len(lines), rows
+    assert len(set(at_once.values())) <= 160
+    monkeypatch.setattr(fuzzylines, "PAIRED", 16)
+    assert {r.doc_id: r.group_doc for r in fuzzylines.fuzzy_lines(docs).collect()} == at_once
+
+
 def test_pairs_of_a_bucket_meet_in_parts_as_at_once(monkeypatch):
     draw = np.random.default_rng(3)
     pairs = np.column_stack([draw.integers(-200, 200, 5000), draw.integers(0, 40, 5000)])
