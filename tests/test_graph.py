@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from graphwatch.operators import baseline as bl
+from graphwatch.operators import graph as G
 from graphwatch.operators.graph import components, propagate_components
 
 
@@ -52,3 +56,27 @@ def test_running_counts_and_changes(spark, monkeypatch):
     ch = sorted(r.window_no for r in A.snapshot_changes(df, ("status",)).collect())
     assert ch == [0] + [w for w in range(1, len(st)) if st[w] != st[w - 1]]
     assert A.snapshot_changes(df, ("status",)).filter(F.col("window_no") == 0).count() == 1
+
+
+def test_contraction_leaves_a_link_a_node(monkeypatch):
+    rng = random.Random(4)
+    rows = [(w, w and len(w), f"{w}{rng.randrange(40)}", f"{w}é{rng.randrange(40)}") for w in ("a", None, "bc") for _ in range(700)]
+    rows += [("a", 1, f"x{k}", f"x{k + 1}") for k in range(30)]
+    rng.shuffle(rows)
+    table = pa.table(dict(zip(("source_id", "window_no", "src", "dst"), map(list, zip(*rows)))))
+    for size, most in ((1 << 18, 1 << 20), (100, 1 << 20), (100, 20)):
+        monkeypatch.setattr(G, "CONTRACTION_ROWS", size)
+        monkeypatch.setattr(G, "CONTRACTION_LINKS", most)
+        links = [tuple(r.values()) for b in G._contracted(["source_id", "window_no"])(iter(table.to_batches(37))) for r in b.to_pylist()]
+
+        def groups(pairs):
+            root = {}
+            for *w, u, v in pairs:
+                a, b = (root.setdefault((*w, x), {(*w, x)}) for x in (u, v))
+                if a is not b:
+                    a |= b
+                    root.update(dict.fromkeys(b, a))
+            return {frozenset(x) for x in root.values()}
+
+        assert groups(links) == groups(rows)
+        assert most < 100 or len(links) == sum(len(x) - 1 for x in groups(rows)) < len(rows) / 5
